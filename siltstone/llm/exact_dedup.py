@@ -100,15 +100,15 @@ def _resolve(history: pa.Table, arrivals: pa.Table) -> pa.Table:
     })
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history_until: int | None = None, rows_per_shard: int = 8192) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history_until: int | None = None, rows_per_shard: int = 8192, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and the carried columns.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Of equal texts the row with the
     largest id stays; a null id is below all others; of rows alike in id too exactly one stays. Rows with an id up to
     history_until are history, the rest arrivals (default: the middle of the ids); where the line is changes no result.
     An empty table gives an empty result; other columns are ignored.
     """
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("digest"), F.monotonically_increasing_id().alias("tag")), "digests")
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("digest"), F.monotonically_increasing_id().alias("tag"), *[F.col(c).alias(f"carry_{c}") for c in carry]), "digests")
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     line = history_until if history_until is not None else ((low or 0) + (high or 0)) // 2
     shards = max(1, -(-n // (2 * rows_per_shard)))
@@ -120,4 +120,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     history, arrivals = distinct(rows.where(seen)), distinct(rows.where(~seen))
     groups = history.groupBy("shard").cogroup(arrivals.groupBy("shard")).applyInArrow(_resolve, "digest binary, keep_id long, keep_tag long, group_size long")
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *[F.col(f"carry_{c}").alias(c) for c in carry])

@@ -6,31 +6,62 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import cut, documents
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .html_extract import extract_pages
+from .language_id import identify
+from .licenses import scan_licenses
+from .lm_score import score
 from .packing import pack
 from .shards import shard
 from .simhash import near_dedup
+from .token_counts import count_tokens, flat_blocks, name_counts
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = cut(flat_blocks(documents(spark, sf_dir)), "flat-tokens")
+    return name_counts(blocks, count_tokens(blocks))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_simhash, op5_sharding, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_simhash, op4_lm_scoring, op5_sharding, op6_decontamination, op7_license_scan, op8_exact_dedup, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
