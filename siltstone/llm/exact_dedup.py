@@ -72,6 +72,10 @@ def _long(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _resolve(history: pa.Table, arrivals: pa.Table) -> pa.Table:
     """Look the shard's arrivals up in its history; one row per distinct digest of either."""
+    if not history.num_columns:  # a side without rows comes without columns
+        history = arrivals.schema.empty_table()
+    if not arrivals.num_columns:
+        arrivals = history.schema.empty_table()
     index = PerfectHash(old := _words(history["digest"]))
     place = index.slots(old)
     new = _words(arrivals["digest"])
@@ -115,6 +119,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = F.coalesce(F.col("doc_id") <= line, F.lit(False))
 
     def distinct(part: DataFrame) -> DataFrame:
+        # aliases give each side columns of its own; a cogroup of two sides of one table confuses them otherwise
+        part = part.select(F.col("digest").alias("digest"), F.col("doc_id").alias("doc_id"), F.col("tag").alias("tag"))
         groups = part.groupBy("digest").agg(F.max("doc_id").alias("top_id"), F.coalesce(F.max_by("tag", "doc_id"), F.max("tag")).alias("top_tag"), F.count("*").alias("size"))
         return groups.withColumn("shard", F.pmod(F.hash("digest"), F.lit(shards)))
 
