@@ -19,12 +19,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import slices
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
+LOTS = 64
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -33,27 +35,51 @@ def words_of(text: str) -> list[str]:
 
 
 class WordNumbers:
-    """Chunk by chunk word numbers for a worker: bucket of each word, and its row in the block's vocabulary or -1."""
+    """Bucket of each word of a text, and its row in a vocabulary or -1, as arrays; white-space chunks stay known."""
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 400_000):
+    def __init__(self, vocabulary: dict[str, int], most: int = 500_000):
         self.vocabulary, self.most = vocabulary, most
-        self.cache: dict[str, tuple] = {}
+        self.clear()
 
-    def _learn(self, chunk: str) -> tuple:
-        from xxhash import xxh64_intdigest
+    def clear(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.used = 0  # words
+        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.bucket, self.row = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
 
-        get = self.vocabulary.get
-        found = tuple((xxh64_intdigest(w) & (BUCKETS - 1)) | ((get(w, -1) + 1) << 16) for w in words_of(chunk))
-        self.cache[chunk] = found
-        return found
+    def _learn(self, chunks: list[str]) -> None:
+        from xxhash import xxh64_intdigest
 
-    def numbers(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = [[w] if (w := c.lower()).isalnum() else WORD.findall(w) for c in chunks]
+        flat = [w for ws in found for w in ws]
+        n, at, get = len(self.cache), self.used, self.vocabulary.get
+        self.used += len(flat)
+        for name, need in (("first", n + len(chunks)), ("count", n + len(chunks)), ("bucket", self.used), ("row", self.used)):
+            own = getattr(self, name)
+            if len(own) < need:
+                setattr(self, name, np.concatenate([own, np.zeros(max(need, 2 * len(own)) - len(own), own.dtype)]))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.first[n : n + len(chunks)] = at + np.cumsum(sizes) - sizes
+        self.count[n : n + len(chunks)] = sizes
+        hashes = np.fromiter(map(xxh64_intdigest, flat), np.uint64, len(flat))
+        self.bucket[at : self.used] = hashes & np.uint64(BUCKETS - 1)
+        self.row[at : self.used] = np.fromiter((get(w, -1) for w in flat), np.int32, len(flat))
+        self.cache.update(zip(chunks, range(n, n + len(chunks))))
+
+    def numbers(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(self.cache) > self.most:
-            self.cache.clear()
-        cache, learn = self.cache, self._learn
-        flat = [n for c in text.split() for n in (cache[c] if c in cache else learn(c))]
-        x = np.array(flat, np.int64)
-        return x & (BUCKETS - 1), (x >> 16) - 1
+            self.clear()
+        chunks = [t.split() for t in texts]
+        new = set().union(*chunks).difference(self.cache.keys())
+        if new:
+            self._learn(list(new))
+        get = self.cache.__getitem__
+        for own in chunks:
+            ids = np.fromiter(map(get, own), np.int64, len(own))
+            at, n = self.first[ids], self.count[ids]
+            if len(n) and (n != 1).any():
+                at = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield self.bucket[at], self.row[at]
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -62,24 +88,26 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, words = np.zeros(BUCKETS, np.int64), 0, WordNumbers({})
         for b in batches:
-            for t in b.column(0).to_pylist():
-                total += np.bincount(np.unique(words.numbers(t or "")[0]), minlength=BUCKETS) if len(t or "") > 100_000 else 0
-                if len(t or "") <= 100_000:
-                    total[np.unique(words.numbers(t or "")[0])] += 1
-                n += 1
-        lots = total.reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in lots], pa.binary()), pa.array([n if k == 0 else 0 for k in range(64)], pa.int64())], ["lot", "counts", "n"])
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            for a, z in slices(texts):
+                for bucket, _ in words.numbers(texts[a:z]):
+                    total[np.unique(bucket)] += 1
+            n += len(texts)
+        lots = [zstandard.compress(x.tobytes(), 1) for x in total.reshape(LOTS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(LOTS), pa.int32()), pa.array(lots, pa.binary()), pa.array([n if k == 0 else 0 for k in range(LOTS)], pa.int64())], ["lot", "counts", "n"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()], axis=0)
-        return pa.table({"lot": table["lot"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(table["n"].to_pylist())], pa.int64())})
+        total = np.zeros(BUCKETS // LOTS, np.int64)
+        for x in table["counts"].to_pylist():
+            total += np.frombuffer(zstandard.decompress(x), np.int64)
+        return pa.table({"lot": table["lot"].slice(0, 1), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary()), "n": pa.array([sum(table["n"].to_pylist())], pa.int64())})
 
     shape = "lot int, counts binary, n long"
-    rows = docs.select(F.col(text_col)).mapInArrow(count, shape).groupBy("lot").applyInArrow(add, shape).collect()  # 64 rows of 8 KB
-    out = np.zeros(BUCKETS, np.int64)
+    rows = docs.select(F.col(text_col)).mapInArrow(count, shape).groupBy("lot").applyInArrow(add, shape).collect()  # LOTS rows, 8 MB before compression
+    out = np.zeros((LOTS, BUCKETS // LOTS), np.int64)
     for r in rows:
-        out.reshape(64, -1)[r["lot"]] = np.frombuffer(r["counts"], np.int64)
-    return out, sum(r["n"] for r in rows)
+        out[r["lot"]] = np.frombuffer(zstandard.decompress(r["counts"]), np.int64)
+    return out.reshape(-1), sum(r["n"] for r in rows)
 
 
 def passages_of(items: list[tuple[int, list[str]]], size: int) -> list[tuple[int, list[str]]]:
@@ -171,37 +199,41 @@ def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: in
     return Block(items, vocabulary, idf.astype(np.float32), np.array([k for k, _ in pieces]), vectors.astype(np.float32), basis.astype(np.float32), answers, masks)
 
 
-def search(text: str, numbers: WordNumbers, block: Block, window: int, stride: int, cosine: float, copied: float, close: float) -> list[tuple[int, float, float, bool]]:
+def search(text: str, bucket: np.ndarray, term: np.ndarray, block: Block, window: int, stride: int, cosine: float, copied: float, close: float) -> list[tuple[int, float, float, bool]]:
     """(item position, cosine, share in order, answer found) for each contaminating item of one text."""
-    bucket, term = numbers.numbers(text)
     n = len(bucket)
     if not n:
         return []
-    mass = np.float64(block.idf[bucket]) ** 2
+    idf = block.idf[bucket].astype(np.float64)
+    mass = idf * idf
     total = np.concatenate([[0], np.cumsum(mass)])
     inside = np.concatenate([[0], np.cumsum(np.where(term >= 0, mass, 0))])
     start = np.arange(0, max(1, n - window + stride), stride)
     stop = np.minimum(start + window, n)
     whole = total[stop] - total[start]
     live = np.flatnonzero(inside[stop] - inside[start] >= (cosine * cosine) * whole * (1 - 1e-9))
-    if not len(live):
-        return []
     found: dict[int, float] = {}
     where: dict[int, set[int]] = {}
-    for a in range(0, len(live), 512):
-        lot = live[a : a + 512]
-        points = np.zeros((len(lot), block.basis.shape[1]), np.float32)
-        for k, w in enumerate(lot):
-            own = term[start[w] : stop[w]]
-            own = own[own >= 0]
-            cols, first, tf = np.unique(own, return_index=True, return_counts=True)
-            b = bucket[start[w] : stop[w]][term[start[w] : stop[w]] >= 0][first]
-            points[k] = (np.sqrt(tf) * block.idf[b]) @ block.basis[cols]
-        like = (points @ block.vectors.T) / np.sqrt(np.maximum(whole[lot], 1e-12))[:, None]
+    terms = len(block.basis)
+    for a in range(0, len(live), 2048):
+        lot = live[a : a + 2048]
+        at = start[lot][:, None] + np.arange(window)
+        at = np.where(at < stop[lot][:, None], at, n)
+        own = np.append(term, -1)[at]
+        owner, place = np.nonzero(own >= 0)
+        if not len(owner):
+            continue
+        cell, first, tf = np.unique(owner * terms + own[owner, place], return_index=True, return_counts=True)
+        of, col = np.divmod(cell, terms)
+        weight = np.sqrt(tf) * idf[at[owner, place][first]]
+        head = np.flatnonzero(np.diff(of, prepend=-1))
+        points = np.add.reduceat(weight[:, None].astype(np.float32) * block.basis[col], head, axis=0)
+        rows = of[head]
+        like = (points @ block.vectors.T) / np.sqrt(np.maximum(whole[lot[rows]], 1e-12))[:, None]
         for k, p in zip(*np.nonzero(like >= cosine)):
             item = int(block.owner[p])
             found[item] = max(found.get(item, 0.0), float(like[k, p]))
-            where.setdefault(item, set()).add(int(lot[k]))
+            where.setdefault(item, set()).add(int(lot[rows[k]]))
     if not found:
         return []
     words, out = words_of(text), []
@@ -231,7 +263,7 @@ def contaminated(
     item_text: str = "text",
     window: int = 24,
     stride: int = 8,
-    cosine: float = 0.4,
+    cosine: float = 0.5,
     copied: float = 0.8,
     close: float = 0.6,
     rank: int = 256,
@@ -278,8 +310,8 @@ def contaminated(
                 rows, at = [], []
                 ids, own = b.column(0).to_pylist(), b.column(1).to_pylist()
                 for a, z in slices(own):
-                    for k in range(a, z):
-                        found = [(ids[k], block.items[i][0], *rest) for i, *rest in search(own[k], numbers, block, window, stride, cosine, copied, close)]
+                    for k, (bucket, term) in zip(range(a, z), numbers.numbers(own[a:z])):
+                        found = [(ids[k], block.items[i][0], *rest) for i, *rest in search(own[k], bucket, term, block, window, stride, cosine, copied, close)]
                         rows += found
                         at += [k] * len(found)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
