@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ def words_of(text: str) -> list[str]:
 class WordNumbers:
     """Bucket of each word of a text, and its row in a vocabulary or -1, as arrays; white-space chunks stay known."""
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 500_000):
+    def __init__(self, vocabulary: dict[str, int], most: int = 700_000):
         self.vocabulary, self.most = vocabulary, most
         self.clear()
 
@@ -66,32 +67,39 @@ class WordNumbers:
         self.row[at : self.used] = np.fromiter((get(w, -1) for w in flat), np.int32, len(flat))
         self.cache.update(zip(chunks, range(n, n + len(chunks))))
 
-    def numbers(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets and rows of all words of all texts, one text after the other, and where each text ends."""
         if len(self.cache) > self.most:
             self.clear()
         chunks = [t.split() for t in texts]
-        new = set().union(*chunks).difference(self.cache.keys())
-        if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        for own in chunks:
-            ids = np.fromiter(map(get, own), np.int64, len(own))
-            at, n = self.first[ids], self.count[ids]
-            if len(n) and (n != 1).any():
-                at = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
-            yield self.bucket[at], self.row[at]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        try:
+            ids = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
+        except KeyError:
+            self._learn(list(set().union(*chunks).difference(self.cache.keys())))
+            ids = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
+        at, n = self.first[ids], self.count[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)]
+        if len(n) and (n != 1).any():
+            at = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.bucket[at], self.row[at], ends
+
+
+#: Of this Python worker, by search; "" for the statistics.
+_numbers: dict[str, WordNumbers] = {}
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """Documents per bucket, over all documents, and the number of documents. Partial tables are added slice by slice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, words = np.zeros(BUCKETS, np.int64), 0, WordNumbers({})
+        total, n, words = np.zeros(BUCKETS, np.int64), 0, _numbers.setdefault("", WordNumbers({}))
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             for a, z in slices(texts):
-                for bucket, _ in words.numbers(texts[a:z]):
-                    total[np.unique(bucket)] += 1
+                bucket, _, ends = words.numbers(texts[a:z])
+                for own in np.split(bucket, ends[:-1]):
+                    total[np.unique(own)] += 1
             n += len(texts)
         lots = [zstandard.compress(x.tobytes(), 1) for x in total.reshape(LOTS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(LOTS), pa.int32()), pa.array(lots, pa.binary()), pa.array([n if k == 0 else 0 for k in range(LOTS)], pa.int64())], ["lot", "counts", "n"])
@@ -199,8 +207,10 @@ def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: in
     return Block(items, vocabulary, idf.astype(np.float32), np.array([k for k, _ in pieces]), vectors.astype(np.float32), basis.astype(np.float32), answers, masks)
 
 
-def search(text: str, bucket: np.ndarray, term: np.ndarray, block: Block, window: int, stride: int, cosine: float, copied: float, close: float) -> list[tuple[int, float, float, bool]]:
-    """(item position, cosine, share in order, answer found) for each contaminating item of one text."""
+def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, stride: int, cosine: float, copied: float, close: float) -> list[tuple[int, int, float, float, bool]]:
+    """(place of the text, item position, cosine, share in order, answer found) for all contaminating items of the texts."""
+    bucket, term, ends = numbers.numbers(texts)
+    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     n = len(bucket)
     if not n:
         return []
@@ -208,52 +218,52 @@ def search(text: str, bucket: np.ndarray, term: np.ndarray, block: Block, window
     mass = idf * idf
     total = np.concatenate([[0], np.cumsum(mass)])
     inside = np.concatenate([[0], np.cumsum(np.where(term >= 0, mass, 0))])
-    start = np.arange(0, max(1, n - window + stride), stride)
-    stop = np.minimum(start + window, n)
+    length = ends - begins
+    windows = np.where(length > 0, np.maximum(-(-(length - window) // stride), 0) + 1, 0)
+    text_of = np.repeat(np.arange(len(texts)), windows)
+    start = begins[text_of] + stride * (np.arange(len(text_of)) - np.repeat(np.cumsum(windows) - windows, windows))
+    stop = np.minimum(start + window, ends[text_of])
     whole = total[stop] - total[start]
     live = np.flatnonzero(inside[stop] - inside[start] >= (cosine * cosine) * whole * (1 - 1e-9))
-    found: dict[int, float] = {}
-    where: dict[int, set[int]] = {}
-    terms = len(block.basis)
-    for a in range(0, len(live), 2048):
-        lot = live[a : a + 2048]
+    found: dict[tuple[int, int], float] = {}
+    where: dict[tuple[int, int], set[int]] = {}
+    terms, padded = len(block.basis), np.append(term, -1)
+    for a in range(0, len(live), 4096):
+        lot = live[a : a + 4096]
         at = start[lot][:, None] + np.arange(window)
         at = np.where(at < stop[lot][:, None], at, n)
-        own = np.append(term, -1)[at]
+        own = padded[at]
         owner, place = np.nonzero(own >= 0)
         if not len(owner):
             continue
         cell, first, tf = np.unique(owner * terms + own[owner, place], return_index=True, return_counts=True)
         of, col = np.divmod(cell, terms)
-        weight = np.sqrt(tf) * idf[at[owner, place][first]]
+        weight = (np.sqrt(tf) * idf[at[owner, place][first]]).astype(np.float32)
         head = np.flatnonzero(np.diff(of, prepend=-1))
-        points = np.add.reduceat(weight[:, None].astype(np.float32) * block.basis[col], head, axis=0)
+        points = np.add.reduceat(weight[:, None] * block.basis[col], head, axis=0)
         rows = of[head]
-        like = (points @ block.vectors.T) / np.sqrt(np.maximum(whole[lot[rows]], 1e-12))[:, None]
+        like = (points @ block.vectors.T) / np.sqrt(np.maximum(whole[lot[rows]], 1e-12)).astype(np.float32)[:, None]
         for k, p in zip(*np.nonzero(like >= cosine)):
-            item = int(block.owner[p])
-            found[item] = max(found.get(item, 0.0), float(like[k, p]))
-            where.setdefault(item, set()).add(int(lot[rows[k]]))
-    if not found:
-        return []
-    words, out = words_of(text), []
-    for item, best in sorted(found.items()):
-        length = len(block.items[item][1])
-        hit = None
-        for w in sorted(where[item]):
-            around = words[max(0, int(start[w]) - length) : int(stop[w]) + length]
-            share = longest_common(block.masks[item], length, around) / length
+            w = int(lot[rows[k]])
+            pair = (int(text_of[w]), int(block.owner[p]))
+            found[pair] = max(found.get(pair, 0.0), float(like[k, p]))
+            where.setdefault(pair, set()).add(w)
+    out, words, shown = [], [], -1
+    for (text, item), best in sorted(found.items()):
+        if text != shown:
+            words, shown = words_of(texts[text]), text
+        size, hit = len(block.items[item][1]), None
+        for w in sorted(where[text, item]):
+            around = words[max(0, int(start[w] - begins[text]) - size) : int(stop[w] - begins[text]) + size]
+            share = longest_common(block.masks[item], size, around) / size
             answer = block.answers[item] <= set(around)
             if (share >= copied or (share >= close and answer)) and (hit is None or share > hit[0]):
                 hit = (share, answer)
         if hit:
-            out.append((item, min(1.0, best), hit[0], hit[1]))
+            out.append((text, item, min(1.0, best), hit[0], hit[1]))
     return out
 
 
-_numbers: dict[str, WordNumbers] = {}
-
-
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -310,10 +320,9 @@ def contaminated(
                 rows, at = [], []
                 ids, own = b.column(0).to_pylist(), b.column(1).to_pylist()
                 for a, z in slices(own):
-                    for k, (bucket, term) in zip(range(a, z), numbers.numbers(own[a:z])):
-                        found = [(ids[k], block.items[i][0], *rest) for i, *rest in search(own[k], bucket, term, block, window, stride, cosine, copied, close)]
-                        rows += found
-                        at += [k] * len(found)
+                    for k, item, *rest in search(own[a:z], numbers, block, window, stride, cosine, copied, close):
+                        rows.append((ids[a + k], block.items[item][0], *rest))
+                        at.append(a + k)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)] + [c.take(pa.array(at, pa.int64())) for c in b.columns[2:]], ["doc_id", "item_id", "cosine", "lcs_share", "answer_found", *carry])
 
