@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,7 +24,9 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
+from .common import worker_cache
 from .tokens import slices
 
 BUCKETS = 1 << 20
@@ -36,35 +39,52 @@ def words_of(text: str) -> list[str]:
 
 
 class WordNumbers:
-    """Bucket of each word of a text, and its row in a vocabulary or -1, as arrays; white-space chunks stay known."""
+    """Bucket of each word of a text, and its row in the searched vocabulary or -1, as arrays.
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 700_000):
-        self.vocabulary, self.most = vocabulary, most
+    Words go by their 64-bit hashes; the words of white-space chunks met before are kept for the worker's next tasks.
+    """
+
+    def __init__(self, most: int = 600_000):
+        self.most, self.token = most, ""
+        self.terms = np.zeros(0, np.uint64)
         self.clear()
 
     def clear(self) -> None:
         self.cache: dict[str, int] = {}
         self.used = 0  # words
         self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.bucket, self.row = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.word, self.row = np.zeros(1024, np.uint64), np.zeros(1024, np.int32)
+
+    def use(self, token: str, terms: np.ndarray) -> None:
+        """From now on rows are those of terms, hashes of a vocabulary."""
+        if token != self.token:
+            self.token = token
+            self.order = np.argsort(terms)
+            self.terms = terms[self.order]
+            self._place(0)
+
+    def _place(self, start: int) -> None:
+        own = self.word[start : self.used]
+        if len(self.terms):
+            at = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
+            self.row[start : self.used] = np.where(self.terms[at] == own, self.order[at], -1)
+        else:
+            self.row[start : self.used] = -1
 
     def _learn(self, chunks: list[str]) -> None:
-        from xxhash import xxh64_intdigest
-
         found = [[w] if (w := c.lower()).isalnum() else WORD.findall(w) for c in chunks]
-        flat = [w for ws in found for w in ws]
-        n, at, get = len(self.cache), self.used, self.vocabulary.get
+        flat = list(chain.from_iterable(found))
+        n, at = len(self.cache), self.used
         self.used += len(flat)
-        for name, need in (("first", n + len(chunks)), ("count", n + len(chunks)), ("bucket", self.used), ("row", self.used)):
+        for name, need in (("first", n + len(chunks)), ("count", n + len(chunks)), ("word", self.used), ("row", self.used)):
             own = getattr(self, name)
             if len(own) < need:
-                setattr(self, name, np.concatenate([own, np.zeros(max(need, 2 * len(own)) - len(own), own.dtype)]))
+                setattr(self, name, np.concatenate([own, np.zeros(max(need, len(own) * 3 // 2) - len(own), own.dtype)]))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.first[n : n + len(chunks)] = at + np.cumsum(sizes) - sizes
         self.count[n : n + len(chunks)] = sizes
-        hashes = np.fromiter(map(xxh64_intdigest, flat), np.uint64, len(flat))
-        self.bucket[at : self.used] = hashes & np.uint64(BUCKETS - 1)
-        self.row[at : self.used] = np.fromiter((get(w, -1) for w in flat), np.int32, len(flat))
+        self.word[at : self.used] = np.fromiter(map(xxh64_intdigest, flat), np.uint64, len(flat))
+        self._place(at)
         self.cache.update(zip(chunks, range(n, n + len(chunks))))
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,18 +102,14 @@ class WordNumbers:
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)]
         if len(n) and (n != 1).any():
             at = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return self.bucket[at], self.row[at], ends
-
-
-#: Of this Python worker, by search; "" for the statistics.
-_numbers: dict[str, WordNumbers] = {}
+        return (self.word[at] & np.uint64(BUCKETS - 1)).astype(np.int64), self.row[at], ends
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """Documents per bucket, over all documents, and the number of documents. Partial tables are added slice by slice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, words = np.zeros(BUCKETS, np.int64), 0, _numbers.setdefault("", WordNumbers({}))
+        total, n, words = np.zeros(BUCKETS, np.int64), 0, worker_cache(("words",), WordNumbers)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             for a, z in slices(texts):
@@ -175,19 +191,18 @@ def longest_common(a: dict[str, int], length: int, b: list[str]) -> int:
 class Block:
     """What a task needs to search one block of items; its size is bounded by item_block and the items' lengths."""
 
-    def __init__(self, items, vocabulary, idf, owner, vectors, basis, answers, masks):
-        self.items, self.vocabulary, self.idf, self.owner, self.vectors, self.basis, self.answers, self.masks = items, vocabulary, idf, owner, vectors, basis, answers, masks
+    def __init__(self, items, hashes, idf, owner, vectors, basis, answers, masks):
+        self.items, self.hashes, self.idf, self.owner, self.vectors, self.basis, self.answers, self.masks = items, hashes, idf, owner, vectors, basis, answers, masks
 
 
 def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: int, passage: int, rank: int, answer_words: int) -> Block:
-    from xxhash import xxh64_intdigest
-
     vocabulary: dict[str, int] = {}
     for _, words in items:
         for w in words:
             vocabulary.setdefault(w, len(vocabulary))
     idf = np.log((1 + n_docs) / (1 + df)) + 0.1
-    weight = np.array([idf[xxh64_intdigest(w) & (BUCKETS - 1)] for w in vocabulary])
+    hashes = np.fromiter(map(xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
+    weight = idf[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
     pieces = passages_of(items, passage)
     rows = []
     for _, words in pieces:
@@ -204,7 +219,7 @@ def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: in
         for k, w in enumerate(words):
             mask[w] = mask.get(w, 0) | (1 << k)
         masks.append(mask)
-    return Block(items, vocabulary, idf.astype(np.float32), np.array([k for k, _ in pieces]), vectors.astype(np.float32), basis.astype(np.float32), answers, masks)
+    return Block(items, hashes, idf.astype(np.float32), np.array([k for k, _ in pieces]), vectors.astype(np.float32), basis.astype(np.float32), answers, masks)
 
 
 def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, stride: int, cosine: float, copied: float, close: float) -> list[tuple[int, int, float, float, bool]]:
@@ -272,7 +287,7 @@ def contaminated(
     item_col: str = "item_id",
     item_text: str = "text",
     window: int = 24,
-    stride: int = 8,
+    stride: int = 12,
     cosine: float = 0.5,
     copied: float = 0.8,
     close: float = 0.6,
@@ -301,8 +316,6 @@ def contaminated(
     if not n_items:
         return result
     df, n_docs = document_frequencies(docs, text_col)
-    import uuid
-
     for number in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()
         items = [(r["item_id"], words) for r in sorted(mine, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"])) if len(words := words_of(r["text"])) >= min_words]
@@ -312,10 +325,8 @@ def contaminated(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             token, block = shared.value
-            if token not in _numbers:
-                _numbers.clear()
-                _numbers[token] = WordNumbers(block.vocabulary)
-            numbers = _numbers[token]
+            numbers = worker_cache(("words",), WordNumbers)
+            numbers.use(token, block.hashes)
             for b in batches:
                 rows, at = [], []
                 ids, own = b.column(0).to_pylist(), b.column(1).to_pylist()

@@ -8,6 +8,7 @@ into chains of `chain` words, runs forward-backward over all chains of a batch a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
 from .tokens import slices
 
 WIDTH = 32  # a longer word is described by its first and last 16 characters
@@ -164,7 +166,7 @@ def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60,
 class Tagger:
     """Marginals for batches of texts; keeps emission scores of at most max_words words."""
 
-    def __init__(self, model: Model, chain: int = 64, max_words: int = 400_000):
+    def __init__(self, model: Model, chain: int = 64, max_words: int = 300_000):
         self.model, self.chain, self.max_words = model, chain, max_words
         self.clear()
 
@@ -231,9 +233,6 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, us
     return sorted((r["lang"], r["words"]) for r in drawn.withColumn("all", split).select("lang", cutout.alias("words")).collect())
 
 
-_taggers: dict[str, Tagger] = {}
-
-
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_fold: int = 1, per_lang: int = 400, words_per_row: int = 200, chain: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, n_words, n_switches, and the carried columns.
 
@@ -246,19 +245,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     fold = F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % folds
     held = F.coalesce(fold == held_fold, F.lit(False))
     model = train(training_rows(docs, id_col, text_col, lang_col, ~held, per_lang, words_per_row), chain)
-    import uuid
-
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model is not None and token not in _taggers:
-            _taggers.clear()
-            _taggers[token] = Tagger(model, chain)
+        tagger = worker_cache(("tagger", token), lambda: Tagger(model, chain)) if model is not None else None
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             lang, score, words, switches = [], [], [], []
             for a, z in slices(texts, 1_000_000):
-                found = _taggers[token].marginals(texts[a:z]) if model is not None else [np.zeros((0, 1))] * (z - a)
+                found = tagger.marginals(texts[a:z]) if tagger else [np.zeros((0, 1))] * (z - a)
                 for m in found:
                     mean = m.mean(axis=0) if len(m) else np.zeros(1)
                     best = int(mean.argmax())

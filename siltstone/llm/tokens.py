@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 import regex
 
+from .common import worker_cache
+
 #: The pre-tokenizer's pattern in the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 UNUSUAL = regex.compile(r"[^\x00-\x1b\x20-ɏ]")
@@ -26,7 +28,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 class WordTokenizer:
     """encode(texts) -> one little-endian uint16 id array per text; at most max_words chunks stay cached."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -80,14 +82,9 @@ class WordTokenizer:
         return out
 
 
-_made: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
     """One per Python worker."""
-    if path not in _made:
-        _made[path] = WordTokenizer(path)
-    return _made[path]
+    return worker_cache(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def slices(texts: list[str], max_chars: int = 2_000_000):
