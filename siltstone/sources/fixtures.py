@@ -36,8 +36,10 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"))
     items = items.withColumn("anchor", F.xxhash64(F.slice(X.words(F.col("passage")), 1, 6)))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    words = X.words(F.col("text"))
-    places = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 5, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 6))))).alias("anchor"))
+    # explode() of the one array keeps its words from being split again at every place
+    split = docs.select("doc_id", F.explode(F.array(X.words(F.col("text")))).alias("words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - 5, F.lit(1)))
+    places = split.select("doc_id", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, 6)))).alias("anchor"))
     near = places.join(items, "anchor").join(docs, "doc_id").where(F.col("text").contains(F.col("passage")))
     return near.select("question_id", "doc_id", F.col("lang").alias("language")).distinct()
 
