@@ -54,7 +54,7 @@ def _stands(words: Column, phrase: list[str], i: Column) -> Column:
     """Whether the phrase's words stand from the 0-based place i on."""
     found = F.lit(True)
     for k, w in enumerate(phrase):
-        found = found & F.coalesce(F.try_element_at(words, (i + F.lit(k + 1)).cast("int")) == w, F.lit(False))
+        found = found & F.coalesce(F.get(words, (i + F.lit(k)).cast("int")) == w, F.lit(False))
     return found
 
 
@@ -108,10 +108,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     postings = templates.select("template", F.posexplode("body").alias("place", "word")).where(F.col("word").isin(vocabulary))
     aligned = hits.join(F.broadcast(postings), "word").groupBy("tag", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("votes"))
     tried = aligned.where(F.col("votes") >= votes).join(F.broadcast(templates), "template").join(looked.select("tag", "words"), "tag")
-    match = F.aggregate(F.transform("body", lambda w, i: F.coalesce((F.try_element_at("words", (F.col("shift") + i + 1).cast("int")) == w) & (F.col("shift") + i >= 0), F.lit(False)).cast("int")), F.lit(0), lambda a, x: a + x) / F.size("body")
+    match = F.aggregate(F.transform("body", lambda w, i: F.coalesce(F.get("words", (F.col("shift") + i).cast("int")) == w, F.lit(False)).cast("int")), F.lit(0), lambda a, x: a + x) / F.size("body")
     key_ok = F.forall("keys", lambda k: (F.col("shift") + k["place"] >= 0) & (F.slice("words", F.greatest(F.col("shift") + k["place"] + 1, F.lit(1)).cast("int"), F.size(k["phrase"])) == k["phrase"]))
-    # a place before the file's first word is tried as no match
-    tried = tried.withColumn("share", F.when(F.col("shift") > -F.size("body"), match).otherwise(F.lit(0.0)))
+    tried = tried.withColumn("share", match)  # places outside the file match nothing
     method = tried.where(key_ok & (F.col("share") >= coverage)).groupBy("tag").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
 
     none = F.array().cast("array<string>")
