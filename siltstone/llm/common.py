@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,30 @@ _held: dict = {}
 def worker_cache(key: tuple, make):
     """What a Python worker keeps from task to task: one value at a time, so operators don't add up in its memory."""
     if key not in _held:
-        _held.clear()
+        drop_cache()
         _held[key] = make()
     return _held[key]
 
 
+def drop_cache() -> None:
+    """For tasks that keep nothing: let go of what an operator before them kept in this worker."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
+BATCH_ROWS = 1000
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to BATCH_ROWS rows: documents are long, and a task holds whole batches."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import worker_cache
+from .common import whole_texts, worker_cache
 from .tokens import slices
 
 BUCKETS = 1 << 20
@@ -44,7 +44,7 @@ class WordNumbers:
     Words go by their 64-bit hashes; the words of white-space chunks met before are kept for the worker's next tasks.
     """
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 1_000_000):
         self.most, self.token = most, ""
         self.terms = np.zeros(0, np.uint64)
         self.clear()
@@ -127,7 +127,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         return pa.table({"lot": table["lot"].slice(0, 1), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary()), "n": pa.array([sum(table["n"].to_pylist())], pa.int64())})
 
     shape = "lot int, counts binary, n long"
-    rows = docs.select(F.col(text_col)).mapInArrow(count, shape).groupBy("lot").applyInArrow(add, shape).collect()  # LOTS rows, 8 MB before compression
+    rows = whole_texts(docs).select(F.col(text_col)).mapInArrow(count, shape).groupBy("lot").applyInArrow(add, shape).collect()  # LOTS rows, 8 MB before compression
     out = np.zeros((LOTS, BUCKETS // LOTS), np.int64)
     for r in rows:
         out[r["lot"]] = np.frombuffer(zstandard.decompress(r["counts"]), np.int64)
@@ -191,8 +191,8 @@ def longest_common(a: dict[str, int], length: int, b: list[str]) -> int:
 class Block:
     """What a task needs to search one block of items; its size is bounded by item_block and the items' lengths."""
 
-    def __init__(self, items, hashes, idf, owner, vectors, basis, answers, masks):
-        self.items, self.hashes, self.idf, self.owner, self.vectors, self.basis, self.answers, self.masks = items, hashes, idf, owner, vectors, basis, answers, masks
+    def __init__(self, items, hashes, mass, owner, vectors, basis, answers, masks):
+        self.items, self.hashes, self.mass, self.owner, self.vectors, self.basis, self.answers, self.masks = items, hashes, mass, owner, vectors, basis, answers, masks
 
 
 def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: int, passage: int, rank: int, answer_words: int) -> Block:
@@ -219,7 +219,7 @@ def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: in
         for k, w in enumerate(words):
             mask[w] = mask.get(w, 0) | (1 << k)
         masks.append(mask)
-    return Block(items, hashes, idf.astype(np.float32), np.array([k for k, _ in pieces]), vectors.astype(np.float32), basis.astype(np.float32), answers, masks)
+    return Block(items, hashes, (idf * idf).astype(np.float32), np.array([k for k, _ in pieces]), vectors.astype(np.float32), basis.astype(np.float32), answers, masks)
 
 
 def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, stride: int, cosine: float, copied: float, close: float) -> list[tuple[int, int, float, float, bool]]:
@@ -229,10 +229,9 @@ def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, st
     n = len(bucket)
     if not n:
         return []
-    idf = block.idf[bucket].astype(np.float64)
-    mass = idf * idf
-    total = np.concatenate([[0], np.cumsum(mass)])
-    inside = np.concatenate([[0], np.cumsum(np.where(term >= 0, mass, 0))])
+    mass = block.mass[bucket]
+    total = np.concatenate([[0], np.cumsum(mass, dtype=np.float64)])
+    inside = np.concatenate([[0], np.cumsum(mass * (term >= 0), dtype=np.float64)])
     length = ends - begins
     windows = np.where(length > 0, np.maximum(-(-(length - window) // stride), 0) + 1, 0)
     text_of = np.repeat(np.arange(len(texts)), windows)
@@ -253,7 +252,7 @@ def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, st
             continue
         cell, first, tf = np.unique(owner * terms + own[owner, place], return_index=True, return_counts=True)
         of, col = np.divmod(cell, terms)
-        weight = (np.sqrt(tf) * idf[at[owner, place][first]]).astype(np.float32)
+        weight = np.sqrt(tf * mass[at[owner, place][first]], dtype=np.float32)
         head = np.flatnonzero(np.diff(of, prepend=-1))
         points = np.add.reduceat(weight[:, None] * block.basis[col], head, axis=0)
         rows = of[head]
