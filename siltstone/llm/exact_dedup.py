@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, drop_cache
 
 
 class PerfectHash:
@@ -72,6 +72,7 @@ def _long(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _resolve(history: pa.Table, arrivals: pa.Table) -> pa.Table:
     """Look the shard's arrivals up in its history; one row per distinct digest of either."""
+    drop_cache()
     if not history.num_columns:  # a side without rows comes without columns
         history = arrivals.schema.empty_table()
     if not arrivals.num_columns:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import whole_texts, worker_cache
 from .tokens import slices
 
 WIDTH = 32  # a longer word is described by its first and last 16 characters
@@ -263,6 +263,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     switches.append(int(np.count_nonzero(np.diff(m.argmax(axis=1)))) if len(m) else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(switches, pa.int64()), *b.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", *carry])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), *carry)
+    rows = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), *carry)
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long{kinds}")

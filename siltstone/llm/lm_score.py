@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cache, whole_texts
 
 BEGIN, END = 0, 1  # block-local numbers of the document's ends; words come after
 FIXED = np.array([0x6A09E667F3BCC908, 0xBB67AE8584CAA73B], np.uint64)
@@ -90,6 +90,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fold: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        drop_cache()
         part, seq = TaskContext.get().partitionId(), itertools.count()
         fresh = lambda: (defaultdict(itertools.count(2).__next__), [], [], [], [])
         numbers, names, holds, lengths, streams = fresh()
@@ -118,7 +119,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fold: i
         if names:
             yield block()
 
-    return docs.select(F.col(id_col).cast("long"), held, F.col(text_col)).mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<long>, tokens binary, words binary")
+    return whole_texts(docs).select(F.col(id_col).cast("long"), held, F.col(text_col)).mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<long>, tokens binary, words binary")
 
 
 def _trained(held: np.ndarray, lengths: np.ndarray) -> np.ndarray:

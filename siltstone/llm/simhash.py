@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cache, whole_texts
 from .components import components
 
 
@@ -65,11 +65,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, code (the fingerprint as a signed long); a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_cache()
         for b in batches:
             codes = np.array([fingerprint(t or "", shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes)], ["doc_id", "code"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, code long")
+    return whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, code long")
 
 
 def merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -211,13 +212,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_cache()
         for b in batches:
             codes = np.array([table_fingerprints(t or "", shingle, tables) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * tables, pa.array(codes.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, *b.columns[2:]], ["doc_id", "codes", *carry])
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    codes = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, f"doc_id long, codes array<long>{kinds}"), "codes")
+    codes = cut(whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, f"doc_id long, codes array<long>{kinds}"), "codes")
     node = F.coalesce("doc_id", -F.pmod(F.xxhash64("codes"), F.lit(1 << 61)) - 2)
     long = codes.select(node.alias("node"), F.posexplode("codes").alias("table", "code"))
     reps = long.groupBy("table", "code").agg(F.min("node").alias("rep"))

@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import whole_texts
 from .tokens import END_OF_TEXT, slices, tokenizer, vocabulary_path
 
 
@@ -55,7 +56,7 @@ def flat_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if size or names:
             yield out(np.concatenate(held).tobytes())
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "file long, block long, payload binary, names array<long>")
+    return whole_texts(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "file long, block long, payload binary, names array<long>")
 
 
 def read_flat(spark: SparkSession, path: str, block_bytes: int = 1 << 20, width: int = 2) -> DataFrame:
