@@ -16,6 +16,7 @@ from siltstone.operators import cards as K
 from siltstone.operators import chunk as C
 from siltstone.operators import index as I
 from siltstone.operators import registry as G
+from siltstone.operators import structure as T
 from siltstone.sources import fixtures as S
 from siltstone.sources import walk as W
 from siltstone.streaming import limits as L
@@ -176,6 +177,26 @@ def chunk_python(spark, sf_dir):
     return C.in_batches(sample_code(spark, sf_dir)).drop("text")
 
 
+BRACES = {
+    "javascript": "import x from 'y';\n\nexport class Store%s {\n  get(key) {\n    return \"}\" + key;\n  }\n}\n\nconst load%s = (a) => {\n  return a;\n};\n",
+    "go": "package main\n\ntype Store%s struct {\n\tname string\n}\n\nfunc (s *Store%s) Get() string {\n\treturn s.name // }\n}\n",
+    "rust": "use std::fmt;\n\npub struct A%s {\n    x: u8,\n}\n\nimpl A%s {\n    pub fn get(&self) -> u8 {\n        self.x\n    }\n}\n",
+    "java": "import java.util.*;\n\npublic class A%s {\n    private int x;\n\n    public int get%s() {\n        return x;\n    }\n}\n",
+}
+
+
+def chunk_braces(spark, sf_dir):
+    """A small file of one of four languages for each document."""
+    i, names = F.col("doc_id"), list(BRACES)
+    code = _at([BRACES[n] for n in names], i % 4)
+    rows = S.files(spark, sf_dir).select("path", _at(names, i % 4).alias("language"), F.replace(code, F.lit("%s"), i.cast("string")).alias("content"))
+    return C.in_batches(rows, T.brace_rows).drop("text")
+
+
+def card_python(spark, sf_dir):
+    return T.python_cards(sample_code(spark, sf_dir))
+
+
 def chunk_dispatch(spark, sf_dir):
     rows = S.files(spark, sf_dir).where("language <> 'en'").select("path", F.lit("text").alias("language"), "content").union(sample_code(spark, sf_dir))
     return C.in_batches(rows).groupBy("language", "kind").agg(F.count("*").alias("chunks"))
@@ -377,6 +398,6 @@ def manifest_roundtrip(spark, sf_dir):
     return spark.read.schema(rows.schema).option("mode", "PERMISSIVE").json(path).select("package", "files_indexed", "bytes", "duplicates.total_chunks", "duplicates.unique_chunks")
 
 
-QUERIES = [scan_documents, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_dispatch, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
+QUERIES = [scan_documents, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_braces, chunk_dispatch, card_python, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
 
 from siltstone.plans.corpus_sql import SQL  # noqa: E402, F401
