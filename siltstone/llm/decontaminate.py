@@ -38,19 +38,32 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Chunks(dict):
+    """Numbers for chunks; a chunk that wasn't met before takes the next one and waits in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = number = len(self)
+        return number
+
+
 class WordNumbers:
     """Bucket of each word of a text, and its row in the searched vocabulary or -1, as arrays.
 
     Words go by their 64-bit hashes; the words of white-space chunks met before are kept for the worker's next tasks.
     """
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 700_000):
         self.most, self.token = most, ""
         self.terms = np.zeros(0, np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.cache: dict[str, int] = {}
+        self.cache = Chunks()
         self.used = 0  # words
         self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.word, self.row = np.zeros(1024, np.uint64), np.zeros(1024, np.int32)
@@ -74,7 +87,7 @@ class WordNumbers:
     def _learn(self, chunks: list[str]) -> None:
         found = [[w] if (w := c.lower()).isalnum() else WORD.findall(w) for c in chunks]
         flat = list(chain.from_iterable(found))
-        n, at = len(self.cache), self.used
+        n, at = len(self.cache) - len(chunks), self.used
         self.used += len(flat)
         for name, need in (("first", n + len(chunks)), ("count", n + len(chunks)), ("word", self.used), ("row", self.used)):
             own = getattr(self, name)
@@ -85,7 +98,6 @@ class WordNumbers:
         self.count[n : n + len(chunks)] = sizes
         self.word[at : self.used] = np.fromiter(map(xxh64_intdigest, flat), np.uint64, len(flat))
         self._place(at)
-        self.cache.update(zip(chunks, range(n, n + len(chunks))))
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets and rows of all words of all texts, one text after the other, and where each text ends."""
@@ -93,11 +105,10 @@ class WordNumbers:
             self.clear()
         chunks = [t.split() for t in texts]
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        try:
-            ids = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
-        except KeyError:
-            self._learn(list(set().union(*chunks).difference(self.cache.keys())))
-            ids = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
+        ids = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
+        if self.cache.new:
+            self._learn(self.cache.new)
+            self.cache.new = []
         at, n = self.first[ids], self.count[ids]
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)]
         if len(n) and (n != 1).any():
@@ -286,7 +297,7 @@ def contaminated(
     item_col: str = "item_id",
     item_text: str = "text",
     window: int = 24,
-    stride: int = 12,
+    stride: int = 16,
     cosine: float = 0.5,
     copied: float = 0.8,
     close: float = 0.6,
