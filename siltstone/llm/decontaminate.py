@@ -2,10 +2,11 @@
 
 1. Statistics: the document frequency of every word over all documents, in a table of hashed buckets.
 2. Index: benchmark items, cut into passages, become TF-IDF rows; a randomised SVD, its products made by Spark tasks,
-   gives a latent space, and each passage a unit vector there. Items go in blocks of at most item_block.
+   gives a latent space, and each passage a unit vector there. Items go in blocks of at most item_block, and the passages
+   of a block in parts of at most `rank`, each with a latent space of its own, so none loses anything of a passage.
 3. Search: windows of `window` words, every `stride`, of all documents. A window's cosine is bounded by the share of its
-   TF-IDF mass on the block's vocabulary, so windows under the bound are left out without loss; the others are projected
-   and compared with all passages of the block in one matrix product.
+   TF-IDF mass on the part's vocabulary, so windows under the bound are left out without loss; the others are projected
+   and compared with all passages of the part in one matrix product.
 4. Check: for each candidate, the longest common subsequence of item and surrounding words; a document is contaminated
    by an item if `copied` of the item's words are in it in order, or `close` of them and the item's answer, its rarest
    words, too.
@@ -199,11 +200,19 @@ def longest_common(a: dict[str, int], length: int, b: list[str]) -> int:
     return length - (v & full).bit_count()
 
 
+class Part:
+    """At most `rank` passages of a block, and their latent space, which holds each of them whole. local: the part's row of
+    each vocabulary word of the block, or -1, with -1 once more at the end."""
+
+    def __init__(self, owner, vectors, basis, local):
+        self.owner, self.vectors, self.basis, self.local = owner, vectors, basis, local
+
+
 class Block:
     """What a task needs to search one block of items; its size is bounded by item_block and the items' lengths."""
 
-    def __init__(self, items, hashes, mass, owner, vectors, basis, answers, masks):
-        self.items, self.hashes, self.mass, self.owner, self.vectors, self.basis, self.answers, self.masks = items, hashes, mass, owner, vectors, basis, answers, masks
+    def __init__(self, items, hashes, mass, parts, answers, masks):
+        self.items, self.hashes, self.mass, self.parts, self.answers, self.masks = items, hashes, mass, parts, answers, masks
 
 
 def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: int, passage: int, rank: int, answer_words: int) -> Block:
@@ -220,9 +229,16 @@ def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: in
         cols, tf = np.unique([vocabulary[w] for w in words], return_counts=True)
         vals = np.sqrt(tf) * weight[cols]
         rows.append((cols, vals / np.linalg.norm(vals)))
-    basis = randomised_svd(spark, rows, len(vocabulary), rank)
-    vectors = np.stack([v @ basis[c] for c, v in rows])
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    parts = []
+    for a in range(0, len(pieces), rank):
+        own = rows[a : a + rank]
+        known = np.unique(np.concatenate([c for c, _ in own]))
+        local = np.full(len(vocabulary) + 1, -1, np.int32)
+        local[known] = np.arange(len(known))
+        own = [(local[c], v) for c, v in own]
+        basis = randomised_svd(spark, own, len(known), rank)
+        vectors = np.stack([v @ basis[c] for c, v in own])
+        parts.append(Part(np.array([k for k, _ in pieces[a : a + rank]]), vectors.astype(np.float32), basis.astype(np.float32), local))
     answers, masks = [], []
     for _, words in items:
         answers.append(set(sorted(set(words), key=lambda w: (-weight[vocabulary[w]], w))[:answer_words]))
@@ -230,7 +246,7 @@ def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: in
         for k, w in enumerate(words):
             mask[w] = mask.get(w, 0) | (1 << k)
         masks.append(mask)
-    return Block(items, hashes, (idf * idf).astype(np.float32), np.array([k for k, _ in pieces]), vectors.astype(np.float32), basis.astype(np.float32), answers, masks)
+    return Block(items, hashes, (idf * idf).astype(np.float32), parts, answers, masks)
 
 
 def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, stride: int, cosine: float, copied: float, close: float) -> list[tuple[int, int, float, float, bool]]:
@@ -242,37 +258,39 @@ def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, st
         return []
     mass = block.mass[bucket]
     total = np.concatenate([[0], np.cumsum(mass, dtype=np.float64)])
-    inside = np.concatenate([[0], np.cumsum(mass * (term >= 0), dtype=np.float64)])
     length = ends - begins
     windows = np.where(length > 0, np.maximum(-(-(length - window) // stride), 0) + 1, 0)
     text_of = np.repeat(np.arange(len(texts)), windows)
     start = begins[text_of] + stride * (np.arange(len(text_of)) - np.repeat(np.cumsum(windows) - windows, windows))
     stop = np.minimum(start + window, ends[text_of])
     whole = total[stop] - total[start]
-    live = np.flatnonzero(inside[stop] - inside[start] >= (cosine * cosine) * whole * (1 - 1e-9))
     found: dict[tuple[int, int], float] = {}
     where: dict[tuple[int, int], set[int]] = {}
-    terms, padded = len(block.basis), np.append(term, -1)
-    for a in range(0, len(live), 4096):
-        lot = live[a : a + 4096]
-        at = start[lot][:, None] + np.arange(window)
-        at = np.where(at < stop[lot][:, None], at, n)
-        own = padded[at]
-        owner, place = np.nonzero(own >= 0)
-        if not len(owner):
-            continue
-        cell, first, tf = np.unique(owner * terms + own[owner, place], return_index=True, return_counts=True)
-        of, col = np.divmod(cell, terms)
-        weight = np.sqrt(tf * mass[at[owner, place][first]], dtype=np.float32)
-        head = np.flatnonzero(np.diff(of, prepend=-1))
-        points = np.add.reduceat(weight[:, None] * block.basis[col], head, axis=0)
-        rows = of[head]
-        like = (points @ block.vectors.T) / np.sqrt(np.maximum(whole[lot[rows]], 1e-12)).astype(np.float32)[:, None]
-        for k, p in zip(*np.nonzero(like >= cosine)):
-            w = int(lot[rows[k]])
-            pair = (int(text_of[w]), int(block.owner[p]))
-            found[pair] = max(found.get(pair, 0.0), float(like[k, p]))
-            where.setdefault(pair, set()).add(w)
+    for part in block.parts:
+        padded = np.append(part.local[term], -1)  # -1 stays -1
+        inside = np.concatenate([[0], np.cumsum(mass * (padded[:-1] >= 0), dtype=np.float64)])
+        live = np.flatnonzero(inside[stop] - inside[start] >= (cosine * cosine) * whole * (1 - 1e-9))
+        terms = len(part.basis)
+        for a in range(0, len(live), 4096):
+            lot = live[a : a + 4096]
+            at = start[lot][:, None] + np.arange(window)
+            at = np.where(at < stop[lot][:, None], at, n)
+            own = padded[at]
+            owner, place = np.nonzero(own >= 0)
+            if not len(owner):
+                continue
+            cell, first, tf = np.unique(owner * terms + own[owner, place], return_index=True, return_counts=True)
+            of, col = np.divmod(cell, terms)
+            weight = np.sqrt(tf * mass[at[owner, place][first]], dtype=np.float32)
+            head = np.flatnonzero(np.diff(of, prepend=-1))
+            points = np.add.reduceat(weight[:, None] * part.basis[col], head, axis=0)
+            rows = of[head]
+            like = (points @ part.vectors.T) / np.sqrt(np.maximum(whole[lot[rows]], 1e-12)).astype(np.float32)[:, None]
+            for k, p in zip(*np.nonzero(like >= cosine)):
+                w = int(lot[rows[k]])
+                pair = (int(text_of[w]), int(part.owner[p]))
+                found[pair] = max(found.get(pair, 0.0), float(like[k, p]))
+                where.setdefault(pair, set()).add(w)
     out, words, shown = [], [], -1
     for (text, item), best in sorted(found.items()):
         if text != shown:

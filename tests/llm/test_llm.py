@@ -356,6 +356,18 @@ def test_longest_common_subsequence():
         assert D.longest_common(mask, len(a), b) == t[-1][-1]
 
 
+@pytest.mark.parametrize("changed", [0, 0.08])
+def test_many_items_in_one_block_lose_no_copies(spark, changed):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioubcdfg") for _ in range(rng.randint(3, 7))) for _ in range(9000)]
+    text = lambda n: [words[min(int(rng.expovariate(1 / 900)), len(words) - 1)] for _ in range(n)]
+    items = [(k, text(rng.randint(15, 59))) for k in range(1000)]
+    rows = [(k, text(60) + [w if rng.random() >= changed else "other" for w in items[k][1]] + text(60)) for k in range(0, 1000, 5)]
+    table = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{key} long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(table(rows, "doc_id"), table(items, "item_id")).collect()}
+    assert len(got & {(k, k) for k, _ in rows}) >= 0.97 * len(rows)
+
+
 # --- licences, dedup, languages --------------------------------------------------------------------------------------
 
 
