@@ -4,9 +4,12 @@
 2. Index: benchmark items, cut into passages, become TF-IDF rows; a randomised SVD, its products made by Spark tasks,
    gives a latent space, and each passage a unit vector there. Items go in blocks of at most item_block, and the passages
    of a block in parts of at most `rank`, each with a latent space of its own, so none loses anything of a passage.
-3. Search: windows of `window` words, every `stride`, of all documents. A window's cosine is bounded by the share of its
-   TF-IDF mass on the part's vocabulary, so windows under the bound are left out without loss; the others are projected
-   and compared with all passages of the part in one matrix product.
+3. Search: windows of all documents, every `stride` words, as wide as a part's longest passage, a quarter more and a
+   stride, `window` at least; so a copy of a passage with a quarter of insertions stands whole in one of them. What
+   window and passage share in the latent space is not divided by the window's norm: the words around a copy, and the
+   rare ones above all, would count against it. It must reach the least TF-IDF mass that the check below can accept for
+   the item, dealt over the item's passages by their mass. Windows with less mass on the part's vocabulary are left out
+   without loss; the others are projected and compared with all passages of the part in one matrix product.
 4. Check: for each candidate, the longest common subsequence of item and surrounding words; a document is contaminated
    by an item if `copied` of the item's words are in it in order, or `close` of them and the item's answer, its rarest
    words, too.
@@ -14,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -202,10 +206,11 @@ def longest_common(a: dict[str, int], length: int, b: list[str]) -> int:
 
 class Part:
     """At most `rank` passages of a block, and their latent space, which holds each of them whole. local: the part's row of
-    each vocabulary word of the block, or -1, with -1 once more at the end."""
+    each vocabulary word of the block, or -1, with -1 once more at the end. least: what a window must share with each
+    passage's unit vector."""
 
-    def __init__(self, owner, vectors, basis, local):
-        self.owner, self.vectors, self.basis, self.local = owner, vectors, basis, local
+    def __init__(self, owner, vectors, basis, local, least, width):
+        self.owner, self.vectors, self.basis, self.local, self.least, self.width = owner, vectors, basis, local, least, width
 
 
 class Block:
@@ -215,7 +220,40 @@ class Block:
         self.items, self.hashes, self.mass, self.parts, self.answers, self.masks = items, hashes, mass, parts, answers, masks
 
 
-def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: int, passage: int, rank: int, answer_words: int) -> Block:
+def least_share(masses: list[float], answer: list[int], copied: float, close: float) -> float:
+    """The least share of an item's mass that a copy holds which the check accepts; masses: one for each word of the
+    item; answer: one place of each answer word."""
+
+    def lightest(own: list[float], n: int) -> float:
+        return sum(sorted(own)[: max(0, n)])
+
+    need = lambda share: math.ceil(share * len(masses) - 1e-9)
+    other = [m for k, m in enumerate(masses) if k not in answer]
+    with_answer = sum(masses[k] for k in answer) + lightest(other, need(close) - len(answer))
+    return min(lightest(masses, need(copied)), with_answer) / sum(masses)
+
+
+def _parts(sizes: list[int], least: np.ndarray, rank: int) -> list[list[int]]:
+    """Passages in parts of at most rank: of like length (less than twice the shortest) for windows that fit, and of like
+    bound, since a part's smallest bound decides which windows are left out."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    classes: list[list[int]] = []
+    for k in order:
+        if not classes or sizes[k] >= 2 * sizes[classes[-1][0]]:
+            classes.append([])
+        classes[-1].append(k)
+    out: list[list[int]] = []
+    for own in classes:
+        first = None
+        for k in sorted(own, key=lambda k: (least[k], k)):
+            if first is None or len(out[-1]) == rank or least[k] >= 1.25 * first:
+                out.append([])
+                first = least[k]
+            out[-1].append(k)
+    return out
+
+
+def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: int, passage: int, rank: int, answer_words: int, window: int, stride: int, copied: float, close: float) -> Block:
     vocabulary: dict[str, int] = {}
     for _, words in items:
         for w in words:
@@ -224,32 +262,37 @@ def _index(spark, items: list[tuple[int, list[str]]], df: np.ndarray, n_docs: in
     hashes = np.fromiter(map(xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
     weight = idf[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
     pieces = passages_of(items, passage)
-    rows = []
+    answers, masks, shares = [], [], []
+    for _, words in items:
+        answers.append(set(sorted(set(words), key=lambda w: (-weight[vocabulary[w]], w))[:answer_words]))
+        mask: dict[str, int] = {}
+        for k, w in enumerate(words):
+            mask[w] = mask.get(w, 0) | (1 << k)
+        masks.append(mask)
+        shares.append(least_share([float(weight[vocabulary[w]]) ** 2 for w in words], [words.index(w) for w in answers[-1]], copied, close))
+    rows, norms = [], []
     for _, words in pieces:
         cols, tf = np.unique([vocabulary[w] for w in words], return_counts=True)
         vals = np.sqrt(tf) * weight[cols]
-        rows.append((cols, vals / np.linalg.norm(vals)))
+        norms.append(np.linalg.norm(vals))
+        rows.append((cols, vals / norms[-1]))
+    least = np.array([shares[k] for k, _ in pieces]) * np.array(norms) * (1 - 1e-4)  # room for 32-bit sums
+    sizes = [len(words) for _, words in pieces]
     parts = []
-    for a in range(0, len(pieces), rank):
-        own = rows[a : a + rank]
+    for mine in _parts(sizes, least, rank):
+        own = [rows[k] for k in mine]
         known = np.unique(np.concatenate([c for c, _ in own]))
         local = np.full(len(vocabulary) + 1, -1, np.int32)
         local[known] = np.arange(len(known))
         own = [(local[c], v) for c, v in own]
         basis = randomised_svd(spark, own, len(known), rank)
         vectors = np.stack([v @ basis[c] for c, v in own])
-        parts.append(Part(np.array([k for k, _ in pieces[a : a + rank]]), vectors.astype(np.float32), basis.astype(np.float32), local))
-    answers, masks = [], []
-    for _, words in items:
-        answers.append(set(sorted(set(words), key=lambda w: (-weight[vocabulary[w]], w))[:answer_words]))
-        mask: dict[str, int] = {}
-        for k, w in enumerate(words):
-            mask[w] = mask.get(w, 0) | (1 << k)
-        masks.append(mask)
+        longest = max(sizes[k] for k in mine)
+        parts.append(Part(np.array([pieces[k][0] for k in mine]), vectors.astype(np.float32), basis.astype(np.float32), local, least[mine].astype(np.float32), max(window, longest + longest // 4 + stride - 1)))
     return Block(items, hashes, (idf * idf).astype(np.float32), parts, answers, masks)
 
 
-def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, stride: int, cosine: float, copied: float, close: float) -> list[tuple[int, int, float, float, bool]]:
+def search(texts: list[str], numbers: WordNumbers, block: Block, stride: int, copied: float, close: float) -> list[tuple[int, int, float, float, bool]]:
     """(place of the text, item position, cosine, share in order, answer found) for all contaminating items of the texts."""
     bucket, term, ends = numbers.numbers(texts)
     begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -259,17 +302,18 @@ def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, st
     mass = block.mass[bucket]
     total = np.concatenate([[0], np.cumsum(mass, dtype=np.float64)])
     length = ends - begins
-    windows = np.where(length > 0, np.maximum(-(-(length - window) // stride), 0) + 1, 0)
-    text_of = np.repeat(np.arange(len(texts)), windows)
-    start = begins[text_of] + stride * (np.arange(len(text_of)) - np.repeat(np.cumsum(windows) - windows, windows))
-    stop = np.minimum(start + window, ends[text_of])
-    whole = total[stop] - total[start]
     found: dict[tuple[int, int], float] = {}
-    where: dict[tuple[int, int], set[int]] = {}
+    where: dict[tuple[int, int], set[tuple[int, int]]] = {}
     for part in block.parts:
+        window = part.width
+        windows = np.where(length > 0, np.maximum(-(-(length - window) // stride), 0) + 1, 0)
+        text_of = np.repeat(np.arange(len(texts)), windows)
+        start = begins[text_of] + stride * (np.arange(len(text_of)) - np.repeat(np.cumsum(windows) - windows, windows))
+        stop = np.minimum(start + window, ends[text_of])
+        whole = total[stop] - total[start]
         padded = np.append(part.local[term], -1)  # -1 stays -1
         inside = np.concatenate([[0], np.cumsum(mass * (padded[:-1] >= 0), dtype=np.float64)])
-        live = np.flatnonzero(inside[stop] - inside[start] >= (cosine * cosine) * whole * (1 - 1e-9))
+        live = np.flatnonzero(inside[stop] - inside[start] >= float(part.least.min()) ** 2)
         terms = len(part.basis)
         for a in range(0, len(live), 4096):
             lot = live[a : a + 4096]
@@ -285,19 +329,19 @@ def search(texts: list[str], numbers: WordNumbers, block: Block, window: int, st
             head = np.flatnonzero(np.diff(of, prepend=-1))
             points = np.add.reduceat(weight[:, None] * part.basis[col], head, axis=0)
             rows = of[head]
-            like = (points @ part.vectors.T) / np.sqrt(np.maximum(whole[lot[rows]], 1e-12)).astype(np.float32)[:, None]
-            for k, p in zip(*np.nonzero(like >= cosine)):
+            shared = points @ part.vectors.T
+            for k, p in zip(*np.nonzero(shared >= part.least)):
                 w = int(lot[rows[k]])
                 pair = (int(text_of[w]), int(part.owner[p]))
-                found[pair] = max(found.get(pair, 0.0), float(like[k, p]))
-                where.setdefault(pair, set()).add(w)
+                found[pair] = max(found.get(pair, 0.0), float(shared[k, p]) / math.sqrt(max(whole[w], 1e-12)))
+                where.setdefault(pair, set()).add((int(start[w]), int(stop[w])))
     out, words, shown = [], [], -1
     for (text, item), best in sorted(found.items()):
         if text != shown:
             words, shown = words_of(texts[text]), text
         size, hit = len(block.items[item][1]), None
-        for w in sorted(where[text, item]):
-            around = words[max(0, int(start[w] - begins[text]) - size) : int(stop[w] - begins[text]) + size]
+        for a, z in sorted(where[text, item]):
+            around = words[max(0, a - int(begins[text]) - size) : z - int(begins[text]) + size]
             share = longest_common(block.masks[item], size, around) / size
             answer = block.answers[item] <= set(around)
             if (share >= copied or (share >= close and answer)) and (hit is None or share > hit[0]):
@@ -315,8 +359,7 @@ def contaminated(
     item_col: str = "item_id",
     item_text: str = "text",
     window: int = 24,
-    stride: int = 16,
-    cosine: float = 0.5,
+    stride: int = 8,
     copied: float = 0.8,
     close: float = 0.6,
     rank: int = 256,
@@ -349,7 +392,7 @@ def contaminated(
         items = [(r["item_id"], words) for r in sorted(mine, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"])) if len(words := words_of(r["text"])) >= min_words]
         if not items:
             continue
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, _index(spark, items, df, n_docs, passage, rank, answer_words)))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, _index(spark, items, df, n_docs, passage, rank, answer_words, window, stride, copied, close)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             token, block = shared.value
@@ -359,7 +402,7 @@ def contaminated(
                 rows, at = [], []
                 ids, own = b.column(0).to_pylist(), b.column(1).to_pylist()
                 for a, z in slices(own):
-                    for k, item, *rest in search(own[a:z], numbers, block, window, stride, cosine, copied, close):
+                    for k, item, *rest in search(own[a:z], numbers, block, stride, copied, close):
                         rows.append((ids[a + k], block.items[item][0], *rest))
                         at.append(a + k)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]

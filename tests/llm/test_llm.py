@@ -368,6 +368,35 @@ def test_many_items_in_one_block_lose_no_copies(spark, changed):
     assert len(got & {(k, k) for k, _ in rows}) >= 0.97 * len(rows)
 
 
+@pytest.mark.parametrize("sizes", [(8, 12), (15, 59)])
+def test_what_the_check_accepts_is_a_candidate(spark, sizes):
+    """Copies with 0, 20 and 35 % of words changed, among words that are rare: found wherever the check itself accepts."""
+    rng = random.Random(12)
+    common = ["".join(rng.choice("aeioubcdfg") for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+    text = lambda n: [common[min(int(rng.expovariate(1 / 300)), 2999)] for _ in range(n)]
+    rare = lambda n: ["".join(rng.choice("xyzwvqr") for _ in range(9)) for _ in range(n)]
+    items = [(k, text(rng.randint(*sizes))) for k in range(60)]
+    rows, want = [], set()
+    for k, words in items:
+        for j, changed in enumerate((0, 0.2, 0.35)):
+            copy = [w if rng.random() >= changed else rare(1)[0] for w in words]
+            rows.append((3 * k + j, rare(rng.randint(30, 60)) + copy + rare(40)))
+    df, n = D.document_frequencies(spark.createDataFrame([(" ".join(w),) for _, w in rows], "text string"), "text")
+    weight = lambda w: math.log((1 + n) / (1 + df[D.xxh64_intdigest(w) & (D.BUCKETS - 1)])) + 0.1
+    for i, own in rows:
+        for k, words in items:
+            mask = {}
+            for p, w in enumerate(words):
+                mask[w] = mask.get(w, 0) | (1 << p)
+            share = D.longest_common(mask, len(words), own) / len(words)
+            answer = set(sorted(set(words), key=lambda w: (-weight(w), w))[:3])
+            if share >= 0.8 or (share >= 0.6 and answer <= set(own)):
+                want.add((i, k))
+    table = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{key} long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(table(rows, "doc_id"), table(items, "item_id")).collect()}
+    assert len(want) > 80 and want <= got, (len(want), len(want & got))
+
+
 # --- licences, dedup, languages --------------------------------------------------------------------------------------
 
 
