@@ -1,14 +1,17 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
 Templates are short licence notices; their words that aren't stop words form the index vocabulary, with a posting
-(template, position) for each occurrence. The inverse document frequency of a vocabulary word comes from all files. A
-file's `rare` highest-IDF licence words are looked up, at all their places; postings that agree on the relative position
-of file and template vote together, and an alignment counts if the template's mandatory key phrases stand at their places
-and enough of its words match. Phrases of the base list are found at every place they stand.
+(template, position) for each occurrence. The inverse document frequency of a vocabulary word comes from all files. Of the
+words in a template's mandatory key phrases the `rare` with the highest IDF are looked up, at all their places in all
+files; postings that agree on the relative position of file and template vote together. An alignment counts if the key
+phrases stand at their places and enough of the template's words match; so each alignment that counts has all its
+template's votes, and none is lost, however many notices a file holds. Phrases of the base list are found at every place
+they stand.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,7 +77,7 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, body array<string>, keys array<struct<place int, phrase array<string>>>")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, votes: int = 2, coverage: float = 0.75) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 4, votes: int = 2, coverage: float = 0.75) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are runs of letters and digits after lower-casing A-Z, numbered from 0; a null text counts as empty. labels
@@ -99,15 +102,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # at most one row per vocabulary word
     total = rows.count()
     df = {r["word"]: r["count"] for r in files.select(F.explode("known").alias("word")).groupBy("word").count().collect()}
-    idf = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.log(F.lit((1 + total) / (1 + df.get(w, 0)))))])
-    ranked = F.slice(F.array_sort(F.transform("known", lambda w: F.struct((-idf[w]).alias("low"), w.alias("word")))), 1, rare)
-    looked = rows.where(F.size("known") > 0).select("tag", "words", F.transform(ranked, lambda s: s["word"]).alias("rare_words"))
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda s: F.array_contains("rare_words", s["word"]))
-    hits = looked.select("tag", F.explode(at).alias("hit")).select("tag", "hit.word", "hit.at")
+    postings = []
+    for number, (_, text, keys) in enumerate(TEMPLATES):
+        body, places = words_of(text), set()
+        for key in map(str.split, keys):
+            start = next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+            places |= {i for i in range(start, start + len(key)) if body[i] not in STOP}
+        best = sorted(places, key=lambda i: (-math.log((1 + total) / (1 + df.get(body[i], 0))), i))[: max(rare, votes)]
+        postings += [(number, i, body[i], min(votes, len(best))) for i in best]
+    sought = sorted({w for _, _, w, _ in postings})
+    postings = spark.createDataFrame(postings, "template int, place int, word string, need int")
+    looked = rows.where(F.size("known") > 0).select("tag", "words", "known")
+    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda s: s["word"].isin(sought))
+    hits = looked.where(F.arrays_overlap("known", F.array(*map(F.lit, sought)))).select("tag", F.explode(at).alias("hit")).select("tag", "hit.word", "hit.at")
     templates = _templates(spark)
-    postings = templates.select("template", F.posexplode("body").alias("place", "word")).where(F.col("word").isin(vocabulary))
-    aligned = hits.join(F.broadcast(postings), "word").groupBy("tag", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("votes"))
-    tried = aligned.where(F.col("votes") >= votes).join(F.broadcast(templates), "template").join(looked.select("tag", "words"), "tag")
+    aligned = hits.join(F.broadcast(postings), "word").groupBy("tag", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("votes"), F.first("need").alias("need"))
+    tried = aligned.where("votes >= need").drop("need").join(F.broadcast(templates), "template").join(looked.drop("known"), "tag")
     match = F.aggregate(F.transform("body", lambda w, i: F.coalesce(F.get("words", (F.col("shift") + i).cast("int")) == w, F.lit(False)).cast("int")), F.lit(0), lambda a, x: a + x) / F.size("body")
     key_ok = F.forall("keys", lambda k: (F.col("shift") + k["place"] >= 0) & (F.slice("words", F.greatest(F.col("shift") + k["place"] + 1, F.lit(1)).cast("int"), F.size(k["phrase"])) == k["phrase"]))
     tried = tried.withColumn("share", match)  # places outside the file match nothing

@@ -14,7 +14,7 @@ from siltstone.llm import decontaminate as D
 from siltstone.llm.exact_dedup import PerfectHash, exact_dedup
 from siltstone.llm.html_extract import extract, extract_pages
 from siltstone.llm.language_id import identify
-from siltstone.llm.licenses import PHRASES, scan_licenses
+from siltstone.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from siltstone.llm.lm_score import score
 from siltstone.llm.packing import TierPacker, pack
 from siltstone.llm.shards import bounded_fill, ring, shard
@@ -417,6 +417,14 @@ def test_license_scan_equals_brute_force(spark, docs, empty):
     assert all(0 <= r["score"] <= 1 for r in got) and scan_licenses(empty).count() == 0
 
 
+def test_a_file_with_several_notices_gets_all_labels(spark):
+    mit, isc, cc, zero = TEMPLATES[3][1], TEMPLATES[11][1], TEMPLATES[13][1], TEMPLATES[19][1]
+    rows = [(1, f"{mit} (x). {isc} y. {cc}. {zero}"), (2, f"{cc}! {mit}"), *[(10 + k, f"{cc} and {zero}") for k in range(30)]]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("cc-by,cc-by-nc-4.0,cc0,isc,mit", 1.0) and got[2] == ("cc-by,cc-by-nc-4.0,mit", 1.0)
+    assert got[10] == ("cc-by,cc-by-nc-4.0,cc0", 1.0)
+
+
 def test_exact_dedup_equals_brute_force(docs, empty):
     rows = sample()
     groups = collections.defaultdict(list)
