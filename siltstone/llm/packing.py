@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_texts
-from .tokens import slices, tokenizer, vocabulary_path
+from .tokens import tokenizer, vocabulary_path
+from .words import text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, padding int, tier int, step_group long"
 Piece = tuple[int, int, int]  # length, document, start
@@ -116,7 +117,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, padding, tier, step_group.
 
-    A document's ids are its text's (null: empty) and end_id, so an empty text gives one id. Each id is in exactly one
+    A document's ids are its text's (null: empty) and end_id, so an empty text gives one id. Strings of special tokens in
+    a text give the special ids, as in the library. Each id is in exactly one
     piece. A row with a null id is packed with doc_id null; repeated rows are packed again each; a text of any length
     is cut to windows. sequence_id is unique over all partitions. An empty table gives an empty result.
     """
@@ -151,9 +153,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 11, kinds)], names)
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                for name, found in zip(names[a:b], words.encode(texts[a:b])):
+            names = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1)):
+                for name, found in zip(names[a:b], words.encode(texts)):
                     own = np.append(found, np.uint16(end_id))
                     ids[key], named[key], left[key] = own, (name, len(own)), len(own)
                     windows.extend(packer.add(key, len(own)))
