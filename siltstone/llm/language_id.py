@@ -1,7 +1,8 @@
 """Language ID: a linear-chain conditional random field over words, decoded by forward-backward.
 
 A word's emission scores sum learned weights of its character n-grams, affixes and lexicon entry; they depend on the
-word alone, so each Python worker keeps them for words met before. Transitions between languages are learned from
+word alone, so each Python worker keeps them for chunks met before. A white-space chunk of up to 32 characters is one word;
+a longer one is cut at what isn't a letter, and what is still longer into pieces of 32, so each of its letters counts. Transitions between languages are learned from
 chains that splice stretches of differently labelled documents, as code-switched text does. Prediction cuts a text
 into chains of `chain` words, runs forward-backward over all chains of a batch at once, and averages the words' marginals.
 """
@@ -17,41 +18,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_texts, worker_cache
-from .tokens import slices
+from .common import cut, whole_texts, worker_cache
+from .words import Column, Known, begins, split_words, stretches, text_slices
 
-WIDTH = 32  # a longer word is described by its first and last 16 characters
+WIDTH = 32  # the most characters of a word
 BITS = 15
 MARK = 1  # stands for a word's ends and for what isn't a letter
 
 
-def spell(chunk: str) -> str:
-    """Lower-cased word with marks in place of what isn't a letter; empty without letters."""
+def spell(chunk: str) -> list[str]:
+    """The words of a white-space chunk, lower-cased, with marks in place of what isn't a letter; none without letters."""
     low = chunk.lower()
-    if low.isalpha():
-        return low if len(low) <= WIDTH else low[: WIDTH // 2] + low[-WIDTH // 2 :]
-    kept = "".join(c if c.isalpha() else "\x01" for c in low).strip("\x01")
-    return kept if len(kept) <= WIDTH else kept[: WIDTH // 2] + kept[-WIDTH // 2 :]
+    if not low.isalpha():
+        low = "".join(c if c.isalpha() else "\x01" for c in low).strip("\x01")
+    if len(low) <= WIDTH:
+        return [low] if low else []
+    return [w[k : k + WIDTH] for w in low.split("\x01") for k in range(0, len(w), WIDTH)]
 
 
-def features(words: list[str]) -> np.ndarray:
-    """Hashed feature numbers, one row per word; 0 stands for no feature."""
+def features(words: list[str], width: int = WIDTH) -> np.ndarray:
+    """Hashed feature numbers, one row per word; 0 stands for no feature. width: characters of the longest word at least;
+    it changes nothing but the number of empty columns."""
     n, mask = len(words), np.uint32((1 << BITS) - 1)
-    letters = np.zeros((n, WIDTH + 2), np.uint32)
+    letters = np.zeros((n, width + 2), np.uint32)
     letters[:, 0] = MARK
-    spelt = np.array(words, f"<U{WIDTH}").view(np.uint32).reshape(n, WIDTH)
+    spelt = np.array(words, f"<U{width}").view(np.uint32).reshape(n, width)
     letters[:, 1:-1] = spelt
     length = (spelt > 0).sum(axis=1)
     letters[np.arange(n), length + 1] = MARK
     out = []
     with np.errstate(over="ignore"):
         for size in (1, 2, 3, 4):
-            h = np.full((n, WIDTH + 3 - size), np.uint32(size * 7919), np.uint32)
+            h = np.full((n, width + 3 - size), np.uint32(size * 7919), np.uint32)
             for k in range(size):
-                h = (h ^ letters[:, k : WIDTH + 3 - size + k]) * np.uint32(0x01000193)
+                h = (h ^ letters[:, k : width + 3 - size + k]) * np.uint32(0x01000193)
                 h ^= h >> np.uint32(13)
             h = (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
-            there = np.arange(WIDTH + 3 - size)[None, :] <= (length + 2 - size)[:, None]
+            there = np.arange(width + 3 - size)[None, :] <= (length + 2 - size)[:, None]
             h = np.where(there, np.maximum(h & mask, 1), 0)
             if size == 4:  # affixes of three letters only
                 last = np.maximum(length + 2 - size, 0)
@@ -70,13 +73,16 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        for a in range(0, len(words), 20_000):
-            lot = words[a : a + 20_000]
-            f = features(lot)
-            out[a : a + len(lot)] = self.weights[f].sum(axis=1)
-            for k, w in enumerate(lot):
-                if (known := self.lexicon.get(w)) is not None:
-                    out[a + k] += known
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        for low, width in ((0, 6), (6, 10), (10, 16), (16, WIDTH)):
+            own = np.flatnonzero((length > low) & (length <= width))
+            for a in range(0, len(own), 10_000):
+                lot = own[a : a + 10_000]
+                out[lot] = self.weights[features([words[k] for k in lot], width)].sum(axis=1)
+        get = self.lexicon.get
+        for k, w in enumerate(words):
+            if (known := get(w)) is not None:
+                out[k] += known
         return out
 
 
@@ -101,13 +107,14 @@ def forward_backward(scores: np.ndarray, length: np.ndarray, moves: np.ndarray,
     return m, forward, backward
 
 
-def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60, rate: float = 0.25, lexicon_count: int = 5, seed: int = 7) -> Model | None:
-    """texts: (language, its words). Adagrad on the conditional log-likelihood of spliced chains."""
+def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60, rate: float = 0.25, lexicon_count: int = 5, seed: int = 7, settled: float = 1e-4) -> Model | None:
+    """texts: (language, its words). Adagrad on the conditional log-likelihood of spliced chains, until `rounds` or until
+    five rounds have raised the mean marginal of the right language by less than `settled`."""
     langs = sorted({lang for lang, _ in texts})
     pieces = []
     rng = np.random.default_rng(seed)
     for lang, chunks in texts:
-        words = [w for w in map(spell, chunks) if w]
+        words = [w for c in chunks for w in spell(c)]
         at = 0
         while at < len(words):
             n = int(rng.choice([6, 16, chain]))
@@ -125,6 +132,10 @@ def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60,
     own = {w: k for k, w in enumerate(w for w in words if count[names[w]] >= lexicon_count)}
     entry = np.array([own.get(w, -1) for w in words])
     rows = features(words)
+    there = rows > 0
+    flat, first = rows[there], np.concatenate([[0], np.cumsum(there.sum(axis=1))[:-1]])
+    owner = np.nonzero(there)[0]
+    del rows, there
     chains = -(-len(tokens) // chain)
     padded = np.zeros(chains * chain, np.int64)
     padded[: len(tokens)] = tokens
@@ -138,16 +149,18 @@ def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60,
     w, lex, moves, start = np.zeros((1 << BITS, n), np.float32), np.zeros((len(own), n), np.float32), np.eye(n, dtype=np.float32), np.zeros(n, np.float32)
     sums = [np.full_like(x, 1e-2) for x in (w, lex, moves, start)]
     known = entry >= 0
+    right: list[float] = []
     for _ in range(rounds):
-        e = w[rows].sum(axis=1)
+        e = np.add.reduceat(w[flat], first, axis=0)
         e[known] += lex[entry[known]]
         scores = np.where(real[:, :, None], e[ids], 0).astype(np.float32)
         m, f, b = forward_backward(scores, length, moves, start)
+        right.append(float((m * hot).sum()) / len(tokens))
+        if len(right) > 10 and right[-1] - right[-6] < settled:
+            break
         gap = np.where(real[:, :, None], hot - m, 0)
         by_word = np.stack([np.bincount(ids.ravel(), gap[:, :, k].ravel(), len(words)) for k in range(n)], axis=1)
-        flat = rows.ravel()
-        g_w = np.stack([np.bincount(flat, np.repeat(by_word[:, k], rows.shape[1]), 1 << BITS) for k in range(n)], axis=1)
-        g_w[0] = 0
+        g_w = np.stack([np.bincount(flat, by_word[owner, k], 1 << BITS) for k in range(n)], axis=1)
         g_lex = by_word[known]
         both = real[1:] & real[:-1]
         t = np.exp(moves - moves.max())
@@ -163,104 +176,101 @@ def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60,
     return Model(langs, w, {k: lex[v] for k, v in own.items()}, moves, start)
 
 
-class Tagger:
-    """Marginals for batches of texts; keeps emission scores of at most max_words words."""
+class Tagger(Known):
+    """Marginals for batches of texts; keeps the emission scores of known chunks."""
 
-    def __init__(self, model: Model, chain: int = 64, max_words: int = 300_000):
-        self.model, self.chain, self.max_words = model, chain, max_words
-        self.clear()
+    def __init__(self, model: Model, chain: int = 64):
+        self.model, self.chain = model, chain
+        super().__init__()
 
     def clear(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.langs)), np.float32)
-        self.used = 0
+        super().clear()
+        self.first, self.count, self.scores = Column(np.int64), Column(np.int64), Column(np.float32, (len(self.model.langs),))
 
-    def _learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         spelt = [spell(c) for c in chunks]
-        words = list(dict.fromkeys(w for w in spelt if w))
-        while len(self.scores) < self.used + len(words):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[self.used : self.used + len(words)] = self.model.emissions(words)
-        number = {w: self.used + k for k, w in enumerate(words)}
-        self.used += len(words)
-        for c, w in zip(chunks, spelt):
-            self.cache[c] = number[w] if w else -1
-
-    def marginals(self, texts: list[str]) -> list[np.ndarray]:
-        """One words x languages array per text."""
-        if len(self.cache) > self.max_words:
-            self.clear()
-        chunks = [t.split() for t in texts]
-        new = set().union(*chunks).difference(self.cache.keys())
-        if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        ids = [np.fromiter(map(get, c), np.int64, len(c)) for c in chunks]
-        ids = [x[x >= 0] for x in ids]
-        counts = np.array([len(x) for x in ids])
-        n_chains = -(-counts // self.chain)
-        first = np.cumsum(n_chains) - n_chains
-        total = int(n_chains.sum())
-        if not total:
-            return [np.zeros((0, len(self.model.langs)))] * len(texts)
-        steps = int(min(self.chain, counts.max()))
-        grid = np.full((total, self.chain), -1, np.int64)
-        for x, a, n in zip(ids, first, n_chains):
-            grid[a : a + n].reshape(-1)[: len(x)] = x
-        grid = grid[:, :steps].T
-        length = (grid >= 0).sum(axis=0)
-        scores = np.where((grid >= 0)[:, :, None], self.scores[np.maximum(grid, 0)], 0)
-        m = forward_backward(scores, length, self.model.moves, self.model.start)[0]
-        m = m.transpose(1, 0, 2)
-        return [m[a : a + n].reshape(-1, m.shape[2])[_inside(c, n, steps)] if n else m[:0].reshape(0, m.shape[2]) for a, n, c in zip(first, n_chains, counts)]
-
-
-def _inside(count: int, chains: int, steps: int) -> slice:
-    return slice(0, count) if chains else slice(0, 0)
-
-
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, use: Column, per_lang: int, words: int) -> list[tuple[str, list[str]]]:
-    """At most 2 x per_lang labelled rows of each language, chosen by a hash, and a stretch of `words` words of each."""
+        own: dict[str, int] = {}
+        word = np.array([own.setdefault(w, len(own)) for ws in spelt for w in ws], np.int64)
+        count = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        self.first.add(self.scores.n + np.cumsum(count) - count)
+        self.count.add(count)
+        self.scores.add(self.model.emissions(list(own))[word])
+        self.bytes += 4 * len(self.model.langs) * len(word)
+
+    def marginals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """texts without nulls -> words x languages, one text after the other, and where each text's words end."""
+        number, ends, distinct = split_words(texts)
+        chunk = self.look_up(distinct)[number]
+        first, count = self.first.values[chunk], self.count.values[chunk]
+        scores = self.scores.values[stretches(first, count)]
+        ends = np.concatenate([[0], np.cumsum(count)])[ends]
+        if not len(scores):
+            return scores, ends
+        sizes = ends - begins(ends)
+        chains = -(-sizes // self.chain)
+        place = np.arange(len(scores)) - np.repeat(begins(ends), sizes)
+        row = np.repeat(np.cumsum(chains) - chains, sizes) + place // self.chain
+        step = place % self.chain
+        grid = np.zeros((int(step.max()) + 1, int(chains.sum()), scores.shape[1]), np.float32)
+        grid[step, row] = scores
+        return forward_backward(grid, np.bincount(row), self.model.moves, self.model.start)[0][step, row], ends
+
+
+def summaries(m: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the most likely language's number, its mean marginal, words, and changes from word to word."""
+    first = begins(ends)
+    sizes = ends - first
+    best, mean, switches = np.zeros(len(ends), np.int64), np.zeros(len(ends)), np.zeros(len(ends), np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        means = np.add.reduceat(m, first[some], axis=0, dtype=np.float64) / sizes[some, None]
+        best[some] = means.argmax(axis=1)
+        mean[some] = np.minimum(1.0, means.max(axis=1))
+        top = m.argmax(axis=1)
+        changed = np.concatenate([[False], top[1:] != top[:-1]])
+        changed[first[some]] = False
+        switches[some] = np.add.reduceat(changed.astype(np.int64), first[some])
+    return best, mean, sizes, switches
+
+
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, use: Column, per_lang: int, words: int, most_rows: int) -> list[tuple[str, list[str]]]:
+    """At most 2 x most_rows labelled rows, about per_lang of each language or fewer where there are many languages,
+    chosen by a hash, and a stretch of `words` words of each."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & use).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = cut(labelled.groupBy("lang").count(), "languages")  # one row per language
+    langs = counts.count()
     draw = F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_lang / n) * (1 << 30)))).otherwise(share)
-    drawn = labelled.where(draw < share).limit(2 * per_lang * max(1, len(counts)))
+    share = F.least(F.lit(1.0), F.lit(min(per_lang, most_rows / max(1, langs))) / F.col("count")) * (1 << 30)
+    drawn = labelled.join(counts, "lang").where(draw < share).limit(2 * most_rows)
     split = F.split(F.trim("text"), r"\s+")
     cutout = F.slice("all", (F.pmod(F.xxhash64(F.lit("from"), "id"), F.greatest(F.size("all") - words, F.lit(1))) + 1).cast("int"), words)
     return sorted((r["lang"], r["words"]) for r in drawn.withColumn("all", split).select("lang", cutout.alias("words")).collect())
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_fold: int = 1, per_lang: int = 400, words_per_row: int = 200, chain: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_fold: int = 1, per_lang: int = 400, most_rows: int = 20_000, words_per_row: int = 200, chain: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, n_words, n_switches, and the carried columns.
 
-    The field is fitted on at most about per_lang rows of each language (never over twice that), words_per_row words of
+    The field is fitted on about per_lang rows of each language (2 x most_rows in all at most), words_per_row words of
     each, among rows with a language and text whose crc32(id as text) mod folds is not held_fold. lang_pred is `und`
     with score 0 for a null text, a text without letters, or when there is nothing to learn from; n_switches counts
     changes of the most likely language from word to word. A null id is held in no fold. Repeated rows come back
-    repeated, texts of any length are read whole, an empty table gives an empty result, other columns are ignored.
+    repeated, texts of any length are read whole, and so are words (see spell); an empty table gives an empty result,
+    other columns are ignored.
     """
     fold = F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % folds
     held = F.coalesce(fold == held_fold, F.lit(False))
-    model = train(training_rows(docs, id_col, text_col, lang_col, ~held, per_lang, words_per_row), chain)
-    token = uuid.uuid4().hex
+    model = train(training_rows(docs, id_col, text_col, lang_col, ~held, per_lang, words_per_row, most_rows), chain)
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))  # 2**15 weights and a lexicon per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = worker_cache(("tagger", token), lambda: Tagger(model, chain)) if model is not None else None
+        token, model = shared.value
+        tagger = worker_cache(("tagger", token), lambda: Tagger(model or Model(["und"], np.zeros((1 << BITS, 1), np.float32), {}, np.zeros((1, 1)), np.zeros(1)), chain))
+        langs = np.array([*tagger.model.langs, "und"], object)
         for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            lang, score, words, switches = [], [], [], []
-            for a, z in slices(texts, 1_000_000):
-                found = tagger.marginals(texts[a:z]) if tagger else [np.zeros((0, 1))] * (z - a)
-                for m in found:
-                    mean = m.mean(axis=0) if len(m) else np.zeros(1)
-                    best = int(mean.argmax())
-                    lang.append(model.langs[best] if len(m) else "und")
-                    score.append(float(min(1.0, mean[best])))
-                    words.append(len(m))
-                    switches.append(int(np.count_nonzero(np.diff(m.argmax(axis=1)))) if len(m) else 0)
+            found = [summaries(*tagger.marginals(texts)) for _, _, texts in text_slices(b.column(2), 1_000_000)]
+            best, mean, words, switches = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+            lang = langs[np.where(words > 0, best, len(langs) - 1)]
+            score = np.where(lang == "und", 0.0, mean)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(switches, pa.int64()), *b.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", *carry])
 
     rows = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), *carry)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import decontaminate as D
@@ -20,6 +21,7 @@ from siltstone.llm.packing import TierPacker, pack
 from siltstone.llm.shards import bounded_fill, ring, shard
 from siltstone.llm.simhash import fingerprint, merge, near_dedup, near_links, similar_groups, walk
 from siltstone.llm.token_counts import count_tokens, flat_blocks, name_counts, read_flat
+from siltstone.llm.words import blank_words, letter_words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, tag string, digest string"
 
@@ -57,13 +59,14 @@ def empty(spark):
 # --- packing and tokens ----------------------------------------------------------------------------------------------
 
 
-def true_ids(texts):
+def true_ids(texts, special=True):
     from tokenizers import Tokenizer
 
     from siltstone.llm.tokens import vocabulary_path
 
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
+    if not special:
+        t.encode_special_tokens = True
     return [np.array([*e.ids, 2], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -73,15 +76,16 @@ def test_packing_covers_every_id_once(docs, empty):
     for i, t, _ in sample():
         texts[i].append(t)
     spans, where = collections.defaultdict(list), collections.defaultdict(list)
+    known = dict(zip(texts, true_ids([own[0] for own in texts.values()])))
     for r in rows:
-        ids = true_ids(texts[r["doc_id"]][:1])[0]
+        ids = known[r["doc_id"]]
         assert r["doc_tokens"] == len(ids)
         assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
         spans[r["doc_id"]].append((r["start"], r["length"]))
         where[r["sequence_id"]].append((r["offset"], r["length"]))
     for i, own in spans.items():
         cover = collections.Counter(k for a, n in own for k in range(a, a + n))
-        assert set(cover.values()) == {len(texts[i])} and len(cover) == len(true_ids(texts[i][:1])[0])
+        assert set(cover.values()) == {len(texts[i])} and len(cover) == len(known[i])
     for own in where.values():
         end = 0
         for a, n in sorted(own):
@@ -105,31 +109,60 @@ def test_tier_packer_fills_windows():
     assert set(cover.values()) == {1} and len(cover) == sum(lengths)
 
 
-def test_word_route_equals_the_library():
+@pytest.mark.parametrize("special", [True, False])
+def test_word_route_equals_the_library(special):
     from siltstone.llm.tokens import WordTokenizer, vocabulary_path
 
-    texts = ["Hello, world! It's   fine.", "naïve façade ÄÖÜ ß", "日本語 text", "a\x1cb", "x" * 3000, "", "<|endoftext|> 3.14 $$$ don't", "é İstanbul ΑΣ", "1½ ² ª"]
-    assert [x.tolist() for x in WordTokenizer(vocabulary_path()).encode(texts)] == [x[:-1].tolist() for x in true_ids(texts)]
+    rng = random.Random(1)
+    texts = ["Hello, world! It's   fine.", "naïve façade ÄÖÜ ß", "日本語 text", "a\x1cb", "x" * 3000, "", "<|endoftext|> 3.14 $$$ don't", "é İstanbul ΑΣ", "1½ ² ª", "hello <|endoftext|> world <|startoftext|>"]
+    for pool in ([chr(c) for c in range(0x1, 0x240)], [chr(c) for c in range(0x1, 0x3100)], [*"ab \t<|>'é\u0301\x1c\u2003İΣ", "<|endoftext|>", "a<|startoftext|>b"]):
+        texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 150))) for _ in range(300)]
+    words = WordTokenizer(vocabulary_path(), special, most_bytes=50_000)  # small enough to be cleared on the way
+    got = [x.tolist() for k in range(0, len(texts), 90) for x in words.encode(pa.array(texts[k : k + 90]))]
+    assert got == [x[:-1].tolist() for x in true_ids(texts, special)]
+
+
+def test_hashed_words_equal_the_patterns():
+    import regex
+
+    rng = random.Random(6)
+    texts = ["zz", "", "Ab1  C\t", "ÉΑΣ x²İ"] + ["".join(rng.choice("aB \t\n\x0b\x1cΣσİß1²é,") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    for (h, ends), pattern, low in ((blank_words(pa.array(texts).slice(1)), r"[^\x20\x09-\x0D]+", lower), (letter_words(texts[1:]), r"[\p{L}\p{N}]+", str.lower)):
+        words = [regex.findall(pattern, low(t)) for t in texts[1:]]
+        assert ends.tolist() == np.cumsum([len(w) for w in words]).tolist()
+        flat = [w for ws in words for w in ws]
+        known = dict(zip(flat, h.tolist()))
+        assert [known[w] for w in flat] == h.tolist() and len(set(known.values())) == len(known)
+
+
+def test_packing_takes_special_strings_as_the_library_does(spark):
+    text = "hello <|endoftext|> world <|startoftext|>"
+    row = pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sum(r["length"] for r in row) == len(true_ids([text])[0]) == 5
 
 
 def test_token_counts(spark, docs, empty, tmp_path):
-    blocks = flat_blocks(docs, block_tokens=97).cache()
+    special = spark.createDataFrame([(801, "a <|endoftext|> b<|endoftext|>")], "doc_id long, text string")
+    blocks = flat_blocks(docs.select("doc_id", "text").union(special), block_tokens=97).cache()
     got = collections.Counter((r["doc_id"], r["n_tokens"]) for r in name_counts(blocks, count_tokens(blocks)).collect())
-    rows = sample()
-    assert got == collections.Counter((i, len(x) - 1) for (i, _, _), x in zip(rows, true_ids([t for _, t, _ in rows])))
+    rows = sample() + [(801, "a <|endoftext|> b<|endoftext|>", None)]
+    assert got == collections.Counter((i, len(x) - 1) for (i, _, _), x in zip(rows, true_ids([t for _, t, _ in rows], special=False)))
     assert count_tokens(flat_blocks(empty)).count() == 0
     rng = random.Random(2)
     want = {}
     for f in range(2):
-        ids = np.array([9 if rng.random() < 0.05 else rng.randint(10, 60000) for _ in range(5000)], "<u2")
+        ids = np.array([9 if rng.random() < 0.05 else rng.randint(10, 60000) for _ in range(5000 - 2000 * f)], "<u2")
         (tmp_path / f"f{f}.bin").write_bytes(ids.tobytes())
         ends = np.flatnonzero(ids == 9)
         own = np.diff(np.concatenate([[-1], ends])) - 1
         want[f] = [*own.tolist(), *([len(ids) - 1 - int(ends[-1])] if ends[-1] < len(ids) - 1 else [])]
-    found = count_tokens(read_flat(spark, str(tmp_path), block_bytes=301), end_id=9).collect()
-    for f in range(2):
-        own = sorted((r["ordinal"], r["n_tokens"]) for r in found if r["file"].endswith(f"f{f}.bin"))
-        assert own == list(enumerate(want[f]))
+    for whole in (1 << 28, 8000, 0):  # both by whole files, one each way, both by ranges
+        found = count_tokens(read_flat(spark, str(tmp_path), block_bytes=301, whole_bytes=whole), end_id=9).collect()
+        for f in range(2):
+            own = sorted((r["ordinal"], r["n_tokens"]) for r in found if r["file"].endswith(f"f{f}.bin"))
+            assert own == list(enumerate(want[f]))
+    (tmp_path / "none").mkdir()
+    assert count_tokens(read_flat(spark, str(tmp_path / "none"))).count() == 0
 
 
 # --- HTML ------------------------------------------------------------------------------------------------------------
@@ -316,7 +349,7 @@ def corpus_with_leaks(spark, seed=5):
             leaks[i] = k
         rows.append((i, " ".join(own)))
     rows += [(900, None), (901, ""), (None, items[0][1]), (0, rows[0][1])]
-    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (77, None), (78, "too short")], "item_id long, text string"), leaks
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (77, None), (78, "qqq www"), (79, "...")], "item_id long, text string"), leaks
 
 
 def test_leaks_are_found_and_clean_documents_kept(spark):
@@ -328,10 +361,47 @@ def test_leaks_are_found_and_clean_documents_kept(spark):
     assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_phrases(spark):
+    rng = random.Random(3)
+    other = lambda n: " ".join("".join(rng.choice("abcd") for _ in range(5)) for _ in range(n))
+    items = [(1, "Who wrote the first symphony?"), (2, "who wrote the first symphony"), (3, "the first symphony"), (4, "yes"), (5, "a b c d e f g"), (6, "?!")]
+    rows = [(1, other(40) + ' "Who WROTE the first, symphony" ' + other(50)), (2, "who wrote the symphony " + other(9)), (3, "Yes."), (4, other(5) + " yes"), (5, "a b c d e f g"), (6, "the first"), (7, "symphony who wrote the first"), (8, "")]
+    table = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string").coalesce(1)
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(table(rows, "doc_id"), table(items, "item_id")).collect()}
+    want = set()
+    for i, t in rows:
+        words = D.words_of(t)
+        for k, x in items:
+            own = D.words_of(x)
+            if own and (words == own or (len(own) >= 3 and any(words[a : a + len(own)] == own for a in range(len(words))))):
+                want.add((i, k))
+    assert got == want and {(1, 1), (1, 2), (1, 3), (3, 4), (5, 5)} == want
+
+
+def test_decontamination_of_long_texts_and_clashing_columns(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeioubcdfg") for _ in range(6)) for _ in range(5000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    item = text(40)
+    changed = [w if k % 9 else rng.choice(words) for k, w in enumerate(item)]  # a word in nine is another real word
+    rows = [(1, " ".join(text(150_000) + changed + text(90_000)), 5, 0.5, "x"), (2, " ".join(text(300)), 5, 0.5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long, cosine double, words string")
+    got = D.contaminated(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 9)]
+
+
+def test_key_words_leave_less_than_the_least_share():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        masses, least = rng.random(rng.integers(1, 40)) + 0.01, rng.uniform(0.05, 1.0)
+        keys = D.key_words(masses, least)
+        assert masses.sum() - masses[keys].sum() < least * masses.sum()
+
+
 def test_more_blocks_find_the_same(spark):
     docs, items, _ = corpus_with_leaks(spark, 6)
     pairs = lambda df: {(r["doc_id"], r["item_id"]) for r in df.collect()}
-    assert pairs(D.contaminated(docs, items, item_block=7)) == pairs(D.contaminated(docs, items))
+    assert pairs(D.contaminated(docs, items, block_passages=7, group_bytes=1)) == pairs(D.contaminated(docs, items))
 
 
 def test_randomised_svd(spark):
@@ -382,7 +452,7 @@ def test_what_the_check_accepts_is_a_candidate(spark, sizes):
             copy = [w if rng.random() >= changed else rare(1)[0] for w in words]
             rows.append((3 * k + j, rare(rng.randint(30, 60)) + copy + rare(40)))
     df, n = D.document_frequencies(spark.createDataFrame([(" ".join(w),) for _, w in rows], "text string"), "text")
-    weight = lambda w: math.log((1 + n) / (1 + df[D.xxh64_intdigest(w) & (D.BUCKETS - 1)])) + 0.1
+    weight = lambda w: math.log((1 + n) / (1 + df[int(D.word_hashes([w])[0]) % D.BUCKETS])) + 0.1
     for i, own in rows:
         for k, words in items:
             mask = {}
@@ -452,6 +522,45 @@ def test_perfect_hash_is_minimal_and_nonmembers_differ():
     assert not (stored[other[hit]] == words[4000:][hit]).all(axis=1).any()
 
 
+def test_long_words_are_read_whole(spark):
+    from siltstone.llm.language_id import spell
+
+    assert spell("Don't") == ["don\x01t"] and spell("12!") == [] and spell("") == []
+    assert "".join(spell("ab" * 200)) == "ab" * 200 and max(map(len, spell("ab" * 200))) <= 32
+    rng = random.Random(2)
+    kinds = {"xx": "klmn", "yy": "pqrs"}
+    run = lambda lang, n: "".join(rng.choice(kinds[lang]) for _ in range(n))
+    rows = [(i, " ".join(run(lang, 5) for _ in range(30)), lang) for i in range(120) for lang in [rng.choice(["xx", "yy"])]]
+    rows += [(501, run("xx", 16) + run("yy", 600) + run("xx", 16), None), (502, run("xx", 40) + "," + run("xx", 300), None)]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[501]["lang_pred"], got[502]["lang_pred"]) == ("yy", "xx") and got[501]["n_words"] == 20 and got[501]["n_switches"] >= 1
+
+
+def test_forward_backward_equals_enumeration():
+    import itertools
+
+    from siltstone.llm.language_id import forward_backward
+
+    rng = np.random.default_rng(1)
+    scores, moves, start = rng.normal(size=(4, 3, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    length = np.array([4, 2, 1])
+    for c, n in enumerate(length):
+        scores[n:, c] = 0
+    got = forward_backward(scores.astype(np.float32), length, moves, start)[0]
+    for c, n in enumerate(length):
+        sums = np.zeros((n, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            p = math.exp(start[path[0]] + sum(scores[k, c, y] for k, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+            for k, y in enumerate(path):
+                sums[k, y] += p
+        assert np.allclose(got[:n, c], sums / sums.sum(axis=1, keepdims=True), atol=1e-5)
+
+
+def test_nothing_to_learn_from(spark):
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["n_words"]) for r in identify(spark.createDataFrame([(1, "some words", None), (2, None, "en")], "doc_id long, text string, lang string")).collect()}
+    assert got == {1: ("und", 0.0, 2), 2: ("und", 0.0, 0)}
+
+
 def test_languages(spark, docs, empty):
     rows = {i: (t, g) for i, t, g in sample()}
     got = identify(docs, per_lang=60).collect()
