@@ -1,25 +1,36 @@
 """SimHash near-dedup: fingerprints of word shingles, linked by a binary trie self-join.
 
-Two fingerprints within `bits` differing bits agree on one of bits + 1 blocks, so the join walks one trie for each block,
-with that block's bits first: only node pairs on one path through the block are opened. Below it, pairs of nodes are
-walked together a level at a time; differing bits add up and a pair is dropped as soon as they exceed the budget. Trie
-nodes of few fingerprints are compared leaf by leaf. A task walks the tries of many block values at once over sorted
-arrays; what it finds is merged at once, so it returns at most one link per fingerprint. A block value with more than
-`crowd` distinct fingerprints is dealt as pairs of chunks to several tasks.
+The join walks one trie for each route, a rearrangement of the bits that brings some of them to the front: only node pairs
+on one path through those are opened. Below, pairs of nodes are walked together a level at a time; differing bits add up
+and a pair is dropped as soon as they exceed the budget. Trie nodes of few fingerprints are compared leaf by leaf. A task
+walks the tries of many front values at once over sorted arrays. Fronts widen with the number of fingerprints, so that
+few share one by chance and rows grow little faster than the input; a front value with more than `crowd` fingerprints is
+dealt as pairs of chunks to several tasks.
+
+near_dedup links fingerprints by their distance alone; routes are all choices of blocks that agree when at most `bits` bits
+differ, so no link is lost, and what a task finds is merged at once. similar_groups decides by the similarity of shingle
+sets: tables of fingerprints give candidates, which come back as a spanning forest of candidate pairs from each task; the
+similarity of each pair is then computed from the sets themselves. Pairs that fail can have stood for others, so the rows
+of their trees are walked again, and then all candidate pairs between groups are given.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cache, whole_texts
+from .common import cut, drop_cache, forget, free_name, whole_texts
 from .components import components
+from .words import begins, blank_words, mix, text_slices
+
+#: Pairs of nodes and leaves that a walk holds at a time.
+LOT = 100_000
 
 
 def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
@@ -49,18 +60,6 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def table_fingerprints(text: str, shingle: int, tables: int, seed: int = 42) -> list[int]:
-    """Independent SimHashes of the set of shingles, one per table."""
-    distinct = np.unique(shingle_hashes(text, shingle, seed))
-    out = []
-    with np.errstate(over="ignore"):
-        for t in range(tables):
-            x = (distinct ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            out.append(majority(x ^ (x >> np.uint64(29))))
-    return out
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, code (the fingerprint as a signed long); a null text has no words."""
 
@@ -89,7 +88,7 @@ def merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = up
 
 
-def walk(keys: np.ndarray, roots: tuple[np.ndarray, ...], top: int, bits: int, found, leaf: int = 64, most: int = 400_000) -> None:
+def walk(keys: np.ndarray, roots: tuple[np.ndarray, ...], top: int, bits: int, found, leaf: int = 64, most: int = LOT) -> None:
     """Traverse pairs of trie nodes over sorted uint64 keys.
 
     roots: arrays (from, to, from, to) of node pairs whose keys agree on all bits from `top` up; found(i, j) gets
@@ -104,7 +103,7 @@ def walk(keys: np.ndarray, roots: tuple[np.ndarray, ...], top: int, bits: int, f
         small = (area <= leaf) | (level == 0)
         pick = np.flatnonzero(small)
         while len(pick):  # leaves, in lots of bounded area
-            n = max(1, int(np.searchsorted(np.cumsum(area[pick]), 4_000_000)))
+            n = max(1, int(np.searchsorted(np.cumsum(area[pick]), 5 * most)))
             own, pick = pick[:n], pick[n:]
             size = area[own]
             pair = np.repeat(np.arange(len(own)), size)
@@ -137,92 +136,297 @@ def walk(keys: np.ndarray, roots: tuple[np.ndarray, ...], top: int, bits: int, f
             stack.append((level, *(x[at : at + most] for x in lots)))
 
 
-def near_links(codes: DataFrame, bits: int = 3, crowd: int = 8192) -> DataFrame:
-    """codes (table int, code long, rep long; distinct table and code) -> links (a, b) of reps that connect all codes of a
-    table within `bits` differing bits."""
+def routes(bits: int, n: int) -> list[list[tuple[int, int]]]:
+    """Rearrangements for codes within `bits` differing bits: lists of (first bit from the top, width) to bring to the
+    front. Of `blocks` blocks all but `bits` agree; there are as many blocks as make fronts as wide as n codes ask for."""
     blocks = bits + 1
-    width = 64 // blocks
-    turn = lambda k: F.shiftrightunsigned("code", 64 - width * (k + 1)).bitwiseAND(F.lit((1 << width) - 1))
-    keyed = codes.select("table", "code", "rep", F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("block"), turn(k).alias("value")) for k in range(blocks)])).alias("at")).select("code", "rep", (F.col("table") * blocks + F.col("at.block")).alias("block"), "at.value")
-    crowds = keyed.groupBy("block", "value").count().where(F.col("count") > crowd).select("block", "value", F.ceil(F.col("count") / crowd).cast("int").alias("chunks"))
-    dealt = keyed.join(crowds, ["block", "value"], "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int")).otherwise(0))
+    while blocks < 2 * bits + 1 and 64 * (blocks - bits) // blocks < math.log2(max(2, n)) - 6:
+        blocks += 1
+    edge = [64 * k // blocks for k in range(blocks + 1)]
+    return [[(edge[k], edge[k + 1] - edge[k]) for k in own] for own in combinations(range(blocks), blocks - bits)]
+
+
+def turns(count: int, width: int) -> list[list[tuple[int, int]]]:
+    """Rearrangements that bring a stretch of `width` bits to the front, starting at `count` places around the code."""
+    starts = [64 * k // count for k in range(count)]
+    return [[(a, width)] if a + width <= 64 else [(a, 64 - a), (0, a + width - 64)] for a in starts]
+
+
+def front(code: Column, route: list[tuple[int, int]]) -> Column:
+    """The bits of a route as one number."""
+    out = F.lit(0).cast("long")
+    for first, width in route:
+        own = F.shiftrightunsigned(code, 64 - first - width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        out = F.shiftleft(out, width).bitwiseOR(own)
+    return out
+
+
+def rearranged(code: np.ndarray, route: list[tuple[int, int]]) -> np.ndarray:
+    """uint64 codes with the bits of a route first, the others after them in their order."""
+    taken = sorted(route)
+    rest, at = [], 0
+    for first, width in taken:
+        rest.append((at, first - at))
+        at = first + width
+    rest.append((at, 64 - at))
+    out = np.zeros_like(code)
+    for first, width in [*route, *(r for r in rest if r[1])]:
+        out = (out << np.uint64(width % 64)) | ((code >> np.uint64(64 - first - width)) & np.uint64((1 << width) - 1))
+    return out
+
+
+def dealt(keyed: DataFrame, crowd: int, rows: int) -> DataFrame:
+    """keyed (slot, value, code, ...) dealt to tasks of about 500,000 rows, with lo, hi, chunk: a crowded value as pairs of
+    chunks, all others as one."""
+    crowds = keyed.groupBy("slot", "value").count().where(F.col("count") > crowd).select("slot", "value", F.ceil(F.col("count") / crowd).cast("int").alias("chunks"))
+    marked = keyed.join(crowds, ["slot", "value"], "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("code", "node"), F.col("chunks")).cast("int")).otherwise(0))
     tasks = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda t: F.struct(F.least("chunk", t).alias("lo"), F.greatest("chunk", t).alias("hi"))))
-    dealt = dealt.withColumn("task", F.explode(tasks)).select("code", "rep", "block", "value", "chunk", "task.lo", "task.hi")
-    dealt = dealt.repartition(max(1, int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block", "value", "lo", "hi")
+    out = marked.withColumn("task", F.explode(tasks)).select(*keyed.columns, "chunk", "task.lo", "task.hi")
+    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 500_000))
+    return out.repartition(parts, "slot", "value", "lo", "hi")
+
+
+def walk_slots(table: pa.Table, slots: list[list[tuple[int, int]]], width: int, bits: int, found) -> None:
+    """Walk the tries of all slots of a task's rows; found(i, j) gets rows of the table. Slot s has route s % len(slots)."""
+    code = table["code"].to_numpy().astype(np.int64).view(np.uint64)
+    slot, chunk, lo, hi = (table[c].to_numpy().astype(np.int64) for c in ("slot", "chunk", "lo", "hi"))
+    for k in np.unique(slot):
+        mine = np.flatnonzero(slot == k)
+        key = rearranged(code[mine], slots[int(k) % len(slots)])
+        side = np.where(lo[mine] == hi[mine], 0, (chunk[mine] == hi[mine]).astype(np.int64))
+        value = key >> np.uint64(64 - width)
+        order = np.lexsort((key, side, hi[mine], lo[mine], value))
+        mine, key, side = mine[order], key[order], side[order]
+        group = np.stack([value[order].astype(np.int64), lo[mine], hi[mine]])
+        new = np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)])
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], len(mine))
+        split = stop - np.add.reduceat(side, start)  # where the second chunk starts
+        # inside a single chunk (lo == hi): the node with itself; between two chunks: one node each
+        one = lo[mine[start]] == hi[mine[start]]
+        a0, a1 = start, np.where(one, stop, split)
+        b0, b1 = np.where(one, start, split), stop
+        full = np.where(one, a1 - a0 > 1, (a1 > a0) & (b1 > b0))
+        walk(key, tuple(x[full] for x in (a0, a1, b0, b1)), 64 - width, bits, lambda i, j, own=mine: found(own[i], own[j]))
+
+
+def near_links(codes: DataFrame, bits: int = 3, crowd: int = 8192, wide: int | None = None) -> DataFrame:
+    """codes (code long, node long; distinct codes) -> links (a, b) of nodes that connect all codes within `bits` differing
+    bits. wide: the number of codes that fronts are made for (default: as many as there are)."""
+    n = codes.count()
+    slots = routes(bits, wide or n)
+    width = min(sum(w for _, w in r) for r in slots)
+    keyed = codes.select("code", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.shiftrightunsigned(front(F.col("code"), r), sum(w for _, w in r) - width).alias("value")) for k, r in enumerate(slots)])).alias("at")).select("code", "node", "at.slot", "at.value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        drop_cache()
+        table = pa.Table.from_batches(own) if (own := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        code = table["code"].to_numpy().astype(np.int64).view(np.uint64)
-        rep, block, chunk, lo, hi = (table[c].to_numpy().astype(np.int64) for c in ("rep", "block", "chunk", "lo", "hi"))
-        shift = (block % blocks * width).astype(np.uint64)
-        key = np.where(shift == 0, code, (code << shift) | (code >> (np.uint64(64) - np.maximum(shift, np.uint64(1)))))
-        parent = np.arange(len(key))
-        for k in np.unique(block):
-            mine = np.flatnonzero(block == k)
-            side = np.where(lo[mine] == hi[mine], 0, (chunk[mine] == hi[mine]).astype(np.int64))
-            value = (key[mine] >> np.uint64(64 - width)).astype(np.int64)
-            order = np.lexsort((key[mine], side, hi[mine], lo[mine], value))
-            mine = mine[order]
-            group = np.stack([value[order], lo[mine], hi[mine]])
-            side = side[order]
-            new = np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)])
-            start = np.flatnonzero(new)
-            stop = np.append(start[1:], len(mine))
-            split = stop - np.add.reduceat(side, start)  # where the second chunk starts
-            # inside a single chunk (lo == hi): the node with itself; between two chunks: one node each
-            one = split == stop
-            a0, a1 = start, np.where(one, stop, split)
-            b0, b1 = np.where(one, start, split), stop
-            full = np.where(one, a1 - a0 > 1, (a1 > a0) & (b1 > b0))
-            roots = tuple(x[full] for x in (a0, a1, b0, b1))
-            walk(key[mine], roots, 64 - width, bits, lambda i, j, own=mine: merge(parent, own[i], own[j]))
+        node = table["node"].to_numpy()
+        parent = np.arange(len(node))
+        walk_slots(table, slots, width, bits, lambda i, j: merge(parent, i, j))
         linked = np.flatnonzero(parent != np.arange(len(parent)))
-        a, b = rep[linked], rep[parent[linked]]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[parent[linked]])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt(keyed, crowd, n * len(slots)).mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, seed: int = 42, crowd: int = 8192) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, seed: int = 42, crowd: int = 8192, wide: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, code, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest id reachable over fingerprints within `bits` differing bits, the row's own included.
-    A null or empty text has fingerprint zero and links like any other. Rows with a null id get the component of their
-    fingerprint, null if no row of it has an id. Repeated rows come back repeated; an empty table gives an empty result.
+    component_id is the smallest id reachable over fingerprints within `bits` differing bits, the row's own included; ids
+    may be any longs. A null or empty text has fingerprint zero and links like any other. Rows with a null id link others;
+    their component is the smallest id reachable, null if there is none. Repeated rows come back repeated; an empty table
+    gives an empty result.
     """
     codes = cut(fingerprints(docs, id_col, text_col, shingle, seed), "codes")
-    reps = codes.groupBy("code").agg(F.min("doc_id").alias("rep"))
-    # codes whose rows have no id still link others: they get a number of their own above all ids
-    none = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("code"), F.lit(1 << 61))
-    found = components(near_links(reps.select(F.lit(0).alias("table"), "code", F.coalesce("rep", none).alias("rep")), bits, crowd))
-    named = reps.withColumn("node", F.coalesce("rep", none)).join(found, "node", "left").select("code", F.coalesce("component", "node").alias("component"))
-    named = named.withColumn("component_id", F.when(F.col("component") <= (1 << 62), F.col("component")))
+    reps = cut(codes.groupBy("code").agg(F.min("doc_id").alias("least")).select("code", "least", F.monotonically_increasing_id().alias("node")), "distinct-codes")
+    found = components(near_links(reps.select("code", "node"), bits, crowd, wide))
+    named = reps.join(found, "node", "left").select("code", "least", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("code", "component_id")
     return codes.join(named, "code").select("doc_id", "code", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 5, tables: int = 8, carry: tuple[str, ...] = (), crowd: int = 8192) -> DataFrame:
-    """Groups of near copies by several fingerprints: doc_id, the carried columns, component_id; one row per row of docs.
+# --- groups by similarity of shingle sets ------------------------------------------------------------------------------
 
-    Each table is a SimHash of its own over the set of word shingles; documents link if they are within `bits` bits in
-    any table. With the defaults a pair whose shingle sets have a Jaccard similarity of 0.93 is linked with a chance of
-    over 0.99, one of 0.9 with 0.95, one of 0.8 with 0.4, one of 0.6 with 0.01. Texts without words are alike. Nulls,
-    repeated rows and empty tables: as in near_dedup, but rows without an id get a negative number as component.
-    """
+
+def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text; all words of a text with fewer; none for a text without words."""
+    words, ends = blank_words(texts)
+    n = max(0, len(words) - shingle + 1)
+    rolled = np.full(n, np.uint64(shingle))
+    with np.errstate(over="ignore"):
+        for k in range(shingle):
+            rolled = mix(rolled * np.uint64(3) + words[k : k + n])
+        for a, z in zip(begins(ends), ends):
+            if z - a >= shingle:
+                yield np.unique(rolled[a : z - shingle + 1])
+            else:
+                own = np.full(1, np.uint64(z - a))
+                for w in words[a:z]:
+                    own = mix(own * np.uint64(3) + w)
+                yield own[: z - a]
+
+
+def set_codes(shingles: np.ndarray, tables: int) -> np.ndarray:
+    """SimHashes of a set of shingles, one per table."""
+    total = np.zeros((tables, 64), np.int64)
+    turn = np.arange(1, tables + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for a in range(0, len(shingles), 4096):
+        x = mix(shingles[None, a : a + 4096] ^ turn)
+        total += np.unpackbits(x.view(np.uint8).reshape(tables, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * total > len(shingles), axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+class Forest:
+    """Takes candidate pairs of nodes lot by lot and keeps those that join two trees, each node's smallest partner first."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.parent[i], self.parent[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(i):
+                return
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((low, high))
+            chosen = order[np.diff(high[order], prepend=-1) > 0]
+            self.a.append(np.maximum(i[chosen], j[chosen]))
+            self.b.append(np.minimum(i[chosen], j[chosen]))
+            self.parent[high[chosen]] = low[chosen]
+            while True:
+                up = self.parent[self.parent]
+                if (up == self.parent).all():
+                    break
+                self.parent = up
+
+
+#: Of 64 and of 128 bits, those that may differ for a candidate; a pair with similarity 0.8 differs in 9.7 and 19.4.
+BITS, BOTH = 14, 28
+TABLES, TURNS = 12, 5
+
+
+def front_width(n: int) -> int:
+    return min(40, max(16, math.ceil(math.log2(max(2, n))) - 6))
+
+
+def tables_for(width: int) -> int:
+    """As many tables as keep the chance of agreement on some front at a similarity of 0.8 (0.8485 per bit) what it is with
+    TABLES and a width of 16."""
+    return math.ceil(TABLES * 0.8485 ** (16 - width))
+
+
+def candidate_pairs(reps: DataFrame, tables: int, width: int, n: int, crowd: int, every: bool) -> DataFrame:
+    """reps (node, label, codes) -> pairs (a, b) of nodes with different labels that may be similar: of each task a spanning
+    forest over the nodes, or every pair."""
+    slots = turns(TURNS, width)
+    tried = [(t, k) for t in range(tables) for k in range(TURNS)]
+    code = lambda t: F.get("codes", F.lit(t % tables))
+    at = F.array(*[F.struct(F.lit(t * TURNS + k).alias("slot"), front(code(t), slots[k]).alias("value"), code(t).alias("code"), code(t + 1).alias("more")) for t, k in tried])
+    keyed = reps.select("node", "label", F.explode(at).alias("at")).select("at.slot", "at.value", "at.code", "at.more", "node", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_cache()
+        table = pa.Table.from_batches(own) if (own := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        code, more, label = (table[c].to_numpy() for c in ("code", "more", "label"))
+        names, node = np.unique(table["node"].to_numpy(), return_inverse=True)
+        forest, pairs = Forest(len(names)), [np.zeros((0, 2), np.int64)]
+
+        def found(i: np.ndarray, j: np.ndarray) -> None:
+            near = (np.bitwise_count(code[i] ^ code[j]) + np.bitwise_count(more[i] ^ more[j]) <= BOTH) & (label[i] != label[j])
+            i, j = node[i[near]], node[j[near]]
+            if every:
+                pairs.append(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1))
+                if sum(map(len, pairs)) > 1_000_000:
+                    pairs[:] = [np.unique(np.concatenate(pairs), axis=0)]
+            else:
+                forest.add(i, j)
+
+        walk_slots(table, slots, width, BITS, found)
+        if every:
+            own = np.unique(np.concatenate(pairs), axis=0)
+            a, b = own[:, 0], own[:, 1]
+        else:
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (forest.a, forest.b))
+        for k in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(names[a[k : k + 100_000]]), pa.array(names[b[k : k + 100_000]])], ["a", "b"])
+
+    return dealt(keyed, crowd, n * len(tried)).mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similar: float = 0.8, carry: tuple[str, ...] = (), crowd: int = 8192, width: int | None = None) -> DataFrame:
+    """Groups of near copies: the carried columns, n_shingles, component_id; one row per row of docs.
+
+    Rows link if the Jaccard similarity of their sets of word shingles is at least `similar`; groups are what links reach.
+    Rows are told apart by a number of their own, not by an id, and component_id is the number of one row of the group.
+    Candidates come from fingerprints, so a link can be missed: of pairs with a similarity of 0.8 about two in a hundred,
+    of 0.85 two in a thousand; no pair below `similar` is linked. Texts with fewer words than a shingle are one shingle;
+    texts without words (null texts, too) are alike. Repeated rows come back repeated; an empty table gives an empty
+    result; other columns are ignored. width: bits of fronts (default: by the number of distinct sets).
+    """
+    tag = free_name("row", carry)
+    rows = whole_texts(cut(docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry], F.monotonically_increasing_id().alias(tag)), "near-texts"))
+    wide = width or front_width(rows.count())
+    tables = tables_for(wide)
+
+    def fingerprint_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_cache()
+        for b in batches:
+            codes, sizes = [], []
+            for _, _, texts in text_slices(b.column(0), 500_000):
+                for own in shingle_sets(texts, shingle):
+                    codes.append(set_codes(own, tables))
+                    sizes.append(len(own))
+            flat = np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * tables, pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int64()), lists], ["node", "n_shingles", "codes"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_cache()
         for b in batches:
-            codes = np.array([table_fingerprints(t or "", shingle, tables) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * tables, pa.array(codes.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, *b.columns[2:]], ["doc_id", "codes", *carry])
-
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    codes = cut(whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, f"doc_id long, codes array<long>{kinds}"), "codes")
-    node = F.coalesce("doc_id", -F.pmod(F.xxhash64("codes"), F.lit(1 << 61)) - 2)
-    long = codes.select(node.alias("node"), F.posexplode("codes").alias("table", "code"))
-    reps = long.groupBy("table", "code").agg(F.min("node").alias("rep"))
-    same = long.join(reps, ["table", "code"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    found = components(near_links(reps, bits, crowd).union(same))
-    return codes.withColumn("node", node).join(found, "node", "left").select("doc_id", *carry, F.coalesce("component", "node").alias("component_id"))
+            for a, z, texts in text_slices(b.column(0), 500_000):
+                own = list(shingle_sets(texts, shingle))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), lists], ["node", "shingles"])
+
+    codes = cut(rows.select("text", F.col(tag).alias("node")).mapInArrow(fingerprint_sets, "node long, n_shingles long, codes array<long>"), "codes")
+    reps = cut(codes.groupBy("codes").agg(F.min("node").alias("node")), "distinct-codes")
+    same = codes.join(reps.withColumnRenamed("node", "rep"), "codes").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    n = reps.count()
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """pairs with `ok`, whether their similarity is enough. Only texts of some pair are read again."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        own = cut(rows.select("text", F.col(tag).alias("node")).join(asked, "node", "left_semi").select("text", "node").mapInArrow(sets, "node long, shingles array<long>"), "sets")
+        both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+        shared = F.size(F.array_intersect("left", "right"))
+        out = cut(both.select("a", "b", shared.alias("shared"), F.size("left").alias("l"), F.size("right").alias("r")).select("a", "b", F.expr(f"shared >= {similar} * (l + r - shared)").alias("ok")), "judged")
+        forget(own)
+        return out
+
+    plain = reps.select("node", F.col("node").alias("label"), "codes")
+    tried = judged(cut(candidate_pairs(plain, tables, wide, n, crowd, False).union(same), "candidates"))
+    links = tried.where("ok").select("a", "b")
+    if not tried.where("NOT ok").isEmpty():
+        # trees of candidate pairs that hold one which failed: all candidate pairs between their groups
+        trees = cut(components(tried.select("a", "b"), "trees"), "trees")
+        broken = trees.join(tried.where("NOT ok").select(F.col("a").alias("node")), "node", "left_semi").select("component").distinct()
+        groups = cut(components(links, "groups"), "groups").select("node", F.col("component").alias("label"))
+        again = trees.join(broken, "component", "left_semi").select("node").join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        again = cut(reps.join(again, "node").select("node", "label", "codes"), "again")
+        left = again.count()
+        pairs = cut(candidate_pairs(again, tables, wide, left, crowd, True).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+        links = links.union(judged(pairs).where("ok").select("a", "b"))
+    found = components(links)
+    out = rows.select(F.col(tag).alias("node"), *[F.col(f"carry_{c}") for c in carry]).join(codes.select("node", "n_shingles"), "node").join(found, "node", "left")
+    return out.select(*[F.col(f"carry_{c}").alias(c) for c in carry], "n_shingles", F.coalesce("component", "node").alias("component_id"))
