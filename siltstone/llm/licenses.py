@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
@@ -62,19 +62,21 @@ def _stands(words: Column, phrase: list[str], i: Column) -> Column:
 
 
 def _places(phrase: list[str]) -> Column:
-    return F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: _stands(F.col("words"), phrase, i))
+    """All places where the phrase stands in `words`."""
+    return F.array_compact(F.transform("words", lambda w, i: F.when((w == phrase[0]) & _stands(F.col("words"), phrase, i), i)))
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    """template int, label, body array, keys array of (place, phrase); a fixed number of rows."""
-    rows = []
-    for number, (label, text, keys) in enumerate(TEMPLATES):
+def _templates() -> list[tuple[str, list[str], list[tuple[int, list[str]]]]]:
+    """Label, words, and (place, words) of the key phrases of each template."""
+    out = []
+    for label, text, keys in TEMPLATES:
         body = words_of(text)
-        places = []
-        for key in map(str.split, keys):
-            places.append((next(i for i in range(len(body)) if body[i : i + len(key)] == key), key))
-        rows.append((number, label, body, places))
-    return spark.createDataFrame(rows, "template int, label string, body array<string>, keys array<struct<place int, phrase array<string>>>")
+        out.append((label, body, [(next(i for i in range(len(body)) if body[i : i + len(key)] == key), key) for key in map(str.split, keys)]))
+    return out
+
+
+def _array(values: list) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 4, votes: int = 2, coverage: float = 0.75) -> DataFrame:
@@ -82,49 +84,58 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are runs of letters and digits after lower-casing A-Z, numbered from 0; a null text counts as empty. labels
     holds the base labels and those of aligned templates; score is the best alignment's share of matching words, 0.5 if
-    only a base phrase stands, else 0. Null ids pass through, repeated rows come back each, texts are read whole, an
-    empty table gives an empty result, other columns are ignored.
+    only a base phrase stands, else 0. Of each template the `rare` key words with the highest IDF are looked up at all
+    their places, and an alignment is verified if `votes` of them (all, if there are fewer) agree on it; as the key phrases
+    must stand anyway, every alignment that counts has these votes, and `rare` changes no result. Null ids pass through,
+    repeated rows come back each, texts are read whole, an empty table gives an empty result, other columns are ignored.
+
+    The texts are cut into words once and stored; the word counts of the vocabulary are the only shuffle, and each file's
+    alignments are found and verified in its own row.
     """
-    spark = docs.sparkSession
-    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in words_of(t)} - STOP | {w for p in PHRASES for w in p.split() if w not in STOP})
+    templates = _templates()
+    vocabulary = sorted({w for _, body, _ in templates for w in body} - STOP | {w for p in PHRASES for w in p.split() if w not in STOP})
     spaced = F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS, " "))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tag"), spaced.alias("line"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), spaced.alias("line"))
     rows = rows.withColumn("words", F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", " ")))
-    rows = rows.withColumn("known", F.array_intersect("words", F.array(*map(F.lit, vocabulary))))
-    rows = cut(rows.select("doc_id", "tag", F.size("words").cast("long").alias("n_words"), "known", F.when(F.size("known") > 0, F.col("words")).alias("words")), "licence-words")
-
-    files = rows.where(F.size("known") > 0)
-    for k, phrase in enumerate(PHRASES):
-        files = files.withColumn(f"p{k}", _places(phrase.split()))
-    every = F.concat(*[f"p{k}" for k in range(len(PHRASES))])
-    base = files.select("tag", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())])).alias("base_list"))
+    rows = rows.withColumn("known", F.array_intersect("words", _array(vocabulary)))
+    rows = cut(rows.select("doc_id", F.size("words").cast("long").alias("n_words"), "known", F.when(F.size("known") > 0, F.col("words")).otherwise(F.array().cast("array<string>")).alias("words")), "licence-words")
 
     # at most one row per vocabulary word
     total = rows.count()
-    df = {r["word"]: r["count"] for r in files.select(F.explode("known").alias("word")).groupBy("word").count().collect()}
-    postings = []
-    for number, (_, text, keys) in enumerate(TEMPLATES):
-        body, places = words_of(text), set()
-        for key in map(str.split, keys):
-            start = next(i for i in range(len(body)) if body[i : i + len(key)] == key)
-            places |= {i for i in range(start, start + len(key)) if body[i] not in STOP}
-        best = sorted(places, key=lambda i: (-math.log((1 + total) / (1 + df.get(body[i], 0))), i))[: max(rare, votes)]
-        postings += [(number, i, body[i], min(votes, len(best))) for i in best]
-    sought = sorted({w for _, _, w, _ in postings})
-    postings = spark.createDataFrame(postings, "template int, place int, word string, need int")
-    looked = rows.where(F.size("known") > 0).select("tag", "words", "known")
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda s: s["word"].isin(sought))
-    hits = looked.where(F.arrays_overlap("known", F.array(*map(F.lit, sought)))).select("tag", F.explode(at).alias("hit")).select("tag", "hit.word", "hit.at")
-    templates = _templates(spark)
-    aligned = hits.join(F.broadcast(postings), "word").groupBy("tag", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("votes"), F.first("need").alias("need"))
-    tried = aligned.where("votes >= need").drop("need").join(F.broadcast(templates), "template").join(looked.drop("known"), "tag")
-    match = F.aggregate(F.transform("body", lambda w, i: F.coalesce(F.get("words", (F.col("shift") + i).cast("int")) == w, F.lit(False)).cast("int")), F.lit(0), lambda a, x: a + x) / F.size("body")
-    key_ok = F.forall("keys", lambda k: (F.col("shift") + k["place"] >= 0) & (F.slice("words", F.greatest(F.col("shift") + k["place"] + 1, F.lit(1)).cast("int"), F.size(k["phrase"])) == k["phrase"]))
-    tried = tried.withColumn("share", match)  # places outside the file match nothing
-    method = tried.where(key_ok & (F.col("share") >= coverage)).groupBy("tag").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
-
-    none = F.array().cast("array<string>")
-    out = rows.select("doc_id", "tag", "n_words").join(base, "tag", "left").join(method, "tag", "left")
-    labels = F.array_sort(F.array_union(F.coalesce("base_list", none), F.coalesce("found", none)))
-    score = F.coalesce("best", F.when(F.col("n_base") > 0, F.lit(0.5)), F.lit(0.0))
-    return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.array_join(F.array_sort(F.coalesce("base_list", none)), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+    df = {r["word"]: r["count"] for r in rows.select(F.explode("known").alias("word")).groupBy("word").count().collect()}
+    postings: dict[str, list[tuple[int, int]]] = {}
+    need = []
+    for number, (_, body, keys) in enumerate(templates):
+        places = sorted({i for start, key in keys for i in range(start, start + len(key)) if body[i] not in STOP}, key=lambda i: (-math.log((1 + total) / (1 + df.get(body[i], 0))), i))
+        best = places[: max(rare, votes)]
+        need.append(min(votes, len(best)))
+        for i in best:
+            postings.setdefault(body[i], []).append((number, i))
+    posting = F.create_map(*[x for w, own in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("template"), F.lit(i).alias("place")) for t, i in own]))])
+
+    # each hit votes for (template, shift); a file place votes for an alignment at most once, so equal votes are its words
+    hit = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(list(postings)), F.transform(posting[w], lambda p: F.struct(p["template"].alias("template"), (i - p["place"]).alias("shift"))))))
+    voted = rows.withColumn("sought", F.arrays_overlap("known", _array(list(postings)))).withColumn("votes", F.when(F.col("sought"), F.array_sort(F.flatten(hit))).otherwise(F.array().cast("array<struct<template:int,shift:int>>")))
+    enough = lambda v, i: F.coalesce(F.get("votes", i - 1) != v, F.lit(True)) & (F.get("votes", i + F.get(_array(need), v["template"]) - 1) == v)
+    aligned = voted.withColumn("aligned", F.filter("votes", enough))
+
+    word = lambda i: F.get("words", i.cast("int"))
+    kind = F.array(*[F.struct(F.lit(label).alias("label"), _array(body).alias("body"), F.array(*[F.struct(F.lit(at).alias("place"), _array(key).alias("phrase")) for at, key in keys]).alias("keys")) for label, body, keys in templates])
+
+    def verdict(v: Column) -> Column:
+        t = F.get(kind, v["template"])
+        match = F.aggregate(F.transform(t["body"], lambda w, i: F.coalesce(word(v["shift"] + i) == w, F.lit(False)).cast("int")), F.lit(0), lambda a, x: a + x) / F.size(t["body"])
+        stands = F.forall(t["keys"], lambda k: F.forall(F.transform(k["phrase"], lambda w, i: F.coalesce(word(v["shift"] + k["place"] + i) == w, F.lit(False))), lambda ok: ok))
+        return F.struct(t["label"].alias("label"), match.alias("share"), stands.alias("stands"))
+
+    tried = aligned.withColumn("tried", F.filter(F.transform("aligned", verdict), lambda v: v["stands"] & (v["share"] >= coverage)))
+    for k, phrase in enumerate(PHRASES):
+        tried = tried.withColumn(f"p{k}", _places(phrase.split()))
+    every = F.concat(*[f"p{k}" for k in range(len(PHRASES))])
+    base = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    best = F.array_max(F.transform("tried", lambda v: v["share"]))
+    return tried.select(
+        "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, F.transform("tried", lambda v: v["label"]))).alias("labels"), F.coalesce(best, F.when(F.size(every) > 0, F.lit(0.5)), F.lit(0.0)).alias("score"),
+    )
