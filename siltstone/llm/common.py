@@ -110,6 +110,17 @@ def free_name(name: str, taken) -> str:
     return name
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """docs with the file and row where each row is stored, and the names of these two columns, which are like no other's;
+    a table that isn't read from files is stored first."""
+    names = free_name("stored_file", docs.columns), free_name("stored_row", docs.columns)
+    place = [F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
+    try:
+        return docs.select("*", *place), names
+    except AnalysisException:
+        return cut(docs, "documents").select("*", *place), names
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

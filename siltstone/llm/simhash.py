@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cache, forget, free_name, whole_texts
+from .common import cut, drop_cache, forget, placed, whole_texts
 from .components import components
 from .words import begins, blank_words, mix, text_slices
 
@@ -175,21 +175,41 @@ def rearranged(code: np.ndarray, route: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def dealt(keyed: DataFrame, crowd: int, rows: int) -> DataFrame:
-    """keyed (slot, value, code, ...) dealt to tasks of about 500,000 rows, with lo, hi, chunk: a crowded value as pairs of
-    chunks, all others as one."""
-    crowds = keyed.groupBy("slot", "value").count().where(F.col("count") > crowd).select("slot", "value", F.ceil(F.col("count") / crowd).cast("int").alias("chunks"))
-    marked = keyed.join(crowds, ["slot", "value"], "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("code", "node"), F.col("chunks")).cast("int")).otherwise(0))
-    tasks = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda t: F.struct(F.least("chunk", t).alias("lo"), F.greatest("chunk", t).alias("hi"))))
-    out = marked.withColumn("task", F.explode(tasks)).select(*keyed.columns, "chunk", "task.lo", "task.hi")
-    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 500_000))
-    return out.repartition(parts, "slot", "value", "lo", "hi")
+#: Crowded front values up to this number go to every task, about 10 MB; more are met by a shuffle.
+BROADCAST_CROWDS = 200_000
+#: One in so many nodes tells which front values are crowded; that deals the work and changes no result.
+LOOK = 16
+#: Rows whose texts are read again: up to this number go to every task, about 30 MB.
+BROADCAST_ASKED = 200_000
+
+
+def dealt(codes: DataFrame, keep: list[str], slots: list[tuple[Column, Column]], crowd: int, n: int) -> DataFrame:
+    """codes (node, ...) of n rows -> a row for each slot, given as (front value, struct of columns), dealt to tasks of about
+    500,000 rows by slot and value: the struct's columns, `keep`, and `task`, which holds slot, lo, hi and chunk in 16 bits
+    each. A crowded value is dealt as pairs of chunks lo <= hi, each row being in one of the two; all others as one."""
+    at = F.array(*[F.struct(F.lit(k).alias("slot"), value.alias("value"), columns.alias("own")) for k, (value, columns) in enumerate(slots)])
+    keyed = codes.select("node", *keep, F.explode(at).alias("at")).select("node", *keep, "at.slot", "at.value", "at.own.*")
+    rest = [c for c in keyed.columns if c not in ("slot", "value")]
+    task = F.shiftleft(F.col("slot").cast("long"), 48)
+    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(slots) // 500_000))
+    if n > crowd:
+        seen = keyed.where(F.pmod(F.xxhash64("node"), F.lit(LOOK)) == 0).groupBy("slot", "value").count().where(F.col("count") * LOOK > crowd)
+        crowds = cut(seen.select("slot", "value", F.least(F.lit(1 << 15), F.ceil(F.col("count") * LOOK / crowd)).cast("int").alias("chunks")), "crowds")
+        many = crowds.count()
+        if many:
+            marked = keyed.join(F.broadcast(crowds) if many <= BROADCAST_CROWDS else crowds, ["slot", "value"], "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("long"))
+            pair = lambda t: F.shiftleft(F.least("chunk", t), 32) + F.shiftleft(F.greatest("chunk", t), 16) + F.col("chunk")
+            own = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1), pair))
+            marked = marked.withColumn("pair", F.explode(own))
+            return marked.withColumn("task", task + F.col("pair")).repartition(parts, F.shiftright("task", 16), "value").select(*rest, "task")
+    return keyed.withColumn("task", task).repartition(parts, "slot", "value").select(*rest, "task")
 
 
 def walk_slots(table: pa.Table, slots: list[list[tuple[int, int]]], width: int, bits: int, found) -> None:
     """Walk the tries of all slots of a task's rows; found(i, j) gets rows of the table. Slot s has route s % len(slots)."""
     code = table["code"].to_numpy().astype(np.int64).view(np.uint64)
-    slot, chunk, lo, hi = (table[c].to_numpy().astype(np.int64) for c in ("slot", "chunk", "lo", "hi"))
+    task = table["task"].to_numpy().astype(np.int64)
+    slot, lo, hi, chunk = (task >> (16 * k) & 0xFFFF for k in (3, 2, 1, 0))
     for k in np.unique(slot):
         mine = np.flatnonzero(slot == k)
         key = rearranged(code[mine], slots[int(k) % len(slots)])
@@ -216,7 +236,7 @@ def near_links(codes: DataFrame, bits: int = 3, crowd: int = 8192, wide: int | N
     n = codes.count()
     slots = routes(bits, wide or n)
     width = min(sum(w for _, w in r) for r in slots)
-    keyed = codes.select("code", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.shiftrightunsigned(front(F.col("code"), r), sum(w for _, w in r) - width).alias("value")) for k, r in enumerate(slots)])).alias("at")).select("code", "node", "at.slot", "at.value")
+    values = [F.shiftrightunsigned(front(F.col("code"), r), sum(w for _, w in r) - width) for r in slots]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_cache()
@@ -229,7 +249,7 @@ def near_links(codes: DataFrame, bits: int = 3, crowd: int = 8192, wide: int | N
         linked = np.flatnonzero(parent != np.arange(len(parent)))
         yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[parent[linked]])], ["a", "b"])
 
-    return dealt(keyed, crowd, n * len(slots)).mapInArrow(run, "a long, b long")
+    return dealt(codes, [], [(v, F.struct("code")) for v in values], crowd, n).mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, seed: int = 42, crowd: int = 8192, wide: int | None = None) -> DataFrame:
@@ -324,20 +344,19 @@ def tables_for(width: int) -> int:
 
 
 def candidate_pairs(reps: DataFrame, tables: int, width: int, n: int, crowd: int, every: bool) -> DataFrame:
-    """reps (node, label, codes) -> pairs (a, b) of nodes with different labels that may be similar: of each task a spanning
-    forest over the nodes, or every pair."""
+    """reps (node, codes) -> pairs (a, b) of nodes that may be similar, of each task a spanning forest over its nodes; or every
+    pair, of nodes whose `label` differs."""
     slots = turns(TURNS, width)
     tried = [(t, k) for t in range(tables) for k in range(TURNS)]
     code = lambda t: F.get("codes", F.lit(t % tables))
-    at = F.array(*[F.struct(F.lit(t * TURNS + k).alias("slot"), front(code(t), slots[k]).alias("value"), code(t).alias("code"), code(t + 1).alias("more")) for t, k in tried])
-    keyed = reps.select("node", "label", F.explode(at).alias("at")).select("at.slot", "at.value", "at.code", "at.more", "node", "label")
+    columns = lambda t: F.struct(code(t).alias("code"), code(t + 1).alias("more"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_cache()
         table = pa.Table.from_batches(own) if (own := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        code, more, label = (table[c].to_numpy() for c in ("code", "more", "label"))
+        code, more, label = (table[c].to_numpy() for c in ("code", "more", "label" if every else "node"))
         names, node = np.unique(table["node"].to_numpy(), return_inverse=True)
         forest, pairs = Forest(len(names)), [np.zeros((0, 2), np.int64)]
 
@@ -360,10 +379,10 @@ def candidate_pairs(reps: DataFrame, tables: int, width: int, n: int, crowd: int
         for k in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(names[a[k : k + 100_000]]), pa.array(names[b[k : k + 100_000]])], ["a", "b"])
 
-    return dealt(keyed, crowd, n * len(tried)).mapInArrow(run, "a long, b long").distinct()
+    return dealt(reps, ["label"] if every else [], [(front(code(t), slots[k]), columns(t)) for t, k in tried], crowd, n).mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similar: float = 0.8, carry: tuple[str, ...] = (), crowd: int = 8192, width: int | None = None) -> DataFrame:
+def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similar: float = 0.8, carry: tuple[str, ...] = (), crowd: int = 8192, width: int | None = None, place: tuple[str, str] | None = None) -> DataFrame:
     """Groups of near copies: the carried columns, n_shingles, component_id; one row per row of docs.
 
     Rows link if the Jaccard similarity of their sets of word shingles is at least `similar`; groups are what links reach.
@@ -371,12 +390,15 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     Candidates come from fingerprints, so a link can be missed: of pairs with a similarity of 0.8 about two in a hundred,
     of 0.85 two in a thousand; no pair below `similar` is linked. Texts with fewer words than a shingle are one shingle;
     texts without words (null texts, too) are alike. Repeated rows come back repeated; an empty table gives an empty
-    result; other columns are ignored. width: bits of fronts (default: by the number of distinct sets).
+    result; other columns are ignored. width: bits of fronts (default: by the number of rows). place: a string and a long
+    column that tell where each row is stored, if docs has them.
     """
-    tag = free_name("row", carry)
-    rows = whole_texts(cut(docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry], F.monotonically_increasing_id().alias(tag)), "near-texts"))
+    if place is None:
+        docs, place = placed(docs)
+    rows = whole_texts(docs.select(F.col(text_col).alias("text"), F.col(place[0]).alias("file"), F.col(place[1]).alias("line"), *[F.col(c).alias(f"carry_{c}") for c in carry]))
     wide = width or front_width(rows.count())
     tables = tables_for(wide)
+    names = rows.columns[1:]
 
     def fingerprint_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_cache()
@@ -388,7 +410,7 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
                     sizes.append(len(own))
             flat = np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * tables, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int64()), lists], ["node", "n_shingles", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), lists, *b.columns[1:]], ["n_shingles", "codes", *names])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_cache()
@@ -399,7 +421,8 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), lists], ["node", "shingles"])
 
-    codes = cut(rows.select("text", F.col(tag).alias("node")).mapInArrow(fingerprint_sets, "node long, n_shingles long, codes array<long>"), "codes")
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    codes = cut(rows.mapInArrow(fingerprint_sets, f"n_shingles long, codes array<long>{kinds}").withColumn("node", F.monotonically_increasing_id()), "codes")
     reps = cut(codes.groupBy("codes").agg(F.min("node").alias("node")), "distinct-codes")
     same = codes.join(reps.withColumnRenamed("node", "rep"), "codes").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     n = reps.count()
@@ -407,15 +430,17 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     def judged(pairs: DataFrame) -> DataFrame:
         """pairs with `ok`, whether their similarity is enough. Only texts of some pair are read again."""
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        own = cut(rows.select("text", F.col(tag).alias("node")).join(asked, "node", "left_semi").select("text", "node").mapInArrow(sets, "node long, shingles array<long>"), "sets")
+        where = cut(codes.select("node", "file", "line").join(asked, "node", "left_semi"), "asked")
+        few = where.count() <= BROADCAST_ASKED
+        texts = rows.select("text", "file", "line").join(F.broadcast(where) if few else where, ["file", "line"]).select("text", "node")
+        own = cut(texts.mapInArrow(sets, "node long, shingles array<long>"), "sets")
         both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
         shared = F.size(F.array_intersect("left", "right"))
         out = cut(both.select("a", "b", shared.alias("shared"), F.size("left").alias("l"), F.size("right").alias("r")).select("a", "b", F.expr(f"shared >= {similar} * (l + r - shared)").alias("ok")), "judged")
         forget(own)
         return out
 
-    plain = reps.select("node", F.col("node").alias("label"), "codes")
-    tried = judged(cut(candidate_pairs(plain, tables, wide, n, crowd, False).union(same), "candidates"))
+    tried = judged(cut(candidate_pairs(reps.select("node", "codes"), tables, wide, n, crowd, False).union(same), "candidates"))
     links = tried.where("ok").select("a", "b")
     if not tried.where("NOT ok").isEmpty():
         # trees of candidate pairs that hold one which failed: all candidate pairs between their groups
@@ -428,5 +453,5 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
         pairs = cut(candidate_pairs(again, tables, wide, left, crowd, True).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
         links = links.union(judged(pairs).where("ok").select("a", "b"))
     found = components(links)
-    out = rows.select(F.col(tag).alias("node"), *[F.col(f"carry_{c}") for c in carry]).join(codes.select("node", "n_shingles"), "node").join(found, "node", "left")
+    out = codes.join(found, "node", "left")
     return out.select(*[F.col(f"carry_{c}").alias(c) for c in carry], "n_shingles", F.coalesce("component", "node").alias("component_id"))
