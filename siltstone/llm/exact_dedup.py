@@ -1,7 +1,7 @@
 """Exact dedup: a minimal perfect hash over historical distinct digests.
 
 The rows are dealt into history and arrivals. Distinct history digests are dealt by hash into shards of about
-rows_per_shard; each shard gets a minimal perfect hash whose slots hold the full 32-byte digest and the locator
+rows_per_shard, and at least as many shards as the session shuffles to; each shard gets a minimal perfect hash whose slots hold the full 32-byte digest and the locator
 (doc_id, row tag) of the winner. Each distinct arriving digest is looked up and compared byte by byte: members are
 repeats of history, nonmembers form groups of their own.
 """
@@ -116,7 +116,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("digest"), F.monotonically_increasing_id().alias("tag"), *[F.col(c).alias(f"carry_{c}") for c in carry]), "digests")
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     line = history_until if history_until is not None else ((low or 0) + (high or 0)) // 2
-    shards = max(1, -(-n // (2 * rows_per_shard)))
+    shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // (2 * rows_per_shard)))
     seen = F.coalesce(F.col("doc_id") <= line, F.lit(False))
 
     def distinct(part: DataFrame) -> DataFrame:
