@@ -181,6 +181,66 @@ def test_extraction(spark):
     assert len(got) == 4 and sum(r["n_chars"] for r in got) == sum(len(r["text"]) for r in got)
 
 
+def article_page(rng, k):
+    """A page and its article's blocks, as written."""
+    words = "river stone, light house; walking under the bridge of old towns and fields".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    blocks, html = [], []
+    names = ["login-flow", "notice", "related-work", "search", "share", "comment", "header", "ad", "comments", "plain"]
+    for _ in range(rng.randint(3, 9)):
+        own = prose(rng.randint(8, 40))
+        kind, name = rng.choice(["p", "p", "p", "h2", "li", "blockquote", "section"]), rng.choice(names)
+        shown = own.replace("and", "&amp;").replace("of", "<em>of</em>").replace(" the ", rng.choice(["  the\n", " <span>the</span> ", " the "]))
+        own = own.replace("and", "&")
+        if kind == "li":
+            html.append(f"<ul><li class='{name}'>{shown}<li>{own[:9]}.</ul>")
+            blocks += [own, f"{own[:9]}.".strip()]
+        elif kind == "section":
+            html.append(f"<section id='{rng.choice(['related-work', 'search', 'share', 'login'])}'><h3>About {name}</h3><p>{shown}</section>")
+            blocks += [f"About {name}", own]
+        else:
+            html.append(f"<{kind} id='{name}' class='{name}'>{shown}" + rng.choice([f"</{kind}>", f"</{kind}>\n"]))
+            blocks.append(own)
+    around = ["<nav><a href='/'>Home</a> menu</nav>", f"<div class='ad'>{prose(12)}</div>", f"<aside>{prose(30)}</aside>", f"<div id='comments'><p>{prose(50)}, {prose(20)}</p></div>", f"<form><p>{prose(9)}</p></form>", f"<div class='cookie-notice'>{prose(40)}</div>", "<script>var x = '<p>no</p>'</script>", f"<footer>{prose(9)}</footer>", f"<ul class='menu'><li><a href='x'>{prose(2)}</a><li><a href='y'>{prose(2)}</a></ul>"]
+    rng.shuffle(around)
+    cut = rng.randint(0, len(around))
+    inside = rng.choice(["", "<div class='comments'><p>nice, very nice, so nice, I say</p></div>", "<div class='share'><a href='t'>tweet</a></div>"])
+    wrap = rng.choice(["article", "main"])
+    return f"<!doctype html><html><head><title>T</title></head><body>{''.join(around[:cut])}<{wrap}><h1>Title {k}</h1>{''.join(html)}{inside}</{wrap}>{''.join(around[cut:])}</body></html>", [f"Title {k}", *blocks]
+
+
+def test_article_pages_are_read_as_written():
+    rng = random.Random(15)
+    for k in range(300):
+        page, blocks = article_page(rng, k)
+        assert extract(page) == "\n".join(" ".join(b.split()) for b in blocks), page
+
+
+def test_names_of_an_articles_parts_stay():
+    page = "<article><h2 id='login-flow'>Login</h2><p class='notice'>Mind the gap.</p><section id='related-work'><h2>Related work</h2><p>Short.</p></section><p>x <math><mi>a</mi><mo>+</mo><mn>1</mn></math> y <object>z</object></p></article>"
+    assert extract(page) == "Login\nMind the gap.\nRelated work\nShort.\nx a+1 y z"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div></x>", "</x>", "<x-y>", "<p><x-y>", "<a x=\"'>", "<script x=\"", "<li>", "&amp", "<td><h1></h1>", "<!--", "<![", "< ", "<b>,</b>"])
+def test_reading_time_is_linear(part):
+    import time
+
+    extract(part * 10)
+    took = []
+    for n in (100_000, 1_000_000):
+        began = time.perf_counter()
+        extract("<p>start <button>" + part * (n // len(part)))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 2
+
+
+def test_pages_empty_and_clashing(spark):
+    kind = "page_id long, url string, html string, text string, n_chars int"
+    assert extract_pages(spark.createDataFrame([], kind)).count() == 0
+    got = extract_pages(spark.createDataFrame([(None, "u", "<p>a  b", "clash", 5)], kind)).collect()
+    assert [tuple(r) for r in got] == [(None, "u", "a b", 3)]
+
+
 # --- SimHash ---------------------------------------------------------------------------------------------------------
 
 
@@ -563,6 +623,39 @@ def test_a_file_with_several_notices_gets_all_labels(spark):
     assert got[10] == ("cc-by,cc-by-nc-4.0,cc0", 1.0)
 
 
+def test_method_labels_equal_brute_force(spark):
+    from siltstone.llm.licenses import _templates
+
+    rng = random.Random(21)
+    filler = "the software license public cc by version 2 0 copy free work terms zero mit apache general".split()
+    rows = []
+    for i in range(200):
+        words = []
+        for _ in range(rng.randint(0, 9)):
+            words += [rng.choice(filler) for _ in range(rng.randint(0, 12))]
+            notice = rng.choice(TEMPLATES)[1].split()
+            if rng.random() < 0.4:
+                notice[rng.randrange(len(notice))] = rng.choice(["changed", "", "two words"])
+            words += notice
+        rows.append((i, " ".join(words)))
+    rows += [(900, " ".join(t for _, t, _ in TEMPLATES)), (901, None), (902, "cc0 " * 3000), (903, "Zero CC0 cc0")]
+    templates, want = _templates(), {}
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+        found, best = {label for phrase, label in PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()}, 0.0
+        base = bool(found)
+        for label, body, keys in templates:
+            for shift in range(-len(body) + 1, len(w)):
+                share = sum(0 <= shift + k < len(w) and w[shift + k] == x for k, x in enumerate(body)) / len(body)
+                if share >= 0.75 and all(shift + at >= 0 and w[shift + at : shift + at + len(key)] == key for at, key in keys):
+                    found.add(label)
+                    best = max(best, share)
+        want[i] = ",".join(sorted(found)), round(best or 0.5 * base, 9)
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, words string, votes int")
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in scan_licenses(docs).collect()}
+    assert got == want and len(want[900][0].split(",")) >= 17
+
+
 def test_exact_dedup_equals_brute_force(docs, empty):
     rows = sample()
     groups = collections.defaultdict(list)
