@@ -9,9 +9,10 @@ dealt as pairs of chunks to several tasks.
 
 near_dedup links fingerprints by their distance alone; routes are all choices of blocks that agree when at most `bits` bits
 differ, so no link is lost, and what a task finds is merged at once. similar_groups decides by the similarity of shingle
-sets: tables of fingerprints give candidates, which come back as a spanning forest of candidate pairs from each task; the
-similarity of each pair is then computed from the sets themselves. Pairs that fail can have stood for others, so the rows
-of their trees are walked again, and then all candidate pairs between groups are given.
+sets: tables of fingerprints give candidates, of which each task returns a spanning forest of the closest pairs, a number
+that grows with its rows and not with the square of a group; the similarity of each pair is then computed from the sets
+themselves. If closeness were exact, such forests would connect what all candidate pairs connect, as minimum spanning trees
+do for every bound; it is an estimate, and each pair of rows meets in many tasks, each with a forest of its own.
 """
 
 from __future__ import annotations
@@ -301,31 +302,34 @@ def set_codes(shingles: np.ndarray, tables: int) -> np.ndarray:
 
 
 class Forest:
-    """Takes candidate pairs of nodes lot by lot and keeps those that join two trees, each node's smallest partner first."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-        self.a: list[np.ndarray] = []
-        self.b: list[np.ndarray] = []
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            a, b = self.parent[i], self.parent[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            if not len(i):
-                return
-            high, low = np.maximum(a, b), np.minimum(a, b)
-            order = np.lexsort((low, high))
-            chosen = order[np.diff(high[order], prepend=-1) > 0]
-            self.a.append(np.maximum(i[chosen], j[chosen]))
-            self.b.append(np.minimum(i[chosen], j[chosen]))
-            self.parent[high[chosen]] = low[chosen]
-            while True:
-                up = self.parent[self.parent]
-                if (up == self.parent).all():
-                    break
-                self.parent = up
+    """Takes pairs of nodes with their distances lot by lot and keeps a minimum spanning forest of them."""
+
+    def __init__(self, n: int, most: int = 1_000_000):
+        self.n, self.most, self.held = n, most, 0
+        self.lots: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+
+    def add(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
+        self.lots.append(np.stack([distance.astype(np.int64), np.maximum(i, j), np.minimum(i, j)]))
+        self.held += len(i)
+        if self.held > self.most:
+            self.pairs()
+            self.held = 0
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The forest of all pairs so far: every round each tree takes its closest pair that leads out of it."""
+        edges = np.concatenate(self.lots, axis=1)
+        edges = edges[:, np.lexsort(edges[::-1])]
+        parent, kept, left = np.arange(self.n), [np.zeros(0, np.int64)], np.arange(edges.shape[1])
+        while len(left):
+            a, b = parent[edges[1, left]], parent[edges[2, left]]
+            left, a, b = left[a != b], a[a != b], b[a != b]
+            closest = np.full(self.n, edges.shape[1])
+            np.minimum.at(closest, a, left)
+            np.minimum.at(closest, b, left)
+            kept.append(np.unique(closest[closest < edges.shape[1]]))
+            merge(parent, edges[1, kept[-1]], edges[2, kept[-1]])
+        self.lots = [edges[:, np.concatenate(kept)]]
+        return self.lots[0][1], self.lots[0][2]
 
 
 #: Of 64 and of 128 bits, those that may differ for a candidate; a pair with similarity 0.8 differs in 9.7 and 19.4.
@@ -343,11 +347,9 @@ def tables_for(width: int) -> int:
     return math.ceil(TABLES * 0.8485 ** (16 - width))
 
 
-def candidate_pairs(reps: DataFrame, tables: int, width: int, n: int, crowd: int, every: bool) -> DataFrame:
-    """reps (node, codes) -> pairs (a, b) of nodes that may be similar, of each task a spanning forest over its nodes; or every
-    pair, of nodes whose `label` differs."""
+def candidate_pairs(reps: DataFrame, tables: int, width: int, n: int, crowd: int) -> DataFrame:
+    """reps (node, codes) of n rows -> pairs (a, b) of nodes that may be similar: of each task the forest of its closest."""
     slots = turns(TURNS, width)
-    tried = [(t, k) for t in range(tables) for k in range(TURNS)]
     code = lambda t: F.get("codes", F.lit(t % tables))
     columns = lambda t: F.struct(code(t).alias("code"), code(t + 1).alias("more"))
 
@@ -356,30 +358,21 @@ def candidate_pairs(reps: DataFrame, tables: int, width: int, n: int, crowd: int
         table = pa.Table.from_batches(own) if (own := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        code, more, label = (table[c].to_numpy() for c in ("code", "more", "label" if every else "node"))
+        code, more = (table[c].to_numpy() for c in ("code", "more"))
         names, node = np.unique(table["node"].to_numpy(), return_inverse=True)
-        forest, pairs = Forest(len(names)), [np.zeros((0, 2), np.int64)]
+        forest = Forest(len(names))
 
         def found(i: np.ndarray, j: np.ndarray) -> None:
-            near = (np.bitwise_count(code[i] ^ code[j]) + np.bitwise_count(more[i] ^ more[j]) <= BOTH) & (label[i] != label[j])
-            i, j = node[i[near]], node[j[near]]
-            if every:
-                pairs.append(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1))
-                if sum(map(len, pairs)) > 1_000_000:
-                    pairs[:] = [np.unique(np.concatenate(pairs), axis=0)]
-            else:
-                forest.add(i, j)
+            apart = np.bitwise_count(code[i] ^ code[j]) + np.bitwise_count(more[i] ^ more[j])
+            near = apart <= BOTH
+            forest.add(node[i[near]], node[j[near]], apart[near])
 
         walk_slots(table, slots, width, BITS, found)
-        if every:
-            own = np.unique(np.concatenate(pairs), axis=0)
-            a, b = own[:, 0], own[:, 1]
-        else:
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (forest.a, forest.b))
+        a, b = forest.pairs()
         for k in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(names[a[k : k + 100_000]]), pa.array(names[b[k : k + 100_000]])], ["a", "b"])
 
-    return dealt(reps, ["label"] if every else [], [(front(code(t), slots[k]), columns(t)) for t, k in tried], crowd, n).mapInArrow(run, "a long, b long").distinct()
+    return dealt(reps, [], [(front(code(t), slots[k]), columns(t)) for t in range(tables) for k in range(TURNS)], crowd, n).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similar: float = 0.8, carry: tuple[str, ...] = (), crowd: int = 8192, width: int | None = None, place: tuple[str, str] | None = None) -> DataFrame:
@@ -425,7 +418,6 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     codes = cut(rows.mapInArrow(fingerprint_sets, f"n_shingles long, codes array<long>{kinds}").withColumn("node", F.monotonically_increasing_id()), "codes")
     reps = cut(codes.groupBy("codes").agg(F.min("node").alias("node")), "distinct-codes")
     same = codes.join(reps.withColumnRenamed("node", "rep"), "codes").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    n = reps.count()
 
     def judged(pairs: DataFrame) -> DataFrame:
         """pairs with `ok`, whether their similarity is enough. Only texts of some pair are read again."""
@@ -440,18 +432,7 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
         forget(own)
         return out
 
-    tried = judged(cut(candidate_pairs(reps.select("node", "codes"), tables, wide, n, crowd, False).union(same), "candidates"))
-    links = tried.where("ok").select("a", "b")
-    if not tried.where("NOT ok").isEmpty():
-        # trees of candidate pairs that hold one which failed: all candidate pairs between their groups
-        trees = cut(components(tried.select("a", "b"), "trees"), "trees")
-        broken = trees.join(tried.where("NOT ok").select(F.col("a").alias("node")), "node", "left_semi").select("component").distinct()
-        groups = cut(components(links, "groups"), "groups").select("node", F.col("component").alias("label"))
-        again = trees.join(broken, "component", "left_semi").select("node").join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        again = cut(reps.join(again, "node").select("node", "label", "codes"), "again")
-        left = again.count()
-        pairs = cut(candidate_pairs(again, tables, wide, left, crowd, True).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-        links = links.union(judged(pairs).where("ok").select("a", "b"))
-    found = components(links)
+    pairs = cut(candidate_pairs(reps.select("node", "codes"), tables, wide, reps.count(), crowd).union(same), "candidates")
+    found = components(judged(pairs).where("ok").select("a", "b"))
     out = codes.join(found, "node", "left")
     return out.select(*[F.col(f"carry_{c}").alias(c) for c in carry], "n_shingles", F.coalesce("component", "node").alias("component_id"))

@@ -377,6 +377,29 @@ def test_similar_groups_equal_brute_force(spark, width):
     assert joined(found) >= 0.97 * joined(want) > 50
 
 
+def test_forest_is_a_minimum_spanning_forest():
+    from siltstone.llm.simhash import Forest
+
+    rng = np.random.default_rng(5)
+    for most in (10_000, 40):
+        i, j = rng.integers(0, 80, 600), rng.integers(0, 80, 600)
+        i, j = i[i != j], j[i != j]
+        d = rng.integers(0, 12, len(i))
+        forest = Forest(80, most)
+        for k in range(0, len(i), 50):
+            forest.add(i[k : k + 50], j[k : k + 50], d[k : k + 50])
+        a, b = forest.pairs()
+        weight = {}
+        for x, y, z in zip(i.tolist(), j.tolist(), d.tolist()):
+            weight[max(x, y), min(x, y)] = min(z, weight.get((max(x, y), min(x, y)), 99))
+        for bound in range(12):
+            parent, whole = np.arange(80), np.arange(80)
+            own = np.array([weight[x, y] <= bound for x, y in zip(a.tolist(), b.tolist())])
+            merge(parent, a[own], b[own])
+            merge(whole, i[d <= bound], j[d <= bound])
+            assert parent.tolist() == whole.tolist()
+
+
 def test_similar_groups_of_nothing_and_clashing_columns(spark, empty):
     assert similar_groups(empty, carry=("tag", "kept")).count() == 0
     rows = [(1, "a b c d e f", 1, "x"), (1, "a b c d e f", 2, "y"), (1, "q w e r t y", 3, "z")]
