@@ -20,13 +20,34 @@ IGNORED_SUFFIXES = (
     ".svg .webp .mp3 .mp4 .mov .avi .woff .woff2 .ttf .eot .db .sqlite .sqlite3 .bin .pkl .npy .pt .onnx .safetensors"
 ).split()
 IGNORED_NAMES = "package-lock.json yarn.lock pnpm-lock.yaml poetry.lock uv.lock Cargo.lock composer.lock Gemfile.lock".split()
-LANGUAGES = {
-    "python": ".py .pyi", "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .tsx", "go": ".go", "java": ".java", "ruby": ".rb", "rust": ".rs",
-    "c": ".c .h", "cpp": ".cc .cpp .hpp", "csharp": ".cs", "php": ".php", "swift": ".swift", "kotlin": ".kt", "scala": ".scala",
-    "shell": ".sh .bash .zsh", "sql": ".sql", "markdown": ".md .mdx", "restructuredtext": ".rst", "text": ".txt", "json": ".json",
-    "yaml": ".yaml .yml", "toml": ".toml", "ini": ".ini .cfg", "html": ".html", "css": ".css .scss",
-}
-LANGUAGE_OF = {suffix: language for language, suffixes in LANGUAGES.items() for suffix in suffixes.split()}
+#: The language of a file by its extension.
+LANGUAGE_OF = {
+    ".py": "python", ".pyi": "python",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".ts": "typescript", ".tsx": "typescript",
+    ".go": "go",
+    ".java": "java",
+    ".rb": "ruby",
+    ".rs": "rust",
+    ".c": "c", ".h": "c",
+    ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp",
+    ".cs": "csharp",
+    ".php": "php",
+    ".swift": "swift",
+    ".kt": "kotlin",
+    ".scala": "scala",
+    ".sh": "shell", ".bash": "shell", ".zsh": "shell",
+    ".sql": "sql",
+    ".md": "markdown", ".mdx": "markdown",
+    ".rst": "restructuredtext",
+    ".txt": "text",
+    ".json": "json",
+    ".yaml": "yaml", ".yml": "yaml",
+    ".toml": "toml",
+    ".ini": "ini", ".cfg": "ini",
+    ".html": "html",
+    ".css": "css", ".scss": "css",
+}
 MAX_FILE_BYTES, SNIFF_BYTES = 1_000_000, 8192
 
 #: Lexical index: column weights and the ranking function's parameters.
@@ -41,7 +62,7 @@ REFUSAL = "INSUFFICIENT_CONTEXT"
 #: Accented letters that the lexical index folds.
 ACCENTED, PLAIN = "äçèéêíñóöü", "aceeeinoou"
 
-#: Follow-up questions: words at the start, and words that refer back.
+#: Follow-up questions, words at the start, and words that refer back.
 OPENERS = r"(?i)^\s*(and|but|so|what about|how about|why|ok|okay|then|also)\b"
 REFERENCES = r"(?i)\b(it|its|it's|that|this|these|those|there|then|they|them|their|he|she|same|above|previous|instead|also|too|as well)\b"
 REPO_URL = r"^https://(?:www\.)?github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$"

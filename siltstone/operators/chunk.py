@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import ast
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.functions import values as V
+
+from . import structure as T
 
 HEADING = r"^#{1,3} \S"
 HEADER_CHARS = 300
@@ -91,21 +97,22 @@ def count_tokens(text: str) -> int:
     return max(1, len(text) // 4)
 
 
+def spans(costs: list[int], budget: int, overlap: int = 0) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of lines that cost at most budget, as long as can be; a line over the budget stands alone. Each
+    begins `overlap` lines before the end of the one before, but at least a line after its begin."""
+    total = [0, *accumulate(costs)]
+    first = last = 0
+    while last < len(costs):
+        first = max(first + 1, last - overlap) if last else 0
+        last = max(first + 1, bisect_right(total, total[first] + budget) - 1)
+        yield first, last
+
+
 def line_windows(text: str, budget: int = 400, overlap: int = 2) -> list[tuple[int, int, str]]:
-    """Greedy windows of lines within the budget, each starting `overlap` lines before the last one's end."""
-    lines, out, at = text.splitlines(), [], 0
-    costs = [count_tokens(x) + 1 for x in lines]
-    while at < len(lines):
-        end, used = at + 1, costs[at]
-        while end < len(lines) and used + costs[end] <= budget:
-            used += costs[end]
-            end += 1
-        if body := "\n".join(lines[at:end]).strip():
-            out.append((at + 1, end, body))
-        if end == len(lines):
-            break
-        at = max(end - overlap, at + 1)
-    return out
+    """(first line, last line, text) of windows within the budget, overlapping by some lines; blank windows are left out."""
+    lines = text.splitlines()
+    cuts = ((a, z, "\n".join(lines[a:z]).strip()) for a, z in spans([count_tokens(x) + 1 for x in lines], budget, overlap))
+    return [(a + 1, z, body) for a, z, body in cuts if body]
 
 
 def split_characters(text: str, size: int = 1000, overlap: int = 200, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
@@ -140,28 +147,45 @@ def split_characters(text: str, size: int = 1000, overlap: int = 200, marks: tup
     return out
 
 
-def python_units(source: str) -> list[tuple[str, str | None, str | None, int, int, str]] | None:
-    """(kind, symbol, parent, first line, last line, text): functions, methods, class heads and runs of module code."""
+class Unit(NamedTuple):
+    """A declaration or run of module code: text is lines start to end, under `above`, a line restated from its class."""
+
+    kind: str
+    symbol: str | None
+    parent: str | None
+    start: int
+    end: int
+    text: str
+    header: str = ""
+    above: int = 0
+
+
+def python_units(source: str) -> list[Unit] | None:
+    """Functions, methods, class heads and runs of module code; null for a source that can't be parsed."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return None
     lines, out, covered = source.splitlines(), [], set()
     top = lambda n: min([n.lineno, *(d.lineno for d in n.decorator_list)])
     cut = lambda a, z: "\n".join(lines[a - 1 : z])
 
+    def labelled(n: ast.AST) -> str:
+        doc = (ast.get_docstring(n) or "").strip().splitlines()
+        return lines[n.lineno - 1].strip() + (f'\n    """{doc[0][:160]}"""' if doc else "")
+
     def visit(node: ast.AST, parent: str | None, head: str | None) -> None:
         for n in getattr(node, "body", []):
             if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
                 a = top(n)
                 body = cut(a, n.end_lineno)
-                out.append(("function", n.name, parent, a, n.end_lineno, f"{head}\n{body}" if head else body))
+                out.append(Unit("function", n.name, parent, a, n.end_lineno, f"{head}\n{body}" if head else body, labelled(n), int(bool(head))))
                 covered.update(range(a, n.end_lineno + 1))
             elif isinstance(n, ast.ClassDef):
                 a, line = top(n), lines[n.lineno - 1].strip()
                 names = [m.name for m in n.body if isinstance(m, ast.FunctionDef | ast.AsyncFunctionDef)]
                 doc = ast.get_docstring(n)
-                out.append(("class_skeleton", n.name, parent, a, n.lineno, "\n".join([line, *([doc] if doc else []), *(f"    def {x}" for x in names)])))
+                out.append(Unit("class_skeleton", n.name, parent, a, n.lineno, "\n".join([line, *([doc] if doc else []), *(f"    def {x}" for x in names)]), f"class {n.name}"))
                 covered.update(range(a, n.end_lineno + 1))
                 visit(n, n.name, line)
 
@@ -170,40 +194,74 @@ def python_units(source: str) -> list[tuple[str, str | None, str | None, int, in
     for k in [*range(1, len(lines) + 1), None]:
         if k is None or k in covered:
             if run:
-                out.append(("module", None, None, run[0], run[-1], cut(run[0], run[-1])))
+                out.append(Unit("module", None, None, run[0], run[-1], cut(run[0], run[-1]), "# module level"))
             run = []
         elif lines[k - 1].strip():
             run.append(k)
-    return sorted(out, key=lambda u: (u[3], u[4]))
+    return sorted(out, key=lambda u: (u.start, u.end))
+
+
+def within_budget(unit: Unit, budget: int) -> Iterator[tuple[int, int, int, str]]:
+    """(first line, last line, restated lines, text) of a unit, whole if it fits, else in parts. Parts after the first restate
+    the header, cut to 300 characters; a part is over the budget only if it is a single line that is."""
+    if count_tokens(unit.text) <= budget:
+        yield unit.start, unit.end, unit.above, unit.text
+        return
+    header, lines = unit.header[:HEADER_CHARS], unit.text.splitlines()
+    least = max(1, budget // 4)
+    room = max(least, budget - min(count_tokens(header) + 1, least))
+    for a, z in spans([count_tokens(x) + 1 for x in lines], room):
+        body = "\n".join(lines[a:z])
+        if body.strip():
+            above = max(0, unit.above - a) + (len(header.splitlines()) if a and header else 0)
+            at = unit.start - unit.above
+            yield max(unit.start, at + a), min(unit.end, max(unit.start, at + z - 1)), above, f"{header}\n{body}" if a and header else body
 
 
-SCHEMA = "path string, language string, kind string, symbol string, parent_symbol string, start_line int, end_line int, text string"
+SCHEMA = "path string, language string, kind string, symbol string, parent_symbol string, start_line int, end_line int, header_lines int, text string"
+CODE_BUDGET, PROSE_BUDGET = 1200, 400
 
 
-def _rows(path: str, language: str, text: str) -> Iterator[tuple]:
-    if language == "python" and (units := python_units(text)) is not None:
-        yield from ((path, language, kind, symbol, parent, a, z, body) for kind, symbol, parent, a, z, body in units)
-    else:
-        budget = 1200 if language == "python" else 400
-        yield from ((path, language, "text", None, None, a, z, body) for a, z, body in line_windows(text, budget))
+def structural_rows(path: str, language: str, text: str) -> Iterator[tuple]:
+    """By language: Python's own parser, the scan of brace languages, else windows of lines. A file that yields no unit (it
+    can't be parsed, or declares nothing) is cut into windows, so no file is lost; no chunk is over its language's budget
+    but a single long line."""
+    budget = CODE_BUDGET if language in V.CODE_LANGUAGES else PROSE_BUDGET
+    units = python_units(text) if language == "python" else [Unit(*u) for u in T.brace_units(text, language)] if language in T.COMPILED else None
+    rows = [(path, language, u.kind, u.symbol, u.parent, a, z, above, body) for u in units or () for a, z, above, body in within_budget(u, budget)]
+    yield from rows or ((path, language, "text", None, None, a, z, 0, body) for a, z, body in line_windows(text, budget))
 
 
-def in_batches(docs: DataFrame, rows: Callable[[str, str, str], Iterator[tuple]] = _rows) -> DataFrame:
+def in_batches(docs: DataFrame, rows: Callable[[str, str, str], Iterator[tuple]] = structural_rows) -> DataFrame:
     """docs (path, language, content) through a chunker of single texts, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string()]
+        kinds = [pa.string()] * 5 + [pa.int32()] * 3 + [pa.string()]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for b in batches:
             found = [r for p, g, t in zip(*(c.to_pylist() for c in b.columns)) for r in rows(p, g, t or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 8, kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 9, kinds)], names)
 
     return docs.select("path", "language", "content").mapInArrow(run, SCHEMA)
 
 
 def character_rows(path: str, language: str, text: str) -> Iterator[tuple]:
-    yield from ((path, language, None, None, None, None, None, body) for body in split_characters(text))
+    yield from ((path, language, None, None, None, None, None, None, body) for body in split_characters(text))
 
 
 def window_rows(path: str, language: str, text: str) -> Iterator[tuple]:
-    yield from ((path, language, "text", None, None, a, z, body) for a, z, body in line_windows(text))
+    yield from ((path, language, "text", None, None, a, z, 0, body) for a, z, body in line_windows(text))
+
+
+def by_strategy(docs: DataFrame, strategy: str) -> DataFrame:
+    """Chunks of docs (path, language, content): `text` cuts all files by characters, `ast` by structure, `ast-code` files
+    of code languages by structure and all others by characters."""
+    code = F.col("language").isin(V.CODE_LANGUAGES) & F.lit(strategy == "ast-code")
+    if strategy == "text":
+        return in_batches(docs, character_rows)
+    if strategy == "ast":
+        return in_batches(docs)
+    if strategy != "ast-code":
+        raise ValueError(f"no strategy {strategy}")
+    code = F.coalesce(code, F.lit(False))
+    return in_batches(docs.where(~code), character_rows).union(in_batches(docs.where(code)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -35,6 +35,38 @@ class HashedEmbedder:
         return hashed_vectors(items, key, text)
 
 
+def embedding_batches(texts: Iterable[str], count: Callable[[str], int], size: int = 64, tokens: int = 180_000) -> Iterator[list[str]]:
+    """Requests for an embedding service: at most `size` texts and `tokens` tokens each, a text over that alone; a blank text
+    is sent as one space."""
+    batch, held = [], 0
+    for text in texts:
+        n = count(text)
+        if batch and (len(batch) == size or held + n > tokens):
+            yield batch
+            batch, held = [], 0
+        batch.append(text if text.strip() else " ")
+        held += n
+    if batch:
+        yield batch
+
+
+class ServiceEmbedder:
+    """Vectors from a service that takes lists of texts; every task makes its own requests."""
+
+    def __init__(self, request: Callable[[list[str]], list[list[float]]], count: Callable[[str], int] = lambda t: max(1, len(t) // 4)):
+        self.request, self.count = request, count
+
+    def vectors(self, items: DataFrame, key: str, text: str) -> DataFrame:
+        request, count = self.request, self.count
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = [v for lot in embedding_batches(b[text].fillna(""), count) for v in request(lot)]
+                yield pd.DataFrame({key: b[key], "vector": found})
+
+        return items.select(key, text).mapInPandas(run, f"{key} {items.schema[key].dataType.simpleString()}, vector array<double>")
+
+
 class ExtractiveChat:
     """Quotes the first sentence of the first sources with their markers, or refuses without sources."""
 

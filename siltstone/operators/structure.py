@@ -23,7 +23,7 @@ def outline(source: str) -> dict | None:
     """Top-level names of a module; null if it can't be parsed."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return None
     kinds = (ast.FunctionDef, ast.AsyncFunctionDef)
     named = [t.id for n in tree.body if isinstance(n, ast.Assign | ast.AnnAssign) for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(t, ast.Name)]
@@ -74,8 +74,9 @@ KEYWORDS = frozenset("if for while switch catch return else do try new throw mat
 SKIPPED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*'", re.S)
 
 
-def brace_units(source: str, language: str) -> list[tuple[str, str | None, str | None, int, int, str]]:
-    """(kind, symbol, parent, first line, last line, text): containers, functions in them or at the top, and module runs."""
+def brace_units(source: str, language: str) -> list[tuple]:
+    """(kind, symbol, parent, first line, last line, text, header, restated lines): containers, functions in them or at the
+    top, and module runs."""
     rules = COMPILED[language]
     plain = SKIPPED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)  # strings and comments blanked, places kept
     lines, bare = source.splitlines(), plain.splitlines()
@@ -108,12 +109,12 @@ def brace_units(source: str, language: str) -> list[tuple[str, str | None, str |
                 continue
             last = line_of(end_of(begins[k]))
             if kind == "class_skeleton":
-                out.append((kind, m[1], parent, k + 1, k + 1, lines[k].strip()))
+                out.append((kind, m[1], parent, k + 1, k + 1, lines[k].strip(), lines[k].strip(), 0))
                 covered.update(range(k + 1, last + 1))
                 stack.append((m[1], last, lines[k].strip()))
             else:
                 body = "\n".join(lines[k:last])
-                out.append(("function", m[1], parent, k + 1, last, f"{stack[-1][2]}\n{body}" if stack else body))
+                out.append(("function", m[1], parent, k + 1, last, f"{stack[-1][2]}\n{body}" if stack else body, lines[k].strip(), int(bool(stack))))
                 covered.update(range(k + 1, last + 1))
                 k = last - 1
             break
@@ -122,12 +123,8 @@ def brace_units(source: str, language: str) -> list[tuple[str, str | None, str |
     for n in [*range(1, len(lines) + 1), None]:
         if n is None or n in covered:
             if run:
-                out.append(("module", None, None, run[0], run[-1], "\n".join(lines[run[0] - 1 : run[-1]])))
+                out.append(("module", None, None, run[0], run[-1], "\n".join(lines[run[0] - 1 : run[-1]]), "// module level", 0))
             run = []
         elif lines[n - 1].strip():
             run.append(n)
     return sorted(out, key=lambda u: (u[3], u[4]))
-
-
-def brace_rows(path: str, language: str, text: str) -> Iterator[tuple]:
-    yield from ((path, language, kind, symbol, parent, a, z, body) for kind, symbol, parent, a, z, body in (brace_units(text, language) if language in COMPILED else []))

@@ -190,15 +190,34 @@ def chunk_braces(spark, sf_dir):
     i, names = F.col("doc_id"), list(BRACES)
     code = _at([BRACES[n] for n in names], i % 4)
     rows = S.files(spark, sf_dir).select("path", _at(names, i % 4).alias("language"), F.replace(code, F.lit("%s"), i.cast("string")).alias("content"))
-    return C.in_batches(rows, T.brace_rows).drop("text")
+    return C.in_batches(rows).drop("text", "header_lines")
 
 
 def card_python(spark, sf_dir):
     return T.python_cards(sample_code(spark, sf_dir))
 
 
+def _strategy(spark, sf_dir, strategy):
+    """Every second file is code."""
+    code = sample_code(spark, sf_dir).join(S.files(spark, sf_dir).where("doc_id % 2 = 0").select("path"), "path")
+    prose = S.files(spark, sf_dir).where("doc_id % 2 = 1").select("path", F.lit("text").alias("language"), "content")
+    return C.by_strategy(prose.union(code), strategy).groupBy("path", "language").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+def strategy_text(spark, sf_dir):
+    return _strategy(spark, sf_dir, "text")
+
+
+def strategy_ast(spark, sf_dir):
+    return _strategy(spark, sf_dir, "ast")
+
+
+def strategy_ast_code(spark, sf_dir):
+    return _strategy(spark, sf_dir, "ast-code")
+
+
 def chunk_dispatch(spark, sf_dir):
-    rows = S.files(spark, sf_dir).where("language <> 'en'").select("path", F.lit("text").alias("language"), "content").union(sample_code(spark, sf_dir))
+    rows = S.files(spark, sf_dir).select("path", F.lit("text").alias("language"), "content").union(sample_code(spark, sf_dir))
     return C.in_batches(rows).groupBy("language", "kind").agg(F.count("*").alias("chunks"))
 
 
@@ -302,7 +321,9 @@ def session_user(spark, sf_dir):
 
 
 def list_repos(spark, sf_dir):
-    return repos(spark, sf_dir).where("user_id = 3").orderBy(F.desc("created"), "repo_id").limit(50).select("repo_id", "name", "status", "created")
+    """The latest fifty of each user."""
+    latest = Window.partitionBy("user_id").orderBy(F.desc("created"), "repo_id")
+    return repos(spark, sf_dir).withColumn("place", F.row_number().over(latest)).where("place <= 50").select("user_id", "place", "repo_id", "name", "status", "created")
 
 
 def latest_by_name(spark, sf_dir):
@@ -366,7 +387,7 @@ def rate_window_count(spark, sf_dir):
 
 
 def rate_limit_greedy(spark, sf_dir):
-    return L.limit_batch(_log(spark, sf_dir), 3, 21600.0)
+    return L.limit_batch(_log(spark, sf_dir), 3, 21600.0, 2000)
 
 
 def sse_frames(spark, sf_dir):
@@ -398,6 +419,6 @@ def manifest_roundtrip(spark, sf_dir):
     return spark.read.schema(rows.schema).option("mode", "PERMISSIVE").json(path).select("package", "files_indexed", "bytes", "duplicates.total_chunks", "duplicates.unique_chunks")
 
 
-QUERIES = [scan_documents, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_braces, chunk_dispatch, card_python, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
+QUERIES = [scan_documents, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_braces, chunk_dispatch, strategy_text, strategy_ast, strategy_ast_code, card_python, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
 
 from siltstone.plans.corpus_sql import SQL  # noqa: E402, F401

@@ -84,7 +84,7 @@ SQL = {
     "validate_requests": f"WITH {_QUESTIONS}, r AS (SELECT question_id, CASE WHEN length(trim(question)) < 3 THEN 'question too short' WHEN length(question) > 500 THEN 'question too long' WHEN question_id % 25 NOT BETWEEN 1 AND 20 THEN 'top_k out of range' END AS reason FROM questions) SELECT question_id, reason IS NULL AS ok, reason FROM r",
     "events_props_json": "SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::INT)::BIGINT AS sum_k, max(json_extract(props, '$.k')::INT) AS max_k FROM events GROUP BY 1",
     "session_user": "SELECT event_id AS token, user_id, c_name AS user_name FROM events JOIN customer ON c_custkey = user_id WHERE ts + INTERVAL 1 HOUR * (event_id % 48) > TIMESTAMP '2024-01-15 00:00:00'",
-    "list_repos": f"WITH {_REPOS} SELECT repo_id, name, status, created FROM repos WHERE user_id = 3 ORDER BY created DESC, repo_id LIMIT 50",
+    "list_repos": f"WITH {_REPOS} SELECT user_id, place::INTEGER AS place, repo_id, name, status, created FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created DESC, repo_id) AS place FROM repos) WHERE place <= 50",
     "latest_by_name": f"WITH {_REPOS} SELECT name, repo_id, status, created FROM repos QUALIFY row_number() OVER (PARTITION BY name ORDER BY created DESC, repo_id DESC) = 1",
     "repo_status": f"WITH {_REPOS} SELECT collection, status FROM repos QUALIFY row_number() OVER (PARTITION BY collection ORDER BY created DESC, repo_id DESC) = 1",
     "collection_in_use": f"WITH {_REPOS} SELECT DISTINCT collection FROM manifests WHERE collection IN (SELECT collection FROM repos)",

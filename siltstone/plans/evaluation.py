@@ -5,7 +5,7 @@ Result lists, answers and claims are made from the golden questions by fixed ari
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
@@ -178,7 +178,9 @@ def chat_messages(spark, sf_dir):
 
 
 def list_messages(spark, sf_dir):
-    return S.table(spark, sf_dir, "conversations").where("conv_id = 1").orderBy("turn").limit(50).select("conv_id", "turn", "role", "text")
+    """The first fifty of each conversation."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return S.table(spark, sf_dir, "conversations").withColumn("place", place).where("place <= 50").select("conv_id", "turn", "role", "text")
 
 
 def looks_dependent(spark, sf_dir):
@@ -262,7 +264,7 @@ SQL = {
     "format_history": f"""WITH {_TURNS}, entries AS (SELECT conv_id, turn, from_end, CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 600) AS entry FROM turns WHERE from_end <= 6),
         spent AS (SELECT *, sum(length(entry)) OVER (PARTITION BY conv_id ORDER BY from_end) AS spent FROM entries) SELECT conv_id, string_agg(entry, chr(10) ORDER BY turn) AS history FROM spent WHERE spent <= 2400 GROUP BY 1""",
     "chat_messages": f"""WITH {_TURNS}, m AS (SELECT DISTINCT conv_id, -1 AS o, 'system' AS role, '{PROMPT}' AS content FROM turns UNION ALL SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END, substr(coalesce(text, ''), 1, 800) FROM turns WHERE from_end <= 4) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY o) - 1 AS seq, role, content FROM m""",
-    "list_messages": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 1 ORDER BY turn LIMIT 50",
+    "list_messages": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) WHERE place <= 50",
     "looks_dependent": """SELECT conv_id, turn, regexp_matches(trim(text), '(?i)^\\s*(and|but|so|what about|how about|why|ok|okay|then|also)\\b') OR regexp_matches(trim(text), '(?i)\\b(it|its|it''s|that|this|these|those|there|then|they|them|their|he|she|same|above|previous|instead|also|too|as well)\\b')
         OR len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) <= 4 AS dependent FROM conversations WHERE role = 'user'""",
 }

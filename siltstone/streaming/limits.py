@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,36 +24,47 @@ def admit(times, held: deque, limit: int, seconds: float) -> list[bool]:
     return out
 
 
-def limit_batch(log: DataFrame, limit: int = 20, seconds: float = 60.0) -> DataFrame:
+def limit_batch(log: DataFrame, limit: int = 20, seconds: float = 60.0, ceiling: int | None = None) -> DataFrame:
     """log (event_id, key, at) with allowed, in the order of (at, event_id) within a key.
 
-    Acceptance depends on earlier acceptances, so a key is one sequence. It streams through its task in sorted batches;
-    only the last `limit` admitted times are held, however many rows a key has.
+    Only the first `ceiling` requests of all keys can be let in, and later ones take no place of their key. Acceptance
+    depends on earlier acceptances, so a key is one sequence. It streams through its task in sorted batches; only the
+    last `limit` admitted times are held, however many rows a key has.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, deque()
         for b in batches:
-            allowed = []
-            for k, t in zip(b["key"], b["at"]):
-                if k != key:
-                    key, held = k, deque()
-                allowed += admit([t], held, limit, seconds)
-            yield b.assign(allowed=allowed)
-
-    rows = log.select("event_id", "key", "at").repartition("key").sortWithinPartitions("key", "at", "event_id")
+            allowed = np.zeros(len(b), bool)
+            keys, at, under = b["key"].to_numpy(), b["at"].to_numpy(), b["under"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1]) if len(b) else []
+            for a, z in zip(starts, [*starts[1:], len(b)]):
+                if keys[a] != key:
+                    key, held = keys[a], deque()
+                own = a + np.flatnonzero(under[a:z])
+                allowed[own] = admit(at[own].tolist(), held, limit, seconds)
+            yield b.drop(columns="under").assign(allowed=allowed)
+
+    rows = log.select("event_id", "key", "at")
+    under = F.lit(True)
+    if ceiling is not None:  # the last of the first `ceiling` requests
+        last = rows.orderBy("at", "event_id").limit(ceiling).agg(F.max(F.struct("at", "event_id")).alias("last"))
+        rows, under = rows.crossJoin(F.broadcast(last)), F.coalesce(F.struct("at", "event_id") <= F.col("last"), F.lit(False))
+    rows = rows.select("event_id", "key", "at", under.alias("under")).repartition("key").sortWithinPartitions("key", "at", "event_id")
     return rows.mapInPandas(run, "event_id long, key long, at double, allowed boolean")
 
 
 def limit_stream(log: DataFrame, limit: int = 20, seconds: float = 60.0) -> DataFrame:
-    """The same over a stream, in arrival order of micro-batches; the admitted times of a key are its state."""
+    """The same over a stream without a ceiling, in arrival order of micro-batches; the last admitted times of a key
+    are its state, at most `limit` of them; it is kept for every key that was ever seen. A micro-batch's rows of a key are taken frame
+    by frame: frames are sorted, and rows between them are taken as they come."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        allowed = admit(rows["at"], held, limit, seconds)
+        for rows in frames:
+            rows = rows.sort_values(["at", "event_id"])
+            yield rows[["event_id", "key", "at"]].assign(allowed=admit(rows["at"].tolist(), held, limit, seconds))
         state.update((list(held),))
-        yield rows[["event_id", "key", "at"]].assign(allowed=allowed)
 
     return log.groupBy("key").applyInPandasWithState(run, "event_id long, key long, at double, allowed boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 

@@ -107,9 +107,67 @@ def test_windowed_budget(spark):
                 assert r["start_line"] == r["end_line"] or cost <= 38
 
 
+def slow_windows(costs, budget, overlap):
+    out, at = [], 0
+    while at < len(costs):
+        z = at + 1
+        while z < len(costs) and sum(costs[at : z + 1]) <= budget:
+            z += 1
+        out.append((at, z))
+        if z == len(costs):
+            break
+        at = max(z - overlap, at + 1)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=40), st.integers(1, 60), st.integers(0, 4))
+def test_spans_equal_a_loop(costs, budget, overlap):
+    assert list(C.spans(costs, budget, overlap)) == slow_windows(costs, budget, overlap)
+
+
+def test_no_chunk_over_budget_and_no_file_lost(spark):
+    long = "import os\n\n\nclass Big(Base):\n    def run(self):\n        \"\"\"Runs it. All.\"\"\"\n" + "".join(f"        x{k} = some_call({k}, {k})\n" for k in range(900))
+    js = "class A {\n  go() {\n" + "".join(f"    call({k});\n" for k in range(1500)) + "  }\n}\n"
+    rows = [("a.py", "python", long), ("deep.py", "python", "-" * 20000 + "1"), ("b.js", "javascript", js), ("c.js", "javascript", "// only words"), ("d.rb", "ruby", "def a\n  1\nend"), ("e.md", "markdown", "word " * 30 + "\n" + "x" * 9000), ("f.txt", None, "plain"), ("g.py", "python", "")]
+    docs = spark.createDataFrame(rows, "path string, language string, content string")
+    got = C.in_batches(docs).collect()
+    assert {r["path"] for r in got} == {p for p, _, t in rows if t}
+    for r in got:
+        budget = 1200 if r["language"] in ("python", "javascript", "ruby") else 400
+        assert C.count_tokens(r["text"]) <= budget or "\n" not in r["text"]
+    source = long.splitlines()
+    parts = sorted((r for r in got if r["path"] == "a.py" and r["symbol"] == "run"), key=lambda r: r["start_line"])
+    assert len(parts) > 4 and parts[0]["start_line"] == 5 and parts[-1]["end_line"] == 906 and parts[0]["header_lines"] == 1
+    for a, b in zip(parts, parts[1:]):
+        assert b["start_line"] == a["end_line"] + 1 and b["text"].startswith('def run(self):\n    """Runs it. All."""\n')
+    for r in parts:
+        assert r["text"].splitlines()[r["header_lines"] :] == source[r["start_line"] - 1 : r["end_line"]]
+
+
+def test_strategies(spark):
+    docs = spark.createDataFrame([("a.py", "python", "def f():\n    pass\n"), ("b.md", "markdown", "# T\n\nwords"), ("c", None, "words")], "path string, language string, content string")
+    kinds = lambda s: {(r["path"], r["kind"]) for r in C.by_strategy(docs, s).collect()}
+    assert kinds("text") == {("a.py", None), ("b.md", None), ("c", None)}
+    assert kinds("ast") == {("a.py", "function"), ("b.md", "text"), ("c", "text")}
+    assert kinds("ast-code") == {("a.py", "function"), ("b.md", None), ("c", None)}
+
+
+def test_ceiling_comes_first(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randint(0, 4), float(rng.randint(0, 50))) for i in range(300)]
+    got = {r["event_id"]: r["allowed"] for r in L.limit_batch(spark.createDataFrame(rows, "event_id long, key long, at double"), 3, 5.0, 120).collect()}
+    want, held = {}, {}
+    for n, (i, k, t) in enumerate(sorted(rows, key=lambda r: (r[2], r[0]))):
+        own = [x for x in held.get(k, []) if t - x <= 5.0]
+        want[i] = n < 120 and len(own) < 3
+        held[k] = own + [t] * want[i]
+    assert got == want
+
+
 def test_python_units():
     units = C.python_units("import os\n\n@d\ndef f():\n    pass\n\nclass A(B):\n    def g(self):\n        return 1\nX = 1\n")
-    assert [(u[0], u[1], u[2], u[3], u[4]) for u in units] == [("module", None, None, 1, 1), ("function", "f", None, 3, 5), ("class_skeleton", "A", None, 7, 7), ("function", "g", "A", 8, 9), ("module", None, None, 10, 10)]
+    assert [tuple(u[:5]) for u in units] == [("module", None, None, 1, 1), ("function", "f", None, 3, 5), ("class_skeleton", "A", None, 7, 7), ("function", "g", "A", 8, 9), ("module", None, None, 10, 10)]
     assert C.python_units("def broken(:") is None
     assert [u for u in units if u[1] == "g"][0][5].startswith("class A(B):")
 

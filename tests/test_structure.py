@@ -21,6 +21,15 @@ def test_python_card(spark):
     assert got == {"p/x.py": "p/x.py — Python module in package p.\nPurpose: Does things. Well.\nDefines classes: A (methods: run); B.\nDefines functions: f.\nDefines constants: LIMIT.\nDepends on: os, sys, a.b."}
 
 
+def test_embedding_batches(spark):
+    sizes = lambda texts, **k: [len(b) for b in P.embedding_batches(texts, len, **k)]
+    assert sizes(["a"] * 130) == [64, 64, 2] and sizes([]) == []
+    assert sizes(["aaa", "bb", "c" * 9, "d", ""], tokens=5) == [2, 1, 2]
+    assert list(P.embedding_batches(["", " x"], len)) == [[" ", " x"]]
+    rows = spark.createDataFrame([(1, "ab"), (2, None)], "k long, t string")
+    assert {(r["k"], *r["vector"]) for r in P.ServiceEmbedder(lambda ts: [[float(len(t))] for t in ts]).vectors(rows, "k", "t").collect()} == {(1, 2.0), (2, 1.0)}
+
+
 def test_offline_answers(spark):
     questions = spark.createDataFrame([(1, "what"), (2, "who")], "question_id long, question string")
     sources = spark.createDataFrame([(1, 1, "a.py", 1, 2, "f", "First line. More."), (1, 2, "b.py", None, None, None, "Second.")], "question_id long, rank int, path string, start_line int, end_line int, symbol string, content string")
