@@ -3,7 +3,8 @@
 Three passes, each over stored rows:
 1. encode: texts become blocks of documents with block-local word numbers and the words' 64-bit hashes;
 2. count: each block's distinct n-grams, as sorted 64-bit keys with training counts, go to the part that owns their top
-   bits; a part adds the counts of all blocks and sends each block the totals of its own n-grams;
+   bits; a part adds the counts of all blocks and sends each block the totals of its own n-grams. Beyond 256 blocks they
+   go through a tree: parts of some bits add up groups of blocks and pass on their sums by more bits;
 3. score: a block builds the automaton of its n-grams and reads its documents once from left to right.
 
 Automaton: a state for each context seen in training, an arc for each n-gram seen, and a failure arc from every context
@@ -81,7 +82,7 @@ class Grams:
 
 def train_counts(grams: Grams, n: int, trained: np.ndarray) -> np.ndarray:
     ids = grams.ids[n][trained]
-    return np.bincount(ids[ids >= 0], minlength=len(grams.keys[n])).astype(np.uint32)
+    return np.bincount(ids[ids >= 0], minlength=len(grams.keys[n]))
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fold: int, block_chars: int) -> DataFrame:
@@ -126,43 +127,94 @@ def _trained(held: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(~held, lengths)
 
 
-def count(blocks: DataFrame, order: int, parts: int) -> DataFrame:
-    """block, n, part, totals of the block's n-grams in the part; and a row with block null and sums for n = 1."""
-    bits = parts.bit_length() - 1
+PIECE = "node long, n int, child long, keys binary, counts binary"
+PIECES = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("child", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+TOTALS = "block long, n int, part long, totals binary"
+
+
+def levels(blocks: int, fan_bits: int) -> list[int]:
+    """Bits by which each level of the count splits the keys: together enough for a part per block, each at most fan_bits."""
+    bits = max(1, (blocks - 1).bit_length())
+    n = -(-bits // fan_bits)
+    return [bits // n + (i < bits % n) for i in range(n)]
+
+
+def fan_out(keys: np.ndarray, counts: np.ndarray, place: int, depth: int, step: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """A node's sorted keys and counts for the nodes of the next level, which take `step` more bits of the key.
+
+    A place is a group of blocks followed by `depth` bits of the key; at the next level `step` bits of the group give way to
+    as many of the key, so every level has as many places, and a node sends and gets about 1 << step pieces.
+    """
+    group, own, after = place >> depth >> step, place & ((1 << depth) - 1), depth + step
+    edges = np.searchsorted(keys >> np.uint64(64 - after), np.arange(own << step, ((own + 1) << step) + 1, dtype=np.uint64))
+    for j in np.flatnonzero(np.diff(edges)):
+        a, z = edges[j], edges[j + 1]
+        yield (group << after) + (own << step) + int(j), squeeze_sorted(keys[a:z]), squeeze(counts[a:z])
+
+
+def merge(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The distinct keys of a node's pieces, their added counts, and for all pieces one after another each key's number."""
+    keys = [expand_sorted(x) for x in pieces["keys"].to_pylist()]
+    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([expand(x, np.int64) for x in pieces["counts"].to_pylist()])
+    return distinct, np.bincount(number, counts, len(distinct)).astype(np.int64), number, [len(k) for k in keys]
+
+
+def hand_back(pieces: pa.Table, total: np.ndarray, number: np.ndarray, sizes: list[int]) -> dict[str, pa.Array]:
+    """For each piece of a node, the totals of its keys, for the child that sent it."""
+    own = [squeeze(x) for x in np.split(total[number], np.cumsum(sizes)[:-1])]
+    return {"block": pieces["child"], "n": pieces["n"], "part": pieces["node"], "totals": pa.array(own, pa.binary())}
+
+
+def count(blocks: DataFrame, order: int, steps: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The totals of each block's n-grams (block, n, part, totals), and the sums over all words: tokens, types, once, twice.
+
+    Pieces go up a tree of as many levels as there are steps, and totals come down the same way, so the number of pieces
+    is blocks x levels x 2 ** step, whatever the number of blocks.
+    """
+    bits, top = sum(steps), len(steps) - 1
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, held, lengths, tokens, words in zip(*(b.column(c).to_pylist() for c in range(5))):
-                lengths = np.array(lengths)
                 grams = Grams(expand(tokens, np.uint32), np.frombuffer(words, np.uint64), order)
-                trained = _trained(np.array(held, bool), lengths)
-                out: dict[str, list] = {c: [] for c in ("part", "block", "n", "keys", "counts")}
-                for n in range(1, order + 1):
-                    keys, counts = grams.keys[n], train_counts(grams, n, trained)
-                    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(parts + 1)) if bits else np.array([0, len(keys)])
-                    for p in np.flatnonzero(np.diff(edges)):
-                        a, z = edges[p], edges[p + 1]
-                        for c, v in zip(out, (int(p), block, n, squeeze_sorted(keys[a:z]), squeeze(counts[a:z]))):
-                            out[c].append(v)
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = {c: table[c].to_pylist() for c in ("block", "keys", "counts")}
-        part, n = table["part"][0].as_py(), table["n"][0].as_py()
-        keys = [expand_sorted(x) for x in rows["keys"]]
-        sizes = [len(x) for x in keys]
-        distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(number, np.concatenate([expand(x, np.uint32) for x in rows["counts"]])).astype(np.int64)
-        own = [squeeze(x) for x in np.split(total[number].astype(np.int64), np.cumsum(sizes)[:-1])]
+                trained = _trained(np.array(held, bool), np.array(lengths))
+                place = int(mix(np.array([block + 1], np.uint64))[0] >> np.uint64(64 - bits))
+                rows = [(node, n, block, keys, counts) for n in range(1, order + 1) for node, keys, counts in fan_out(grams.keys[n], train_counts(grams, n, trained), place, 0, steps[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+
+    def ahead(level: int):
+        def run(pieces: pa.Table) -> pa.Table:
+            distinct, total, _, _ = merge(pieces)
+            node, n = pieces["node"][0].as_py(), pieces["n"][0].as_py()
+            rows = [(to, n, node, keys, counts) for to, keys, counts in fan_out(distinct, total, node, sum(steps[: level + 1]), steps[level + 1])]
+            return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+
+        return run
+
+    def add(pieces: pa.Table) -> pa.Table:
+        _, total, number, sizes = merge(pieces)
+        n = pieces["n"][0].as_py()
         sums = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())] if n == 1 else [0] * 4
-        size = len(own)
-        return pa.table({
-            "block": pa.array([*rows["block"], None], pa.int64()), "n": pa.array([n] * (size + 1), pa.int32()), "part": pa.array([part] * (size + 1), pa.int32()), "totals": pa.array([*own, None], pa.binary()),
-            **{c: pa.array([0] * size + [v], pa.int64()) for c, v in zip(("tokens", "types", "once", "twice"), sums)},
-        })
-
-    pieces = blocks.select("block", "held", "lengths", "tokens", "words").mapInArrow(split, "part int, block long, n int, keys binary, counts binary")
-    return pieces.groupBy("part", "n").applyInArrow(add, "block long, n int, part int, totals binary, tokens long, types long, once long, twice long")
+        size = len(sizes)
+        last = {"block": None, "n": n, "part": pieces["node"][0].as_py(), "totals": None}
+        back = {c: pa.concat_arrays([*(x.chunks if isinstance(x, pa.ChunkedArray) else [x]), pa.array([last[c]], x.type)]) for c, x in hand_back(pieces, total, number, sizes).items()}
+        return pa.table({**back, **{c: pa.array([0] * size + [v], pa.int64()) for c, v in zip(("tokens", "types", "once", "twice"), sums)}})
+
+    def back(pieces: pa.Table, above: pa.Table) -> pa.Table:
+        _, _, number, sizes = merge(pieces)
+        lots = sorted(above.select(["part", "totals"]).to_pylist(), key=lambda r: r["part"])
+        return pa.table(hand_back(pieces, np.concatenate([expand(r["totals"], np.int64) for r in lots]), number, sizes))
+
+    pieces = [blocks.select("block", "held", "lengths", "tokens", "words").mapInArrow(split, PIECE)]
+    for level in range(top):
+        pieces[level] = cut(pieces[level], "lm-pieces")
+        pieces.append(pieces[level].groupBy("node", "n").applyInArrow(ahead(level), PIECE))
+    done = cut(pieces[top].groupBy("node", "n").applyInArrow(add, f"{TOTALS}, tokens long, types long, once long, twice long"), "lm-totals")
+    totals = done.where("block IS NOT NULL").select("block", "n", "part", "totals")
+    for level in reversed(range(top)):
+        totals = pieces[level].groupBy("node", "n").cogroup(totals.groupBy("block", "n")).applyInArrow(back, TOTALS)
+    return totals, done.where("block IS NULL").agg(*(F.sum(c).alias(c) for c in ("tokens", "types", "once", "twice")))
 
 
 class Automaton:
@@ -215,7 +267,7 @@ class Automaton:
         return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, folds: int = 7, held_fold: int = 2, mu: float = 200.0, block_chars: int = 12_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, folds: int = 7, held_fold: int = 2, mu: float = 200.0, block_chars: int = 12_000_000, fan_bits: int = 8) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are what white space separates after lower-casing A-Z; each document ends with one end token. The model
@@ -225,9 +277,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """
     blocks = cut(encode(docs, id_col, text_col, folds, held_fold, block_chars), "lm-blocks")
     n_blocks, n_docs = blocks.agg(F.count("*"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
-    parts = 1 << max(0, int(n_blocks - 1).bit_length()) if n_blocks else 1
-    totals = cut(count(blocks, order, parts), "lm-totals")
-    n_tokens, n_types, once, twice = (int(x or 0) for x in totals.where("block IS NULL").agg(*(F.sum(c) for c in ("tokens", "types", "once", "twice"))).first())
+    totals, sums = count(blocks, order, levels(n_blocks, fan_bits))
+    n_tokens, n_types, once, twice = (int(x or 0) for x in sums.first())
     discount = once / (once + 2 * twice) if once and twice else 0.5
     n_docs = int(n_docs or 0)
 
@@ -252,5 +303,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             "train_tokens": np.full(len(lengths), n_tokens, np.int64), "base_score": np.add.reduceat(base, at), "score": model.read(lengths),
         }, schema=schema)
 
-    sent = totals.where("block IS NOT NULL").select("block", "n", "part", "totals")
-    return blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -411,8 +411,10 @@ def test_similar_groups_of_nothing_and_clashing_columns(spark, empty):
 # --- LM --------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_brute_force(docs, empty, order):
+@pytest.mark.parametrize("order, fan_bits", [(1, 8), (2, 8), (3, 1)])
+def test_scores_equal_brute_force(docs, empty, order, fan_bits):
+    from siltstone.llm import lm_score
+
     rows = sample()
     mu = 200.0
     words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) + ["</s>"] for _, t, _ in rows]
@@ -441,8 +443,12 @@ def test_scores_equal_brute_force(docs, empty, order):
         s = sum(math.log10(p(tuple(padded[max(0, t - order + 1) : t]), padded[t])) for t in range(1, len(padded)))
         b = sum(math.log10((ones[x,] + 1) / (total + types + 1)) for x in w)
         want[i, h, len(w), sum(ones[x,] > 0 for x in w), total, round(b, 5), round(s, 5)] += 1
-    got = collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in score(docs, order=order, block_chars=3000).collect())
+    blocks = lm_score.encode(docs, "doc_id", "text", 7, 2, 3000).count()
+    assert blocks > 4 and len(lm_score.levels(blocks, 1)) > 2
+    found = score(docs, order=order, block_chars=3000, fan_bits=fan_bits).collect()
+    got = collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in found)
     assert got == want and score(empty, order=order).count() == 0
+    assert lm_score.levels(8_000_000, 8) == [8, 8, 7] and lm_score.levels(80, 8) == [7] and lm_score.levels(0, 8) == [1]
 
 
 # --- shards ----------------------------------------------------------------------------------------------------------
