@@ -18,7 +18,9 @@ def filled(items: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Index tokens: lower case, accents folded, runs of letters and digits."""
-    return filled(F.split(F.translate(F.lower(text), V.ACCENTED, V.PLAIN), r"[^\p{L}\p{N}]+"))
+    low = F.lower(text)
+    plain = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, V.ACCENTED, V.PLAIN))
+    return filled(F.split(plain, r"[^\p{L}\p{N}]+"))
 
 
 def words(text: Column) -> Column:

@@ -79,11 +79,18 @@ def emit_windowed(units: DataFrame, max_tokens: int) -> DataFrame:
 def with_ids(chunks: DataFrame) -> DataFrame:
     """chunks (path, start_line, end_line, part, ...) with their ordinal over the corpus, by path and place, and their id.
 
-    Only one row per path meets in the running total over paths.
+    Paths are numbered within stretches of the paths' order, whose bounds are an even sample of at most 255 paths; only
+    one row per stretch meets in the running total over all.
     """
     order = Window.partitionBy("path").orderBy("start_line", F.coalesce("part", F.lit(0)))
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    per_path = chunks.groupBy("path").count().select("path", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    per_path = chunks.groupBy("path").count()
+    stretches = min(256, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = [r[0] for r in per_path.where("path IS NOT NULL").select("path").orderBy(F.xxhash64("path"), "path").limit(stretches - 1).collect()]
+    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("path"))), F.lit(0)) if bounds else F.lit(0)
+    per_path = per_path.withColumn("stretch", place)
+    so_far = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = per_path.groupBy("stretch").agg(F.sum("count").alias("count")).select("stretch", so_far(Window.orderBy("stretch")).alias("first"))
+    per_path = per_path.withColumn("own", so_far(Window.partitionBy("stretch").orderBy("path"))).join(F.broadcast(totals), "stretch").select("path", (F.col("first") + F.col("own")).alias("base"))
     rows = chunks.withColumn("local", F.row_number().over(order) - 1).join(per_path, "path").withColumn("ordinal", F.col("base") + F.col("local")).drop("local", "base")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     key = F.concat_ws("|", text("path"), text("start_line"), text("end_line"), text("part"), text("ordinal"))

@@ -9,6 +9,20 @@ from siltstone.functions import text as X
 from siltstone.functions import values as V
 
 DIMENSIONS = 64
+#: The most that the small side of a join may hold to be sent to every executor, in bytes.
+LIGHT = 32_000_000
+
+
+def light(rows: DataFrame, width: Column) -> DataFrame:
+    """rows, to be broadcast if they hold at most LIGHT bytes by `width`, a column with the bytes of a row; else joined by a shuffle."""
+    return F.broadcast(rows) if (rows.agg(F.sum(width)).first()[0] or 0) <= LIGHT else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores where they come from fewer files than there are cores; untouched otherwise, so that
+    a table of many files is never shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
@@ -21,7 +35,7 @@ def tokenized(chunks: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """One row per token of a field: token, chunk_id, field, pos."""
-    own = tokenized(chunks)
+    own = tokenized(spread(chunks.select("chunk_id", *V.FIELD_WEIGHTS)))
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("all")) for f in V.FIELD_WEIGHTS])
     each = own.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.field", F.posexplode("f.all").alias("pos", "token"))
     return each.select("token", "chunk_id", "field", "pos")
@@ -29,7 +43,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """One row: n_docs and avg_length of the whole collection, whatever filter a search adds."""
-    return tokenized(chunks).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    return tokenized(spread(chunks.select(*V.FIELD_WEIGHTS))).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
 
 
 def bucket(token: Column) -> Column:
@@ -44,7 +58,7 @@ def hashed_vector(tokens: Column) -> Column:
 
 def hashed_vectors(items: DataFrame, key: str, text: str) -> DataFrame:
     """items -> key, vector; counts are added up by hashed dimension, one row per item, empty texts included."""
-    counted = items.select(key, F.explode(X.tokens(F.col(text))).alias("token")).groupBy(key, bucket(F.col("token")).alias("bucket")).count()
+    counted = spread(items.select(key, text)).select(key, F.explode(X.tokens(F.col(text))).alias("token")).groupBy(key, bucket(F.col("token")).alias("bucket")).count()
     cells = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "count"))).alias("cells"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: F.coalesce(F.col("cells")[b], F.lit(0)).cast("double"))
     return items.select(key).join(cells, key, "left").select(key, F.when(F.col("cells").isNull(), F.array_repeat(F.lit(0.0), DIMENSIONS)).otherwise(dense).alias("vector"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.functions import values as V
 
-from .index import tokenized
+from .index import LIGHT, spread, tokenized
 
 
 def top(rows: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
@@ -32,30 +32,39 @@ def search_terms(questions: DataFrame) -> DataFrame:
 def lexical_scores(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """BM25 of every chunk that holds a term: question_id, chunk_id, score; kept columns of chunks can be joined back.
 
-    Only tokens that start some term leave a chunk, so the shuffle carries matches, not postings. A phrase counts where
-    its tokens stand side by side in one field. Frequencies are weighted by field; statistics are the collection's.
+    Chunks are cut into tokens once. Only tokens that start some term leave a chunk, and one row per chunk for the
+    statistics, so the shuffle carries matches, not postings. A phrase counts where its tokens stand side by side in one
+    field. Frequencies are weighted by field; statistics are the collection's.
     """
-    own = tokenized(chunks)
-    phrases = terms.select("phrase").distinct()
-    fields = F.array(*[F.struct(F.lit(w).alias("weight"), F.col(f"{f}_tokens").alias("all")) for f, w in V.FIELD_WEIGHTS.items()])
-    each = own.select("chunk_id", "length", F.explode(fields).alias("f"))
-    single = each.select("chunk_id", "length", "f.weight", F.explode("f.all").alias("token")).join(phrases.where(F.size("phrase") == 1).select("phrase", F.element_at("phrase", 1).alias("token")), "token").select("phrase", "chunk_id", "length", "weight")
-    found = single
-    longest = terms.agg(F.max(F.size("phrase"))).first()[0] or 1
+    own = tokenized(spread(chunks.select("chunk_id", *V.FIELD_WEIGHTS))).select("chunk_id", "length", *[f"{f}_tokens" for f in V.FIELD_WEIGHTS])
+    name = F.array_join("phrase", " ")  # tokens hold no spaces
+    longest, width = terms.agg(F.max(F.size("phrase")), F.sum(64 + 3 * F.octet_length(name))).first()
+    longest, small = longest or 1, F.broadcast if (width or 0) <= LIGHT else lambda rows: rows
+    # a place is a token of a field, with those after it where phrases need them; one empty place stands for each chunk
     if longest > 1:
-        ahead = F.transform("f.all", lambda t, i: F.struct(t.alias("token"), F.slice("f.all", i + 1, longest).alias("ahead")))
-        several = each.select("chunk_id", "length", "f.weight", F.explode(ahead).alias("t")).select("chunk_id", "length", "weight", "t.token", "t.ahead")
-        several = several.join(phrases.where(F.size("phrase") > 1).select("phrase", F.element_at("phrase", 1).alias("token")), "token")
-        found = found.union(several.where(F.slice("ahead", F.lit(1), F.size("phrase")) == F.col("phrase")).select("phrase", "chunk_id", "length", "weight"))
-    found = found.groupBy("phrase", "chunk_id", "length").agg(F.sum("weight").alias("f"))
-    holders = found.groupBy("phrase").agg(F.count("*").alias("n"))
-    # one row
-    whole = own.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+        places = lambda t: F.transform(t, lambda x, i: F.struct(x.alias("token"), F.slice(t, i + 1, longest).alias("ahead")))
+    else:
+        places = lambda t: t
+    fields = [F.struct(F.lit(float(w)).alias("weight"), places(F.col(f"{f}_tokens")).alias("all")) for f, w in V.FIELD_WEIGHTS.items()]
+    chunk = F.struct(F.lit(1.0).alias("weight"), places(F.array(F.lit(""))).alias("all"))
+    each = own.select("chunk_id", "length", F.explode(F.array(*fields, chunk)).alias("f")).select("chunk_id", "length", "f.weight", F.explode("f.all").alias("at"))
+    each = each.select("chunk_id", "length", "weight", "at.token", "at.ahead") if longest > 1 else each.withColumnRenamed("at", "token")
+    sought = terms.select(F.explode(F.array("phrase", F.array(F.lit("")))).alias("phrase")).distinct()
+    found = each.join(small(sought.withColumn("token", F.element_at("phrase", 1))), "token")
+    if longest > 1:
+        found = found.where(F.slice("ahead", F.lit(1), F.size("phrase")) == F.col("phrase"))
+    # dealt out by chunk once; nothing that follows is dealt out again where the terms are small
+    found = found.select(name.alias("phrase"), "chunk_id", "length", "weight").where("phrase IS NOT NULL").repartition("chunk_id").groupBy("phrase", "chunk_id", "length").agg(F.sum("weight").alias("f"))
+    # n reads f, and `found` says itself what a join would add (no null phrase): all its readers share one shuffle
+    holders = found.groupBy("phrase").agg(F.count_if(F.col("f") > 0).alias("n"), F.avg("length").alias("mean"))
+    every = F.col("phrase") == ""
+    whole = holders.agg(F.max(F.when(every, F.col("n"))).alias("n_docs"), F.max(F.when(every, F.col("mean"))).alias("avg_length"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    # whole has one row
     weighed = holders.join(F.broadcast(whole)).select("phrase", "avg_length", F.when(idf > 0, idf).otherwise(F.lit(V.LEAST_IDF)).alias("idf"))
     part = F.col("idf") * F.col("f") * (V.K1 + 1) / (F.col("f") + V.K1 * (1 - V.B + V.B * F.col("length") / F.col("avg_length")))
-    scored = found.join(weighed, "phrase").select("phrase", "chunk_id", part.alias("part"))
-    return scored.join(terms.select("question_id", "phrase"), "phrase").groupBy("question_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    scored = found.join(small(weighed), "phrase").select("phrase", "chunk_id", part.alias("part"))
+    return scored.join(small(terms.select("question_id", name.alias("phrase"))), "phrase").groupBy("question_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 def lexical_list(chunks: DataFrame, questions: DataFrame, k: int, strata: bool = False) -> DataFrame:
@@ -69,6 +78,23 @@ def lexical_list(chunks: DataFrame, questions: DataFrame, k: int, strata: bool =
 # --- semantic --------------------------------------------------------------------------------------------------------
 
 
+def first_of_each(k: int, before: tuple | None, like: np.ndarray, chunk: np.ndarray) -> tuple:
+    """The k best of each question, ties by the smaller chunk: (question number, chunk, likeness), with those found before.
+
+    like (chunks x questions); NaN is no match.
+    """
+    x = np.where(np.isnan(like), -np.inf, like)
+    edge = np.partition(x, len(x) - k, axis=0)[len(x) - k] if len(x) > k else np.full(x.shape[1], -np.inf)
+    at, q = np.nonzero((x >= edge) & (x > -np.inf))  # ties of the k-th stay
+    rows = q, chunk[at], x[at, q]
+    if before is not None:
+        rows = tuple(np.concatenate(c) for c in zip(before, rows))
+    order = np.lexsort((rows[1], -rows[2], rows[0]))
+    q = rows[0][order]
+    nth = np.arange(len(q)) - np.searchsorted(q, q)
+    return tuple(c[order[nth < k]] for c in rows)
+
+
 def semantic_list(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9, block: int = 2048) -> DataFrame:
     """Cosine top k per question and stratum: question_id, stratum, chunk_id, score, rank.
 
@@ -100,15 +126,8 @@ def semantic_list(vectors: DataFrame, queries: DataFrame, k: int, digits: int =
                     like = np.round((own @ matrix.T) / (size[:, None] * norms[None, :]), digits)
                 for s in dict.fromkeys(strata):
                     mine = np.flatnonzero(strata == s)
-                    for q in range(len(ids)):
-                        x = like[mine, q]
-                        good = np.flatnonzero(~np.isnan(x))
-                        if len(good) > 4 * k:  # keep ties of the k-th
-                            edge = np.partition(x[good], len(good) - k)[len(good) - k]
-                            good = good[x[good] >= edge]
-                        lot = sorted([*best.get((s, q), []), *zip((-x[good]).tolist(), chunk[mine[good]].tolist())])
-                        best[s, q] = lot[:k]
-            rows = [(int(ids[q]), s, c, -x) for (s, q), lot in best.items() for x, c in lot]
+                    best[s] = first_of_each(k, best.get(s), like[mine], chunk[mine])
+            rows = [(int(ids[q]), s, c, x) for s, lot in best.items() for q, c, x in zip(*(c.tolist() for c in lot))]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["question_id", "stratum", "chunk_id", "score"])
 

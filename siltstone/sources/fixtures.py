@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators.index import light, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +38,10 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.withColumn("anchor", F.xxhash64(F.slice(X.words(F.col("passage")), 1, 6)))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     # explode() of the one array keeps its words from being split again at every place
-    split = docs.select("doc_id", F.explode(F.array(X.words(F.col("text")))).alias("words"))
+    split = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.array(X.words(F.col("text")))).alias("words"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - 5, F.lit(1)))
     places = split.select("doc_id", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, 6)))).alias("anchor"))
-    near = places.join(items, "anchor").join(docs, "doc_id").where(F.col("text").contains(F.col("passage")))
+    near = places.join(light(items.select("question_id", "anchor"), F.lit(16)), "anchor").distinct().join(items.drop("anchor"), "question_id").join(docs, "doc_id").where(F.col("text").contains(F.col("passage")))
     return near.select("question_id", "doc_id", F.col("lang").alias("language")).distinct()
 
 

@@ -54,19 +54,32 @@ def limit_batch(log: DataFrame, limit: int = 20, seconds: float = 60.0, ceiling:
     return rows.mapInPandas(run, "event_id long, key long, at double, allowed boolean")
 
 
-def limit_stream(log: DataFrame, limit: int = 20, seconds: float = 60.0) -> DataFrame:
-    """The same over a stream without a ceiling, in arrival order of micro-batches; the last admitted times of a key
-    are its state, at most `limit` of them; it is kept for every key that was ever seen. A micro-batch's rows of a key are taken frame
-    by frame: frames are sorted, and rows between them are taken as they come."""
+def limit_stream(log: DataFrame, limit: int = 20, seconds: float = 60.0, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream without a ceiling, in arrival order of micro-batches. `at` counts seconds since the epoch.
+
+    The last admitted times of a key are its state, at most `limit` of them; it goes when the watermark has passed the
+    last of them by `seconds`, since no later request can meet it. Requests over `late` behind the newest are dropped. A
+    micro-batch's rows of a key are taken frame by frame: frames are sorted, rows between them are taken as they come.
+    """
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = deque(state.get[0]) if state.exists else deque()
         for rows in frames:
             rows = rows.sort_values(["at", "event_id"])
             yield rows[["event_id", "key", "at"]].assign(allowed=admit(rows["at"].tolist(), held, limit, seconds))
-        state.update((list(held),))
-
-    return log.groupBy("key").applyInPandasWithState(run, "event_id long, key long, at double, allowed boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+        ends = int(((held[-1] if held else 0.0) + seconds + 1) * 1000) + 1
+        if ends > state.getCurrentWatermarkMs():
+            state.update((list(held),))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
+
+    # a second on, since the watermark begins at the epoch and takes rows at it for late
+    timed = log.select("event_id", "key", "at", F.timestamp_seconds(F.col("at") + 1).alias("seen")).withWatermark("seen", late)
+    return timed.groupBy("key").applyInPandasWithState(run, "event_id long, key long, at double, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def metrics_stream(log: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

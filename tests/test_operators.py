@@ -73,6 +73,27 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     assert len(got) == 120 and got == want
 
 
+def test_limiter_stream_lets_old_state_go(spark, tmp_path):
+    schema = "event_id long, key long, at double"
+    for n, rows in enumerate([[(i, i, float(i)) for i in range(20)], [(100, 99, 5000.0)], [(101, 99, 5001.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = L.limit_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), limit=1, late="1 minute")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    got = {r["event_id"]: r["allowed"] for r in spark.table("expiring").collect()}
+    assert got == {**{i: True for i in range(20)}, 100: True, 101: False} and kept == 1
+
+
+def test_ordinals_run_over_paths_in_order(spark):
+    rows = [(f"p{i % 37}/{'x' * (i % 5)}", i, i + 1, None if i % 2 else i) for i in range(300)]
+    got = C.with_ids(spark.createDataFrame(rows, "path string, start_line int, end_line int, part int")).collect()
+    want = {r: n for n, r in enumerate(sorted(rows, key=lambda r: r[:2]))}
+    assert {(r["path"], r["start_line"], r["end_line"], r["part"]): r["ordinal"] for r in got} == want
+    assert C.with_ids(spark.createDataFrame([], "path string, start_line int, end_line int, part int")).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 60), min_size=1, max_size=40), st.integers(5, 30))
 def test_line_windows_cover_every_line(sizes, budget):
