@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import sha1
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions import values as V
 
+from .lexicon import Lexicon
+
 DIMENSIONS = 64
 #: The most that the small side of a join may hold to be sent to every executor, in bytes.
 LIGHT = 32_000_000
@@ -19,10 +27,12 @@ def light(rows: DataFrame, width: Column) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt out to all cores where they come from fewer files than there are cores; untouched otherwise, so that
-    a table of many files is never shuffled."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+    """rows dealt out to all cores where their scan makes fewer partitions than there are cores; untouched otherwise, and
+    where they have been dealt out before, so that a large table is never shuffled. No files are listed here."""
+    cores, run = rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():
+        return rows
+    return rows.repartition(cores) if 0 < run.toRdd().getNumPartitions() < cores else rows
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
@@ -33,19 +43,6 @@ def tokenized(chunks: DataFrame) -> DataFrame:
     return out.withColumn("length", F.expr(" + ".join(f"size({f}_tokens)" for f in V.FIELD_WEIGHTS)).cast("long"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """One row per token of a field: token, chunk_id, field, pos."""
-    own = tokenized(spread(chunks.select("chunk_id", *V.FIELD_WEIGHTS)))
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("all")) for f in V.FIELD_WEIGHTS])
-    each = own.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.field", F.posexplode("f.all").alias("pos", "token"))
-    return each.select("token", "chunk_id", "field", "pos")
-
-
-def corpus_statistics(chunks: DataFrame) -> DataFrame:
-    """One row: n_docs and avg_length of the whole collection, whatever filter a search adds."""
-    return tokenized(spread(chunks.select(*V.FIELD_WEIGHTS))).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-
-
 def bucket(token: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.sha1(token), 1, 7), 16, 10).cast("long"), F.lit(DIMENSIONS)).cast("int")
 
@@ -56,9 +53,42 @@ def hashed_vector(tokens: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
 
 
+def _count_hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        coded = lists.flatten().dictionary_encode()
+        own = np.array([int(sha1(t.encode()).hexdigest()[:7], 16) % DIMENSIONS for t in coded.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(batch)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        cells = np.bincount(row * DIMENSIONS + own[coded.indices.to_numpy(zero_copy_only=False)], minlength=len(batch) * DIMENSIONS).astype(np.float64)
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * DIMENSIONS, pa.int32()), pa.array(cells))
+        yield pa.RecordBatch.from_arrays([batch.column(0), vectors, *batch.columns[2:]], [batch.schema.names[0], "vector", *batch.schema.names[2:]])
+
+
+def token_vectors(rows: DataFrame, key: str, tokens: str, *carry: str) -> DataFrame:
+    """hashed_vector of each row's tokens: key, vector, carried columns. Each distinct token of a batch is hashed once."""
+    rows = rows.select(key, tokens, *carry)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != tokens else "vector array<double>" for f in rows.schema)
+    return rows.mapInArrow(_count_hashed, schema)
+
+
 def hashed_vectors(items: DataFrame, key: str, text: str) -> DataFrame:
-    """items -> key, vector; counts are added up by hashed dimension, one row per item, empty texts included."""
-    counted = spread(items.select(key, text)).select(key, F.explode(X.tokens(F.col(text))).alias("token")).groupBy(key, bucket(F.col("token")).alias("bucket")).count()
-    cells = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "count"))).alias("cells"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: F.coalesce(F.col("cells")[b], F.lit(0)).cast("double"))
-    return items.select(key).join(cells, key, "left").select(key, F.when(F.col("cells").isNull(), F.array_repeat(F.lit(0.0), DIMENSIONS)).otherwise(dense).alias("vector"))
+    """items -> key, vector: token counts of each text in hashed dimensions; zeros for a text without tokens or a null."""
+    return token_vectors(spread(items.select(key, text)).select(key, X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")), key, "tokens")
+
+
+@dataclass
+class SearchIndex:
+    """Both stored indexes of a collection: the lexical one, and vectors (chunk_id, stratum, vector)."""
+
+    lexicon: Lexicon
+    vectors: DataFrame
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str) -> SearchIndex:
+        """chunks (chunk_id, stratum, path, symbol, content) -> the indexes under `path`; texts are cut into tokens once."""
+        spark = chunks.sparkSession
+        own = tokenized(spread(chunks.select("chunk_id", "stratum", *V.FIELD_WEIGHTS))).drop(*V.FIELD_WEIGHTS)
+        own.write.mode("overwrite").parquet(f"{path}/tokens")
+        own = spark.read.schema(own.schema).parquet(f"{path}/tokens")
+        token_vectors(own, "chunk_id", "content_tokens", "stratum").write.mode("overwrite").parquet(f"{path}/vectors")
+        return cls(Lexicon.build(own, f"{path}/lexicon"), spark.read.schema("chunk_id long, vector array<double>, stratum string").parquet(f"{path}/vectors"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.functions import values as V
 
-from .index import LIGHT, spread, tokenized
+from .lexicon import Lexicon
 
 
 def top(rows: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
@@ -29,50 +29,10 @@ def search_terms(questions: DataFrame) -> DataFrame:
     return terms.withColumn("phrase", X.tokens(F.col("term"))).where(F.size("phrase") > 0)
 
 
-def lexical_scores(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """BM25 of every chunk that holds a term: question_id, chunk_id, score; kept columns of chunks can be joined back.
-
-    Chunks are cut into tokens once. Only tokens that start some term leave a chunk, and one row per chunk for the
-    statistics, so the shuffle carries matches, not postings. A phrase counts where its tokens stand side by side in one
-    field. Frequencies are weighted by field; statistics are the collection's.
-    """
-    own = tokenized(spread(chunks.select("chunk_id", *V.FIELD_WEIGHTS))).select("chunk_id", "length", *[f"{f}_tokens" for f in V.FIELD_WEIGHTS])
-    name = F.array_join("phrase", " ")  # tokens hold no spaces
-    longest, width = terms.agg(F.max(F.size("phrase")), F.sum(64 + 3 * F.octet_length(name))).first()
-    longest, small = longest or 1, F.broadcast if (width or 0) <= LIGHT else lambda rows: rows
-    # a place is a token of a field, with those after it where phrases need them; one empty place stands for each chunk
-    if longest > 1:
-        places = lambda t: F.transform(t, lambda x, i: F.struct(x.alias("token"), F.slice(t, i + 1, longest).alias("ahead")))
-    else:
-        places = lambda t: t
-    fields = [F.struct(F.lit(float(w)).alias("weight"), places(F.col(f"{f}_tokens")).alias("all")) for f, w in V.FIELD_WEIGHTS.items()]
-    chunk = F.struct(F.lit(1.0).alias("weight"), places(F.array(F.lit(""))).alias("all"))
-    each = own.select("chunk_id", "length", F.explode(F.array(*fields, chunk)).alias("f")).select("chunk_id", "length", "f.weight", F.explode("f.all").alias("at"))
-    each = each.select("chunk_id", "length", "weight", "at.token", "at.ahead") if longest > 1 else each.withColumnRenamed("at", "token")
-    sought = terms.select(F.explode(F.array("phrase", F.array(F.lit("")))).alias("phrase")).distinct()
-    found = each.join(small(sought.withColumn("token", F.element_at("phrase", 1))), "token")
-    if longest > 1:
-        found = found.where(F.slice("ahead", F.lit(1), F.size("phrase")) == F.col("phrase"))
-    # dealt out by chunk once; nothing that follows is dealt out again where the terms are small
-    found = found.select(name.alias("phrase"), "chunk_id", "length", "weight").where("phrase IS NOT NULL").repartition("chunk_id").groupBy("phrase", "chunk_id", "length").agg(F.sum("weight").alias("f"))
-    # n reads f, and `found` says itself what a join would add (no null phrase): all its readers share one shuffle
-    holders = found.groupBy("phrase").agg(F.count_if(F.col("f") > 0).alias("n"), F.avg("length").alias("mean"))
-    every = F.col("phrase") == ""
-    whole = holders.agg(F.max(F.when(every, F.col("n"))).alias("n_docs"), F.max(F.when(every, F.col("mean"))).alias("avg_length"))
-    idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    # whole has one row
-    weighed = holders.join(F.broadcast(whole)).select("phrase", "avg_length", F.when(idf > 0, idf).otherwise(F.lit(V.LEAST_IDF)).alias("idf"))
-    part = F.col("idf") * F.col("f") * (V.K1 + 1) / (F.col("f") + V.K1 * (1 - V.B + V.B * F.col("length") / F.col("avg_length")))
-    scored = found.join(small(weighed), "phrase").select("phrase", "chunk_id", part.alias("part"))
-    return scored.join(small(terms.select("question_id", name.alias("phrase"))), "phrase").groupBy("question_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
-
-
-def lexical_list(chunks: DataFrame, questions: DataFrame, k: int, strata: bool = False) -> DataFrame:
-    """question_id, [stratum,] chunk_id, score, rank."""
-    scores = lexical_scores(chunks, search_terms(questions))
-    if not strata:
-        return top(scores, ["question_id"], k, F.desc("score"), F.asc("chunk_id"))
-    return top(scores.join(chunks.select("chunk_id", "stratum"), "chunk_id"), ["question_id", "stratum"], k, F.desc("score"), F.asc("chunk_id"))
+def lexical_list(lexicon: Lexicon, questions: DataFrame, k: int, strata: bool = False) -> DataFrame:
+    """The k best chunks by BM25: question_id, [stratum,] chunk_id, score, rank."""
+    by = ["question_id", "stratum"] if strata else ["question_id"]
+    return top(lexicon.search(search_terms(questions), k, strata), by, k, F.desc("score"), F.asc("chunk_id"))
 
 
 # --- semantic --------------------------------------------------------------------------------------------------------
@@ -136,19 +96,6 @@ def semantic_list(vectors: DataFrame, queries: DataFrame, k: int, digits: int =
     return top(out, ["question_id", "stratum"], k, F.desc("score"), F.asc("chunk_id"))
 
 
-def lsh_list(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 16, width: float = 1.0, seed: int = 11) -> DataFrame:
-    """Approximate nearest neighbours by random projections; candidates are ranked by their exact cosine."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = F.transform("vector", lambda x: x / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, y: a + y * y)))
-    a = vectors.select("chunk_id", "vector", array_to_vector(unit).alias("unit"))
-    q = queries.select("question_id", F.col("vector").alias("asked"), array_to_vector(F.transform("vector", lambda x: x / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, y: s + y * y)))).alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(a)
-    near = model.approxSimilarityJoin(q, a, 2.0, distCol="distance").select("datasetA.question_id", "datasetB.chunk_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 9).alias("score"))
-    return top(near, ["question_id"], k, F.desc("score"), F.asc("chunk_id"))
-
-
 # --- fusion and assembly ---------------------------------------------------------------------------------------------
 
 
@@ -177,11 +124,11 @@ def assemble(ranked: DataFrame, k: int = V.TOP_K, per_file: int | None = V.MAX_P
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))).where(F.col("rank") <= k)
 
 
-def lists(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, queries: DataFrame, limit: int, strata: bool) -> DataFrame:
+def lists(lexicon: Lexicon, vectors: DataFrame, questions: DataFrame, queries: DataFrame, limit: int, strata: bool) -> DataFrame:
     """The ranked lists of a hybrid search, one row per entry: question_id, list, chunk_id, rank, score."""
     pool = vectors if strata else vectors.withColumn("stratum", F.lit("all"))
     semantic = semantic_list(pool, queries, limit)
-    lexical = lexical_list(chunks, questions, limit, strata)
+    lexical = lexical_list(lexicon, questions, limit, strata)
     name = (lambda kind: F.concat(F.lit(f"{kind}_"), F.col("stratum"))) if strata else (lambda kind: F.lit(kind))
     return semantic.select("question_id", name("semantic").alias("list"), "chunk_id", "rank", "score").union(lexical.select("question_id", name("lexical").alias("list"), "chunk_id", "rank", "score"))
 
@@ -193,10 +140,10 @@ def stratified_weights() -> dict[str, float]:
 POOLED_WEIGHTS = {"semantic": V.SEMANTIC_WEIGHT, "lexical": V.LEXICAL_WEIGHT}
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, queries: DataFrame, strata: bool, k: int = V.TOP_K, candidates: int = V.CANDIDATE_K) -> DataFrame:
-    """Hybrid search: question_id, rank, chunk_id, path, score, ranks."""
+def hybrid(chunks: DataFrame, lexicon: Lexicon, vectors: DataFrame, questions: DataFrame, queries: DataFrame, strata: bool, k: int = V.TOP_K, candidates: int = V.CANDIDATE_K) -> DataFrame:
+    """Hybrid search, chunks (chunk_id, path): question_id, rank, chunk_id, path, score, ranks."""
     limit = max(candidates // 2, 10) if strata else max(candidates, k)
-    fused = fuse(lists(chunks, vectors, questions, queries, limit, strata), stratified_weights() if strata else POOLED_WEIGHTS)
+    fused = fuse(lists(lexicon, vectors, questions, queries, limit, strata), stratified_weights() if strata else POOLED_WEIGHTS)
     return assemble(fused.join(chunks.select("chunk_id", "path"), "chunk_id"), k).select("question_id", "rank", "chunk_id", "path", "score", "ranks")
 
 

