@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from siltstone.functions import values as V
 from .varint import decode, differences, encode, running
 
 FIELDS, WEIGHTS = list(V.FIELD_WEIGHTS), np.array(list(V.FIELD_WEIGHTS.values()))
-BLOCK = "bucket int, token string, slab int, n long, bound double, strata array<string>, ids binary, lengths binary, kinds binary, counts binary, positions binary"
+BLOCK = "bucket int, token string, slab int, n long, bound double, ids binary, lengths binary, kinds binary, counts binary, positions binary"
 SLACK = 2e-9  # scores are rounded to nine digits before they are ranked
 MOST_TERMS = 40_000  # of a lot of questions
 
@@ -40,13 +41,12 @@ def _zigzag(x: np.ndarray) -> np.ndarray:
     return (x.astype(np.int64) << 1) ^ (x.astype(np.int64) >> 63)
 
 
-def _blocks(mean: float, buckets: int):
+def _blocks(mean: float, buckets: int, strata: list[str]):
     def work(slab: pa.Table) -> pa.Table:
         slab = slab.sort_by("chunk_id").combine_chunks()
         ids = slab["chunk_id"].to_numpy().astype(np.int64)
         length = slab["length"].to_numpy().astype(np.int64)
-        names = slab["stratum"].combine_chunks().dictionary_encode()
-        kind = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        kind = pc.index_in(slab["stratum"].combine_chunks(), pa.array(strata, pa.string())).fill_null(len(strata)).to_numpy(zero_copy_only=False).astype(np.int64)
         row, fld, pos, flat = [], [], [], []
         for k, name in enumerate(FIELDS):
             lists = slab[f"{name}_tokens"].combine_chunks()
@@ -77,10 +77,9 @@ def _blocks(mean: float, buckets: int):
             return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)])
 
         tokens = coded.dictionary.take(pa.array(e_code[first]))
-        strata = pa.array([names.dictionary.to_pylist() + [None]] * len(first), pa.list_(pa.string()))
         return pa.table({
             "bucket": pa.array([bucket_of(t, buckets) for t in tokens.to_pylist()], pa.int32()), "token": tokens, "slab": pa.repeat(slab["slab"][0], len(first)),
-            "n": pa.array(np.diff(cuts)), "bound": pa.array(bound), "strata": strata, "ids": stream(delta, cuts), "lengths": stream(length[e_row], cuts), "kinds": stream(kind[e_row], cuts),
+            "n": pa.array(np.diff(cuts)), "bound": pa.array(bound), "ids": stream(delta, cuts), "lengths": stream(length[e_row], cuts), "kinds": stream(kind[e_row], cuts),
             "counts": stream(counts, cuts * len(FIELDS)), "positions": stream(differences(pos, runs), np.append(place, len(code))[cuts]),
         })
 
@@ -153,61 +152,89 @@ def _phrase(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     return entries, f[entries]
 
 
-@dataclass
+def _bulk(rows: list[dict] | pa.RecordBatch, column: str) -> np.ndarray:
+    """The numbers of one stream of many blocks, one block after the other."""
+    return decode(b"".join(rows.column(column).to_pylist() if isinstance(rows, pa.RecordBatch) else [r[column] for r in rows]))
+
+
+def _bulk_ids(deltas: np.ndarray, n: np.ndarray) -> np.ndarray:
+    first = (np.cumsum(n) - n)[n > 0]
+    deltas[first] = (deltas[first] >> 1) ^ -(deltas[first] & 1)
+    return running(deltas, n)
+
+
 class Scorer:
     """Scores slabs, one after the other, and keeps the best k of each question (and stratum).
 
-    questions: id -> phrases; rarity: phrase -> idf. k: None keeps all.
+    questions: id -> phrases; rarity: phrase -> idf. k: None keeps all. strata: names by number, or None for one list a question.
     """
 
-    questions: dict[int, list[tuple[str, ...]]]
-    rarity: dict[tuple[str, ...], float]
-    mean: float
-    k: int | None
-    strata: bool
-    best: dict = field(default_factory=dict)
-    scored: int = 0
-    skipped: int = 0
+    CELLS = 4_000_000  # of the matrix of questions by chunks
+
+    def __init__(self, questions: dict[int, list[tuple[str, ...]]], rarity: dict[tuple[str, ...], float], mean: float, k: int | None, strata: list[str] | None):
+        self.mean, self.k, self.strata = mean, k, strata
+        self.questions, self.phrases = list(questions), list(rarity)
+        number = {p: i for i, p in enumerate(self.phrases)}
+        pairs = [(q, number[p]) for q, own in enumerate(questions.values()) for p in own]
+        self.asker, self.asked = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
+        self.rarity = np.array([rarity[p] for p in self.phrases])
+        self.best: dict = {}
+        self.scored = self.skipped = 0
 
     def _least(self, question: int, stratum) -> float:
         held = self.best.get((question, stratum))
         return -np.inf if held is None or self.k is None or len(held[0]) < self.k else held[2]
 
     def slab(self, rows: list[dict]) -> None:
-        blocks = {r["token"]: Block(r, self.mean) for r in rows}
-        strata = dict.fromkeys(s for r in rows for s in r["strata"]) if self.strata else [None]
-        memo: dict = {}
-
-        def matched(phrase: tuple[str, ...]):
-            if phrase not in memo:
-                own = [blocks[t] for t in phrase]
-                if len(own) == 1:
-                    memo[phrase] = own[0].ids, own[0].part, own[0].kind
-                else:
-                    entries, f = _phrase(own)
-                    memo[phrase] = own[0].ids[entries], _part(f, own[0].length[entries], self.mean), own[0].kind[entries]
-            return memo[phrase]
-
-        for question, phrases in self.questions.items():
-            own = [p for p in phrases if all(t in blocks for t in p)]
-            if not own:
-                continue
-            reach = sum(self.rarity[p] * min(blocks[t].row["bound"] for t in p) for p in own)
-            if all(reach < self._least(question, s) - SLACK for s in strata):
-                self.skipped += 1
-                continue
-            self.scored += 1
-            found = [matched(p) for p in own]
-            ids, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-            score = np.bincount(at, weights=np.concatenate([x[1] * self.rarity[p] for x, p in zip(found, own)]), minlength=len(ids))
-            if not self.strata:
-                self._keep(question, None, ids, score)
+        by_token = {r["token"]: r for r in rows}
+        strata = self.strata or [None]
+        bound = np.array([min(by_token[t]["bound"] for t in p) if all(t in by_token for t in p) else 0.0 for p in self.phrases])
+        reach = np.bincount(self.asker, weights=self.rarity[self.asked] * bound[self.asked], minlength=len(self.questions))
+        alive = np.array([x > 0 and any(x >= self._least(q, s) - SLACK for s in strata) for q, x in enumerate(reach)], bool)
+        self.skipped += int((reach > 0).sum() - alive.sum())
+        self.scored += int(alive.sum())
+        if not alive.any():
+            return
+        own = alive[self.asker] & (bound[self.asked] > 0)
+        asker, asked = self.asker[own], self.asked[own]
+        sought, phrase_at = np.unique(asked, return_inverse=True)
+        single = [by_token[self.phrases[p][0]] for p in sought if len(self.phrases[p]) == 1]
+        n = np.array([r["n"] for r in single], np.int64)
+        ids, kind, counts = _bulk_ids(_bulk(single, "ids"), n), _bulk(single, "kinds"), _bulk(single, "counts").reshape(-1, len(FIELDS))
+        part = _part(counts @ WEIGHTS, _bulk(single, "lengths"), self.mean)
+        size, more = np.zeros(len(sought), np.int64), []
+        start = np.zeros(len(sought), np.int64)
+        one = np.array([len(self.phrases[p]) == 1 for p in sought], bool)
+        size[one], start[one] = n, np.cumsum(n) - n
+        for k in np.flatnonzero(~one):
+            blocks = [Block(by_token[t], self.mean) for t in self.phrases[sought[k]]]
+            entries, f = _phrase(blocks)
+            size[k], start[k] = len(entries), len(ids) + sum(len(x[0]) for x in more)
+            more.append((blocks[0].ids[entries], _part(f, blocks[0].length[entries], self.mean), blocks[0].kind[entries]))
+        if more:
+            ids, part, kind = (np.concatenate([x, *(m[c] for m in more)]) for c, x in enumerate((ids, part, kind)))
+        if not len(ids):
+            return
+        chunk, local = np.unique(ids, return_inverse=True)
+        chunk_kind = np.zeros(len(chunk), np.int64)
+        chunk_kind[local] = kind
+        lot = max(1, self.CELLS // len(chunk))
+        for a in range(0, len(self.questions), lot):
+            mine = np.flatnonzero((asker >= a) & (asker < a + lot))
+            if not len(mine):
                 continue
-            kind = np.zeros(len(ids), np.int64)
-            kind[at] = np.concatenate([x[2] for x in found])
-            names = rows[0]["strata"]
-            for s in np.unique(kind):
-                self._keep(question, names[s], ids[kind == s], score[kind == s])
+            count = size[phrase_at[mine]]
+            at = np.repeat(start[phrase_at[mine]] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            cell = np.repeat(asker[mine] - a, count) * len(chunk) + local[at]
+            score = np.bincount(cell, weights=part[at] * np.repeat(self.rarity[asked[mine]], count), minlength=lot * len(chunk)).reshape(-1, len(chunk))
+            for q in np.unique(asker[mine] - a):
+                held = np.flatnonzero(score[q] > 0)
+                if self.strata is None:
+                    self._keep(int(a + q), None, chunk[held], score[q, held])
+                    continue
+                for s in np.unique(chunk_kind[held]):
+                    of = held[chunk_kind[held] == s]
+                    self._keep(int(a + q), self.strata[s], chunk[of], score[q, of])
 
     def _keep(self, question: int, stratum, ids: np.ndarray, score: np.ndarray) -> None:
         if not len(ids):
@@ -223,10 +250,10 @@ class Scorer:
         self.best[question, stratum] = ids, score, least
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for (question, stratum), (ids, score, _) in self.best.items():
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(question, pa.int64()), n), pa.repeat(pa.scalar(stratum, pa.string()), n), pa.array(ids), pa.array(score)], ["question_id", "stratum", "chunk_id", "score"])
+        held = [(self.questions[q], s, i, x) for (q, s), (ids, score, _) in self.best.items() for i, x in zip(ids.tolist(), score.tolist())]
         self.best.clear()
+        columns = zip(*held) if held else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["question_id", "stratum", "chunk_id", "score"])
 
 
 def _by_slab(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -243,29 +270,34 @@ def _by_slab(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 class Lexicon:
-    """An index stored under `path`: blocks, and one row of statistics."""
+    """An index stored under `path`: blocks, the number of chunks of each token, and one row of statistics."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.n_docs, self.mean, self.buckets = spark.read.parquet(f"{path}/statistics").select("n_docs", "avg_length", "buckets").first()
+        self.n_docs, self.mean, self.buckets, self.strata = spark.read.parquet(f"{path}/statistics").select("n_docs", "avg_length", "buckets", "strata").first()
         self.blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
+        self.holders = spark.read.schema("token string, n long").parquet(f"{path}/holders")
 
     @classmethod
-    def build(cls, tokens: DataFrame, path: str, slab_tokens: int = 500_000, buckets: int = 64) -> Lexicon:
+    def build(cls, tokens: DataFrame, path: str, slab_tokens: int = 400_000, buckets: int | None = None) -> Lexicon:
         """tokens (chunk_id, stratum, {field}_tokens, length; index.tokenized) -> the index under `path`, which is written anew.
 
-        Chunks of a null id are left out; ids are told apart as longs and don't repeat. A slab is one task's work: slab_tokens tokens, or a single chunk that has more.
+        Chunks of a null id are left out; ids are told apart as longs and don't repeat. A slab is one task's work: slab_tokens tokens, or a single chunk that has more. Strata are few: their names come to the driver.
+        buckets: partitions of the blocks, default one for half a million tokens, 16 to 1,024.
         """
         spark = tokens.sparkSession
         tokens = tokens.where("chunk_id IS NOT NULL")
-        n, total = tokens.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        n, total, strata, none = tokens.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.array_sort(F.collect_set("stratum")), F.count_if(F.col("stratum").isNull())).first()
         mean, slabs = (total / n if n else 0.0), max(1, -(-total // slab_tokens))
-        spark.createDataFrame([(n, mean, buckets)], "n_docs long, avg_length double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+        buckets = buckets or min(1024, max(16, total // 500_000))
+        spark.createDataFrame([(n, mean, buckets, strata + [None] * bool(none))], "n_docs long, avg_length double, buckets int, strata array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
         own = tokens.select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(slabs)).cast("int").alias("slab"), "stratum", "length", *[f"{f}_tokens" for f in FIELDS])
-        blocks = own.groupBy("slab").applyInArrow(_blocks(mean, buckets), BLOCK)
-        # a frequent token's blocks go to several files of its partition
-        dealt = blocks.repartition("bucket", F.col("slab") % 4).sortWithinPartitions("bucket", "token", "slab")
+        blocks = own.groupBy("slab").applyInArrow(_blocks(mean, buckets, strata), BLOCK)
+        # beyond four million tokens a bucket, a frequent token's blocks go to several files of its partition
+        dealt = blocks.repartition("bucket", F.col("slab") % max(1, total // (4_000_000 * buckets))).sortWithinPartitions("bucket", "token", "slab")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        held = spark.read.schema(BLOCK).parquet(f"{path}/blocks").groupBy("token").agg(F.sum("n").alias("n"))
+        held.repartitionByRange(max(1, buckets // 16), "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/holders")
         return cls(spark, path)
 
     def of_tokens(self, tokens: list[str]) -> DataFrame:
@@ -278,11 +310,12 @@ class Lexicon:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = pa.array(FIELDS)
             for batch in batches:
-                for row in batch.to_pylist():
-                    block = Block(row, 1.0)
-                    at = block.places()
-                    slot = at >> 32
-                    yield pa.RecordBatch.from_arrays([pa.repeat(row["token"], len(at)), pa.array(block.ids[slot // len(FIELDS)]), names.take(pa.array(slot % len(FIELDS))), pa.array(at & 0xFFFFFFFF)], ["token", "chunk_id", "field", "pos"])
+                n, counts = batch.column("n").to_numpy(), _bulk(batch, "counts")
+                ids, pos = _bulk_ids(_bulk(batch, "ids"), n), running(_bulk(batch, "positions"), counts)
+                slot = np.repeat(np.arange(len(counts)), counts)
+                entry = slot // len(FIELDS)
+                tokens = batch.column("token").take(pa.array(np.repeat(np.arange(len(n)), n)[entry]))
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(ids[entry]), names.take(pa.array(slot % len(FIELDS))), pa.array(pos)], ["token", "chunk_id", "field", "pos"])
 
         return self.blocks.mapInArrow(read, "token string, chunk_id long, field string, pos long")
 
@@ -302,7 +335,7 @@ class Lexicon:
 
     def _holders(self, tokens: list[str], phrases: set[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
         """In how many chunks each phrase stands."""
-        out = {(r["token"],): r["n"] for r in self.of_tokens(tokens).groupBy("token").agg(F.sum("n").alias("n")).collect()}
+        out = {(r["token"],): r["n"] for r in self.holders.where(F.col("token").isin(tokens)).collect()}
         longer = sorted(p for p in phrases if len(p) > 1 and all((t,) in out for t in p))
         if longer:
             mean = self.mean
@@ -335,10 +368,10 @@ class Lexicon:
             held = self._holders(tokens, phrases)
             rarity = {p: max(float(np.log((self.n_docs - n + 0.5) / (n + 0.5))), 0.0) or V.LEAST_IDF for p, n in held.items() if n}
             known = {q: [p for p in own if p in rarity] for q, own in questions.items()}
-            mean = self.mean
+            mean, names = self.mean, self.strata if strata else None
 
             def run(batches: Iterator[pa.RecordBatch], known=known, rarity=rarity) -> Iterator[pa.RecordBatch]:
-                scorer = Scorer(known, rarity, mean, k, strata)
+                scorer = Scorer(known, rarity, mean, k, names)
                 for rows in _by_slab(batches):
                     scorer.slab(rows)
                     if k is None:

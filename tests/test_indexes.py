@@ -99,10 +99,10 @@ def test_slabs_under_the_kth_score_are_skipped(spark, tmp_path):
     rarity = {(t,): math.log((len(rows) - n[t] + 0.5) / (n[t] + 0.5)) for t in n}
     best = {}
     for k in (3, None):
-        scorer = Scorer({1: [("router",), ("alpha",)]}, rarity, lexicon.mean, k, False)
+        scorer = Scorer({1: [("router",), ("alpha",)]}, rarity, lexicon.mean, k, None)
         for slab in sorted(held):
             scorer.slab(held[slab])
-        ids, score, _ = scorer.best[1, None]
+        ids, score, _ = scorer.best[0, None]
         best[k] = sorted(zip((-score.round(9)).tolist(), ids.tolist()))[:3]
         assert scorer.scored + scorer.skipped == len(held) and (scorer.skipped > len(held) // 4) == (k == 3)
     assert best[3] == best[None]
