@@ -5,8 +5,6 @@ Paths, symbols, repositories and logs are made from the driver's tables by fixed
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +16,9 @@ from siltstone.operators import index as I
 from siltstone.operators import registry as G
 from siltstone.operators import structure as T
 from siltstone.sources import fixtures as S
+from siltstone.sources import tree as R
 from siltstone.sources import walk as W
+from siltstone.sources.store import fresh_path
 from siltstone.streaming import limits as L
 
 DIRS = ["src", "node_modules", ".git", "docs/en", "pkg.egg-info", "docs/english", "lib"]
@@ -39,6 +39,17 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.concat_ws("/", _at(DIRS, i % 7), "source", name).alias("path"), size.alias("size_bytes"), content.alias("content"))
 
 
+def scan_tree(spark, sf_dir):
+    """The documents as real files in a tree with ignored folders, large, empty, binary and broken ones, read by the data source."""
+    i = F.col("doc_id")
+    content = F.when(i % 17 == 0, F.lit("").cast("binary")).when(i % 97 == 0, F.repeat(F.lit("x"), 1_000_001).cast("binary")).when(i % 23 == 0, F.concat(F.lit("\0"), "content").cast("binary"))
+    content = content.when(i % 29 == 0, F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("C3")))).otherwise(F.encode("content", "UTF-8"))
+    root = fresh_path(spark, "source-tree")
+    R.write_tree(tree(spark, sf_dir).select("doc_id", "path").join(S.files(spark, sf_dir).select("doc_id", "content"), "doc_id").select("path", content.alias("content")), root)
+    found = R.read_tree(spark, root, include=["docs", "src", "lib"], exclude=["src/src1"])
+    return found.select("path", "language", "size_bytes", "skip_reason", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def scan_documents(spark, sf_dir):
     return S.files(spark, sf_dir).select("path", "language", "size_bytes")
 
@@ -397,14 +408,9 @@ def sse_frames(spark, sf_dir):
     return q.select("question_id", F.posexplode(frames).alias("seq", "f")).select("question_id", "seq", "f.event", "f.data")
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def index_vectors(spark, sf_dir):
     """The vector table, written by stratum and read back."""
-    path = _shared(spark, "vectors")
+    path = fresh_path(spark, "vectors")
     S.search_index(spark, sf_dir).vectors.write.partitionBy("stratum").parquet(path)
     return spark.read.parquet(path).groupBy("stratum").agg(F.count("*").alias("vectors"), F.sum(F.size("vector")).alias("cells"))
 
@@ -413,11 +419,11 @@ def manifest_roundtrip(spark, sf_dir):
     """An index manifest per package as JSON, written and read back with its schema; broken lines would come back as nulls."""
     files = S.files(spark, sf_dir)
     rows = files.groupBy("package").agg(F.count("*").alias("files_indexed"), F.sum("size_bytes").alias("bytes"), F.struct(F.count("*").alias("total_chunks"), F.count_distinct("content").alias("unique_chunks")).alias("duplicates"))
-    path = _shared(spark, "manifests")
+    path = fresh_path(spark, "manifests")
     rows.write.json(path)
     return spark.read.schema(rows.schema).option("mode", "PERMISSIVE").json(path).select("package", "files_indexed", "bytes", "duplicates.total_chunks", "duplicates.unique_chunks")
 
 
-QUERIES = [scan_documents, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_braces, chunk_dispatch, strategy_text, strategy_ast, strategy_ast_code, card_python, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
+QUERIES = [scan_documents, scan_tree, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_braces, chunk_dispatch, strategy_text, strategy_ast, strategy_ast_code, card_python, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
 
 from siltstone.plans.corpus_sql import SQL  # noqa: E402, F401

@@ -44,6 +44,10 @@ _WINDOWED = f"""{_FILES}, units AS (SELECT path, content, tokens, lines, substr(
     parts AS (SELECT f.path, f.part, max(f.part) OVER (PARTITION BY f.path) AS part_count, min(f.i) AS a, max(f.i) AS z, string_agg(u.lines[f.i], chr(10) ORDER BY f.i) AS body, any_value(u.head) AS head FROM fold f JOIN units u USING (path) GROUP BY f.path, f.part)"""
 SQL = {
     "scan_documents": f"WITH {_FILES} SELECT path, language, size_bytes FROM files",
+    "scan_tree": f"""WITH {_TREE}, held AS (SELECT s.path, s.name, s.language, CASE WHEN d.doc_id % 17 = 0 THEN 0 WHEN d.doc_id % 97 = 0 THEN 1000001 WHEN d.doc_id % 23 = 0 OR d.doc_id % 29 = 0 THEN octet_length(encode(d.text)) + 1 ELSE octet_length(encode(d.text)) END AS size_bytes, d.doc_id, d.text FROM spoken s JOIN documents d USING (doc_id) WHERE NOT pruned),
+        judged AS (SELECT *, CASE WHEN NOT regexp_matches(path, '^(docs|src|lib)/') THEN 'outside include list' WHEN starts_with(path, 'src/src1/') THEN 'user excluded' WHEN list_contains({_list(V.IGNORED_NAMES)}, name) THEN 'ignored filename' WHEN len(list_filter({_list(V.IGNORED_SUFFIXES)}, lambda s: ends_with(name, s))) > 0 THEN 'ignored extension'
+            WHEN language = 'unknown' THEN 'unknown extension' WHEN size_bytes = 0 THEN 'empty file' WHEN size_bytes > 1000000 THEN 'too large' WHEN doc_id % 23 = 0 THEN 'binary' WHEN doc_id % 29 = 0 THEN 'decode error' END AS skip_reason FROM held)
+        SELECT path, language, size_bytes, skip_reason, CASE WHEN skip_reason IS NULL THEN length(text)::INT END AS n_chars, CASE WHEN skip_reason IS NULL THEN md5(text) END AS text_md5 FROM judged""",
     "walk_dir_prune": f"WITH {_TREE} SELECT doc_id, path FROM named WHERE NOT pruned",
     "walk_include_exclude": f"WITH {_TREE} SELECT doc_id, path, CASE WHEN NOT (starts_with(path || '/', 'docs/en/') OR starts_with(path || '/', 'src/')) THEN 'outside include list' WHEN starts_with(path || '/', 'src/src1/') OR starts_with(path || '/', 'docs/en/src2/') THEN 'user excluded' END AS reason FROM tree",
     "walk_skip_reason": f"WITH {_TREE} SELECT * FROM reasons",
