@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 from typing import NamedTuple
@@ -45,35 +45,41 @@ def module_runs(lines: DataFrame) -> DataFrame:
     return rows.groupBy("path", "run").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line")).drop("run")
 
 
+PARTS = "path string, part int, part_count int, start_line int, end_line int, header_lines int, text string"
+
+
+def windowed_parts(text: str, start: int, header: str, max_tokens: int) -> Iterator[tuple]:
+    """(part, part_count, start_line, end_line, header_lines, text) of a unit: whole if it fits (part None), else in parts
+    of whole lines that fit, each after the first under the header, cut to 300 characters."""
+    lines = plain_lines(text)
+    if count_tokens(text) <= max_tokens:
+        yield None, None, start, start + len(lines) - 1, 0, text
+        return
+    head = header[:HEADER_CHARS]
+    room = max(max_tokens - min(count_tokens(head), max_tokens // 4), max_tokens // 4)
+    cuts = list(spans([count_tokens(x) + 1 for x in lines], room))
+    for n, (a, z) in enumerate(cuts):
+        body = "\n".join(lines[a:z])
+        yield n + 1, len(cuts), start + a, start + z - 1, len(plain_lines(head)) if n else 0, (f"{head}\n{body}" if n else body).strip(" ")
+
+
+def plain_lines(text: str) -> list[str]:
+    """Stretches between \\n, without an empty last one."""
+    lines = text.split("\n")
+    return lines[:-1] if lines[-1] == "" else lines
+
+
 def emit_windowed(units: DataFrame, max_tokens: int) -> DataFrame:
-    """units (path, text, start_line, header) -> path, part, part_count, start_line, end_line, header_lines, text.
+    """units (path, text, start_line, header) -> path and windowed_parts of each unit, in time linear in its lines. A unit of a null text gives none."""
 
-    A unit within the budget is one part (part null). Else lines are taken greedily while their costs fit; a line that
-    is too long stands alone; parts after the first restate the header, cut to 300 characters.
-    """
-    header = F.substring("header", 1, HEADER_CHARS)
-    budget = F.greatest(F.lit(max_tokens) - F.least(X.token_count(header), F.lit(max_tokens // 4)), F.lit(max_tokens // 4))
-    rows = units.withColumn("lines", X.lines(F.col("text"))).withColumn("budget", budget).withColumn("head", header)
-    rows = rows.select("path", "text", "start_line", "head", "budget", F.explode(F.array("lines")).alias("lines"))
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def step(acc, line):
-        cost = X.token_count(line) + 1
-        new = (acc["used"] == 0) | (acc["used"] + cost > F.col("budget"))
-        part = acc["part"] + new.cast("int")
-        return F.struct(F.when(new, cost).otherwise(acc["used"] + cost).alias("used"), part.alias("part"), F.concat(acc["parts"], F.array(part)).alias("parts"))
-
-    whole = X.token_count(F.col("text")) <= max_tokens
-    small = rows.where(whole).select("path", F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("part_count"), "start_line", (F.col("start_line") + F.size("lines") - 1).alias("end_line"), F.lit(0).alias("header_lines"), "text")
-    large = rows.where(~whole).withColumn("parts", F.aggregate("lines", empty, step)["parts"])
-    each = large.select("path", "start_line", "head", F.posexplode(F.arrays_zip("lines", "parts")).alias("at", "z")).select("path", "start_line", "head", "at", F.col("z.lines").alias("line"), F.col("z.parts").alias("part"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n")
-    parts = each.groupBy("path", "start_line", "head", "part").agg(F.min("at").alias("a"), F.max("at").alias("z"), body.alias("body"))
-    again = F.col("part") > 1
-    lines_of_head = F.when(again & (F.col("head") != ""), F.size(X.lines(F.col("head")))).otherwise(0)
-    text = F.trim(F.when(again, F.concat("head", F.lit("\n"), "body")).otherwise(F.col("body")))
-    counted = parts.withColumn("part_count", F.max("part").over(Window.partitionBy("path", "start_line")))
-    return small.union(counted.select("path", "part", "part_count", (F.col("start_line") + F.col("a")).alias("start_line"), (F.col("start_line") + F.col("z")).alias("end_line"), lines_of_head.alias("header_lines"), text.alias("text")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] + [pa.int32()] * 5 + [pa.string()]
+        names = [f.split()[0] for f in PARTS.split(", ")]
+        for b in batches:
+            found = [(p, *r) for p, t, a, h in zip(*(c.to_pylist() for c in b.columns)) if t is not None for r in windowed_parts(t, a, h or "", max_tokens)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * len(kinds), kinds)], names)
+
+    return units.select("path", "text", "start_line", "header").mapInArrow(run, PARTS)
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
@@ -122,36 +128,44 @@ def line_windows(text: str, budget: int = 400, overlap: int = 2) -> list[tuple[i
     return [(a + 1, z, body) for a, z, body in cuts if body]
 
 
-def split_characters(text: str, size: int = 1000, overlap: int = 200, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Pieces of at most `size` characters, cut at the coarsest mark that serves, with up to `overlap` characters repeated."""
-    mark = next(m for m in marks if m == "" or m in text)
+def span_groups(text: str, low: int, high: int, size: int, marks: tuple[str, ...]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(mark, spans) of stretches of text[low:high]: spans stand between the coarsest mark that occurs; one longer than `size`
+    ends a group and is cut at finer marks, at last into single characters."""
+    mark = next((m for m in marks if m and text.find(m, low, high) >= 0), "")
     finer = marks[marks.index(mark) + 1 :]
-    pieces = list(text) if mark == "" else text.split(mark)
-    out: list[str] = []
-    held: list[str] = []
-    length = 0
-
-    def close() -> None:
-        if body := mark.join(held).strip():
-            out.append(body)
-
-    for p in filter(None, pieces):
-        if len(p) > size and finer:
+    held: list[tuple[int, int]] = []
+    while low < high:
+        stop = text.find(mark, low, high) if mark else low + 1
+        stop = high if stop < 0 else stop
+        if stop - low > size and finer:
             if held:
-                close()
-                held, length = [], 0
-            out += split_characters(p, size, overlap, finer)
-            continue
-        extra = len(p) + (len(mark) if held else 0)
-        if held and length + extra > size:
-            close()
-            while held and (length > overlap or length + len(p) + len(mark) > size):
-                length -= len(held.pop(0)) + (len(mark) if held else 0)
-        length += len(p) + (len(mark) if held else 0)
-        held.append(p)
+                yield mark, held
+            held = []
+            yield from span_groups(text, low, stop, size, finer)
+        elif stop > low:
+            held.append((low, stop))
+        low = stop + len(mark)
     if held:
-        close()
-    return out
+        yield mark, held
+
+
+def split_characters(text: str, size: int = 1000, overlap: int = 200, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """Pieces of at most `size` characters, cut at the coarsest marks that serve, with up to `overlap` characters repeated.
+
+    In a group of spans a piece takes as many as fit, joined by the mark; the next piece begins with the first span from which
+    on what was taken is at most `overlap` long and leaves room for the next span.
+    """
+    out = []
+    for mark, group in span_groups(text, 0, len(text), size, marks):
+        so_far = [0, *accumulate(z - a + len(mark) for a, z in group)]
+        first = last = 0
+        while last < len(group):
+            if last:
+                end, beyond = so_far[last] - len(mark), so_far[last + 1] - len(mark)
+                first = min(last, max(bisect_left(so_far, end - overlap), bisect_left(so_far, beyond - size)))
+            last = max(last + 1, bisect_right(so_far, so_far[first] + size + len(mark)) - 1)
+            out.append(mark.join(text[a:z] for a, z in group[first:last]).strip())
+    return [x for x in out if x]
 
 
 class Unit(NamedTuple):
@@ -165,6 +179,7 @@ class Unit(NamedTuple):
     text: str
     header: str = ""
     above: int = 0
+    ends: int | None = None  # last line of the class that a skeleton stands for
 
 
 def python_units(source: str) -> list[Unit] | None:
@@ -192,7 +207,7 @@ def python_units(source: str) -> list[Unit] | None:
                 a, line = top(n), lines[n.lineno - 1].strip()
                 names = [m.name for m in n.body if isinstance(m, ast.FunctionDef | ast.AsyncFunctionDef)]
                 doc = ast.get_docstring(n)
-                out.append(Unit("class_skeleton", n.name, parent, a, n.lineno, "\n".join([line, *([doc] if doc else []), *(f"    def {x}" for x in names)]), f"class {n.name}"))
+                out.append(Unit("class_skeleton", n.name, parent, a, n.lineno, "\n".join([line, *([doc] if doc else []), *(f"    def {x}" for x in names)]), f"class {n.name}", 0, n.end_lineno))
                 covered.update(range(a, n.end_lineno + 1))
                 visit(n, n.name, line)
 
@@ -222,10 +237,10 @@ def within_budget(unit: Unit, budget: int) -> Iterator[tuple[int, int, int, str]
         if body.strip():
             above = max(0, unit.above - a) + (len(header.splitlines()) if a and header else 0)
             at = unit.start - unit.above
-            yield max(unit.start, at + a), min(unit.end, max(unit.start, at + z - 1)), above, f"{header}\n{body}" if a and header else body
+            yield min(unit.end, max(unit.start, at + a)), min(unit.end, max(unit.start, at + z - 1)), above, f"{header}\n{body}" if a and header else body
 
 
-SCHEMA = "path string, language string, kind string, symbol string, parent_symbol string, start_line int, end_line int, header_lines int, text string"
+SCHEMA = "path string, language string, kind string, symbol string, parent_symbol string, start_line int, end_line int, header_lines int, class_end_line int, text string"
 CODE_BUDGET, PROSE_BUDGET = 1200, 400
 
 
@@ -235,29 +250,29 @@ def structural_rows(path: str, language: str, text: str) -> Iterator[tuple]:
     but a single long line."""
     budget = CODE_BUDGET if language in V.CODE_LANGUAGES else PROSE_BUDGET
     units = python_units(text) if language == "python" else [Unit(*u) for u in T.brace_units(text, language)] if language in T.COMPILED else None
-    rows = [(path, language, u.kind, u.symbol, u.parent, a, z, above, body) for u in units or () for a, z, above, body in within_budget(u, budget)]
-    yield from rows or ((path, language, "text", None, None, a, z, 0, body) for a, z, body in line_windows(text, budget))
+    rows = [(path, language, u.kind, u.symbol, u.parent, a, z, above, u.ends, body) for u in units or () for a, z, above, body in within_budget(u, budget)]
+    yield from rows or ((path, language, "text", None, None, a, z, 0, None, body) for a, z, body in line_windows(text, budget))
 
 
 def in_batches(docs: DataFrame, rows: Callable[[str, str, str], Iterator[tuple]] = structural_rows) -> DataFrame:
     """docs (path, language, content) through a chunker of single texts, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 5 + [pa.int32()] * 3 + [pa.string()]
+        kinds = [pa.string()] * 5 + [pa.int32()] * 4 + [pa.string()]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for b in batches:
             found = [r for p, g, t in zip(*(c.to_pylist() for c in b.columns)) for r in rows(p, g, t or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 9, kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * len(kinds), kinds)], names)
 
     return docs.select("path", "language", "content").mapInArrow(run, SCHEMA)
 
 
 def character_rows(path: str, language: str, text: str) -> Iterator[tuple]:
-    yield from ((path, language, None, None, None, None, None, None, body) for body in split_characters(text))
+    yield from ((path, language, None, None, None, None, None, None, None, body) for body in split_characters(text))
 
 
 def window_rows(path: str, language: str, text: str) -> Iterator[tuple]:
-    yield from ((path, language, "text", None, None, a, z, 0, body) for a, z, body in line_windows(text))
+    yield from ((path, language, "text", None, None, a, z, 0, None, body) for a, z, body in line_windows(text))
 
 
 def by_strategy(docs: DataFrame, strategy: str) -> DataFrame:

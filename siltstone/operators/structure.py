@@ -9,6 +9,7 @@ import ast
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 
+from . import lexer as L
+
 OUTLINE = pa.struct([("docstring", pa.string()), ("classes", pa.list_(pa.struct([("name", pa.string()), ("methods", pa.list_(pa.string()))]))), ("functions", pa.list_(pa.string())), ("constants", pa.list_(pa.string())), ("imports", pa.list_(pa.string()))])
 
 
@@ -61,70 +64,108 @@ def python_cards(docs: DataFrame, listed: int = 25, imports: int = 20, members:
     return rows.select("path", card.alias("text"))
 
 
+_ARGS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+_NAMED = r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
+_BOUND = rf"(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=;]{{0,400}})?=\s*(?:async\s*)?(?:function\b|(?:<[^<>]{{0,200}}>\s*)?(?:{_ARGS}|[\w$]+)\s*(?::[^=;{{}}]{{0,200}})?=>)"
+_JAVA = r"(?:@[\w.]+(?:\([^()]{0,400}\))?\s+){0,20}(?:(?:public|private|protected|static|final|abstract|sealed|default|synchronized|native)\s+){0,8}"
 #: How declarations of brace languages begin, by language.
 STARTS = {
-    "javascript": [("class_skeleton", r"(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>"), ("method", r"(?:static\s+|async\s+|get\s+|set\s+)*(\w+)\s*\([^()]*\)\s*(?=\{)")],
-    "typescript": [("class_skeleton", r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|enum)\s+(\w+)"), ("function", r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"(?:export\s+)?(?:const|let|var)\s+(\w+)[^=;{}]*=\s*(?:async\s*)?(?:\([^()]*\)|\w+)[^={}]*=>"), ("method", r"(?:public\s+|private\s+|protected\s+|static\s+|async\s+|readonly\s+)*(\w+)\s*\([^()]*\)[^;{}]*(?=\{)")],
-    "go": [("class_skeleton", r"type\s+(\w+)\s+(?:struct|interface)"), ("function", r"func\s+(?:\([^()]*\)\s*)?(\w+)\s*\(")],
-    "rust": [("class_skeleton", r"(?:pub(?:\([^()]*\))?\s+)?(?:struct|enum|trait|mod)\s+(\w+)"), ("class_skeleton", r"impl(?:<[^<>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)"), ("function", r"(?:pub(?:\([^()]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)")],
-    "java": [("class_skeleton", r"(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+(\w+)"), ("method", r"(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)*[\w<>\[\], ]*?(\w+)\s*\([^()]*\)[^;{}=]*(?=\{)")],
+    "javascript": [("class_skeleton", rf"{_NAMED}class\s+([\w$]+)"), ("function", rf"{_NAMED}(?:async\s+)?function\s*\*?\s*([\w$]+)"), ("bound", _BOUND), ("method", rf"(?:static\s+|async\s+|get\s+|set\s+|\*\s*){{0,6}}([#\w$]+)\s*{_ARGS}\s*(?=\{{)")],
+    "typescript": [
+        ("class_skeleton", rf"{_NAMED}(?:abstract\s+)?(?:class|interface|(?:const\s+)?enum)\s+([\w$]+)"), ("function", rf"{_NAMED}(?:async\s+)?function\s*\*?\s*([\w$]+)"), ("bound", _BOUND),
+        ("method", rf"(?:public\s+|private\s+|protected\s+|static\s+|async\s+|abstract\s+|override\s+|readonly\s+|get\s+|set\s+|\*\s*){{0,8}}([#\w$]+)\??\s*(?:<[^<>]{{0,200}}>\s*)?{_ARGS}\s*(?::[^;=]{{0,400}}?)?(?=\{{|;)"),
+    ],
+    "go": [("class_skeleton", r"type\s+(\w+)(?:\[[^\[\]]*\])?\s+(?:struct|interface)\b"), ("function", r"func\s+(?:\([^()]*\)\s*)?(\w+)\s*[\[(]")],
+    "rust": [
+        ("class_skeleton", r"(?:pub(?:\([^()]*\))?\s+)?(?:unsafe\s+)?(?:struct|enum|trait|mod)\s+(\w+)"), ("class_skeleton", r"(?:unsafe\s+)?impl\b(?:\s*<[^{;]{0,200}?>)?\s+(?:[^{;]{0,200}?\bfor\s+)?(?:&\s*)?(?:[\w]+::)*(\w+)"),
+        ("function", r"(?:pub(?:\([^()]*\))?\s+)?(?:(?:async|const|unsafe|default|extern(?:\s+\"[^\"\n]{0,80}\")?)\s+){0,6}fn\s+(\w+)"),
+    ],
+    "java": [("class_skeleton", rf"{_JAVA}(?:class|@?interface|enum|record)\s+(\w+)"), ("method", rf"{_JAVA}(?:<[^;{{}}()]{{0,200}}>\s*)?(?:[\w.<>\[\],?&]{{1,200}}\s+){{0,8}}?(\w+)\s*{_ARGS}\s*(?:throws\s+[\w.,\s]{{1,300}})?(?=\{{|;)")],
 }
-COMPILED = {g: [(k, re.compile(r"\s*" + p)) for k, p in rules] for g, rules in STARTS.items()}
-KEYWORDS = frozenset("if for while switch catch return else do try new throw match loop".split())
-SKIPPED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*'", re.S)
+COMPILED = {g: [(k, re.compile(r"[ \t]*" + p)) for k, p in rules] for g, rules in STARTS.items()}
+KEYWORDS = frozenset("if for while switch catch return else do try new throw match loop super this assert".split())
+_BRACED = re.compile(r"\s*\{")
+_UNDONE = re.compile(r"(?:=>|[-+*/%&|=<>^?:,.(\[{])\Z")
+_CONTINUES = re.compile(r"\s*(?:[.?:+*/&|,)=<>%^\]}-]|instanceof\b|in\b)")
+
+
+def _body_end(found: L.Scan, language: str, start: int, after: int, kind: str) -> int:
+    """Place of the end of a declaration that begins at start and whose rule matched up to `after`: the brace that closes
+    its body, else its statement's end, else the text's."""
+    last, depth = len(found.plain) - 1, found.depth_at(start)
+    place = after
+    while (mark := found.mark_from(place, depth)) is not None:
+        if found.plain[mark] == ";":
+            return mark
+        close = found.closes.get(mark)
+        if close is None:
+            return last
+        before = found.plain[max(start, mark - 200) : mark].rstrip()
+        of_type = kind != "class_skeleton" and (language == "go" and re.search(r"\b(?:interface|struct)\Z", before) or language == "typescript" and re.search(r"\)\s*:\Z|[|&]\Z", before))
+        if not of_type:
+            return close
+        place = close + 1
+    return last
 
 
 def brace_units(source: str, language: str) -> list[tuple]:
-    """(kind, symbol, parent, first line, last line, text, header, restated lines): containers, functions in them or at the
-    top, and module runs."""
-    rules = COMPILED[language]
-    plain = SKIPPED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)  # strings and comments blanked, places kept
-    lines, bare = source.splitlines(), plain.splitlines()
-    begins = [0]
-    for x in plain.splitlines(keepends=True):
-        begins.append(begins[-1] + len(x))
-    stack, out, covered = [], [], set()
+    """(kind, symbol, parent, first line, last line, text, header, restated lines, last line of the container or None): containers
+    with their members' first lines, functions in them or at the top, and module runs. Time in proportion to the text."""
+    rules, found = COMPILED[language], L.scan(source, language)
+    plain, lines = found.plain, source.splitlines()
+    begins = list(accumulate(map(len, plain.splitlines(keepends=True)), initial=0))
+    depths = [found.depth_at(p) for p in begins[:-1]]
+    bare = [plain[a:z].strip() for a, z in pairwise(begins)]
     line_of = lambda p: min(bisect_right(begins, p), len(lines))
+    stack, out, members = [], [], []  # stack: (place in out, name, last line, declaration, depth of its members)
+    cover = [0] * (len(lines) + 2)
 
-    def end_of(p: int) -> int:
-        """Place of the brace that closes the first one from p on; the statement's end without one."""
-        stop = re.compile(r"[{;]").search(plain, p)
-        if not stop or stop[0] == ";":
-            return stop.start() if stop else len(plain) - 1
-        level = 0
-        for m in re.compile(r"[{}]").finditer(plain, stop.start()):
-            level += 1 if m[0] == "{" else -1
-            if not level:
-                return m.start()
-        return len(plain) - 1
+    def expression_end(k: int, depth: int) -> int:
+        """Last line of an expression on line k: the first that ends no deeper, unless the next one goes on."""
+        while k < len(lines) - 1 and (depths[k + 1] > depth or _UNDONE.search(bare[k]) or _CONTINUES.match(bare[k + 1])):
+            k += 1
+        return k + 1
 
     k = 0
-    while k < len(bare):
-        while stack and k + 1 > stack[-1][1]:
+    while k < len(lines):
+        while stack and k + 1 > stack[-1][2]:
             stack.pop()
-        parent = stack[-1][0] if stack else None
+        own = stack[-1] if stack else None
+        if not bare[k] or depths[k] != (own[4] if own else 0):
+            k += 1
+            continue
         for kind, rule in rules:
-            m = rule.match(bare[k])
-            if not m or m[1] in KEYWORDS or (kind == "method" and parent is None):
+            m = rule.match(plain, begins[k])
+            if not m or m[1] in KEYWORDS or (kind == "method" and own is None) or (kind == "bound" and own is not None):
                 continue
-            last = line_of(end_of(begins[k]))
+            if kind == "bound" and m[0].endswith("=>") and not _BRACED.match(plain, m.end()):
+                last = expression_end(k, depths[k])
+            else:
+                last = line_of(_body_end(found, language, begins[k], m.end(), kind))
+            first = lines[k].strip()
             if kind == "class_skeleton":
-                out.append((kind, m[1], parent, k + 1, k + 1, lines[k].strip(), lines[k].strip(), 0))
-                covered.update(range(k + 1, last + 1))
-                stack.append((m[1], last, lines[k].strip()))
+                stack.append((len(out), m[1], last, first, depths[k] + 1))
+                members.append([first])
+                out.append([kind, m[1], own[1] if own else None, k + 1, k + 1, len(members) - 1, first, 0, last])
             else:
                 body = "\n".join(lines[k:last])
-                out.append(("function", m[1], parent, k + 1, last, f"{stack[-1][2]}\n{body}" if stack else body, lines[k].strip(), int(bool(stack))))
-                covered.update(range(k + 1, last + 1))
-                k = last - 1
+                if own:
+                    members[out[own[0]][5]].append(f"    {first}")
+                out.append(["function", m[1], own[1] if own else None, k + 1, last, f"{own[3]}\n{body}" if own else body, first, int(bool(own)), None])
+            cover[k + 1] += 1
+            cover[last + 1] -= 1
+            k = k if kind == "class_skeleton" else last - 1
             break
         k += 1
-    run: list[int] = []
-    for n in [*range(1, len(lines) + 1), None]:
-        if n is None or n in covered:
+    for u in out:
+        if u[0] == "class_skeleton":
+            u[5] = "\n".join(members[u[5]])
+    covered, run = list(accumulate(cover)), []
+    for n in range(1, len(lines) + 2):
+        if n > len(lines) or covered[n]:
             if run:
-                out.append(("module", None, None, run[0], run[-1], "\n".join(lines[run[0] - 1 : run[-1]]), "// module level", 0))
+                out.append(["module", None, None, run[0], run[-1], "\n".join(lines[run[0] - 1 : run[-1]]), "// module level", 0, None])
             run = []
         elif lines[n - 1].strip():
             run.append(n)
-    return sorted(out, key=lambda u: (u[3], u[4]))
+    return sorted(map(tuple, out), key=lambda u: (u[3], u[4]))

@@ -15,6 +15,7 @@ from siltstone.operators import chunk as C
 from siltstone.operators import index as I
 from siltstone.operators import registry as G
 from siltstone.operators import structure as T
+from siltstone.operators import tables as N
 from siltstone.sources import fixtures as S
 from siltstone.sources import tree as R
 from siltstone.sources import walk as W
@@ -147,6 +148,13 @@ def emit_windowed(spark, sf_dir):
     return _windowed(spark, sf_dir).select("path", "part", "part_count", "start_line", "end_line", "header_lines", F.length("text").alias("chars"))
 
 
+def windowed_lines(spark, sf_dir):
+    """Parts of files over the budget, by the table function over their lines."""
+    N.register(spark)
+    lines = C.numbered_lines(S.files(spark, sf_dir).where(X.token_count(F.col("content")) > 200)).select("path", F.col("line_no").cast("int").alias("line_no"), "line")
+    return spark.sql("SELECT path, part, start_line, end_line, header_lines, length(text) AS chars FROM windowed_lines(TABLE(SELECT * FROM {lines}) PARTITION BY path ORDER BY (line_no), 200)", lines=lines)
+
+
 def chunk_ids(spark, sf_dir):
     rows = C.markdown_sections(outline(spark, sf_dir)).withColumn("part", F.lit(None).cast("int"))
     return C.with_ids(rows).select("chunk_id", "path", "start_line", "end_line", "ordinal")
@@ -177,40 +185,48 @@ def chunk_recursive(spark, sf_dir):
     return C.in_batches(S.files(spark, sf_dir), C.character_rows).select("path", F.length("text").alias("chars"))
 
 
-def sample_code(spark, sf_dir):
-    """A small Python module for each document."""
-    i = F.col("doc_id").cast("string")
-    code = F.concat(F.lit("import os\n\nLIMIT = "), i, F.lit("\n\n\nclass Store"), i, F.lit(":\n    \"\"\"Keeps things.\"\"\"\n\n    def get(self, key):\n        return key\n\n    def _put(self):\n        pass\n\n\n@cache\ndef load"), i, F.lit("(path):\n    return Store"), i, F.lit("()\n"))
-    return S.files(spark, sf_dir).select("path", F.lit("python").alias("language"), F.when(F.col("doc_id") % 10 == 0, F.concat(code, F.lit("def broken(:\n"))).otherwise(code).alias("content"))
+#: Each language's first line, container, field, function (with its number and its comment) and end, and the lines of a function.
+CODE = {
+    "python": ("import os", "class Store{}:", "    limit = 1", "    def get{}(self, key):\n        # {}\n        return key", "", 3),
+    "javascript": ("import x from 'y';", "export class Store{} {", "  limit = /[{]/;", "  get{}(key) {\n    // {} }\n    return `{${key}`;\n  }", "}", 4),
+    "typescript": ("import x from 'y';", "export class Store{} {", "  limit: {a: number};", "  get{}(key: string): string {\n    // {} }\n    return key;\n  }", "}", 4),
+    "go": ("package main", "type Store{} struct {\n\tlimit int", "}", "func get{}(key rune) rune {\n\t// {} }\n\treturn '{'\n}", "", 4),
+    "rust": ("use std::fmt;", "impl<'a> Store{} {", "    const LIMIT: char = '{';", "    pub fn get{}<'b>(key: &'b str) -> &'b str {\n        // {} }\n        key\n    }", "}", 4),
+    "java": ("import java.util.*;", "public class Store{} {", "    private char limit = '{';", "    public String get{}(String key) {\n        // {} }\n        return key;\n    }", "}", 4),
+}
 
 
-def chunk_python(spark, sf_dir):
-    return C.in_batches(sample_code(spark, sf_dir)).drop("text")
+def code_files(spark, sf_dir):
+    """Each document as a source file of one of six languages: its whole text, twelve words to a function."""
+    names, i = list(CODE), F.col("doc_id")
+    each = lambda k: _at([CODE[n][k] for n in names], i % 6)
+    groups = F.transform(F.regexp_extract_all("content", F.lit(r"(?:\S+\s+){0,11}\S+"), F.lit(0)), lambda g: F.regexp_replace(g, r"\s+", " "))
+    # two fillers of a function: its number, then its comment
+    first = F.substring_index(each(3), "{}", 1)
+    body = F.transform(groups, lambda g, n: F.concat(first, n.cast("string"), F.replace(F.substring(each(3), F.length(first) + 3, F.lit(1000)), F.lit("{}"), g)))
+    lines = F.concat(F.array(each(0), F.lit(""), F.replace(each(1), F.lit("{}"), i.cast("string")), each(2)), body, F.array(each(4)))
+    return S.files(spark, sf_dir).select("doc_id", "path", _at(names, i % 6).alias("language"), F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("content"))
 
 
-BRACES = {
-    "javascript": "import x from 'y';\n\nexport class Store%s {\n  get(key) {\n    return \"}\" + key;\n  }\n}\n\nconst load%s = (a) => {\n  return a;\n};\n",
-    "go": "package main\n\ntype Store%s struct {\n\tname string\n}\n\nfunc (s *Store%s) Get() string {\n\treturn s.name // }\n}\n",
-    "rust": "use std::fmt;\n\npub struct A%s {\n    x: u8,\n}\n\nimpl A%s {\n    pub fn get(&self) -> u8 {\n        self.x\n    }\n}\n",
-    "java": "import java.util.*;\n\npublic class A%s {\n    private int x;\n\n    public int get%s() {\n        return x;\n    }\n}\n",
-}
+def _chunk_rows(rows):
+    return C.in_batches(rows).select("path", "language", "kind", "symbol", "parent_symbol", "start_line", "end_line", "class_end_line").distinct()
+
+
+def chunk_python(spark, sf_dir):
+    return _chunk_rows(code_files(spark, sf_dir).where("language = 'python'"))
 
 
 def chunk_braces(spark, sf_dir):
-    """A small file of one of four languages for each document."""
-    i, names = F.col("doc_id"), list(BRACES)
-    code = _at([BRACES[n] for n in names], i % 4)
-    rows = S.files(spark, sf_dir).select("path", _at(names, i % 4).alias("language"), F.replace(code, F.lit("%s"), i.cast("string")).alias("content"))
-    return C.in_batches(rows).drop("text", "header_lines")
+    return _chunk_rows(code_files(spark, sf_dir).where("language <> 'python'"))
 
 
 def card_python(spark, sf_dir):
-    return T.python_cards(sample_code(spark, sf_dir))
+    return T.python_cards(code_files(spark, sf_dir).where("language = 'python'"))
 
 
 def _strategy(spark, sf_dir, strategy):
     """Every second file is code."""
-    code = sample_code(spark, sf_dir).join(S.files(spark, sf_dir).where("doc_id % 2 = 0").select("path"), "path")
+    code = code_files(spark, sf_dir).where("doc_id % 2 = 0").select("path", "language", "content")
     prose = S.files(spark, sf_dir).where("doc_id % 2 = 1").select("path", F.lit("text").alias("language"), "content")
     return C.by_strategy(prose.union(code), strategy).groupBy("path", "language").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
@@ -228,8 +244,8 @@ def strategy_ast_code(spark, sf_dir):
 
 
 def chunk_dispatch(spark, sf_dir):
-    rows = S.files(spark, sf_dir).select("path", F.lit("text").alias("language"), "content").union(sample_code(spark, sf_dir))
-    return C.in_batches(rows).groupBy("language", "kind").agg(F.count("*").alias("chunks"))
+    """Chunks of files of all languages, each by its own chunker."""
+    return _chunk_rows(code_files(spark, sf_dir))
 
 
 def card_markdown(spark, sf_dir):
@@ -424,6 +440,6 @@ def manifest_roundtrip(spark, sf_dir):
     return spark.read.schema(rows.schema).option("mode", "PERMISSIVE").json(path).select("package", "files_indexed", "bytes", "duplicates.total_chunks", "duplicates.unique_chunks")
 
 
-QUERIES = [scan_documents, scan_tree, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_braces, chunk_dispatch, strategy_text, strategy_ast, strategy_ast_code, card_python, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
+QUERIES = [scan_documents, scan_tree, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, windowed_lines, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_braces, chunk_dispatch, strategy_text, strategy_ast, strategy_ast_code, card_python, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
 
 from siltstone.plans.corpus_sql import SQL  # noqa: E402, F401

@@ -42,7 +42,16 @@ _WINDOWED = f"""{_FILES}, units AS (SELECT path, content, tokens, lines, substr(
     fold AS (SELECT path, 1 AS i, 1 AS part, greatest(1, length(lines[1]) // 4) + 1 AS used FROM units WHERE tokens > 200 UNION ALL
         SELECT f.path, f.i + 1, CASE WHEN f.used + greatest(1, length(u.lines[f.i + 1]) // 4) + 1 > u.budget THEN f.part + 1 ELSE f.part END, CASE WHEN f.used + greatest(1, length(u.lines[f.i + 1]) // 4) + 1 > u.budget THEN 0 ELSE f.used END + greatest(1, length(u.lines[f.i + 1]) // 4) + 1 FROM fold f JOIN units u ON u.path = f.path WHERE f.i < len(u.lines)),
     parts AS (SELECT f.path, f.part, max(f.part) OVER (PARTITION BY f.path) AS part_count, min(f.i) AS a, max(f.i) AS z, string_agg(u.lines[f.i], chr(10) ORDER BY f.i) AS body, any_value(u.head) AS head FROM fold f JOIN units u USING (path) GROUP BY f.path, f.part)"""
+_CODE = """code AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS path, ['python', 'javascript', 'typescript', 'go', 'rust', 'java'][doc_id % 6 + 1] AS language, ((len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) + 11) // 12)::INT AS n FROM documents),
+    shaped AS (SELECT *, CASE WHEN language = 'python' THEN 3 ELSE 4 END AS k, CASE WHEN language = 'go' THEN 6 ELSE 5 END AS first FROM code),
+    code_chunks AS (SELECT path, language, 'module' AS kind, NULL AS symbol, NULL AS parent_symbol, 1::INT AS start_line, 1::INT AS end_line, NULL::INT AS class_end_line FROM shaped
+        UNION ALL SELECT path, language, 'class_skeleton', 'Store' || doc_id, NULL, 3, 3, (CASE language WHEN 'go' THEN 5 WHEN 'python' THEN 4 + 3 * n ELSE 5 + 4 * n END)::INT FROM shaped
+        UNION ALL SELECT path, language, 'function', 'get' || i, CASE WHEN language <> 'go' THEN 'Store' || doc_id END, (first + k * i)::INT, (first + k * i + k - 1)::INT, NULL FROM (SELECT *, unnest(range(n)) AS i FROM shaped))"""
 SQL = {
+    "chunk_dispatch": f"WITH {_CODE} SELECT * FROM code_chunks",
+    "chunk_python": f"WITH {_CODE} SELECT * FROM code_chunks WHERE language = 'python'",
+    "chunk_braces": f"WITH {_CODE} SELECT * FROM code_chunks WHERE language <> 'python'",
+    "card_python": f"""WITH {_CODE} SELECT path, path || ' — Python module in package ' || string_split(path, '/')[1] || '.' || chr(10) || 'Defines classes: Store' || doc_id || CASE WHEN n > 0 THEN ' (methods: ' || array_to_string(list_transform(range(least(n, 8)), lambda i: 'get' || i), ', ') || ')' ELSE '' END || '.' || chr(10) || 'Depends on: os.' AS text FROM code WHERE language = 'python'""",
     "scan_documents": f"WITH {_FILES} SELECT path, language, size_bytes FROM files",
     "scan_tree": f"""WITH {_TREE}, held AS (SELECT s.path, s.name, s.language, CASE WHEN d.doc_id % 17 = 0 THEN 0 WHEN d.doc_id % 97 = 0 THEN 1000001 WHEN d.doc_id % 23 = 0 OR d.doc_id % 29 = 0 THEN octet_length(encode(d.text)) + 1 ELSE octet_length(encode(d.text)) END AS size_bytes, d.doc_id, d.text FROM spoken s JOIN documents d USING (doc_id) WHERE NOT pruned),
         judged AS (SELECT *, CASE WHEN NOT regexp_matches(path, '^(docs|src|lib)/') THEN 'outside include list' WHEN starts_with(path, 'src/src1/') THEN 'user excluded' WHEN list_contains({_list(V.IGNORED_NAMES)}, name) THEN 'ignored filename' WHEN len(list_filter({_list(V.IGNORED_SUFFIXES)}, lambda s: ends_with(name, s))) > 0 THEN 'ignored extension'
@@ -66,6 +75,7 @@ SQL = {
     "module_runs": f"WITH {_RUNS} SELECT * FROM runs",
     "emit_windowed": f"""WITH RECURSIVE {_WINDOWED} SELECT path, NULL::INT AS part, NULL::INT AS part_count, 10 AS start_line, 10 + len(lines) - 1 AS end_line, 0 AS header_lines, length(content) AS chars FROM units WHERE tokens <= 200
         UNION ALL SELECT path, part, part_count, 10 + a - 1, 10 + z - 1, CASE WHEN part > 1 AND head <> '' THEN 1 ELSE 0 END, length(trim(CASE WHEN part > 1 THEN head || chr(10) || body ELSE body END)) FROM parts""",
+    "windowed_lines": f"""WITH RECURSIVE {_WINDOWED} SELECT path, part, a::INT AS start_line, z::INT AS end_line, CASE WHEN part > 1 AND head <> '' THEN 1 ELSE 0 END AS header_lines, length(trim(CASE WHEN part > 1 THEN head || chr(10) || body ELSE body END)) AS chars FROM parts""",
     "chunk_ids": f"WITH {_NUMBERED} SELECT chunk_id, path, start_line, end_line, ordinal FROM ids",
     "chunk_metadata": f"""WITH {_NUMBERED} SELECT chunk_id, ordinal AS doc_index, length(text) AS content_length, '{{"path":"' || path || '","start_line":' || start_line || ',"end_line":' || end_line || '}}' AS meta FROM ids""",
     "symbol_text": f"""WITH {_FILES}, n AS (SELECT doc_id, package, ({_tokens('content')})[1] AS name FROM files WHERE len({_tokens('content')}) > 0), q AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN name WHEN 1 THEN package || '.' || name END AS qualified FROM n)

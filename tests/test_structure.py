@@ -1,6 +1,17 @@
+import random
+import time
+
+from siltstone.operators import chunk as C
 from siltstone.operators import providers as P
 from siltstone.operators import structure as T
-from siltstone.plans.corpus import BRACES
+from siltstone.operators import tables as N
+
+BRACES = {
+    "javascript": "import x from 'y';\n\nexport class Store%s {\n  get(key) {\n    return \"}\" + key;\n  }\n}\n\nconst load%s = (a) => {\n  return a;\n};\n",
+    "go": "package main\n\ntype Store%s struct {\n\tname string\n}\n\nfunc (s *Store%s) Get() string {\n\treturn s.name // }\n}\n",
+    "rust": "use std::fmt;\n\npub struct A%s {\n    x: u8,\n}\n\nimpl A%s {\n    pub fn get(&self) -> u8 {\n        self.x\n    }\n}\n",
+    "java": "import java.util.*;\n\npublic class A%s {\n    private int x;\n\n    public int get%s() {\n        return x;\n    }\n}\n",
+}
 
 
 def units(language):
@@ -36,3 +47,106 @@ def test_offline_answers(spark):
     got = {r["question_id"]: r["answer"] for r in P.answer(questions, sources, P.ExtractiveChat()).collect()}
     assert got[1] == "First line. [1] Second. [2]" and got[2].startswith("INSUFFICIENT_CONTEXT")
     assert P.OverlapJudge().verdict("the first line", "First line of the text") == "supported"
+
+
+def parts(source, language):
+    return [(u[0], u[1], u[2], u[3], u[4], u[8]) for u in T.brace_units(source, language)]
+
+
+def texts(source, language):
+    return {(u[0], u[1]): u[5] for u in T.brace_units(source, language)}
+
+
+def test_javascript_by_lexer():
+    source = """import x from "y";
+export class A extends B {
+  get(x) { return /[{]/.test(x) ? `a${x ? `}${"`"}` : "{"}b` : 1; }
+  static async set(y) {
+    if (y) { foo(y); }
+    return y / 2 / 3; // }
+  }
+  #hid() { return 'don\\'t {' }
+}
+const f = (a, {b}) => {
+  return a;
+};
+const g = x => x + 1
+const h = async (a) =>
+  a.b
+   .c;
+const PORT = 3000;
+function k({a, b}, c = {}) {
+  return {a};
+}
+var z = function (q) { return q }
+"""
+    assert parts(source, "javascript") == [
+        ("module", None, None, 1, 1, None), ("class_skeleton", "A", None, 2, 2, 9), ("function", "get", "A", 3, 3, None), ("function", "set", "A", 4, 7, None), ("function", "#hid", "A", 8, 8, None),
+        ("function", "f", None, 10, 12, None), ("function", "g", None, 13, 13, None), ("function", "h", None, 14, 16, None), ("module", None, None, 17, 17, None), ("function", "k", None, 18, 20, None), ("function", "z", None, 21, 21, None),
+    ]
+    assert texts(source, "javascript")["class_skeleton", "A"].splitlines() == ["export class A extends B {", "    " + source.splitlines()[2].strip(), "    static async set(y) {", "    " + source.splitlines()[7].strip()]
+
+
+def test_typescript_by_lexer():
+    source = "interface S<T> {\n  get(x: string): T;\n  name: string;\n}\nexport abstract class C<T> implements S<T> {\n  private x: {a: number} = {a: 1};\n  abstract run(): void;\n  get(x: string): {a: number} {\n    return this.x;\n  }\n  constructor(private readonly y: Y) { super(); }\n}\nexport const fn = async <T>(a: T): Promise<T> => {\n  return a;\n};\nenum E { A, B }\n"
+    assert parts(source, "typescript") == [
+        ("class_skeleton", "S", None, 1, 1, 4), ("function", "get", "S", 2, 2, None), ("class_skeleton", "C", None, 5, 5, 12), ("function", "run", "C", 7, 7, None), ("function", "get", "C", 8, 10, None), ("function", "constructor", "C", 11, 11, None),
+        ("function", "fn", None, 13, 15, None), ("class_skeleton", "E", None, 16, 16, 16),
+    ]
+
+
+def test_rust_go_and_java_by_lexer():
+    rust = "struct P<'a> { x: &'a str }\nimpl<'a> fmt::Display for P<'a> {\n    fn fmt(&self, f: &mut fmt::Formatter<'_>) -> fmt::Result {\n        let c = '{'; let s = r#\"}\"{\"#; /* a /* } */ } */\n        write!(f, \"{}\", self.x)\n    }\n}\ntrait Area {\n    fn area(&self) -> f64;\n    fn two(&self) -> u8 { 2 }\n}\nmod inner {\n    pub fn deep() {}\n}\npub(crate) async fn top<T>(t: T) where T: Clone {\n}\n"
+    assert parts(rust, "rust") == [
+        ("class_skeleton", "P", None, 1, 1, 1), ("class_skeleton", "P", None, 2, 2, 7), ("function", "fmt", "P", 3, 6, None), ("class_skeleton", "Area", None, 8, 8, 11), ("function", "area", "Area", 9, 9, None), ("function", "two", "Area", 10, 10, None),
+        ("class_skeleton", "inner", None, 12, 12, 14), ("function", "deep", "inner", 13, 13, None), ("function", "top", None, 15, 16, None),
+    ]
+    go = "package main\nfunc (s *S) Get(a map[string]interface{}) interface{} {\n\tx := `raw } {`\n\treturn '}'\n}\nfunc F[T any](t T) (int, error) { return 0, nil }\ntype I interface {\n\tDo()\n}\n"
+    assert parts(go, "go") == [("module", None, None, 1, 1, None), ("function", "Get", None, 2, 5, None), ("function", "F", None, 6, 6, None), ("class_skeleton", "I", None, 7, 7, 9)]
+    java = 'public class A<T> extends B {\n    private int x = foo(1);\n    static { init(); }\n    public A(@Named("x") int y) { this.x = y; }\n    @Override\n    public <R> List<R> get(Map<String, List<T>> m) throws IOException {\n        String s = """\n            } { "quoted"\n            """;\n        return null;\n    }\n    interface Inner {\n        int f(int a);\n    }\n    abstract void g();\n}\n'
+    assert parts(java, "java") == [
+        ("class_skeleton", "A", None, 1, 1, 16), ("function", "A", "A", 4, 4, None), ("function", "get", "A", 5, 11, None), ("class_skeleton", "Inner", "A", 12, 12, 14), ("function", "f", "Inner", 13, 13, None), ("function", "g", "A", 15, 15, None),
+    ]
+
+
+def test_units_of_odd_sources_take_linear_time():
+    for line, language in (("class A {", "javascript"), ("function f(", "javascript"), ("`${", "javascript"), ("const f = (a", "typescript"), ("x(((((", "java"), ("public public x", "java"), ("impl <a", "rust"), ("fn a() { /*", "rust"), ("class A { get(x) {\n return x } }", "javascript"), ("func (", "go"), ("\"'`/{", "javascript")):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            T.brace_units(f"{line}\n" * n, language)
+            took.append(time.process_time() - began)
+        assert took[1] < max(1.0, 9 * took[0]), (line, took)
+    # lines end where str.splitlines() ends them, in strings too
+    assert [u[3:5] for u in T.brace_units('function a() { return "x\u2028y" }\nfunction b() {}\n', "javascript")] == [(1, 2), (3, 3)]
+
+
+def test_windows_as_a_table_function(spark):
+    N.register(spark)
+    rng = random.Random(2)
+    files = {f"p{k}": "\n".join("word " * rng.randint(0, 60) for _ in range(rng.randint(30, 90))) for k in range(6)} | {"one": "x", "long": "y" * 5000 + "\nz"}
+    spark.createDataFrame([(p, n + 1, x) for p, t in files.items() for n, x in enumerate(C.plain_lines(t))], "path string, line_no int, line string").repartition(3).createOrReplaceTempView("lines_of_files")
+    got = sorted(tuple(r) for r in spark.sql("SELECT path, part, start_line, end_line, header_lines, text FROM windowed_lines(TABLE(SELECT path, line_no, line FROM lines_of_files) PARTITION BY path ORDER BY (line_no), 200)").collect())
+    want = [(p, n or 1, a, z, h, x.strip(" ")) for p, t in files.items() for n, _, a, z, h, x in C.windowed_parts(t, 1, C.plain_lines(t)[0], 200)]
+    assert got == sorted(want)
+    began = time.time()
+    lines = ["word " * 5] * 200_000
+    assert len(list(C.windowed_parts("\n".join(lines), 1, "head", 200))) > 7_000 and time.time() - began < 5
+    N.register_chunker(spark, "paragraphs", lambda path, language, text: ((path, n, x) for n, x in enumerate(text.split("\n\n"))), "path string, n int, text string")
+    spark.createDataFrame([("a", "text", "x\n\ny"), ("b.py", "python", None)], "path string, language string, content string").createOrReplaceTempView("files_of_a_user")
+    assert sorted(map(tuple, spark.sql("SELECT c.* FROM files_of_a_user f, LATERAL paragraphs(f.path, f.language, f.content) c").collect())) == [("a", 0, "x"), ("a", 1, "y"), ("b.py", 0, "")]
+    assert [r["text"] for r in spark.sql("SELECT c.text FROM files_of_a_user f, LATERAL source_chunks(f.path, f.language, f.content) c").collect()] == ["x\n\ny"]
+
+
+def test_splitter_keeps_to_its_size():
+    text = "one two three\n\nfour five " + "x" * 30 + "\nsix"
+    got = C.split_characters(text, 12, 4)
+    assert all(0 < len(x) <= 12 for x in got) and got[:2] == ["one two", "two three"] and got[-1] == "six"
+    assert C.split_characters("", 10, 2) == [] and C.split_characters("ab cd", 10, 2) == ["ab cd"]
+
+
+def test_skeletons_end_where_their_class_does(spark):
+    rows = [("a.py", "python", "class A:\n    x = 1\n    def f(self):\n        pass\n"), ("b.js", "javascript", "class B {\n  f() {}\n}\n")]
+    got = {(r["path"], r["kind"]): (r["start_line"], r["end_line"], r["class_end_line"], r["text"]) for r in C.in_batches(spark.createDataFrame(rows, "path string, language string, content string")).collect()}
+    assert got["a.py", "class_skeleton"][:3] == (1, 1, 4) and got["b.js", "class_skeleton"] == (1, 1, 3, "class B {\n    f() {}")
+    assert got["a.py", "function"][2] is None
