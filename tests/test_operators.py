@@ -86,6 +86,37 @@ def test_limiter_stream_lets_old_state_go(spark, tmp_path):
     assert got == {**{i: True for i in range(20)}, 100: True, 101: False} and kept == 1
 
 
+def test_limiter_stream_with_a_ceiling_equals_batch_over_a_restart(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([0, 0, 1, 2]), float(i // 2)) for i in range(160)]
+    schema = "event_id long, key long, at double"
+    limited = lambda: L.limit_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), limit=4, seconds=6.0, ceiling=90)
+    got = {}
+    for run in range(2):  # a restart from the checkpoint between the second and the third micro-batch
+        for n in (2 * run, 2 * run + 1):
+            lot = rows[n * 40 : n * 40 + 40]
+            rng.shuffle(lot)
+            spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = limited().writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+    got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r["event_id"]: r["allowed"] for r in L.limit_batch(spark.createDataFrame(rows, schema), 4, 6.0, 90).collect()}
+    assert len(got) == 160 and got == want and 0 < sum(want.values()) < 90
+
+
+def test_metrics_stream_counts_by_window(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "/a", 200, 10.0), ("2024-01-01 00:50:00", "/a", 500, 20.0), ("2024-01-01 00:20:00", "/b", 200, 5.0), ("2024-01-01 01:05:00", "/a", 200, 7.0)]
+    log = spark.createDataFrame(rows, "t string, path string, status int, ms double").select(F.to_timestamp("t").alias("ts"), "path", "status", "ms")
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    log.where("path = '/z'").unionByName(spark.sql("SELECT timestamp'2024-01-01 05:00:00' AS ts, '/late' AS path, 200 AS status, 1.0D AS ms")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = L.metrics_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.outputMode("append").format("memory").queryName("request_windows").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(str(r["start"]), r["path"], r["requests"], r["mean_ms"]) for r in spark.table("request_windows").collect()} == {("2024-01-01 00:00:00", "/a", 2, 15.0), ("2024-01-01 00:00:00", "/b", 1, 5.0), ("2024-01-01 01:00:00", "/a", 1, 7.0)}
+
+
 def test_ordinals_run_over_paths_in_order(spark):
     rows = [(f"p{i % 37}/{'x' * (i % 5)}", i, i + 1, None if i % 2 else i) for i in range(300)]
     got = C.with_ids(spark.createDataFrame(rows, "path string, start_line int, end_line int, part int")).collect()
