@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,43 @@ def compare_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     return long(after, "after").join(long(before, "before"), ["segment", "metric"]).select("segment", "metric", "before", "after", F.round(F.col("after") - F.col("before"), 9).alias("delta"))
 
 
+METRICS = ("hit_at_1", "hit_at_5", "hit_at_10", "reciprocal_rank")
+#: Up to which share of draws a Poisson count of mean one is 0, 1, 2, ...
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def draw_weight(question: Column, round_no: Column) -> Column:
+    """A Poisson(1) count that depends on the question and the round alone, so a retried task draws the same."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", question.cast("string"), round_no.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    # transform() computes the hash once for all comparisons
+    return F.element_at(F.transform(F.array(u), lambda x: sum(((x >= share).cast("int") for share in POISSON), F.lit(0))), 1)
+
+
+def noise_floor(before: DataFrame, after: DataFrame, rounds: int = 500, share: float = 0.95) -> DataFrame:
+    """How far a metric's difference of two runs over the same questions could come from the choice of questions: segment
+    (overall or a type), metric, questions, delta, low, high, real (the interval leaves out zero).
+
+    A paired Poisson bootstrap in one pass: each question counts draw_weight times in a round, in both runs alike; tasks
+    add up weighted differences by round before the shuffle, and a segment's `rounds` differences give the interval that holds `share` of them. Rounds in which no question
+    of a segment counts are left out. before, after: question_metrics.
+    """
+    values = lambda df, n: df.select("question_id", "type", *[F.col(m).cast("double").alias(f"{n}_{m}") for m in METRICS])
+    pairs = values(after, "a").join(values(before, "b").drop("type"), "question_id")
+    segments = F.explode(F.array(F.lit("overall"), F.col("type"))).alias("segment")
+    diffs = pairs.select("question_id", segments, *[(F.col(f"a_{m}") - F.col(f"b_{m}")).alias(m) for m in METRICS])
+    # round 0 counts every question once: what was observed
+    number = F.col("round")
+    drawn = diffs.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds)))).withColumn("w", F.when(number == 0, 1).otherwise(draw_weight(F.col("question_id"), number)))
+    means = drawn.groupBy("segment", "round").agg(F.count("*").alias("n"), *[F.round(F.sum(F.col("w") * F.col(m)) / F.nullif(F.sum("w"), F.lit(0)), 9).alias(m) for m in METRICS])
+    each = [F.struct(F.lit(m).alias("metric"), F.max(F.when(number == 0, F.col(m))).alias("delta"), F.sort_array(F.collect_list(F.when(number > 0, F.col(m)))).alias("draws")) for m in METRICS]
+    out = means.groupBy("segment").agg(F.max("n").alias("questions"), F.array(*each).alias("each")).select("segment", "questions", F.explode("each").alias("e")).select("segment", "questions", "e.*")
+    cut = (1 - share) / 2
+    n = F.size("draws")
+    at = lambda k: F.element_at("draws", k.cast("int"))
+    out = out.select("segment", "metric", "questions", "delta", at(F.floor(n * F.lit(cut)) + 1).alias("low"), at(F.greatest(F.ceil(n * F.lit(1 - cut)), F.lit(1))).alias("high"))
+    return out.withColumn("real", (F.col("low") > 0) | (F.col("high") < 0))
+
+
 #: Weights (semantic, lexical) and constants of a sweep; pure modes ignore the constant.
 GRID = [(1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 2.0), (1.0, 3.0), (1.0, 5.0), (0.5, 1.0), (0.25, 1.0)]
 SWEEP_K = (10, 60)

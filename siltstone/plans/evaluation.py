@@ -91,6 +91,10 @@ def compare_metrics(spark, sf_dir):
     return E.compare_metrics(E.retrieval_report(_metrics(spark, sf_dir, "b")), E.retrieval_report(_metrics(spark, sf_dir, "a")))
 
 
+def noise_floor(spark, sf_dir):
+    return E.noise_floor(_metrics(spark, sf_dir, "b"), _metrics(spark, sf_dir, "a"))
+
+
 def rewrite_report(spark, sf_dir):
     both = E.question_metrics(runs(spark, sf_dir), S.golden(spark, sf_dir), ("run",))
     hit = lambda k: F.round(F.avg(F.col(f"hit_at_{k}").cast("int")), 9).alias(f"recall_{k}")
@@ -187,7 +191,7 @@ def looks_dependent(spark, sf_dir):
     return S.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", X.looks_dependent(F.col("text")).alias("dependent"))
 
 
-QUERIES = [load_golden, first_hit_rank, question_metrics, retrieval_report, compare_runs, compare_metrics, rewrite_report, fusion_sweep, parse_markers, refusal_flag, verify_span, verify_answer, verification_summary, answer_marks, build_context, answer_grade, answer_report, gradeable, claim_report, worst_answers, judge_validation, stratified_sample, history_turns, format_history, chat_messages, list_messages, looks_dependent]
+QUERIES = [load_golden, first_hit_rank, question_metrics, retrieval_report, compare_runs, compare_metrics, noise_floor, rewrite_report, fusion_sweep, parse_markers, refusal_flag, verify_span, verify_answer, verification_summary, answer_marks, build_context, answer_grade, answer_report, gradeable, claim_report, worst_answers, judge_validation, stratified_sample, history_turns, format_history, chat_messages, list_messages, looks_dependent]
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
@@ -238,6 +242,13 @@ SQL = {
     "retrieval_report": f"WITH {_METRICS}, {_report('a', 'report')} SELECT * FROM report",
     "compare_runs": f"WITH {_METRICS} SELECT a.question_id, a.type, b.first_hit_rank AS before_rank, a.first_hit_rank AS after_rank, CASE WHEN coalesce(a.first_hit_rank, 999) < coalesce(b.first_hit_rank, 999) THEN 'improved' ELSE 'regressed' END AS change FROM metrics a JOIN metrics b USING (question_id) WHERE a.run = 'a' AND b.run = 'b' AND a.first_hit_rank IS DISTINCT FROM b.first_hit_rank",
     "compare_metrics": f"WITH {_METRICS}, {_report('b', 'old')}, {_report('a', 'new')}, o AS (UNPIVOT (SELECT segment, recall_1, recall_5, recall_10, mrr FROM old) ON recall_1, recall_5, recall_10, mrr INTO NAME metric VALUE v), w AS (UNPIVOT (SELECT segment, recall_1, recall_5, recall_10, mrr FROM new) ON recall_1, recall_5, recall_10, mrr INTO NAME metric VALUE v) SELECT segment, metric, o.v AS before, w.v AS after, round(w.v - o.v, 9) AS delta FROM o JOIN w USING (segment, metric)",
+    "noise_floor": f"""WITH {_METRICS}, pairs AS (SELECT a.question_id, unnest(['overall', a.type]) AS segment, a.hit_at_1::INT::DOUBLE - b.hit_at_1::INT AS hit_at_1, a.hit_at_5::INT::DOUBLE - b.hit_at_5::INT AS hit_at_5, a.hit_at_10::INT::DOUBLE - b.hit_at_10::INT AS hit_at_10, a.reciprocal_rank - b.reciprocal_rank AS reciprocal_rank FROM metrics a JOIN metrics b USING (question_id) WHERE a.run = 'a' AND b.run = 'b'),
+        u AS (SELECT *, ('0x' || substr(md5(question_id || ':' || round), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(1, 501)) AS round FROM pairs)),
+        w AS (SELECT *, {' + '.join(f'(u >= {x!r}::DOUBLE)::INT' for x in E.POISSON)} AS w FROM u),
+        m AS (SELECT segment, round, {', '.join(f'round(sum(w * {m}) / sum(w), 9) AS {m}' for m in E.METRICS)} FROM w WHERE w > 0 GROUP BY 1, 2),
+        d AS (UNPIVOT m ON {', '.join(E.METRICS)} INTO NAME metric VALUE v), l AS (SELECT segment, metric, list_sort(list(v)) AS draws FROM d GROUP BY 1, 2),
+        o AS (UNPIVOT (SELECT segment, count(*) AS questions, {', '.join(f'round(avg({m}), 9) AS {m}' for m in E.METRICS)} FROM pairs GROUP BY 1) ON {', '.join(E.METRICS)} INTO NAME metric VALUE delta)
+        SELECT segment, metric, questions, delta, draws[floor(len(draws) * {(1 - 0.95) / 2!r}::DOUBLE)::INT + 1] AS low, draws[greatest(ceil(len(draws) * {1 - (1 - 0.95) / 2!r}::DOUBLE)::INT, 1)] AS high, low > 0 OR high < 0 AS real FROM o JOIN l USING (segment, metric)""",
     "rewrite_report": f"WITH {_METRICS} SELECT CASE WHEN run = 'b' THEN 'raw' ELSE 'rewritten' END AS kind, count(*) AS n, round(avg(hit_at_5::INT), 9) AS recall_5, round(avg(hit_at_10::INT), 9) AS recall_10, round(avg(reciprocal_rank), 9) AS mrr FROM metrics GROUP BY 1",
     "fusion_sweep": f"""WITH {_RUNS}, grid(config, semantic, lexical, k) AS (VALUES {_WEIGHTS}), wide AS (SELECT question_id, path, min(rank) FILTER (run = 'a') AS s, min(rank) FILTER (run = 'b') AS l FROM runs GROUP BY 1, 2),
         scored AS (SELECT *, round({_PART.format('semantic', 's')} + {_PART.format('lexical', 'l')}, 12) AS score FROM wide, grid), ranked AS (SELECT *, row_number() OVER (PARTITION BY config, question_id ORDER BY score DESC, least(CASE WHEN semantic > 0 THEN s END, CASE WHEN lexical > 0 THEN l END), path) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20),

@@ -1,6 +1,9 @@
+import hashlib
+import math
 import random
 from collections import deque
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -232,3 +235,25 @@ def test_hit_ranks_by_file_and_directory(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_noise_floor_equals_a_numpy_bootstrap(spark):
+    rng = random.Random(9)
+    kinds = ["x", "x", "x", "y"]
+    runs = [[(q, kinds[q % 4], *(rng.random() < p for _ in range(3)), rng.random() * p) for q in range(60)] for p in (0.4, 0.8)]
+    schema = "question_id long, type string, hit_at_1 boolean, hit_at_5 boolean, hit_at_10 boolean, reciprocal_rank double"
+    got = {(r["segment"], r["metric"]): r for r in E.noise_floor(*(spark.createDataFrame(r, schema) for r in runs), rounds=200).collect()}
+    assert len(got) == 12
+    u = np.array([[int(hashlib.md5(f"{q}:{r}".encode()).hexdigest()[:8], 16) / 2**32 for q in range(60)] for r in range(1, 201)])
+    w = sum((u >= x).astype(int) for x in E.POISSON)
+    assert abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.1
+    for segment in ("overall", "x", "y"):
+        own = np.array([segment in ("overall", kinds[q % 4]) for q in range(60)])
+        for k, metric in enumerate(E.METRICS):
+            diff = np.array([float(b[2 + k]) - float(a[2 + k]) for a, b in zip(*runs)])
+            draws = np.sort((w[:, own] * diff[own]).sum(axis=1) / w[:, own].sum(axis=1))
+            r = got[segment, metric]
+            assert r["questions"] == own.sum() and math.isclose(r["delta"], diff[own].mean(), abs_tol=1e-9)
+            assert math.isclose(r["low"], draws[5], abs_tol=1e-8) and math.isclose(r["high"], draws[194], abs_tol=1e-8) and r["real"] == (r["low"] > 0 or r["high"] < 0)
+    same = E.noise_floor(*[spark.createDataFrame(runs[0], schema)] * 2, rounds=20).collect()
+    assert all(r["delta"] == r["low"] == r["high"] == 0 and not r["real"] for r in same)

@@ -1,5 +1,9 @@
+import os
 import random
 import time
+import uuid
+
+import pytest
 
 from siltstone.operators import chunk as C
 from siltstone.operators import providers as P
@@ -41,6 +45,36 @@ def test_embedding_batches(spark):
     assert {(r["k"], *r["vector"]) for r in P.ServiceEmbedder(lambda ts: [[float(len(t))] for t in ts]).vectors(rows, "k", "t").collect()} == {(1, 2.0), (2, 1.0)}
 
 
+def test_requests_are_filled_over_batches_and_made_once(spark, tmp_path):
+    log, broken = str(tmp_path / "log"), str(tmp_path / "broken")
+    os.makedirs(log)
+
+    def request(texts):
+        if "fail" in texts and not os.path.exists(broken):
+            open(broken, "w").close()
+            raise OSError("busy")
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(texts)))
+        return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+    sizes = lambda: sorted(int(open(f"{log}/{n}").read()) for n in os.listdir(log))
+    rows = [(k, "ab" * (k % 150) or None) for k in range(450)] + [(1000, "fail"), (1001, "fail")]
+    items = spark.createDataFrame(rows, "k long, t string").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        service = P.ServiceEmbedder(request, store=str(tmp_path / "store"), wait=0.01)
+        got = {r["k"]: r["vector"] for r in service.vectors(items, "k", "t", tasks=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: [float(len(t or " ")), float((t or " ").count("a"))] for k, t in rows}
+    assert sizes() == [23, 64, 64]  # 151 distinct texts: the least number of requests, over batches of seven
+    more = spark.createDataFrame([*rows, (2000, "new text")], "k long, t string")
+    assert len(service.vectors(more, "k", "t", tasks=1).collect()) == len(rows) + 1 and sizes() == [1, 23, 64, 64]
+    assert sorted(os.listdir(tmp_path / "store"))[0][0] != "."  # nothing half written is left
+    with pytest.raises(Exception, match="never"):
+        P.ServiceEmbedder(lambda texts: (_ for _ in ()).throw(OSError("never")), tries=2, wait=0.0).vectors(items.limit(1), "k", "t").collect()
+
+
 def test_offline_answers(spark):
     questions = spark.createDataFrame([(1, "what"), (2, "who")], "question_id long, question string")
     sources = spark.createDataFrame([(1, 1, "a.py", 1, 2, "f", "First line. More."), (1, 2, "b.py", None, None, None, "Second.")], "question_id long, rank int, path string, start_line int, end_line int, symbol string, content string")
