@@ -22,6 +22,7 @@ from .common import cut, whole_texts, worker_cache
 from .words import Column, Known, begins, split_words, stretches, text_slices
 
 WIDTH = 32  # the most characters of a word
+CELLS = 6_000_000  # words of the sample x languages, at most; the fit's memory and time grow with them
 BITS = 15
 MARK = 1  # stands for a word's ends and for what isn't a letter
 
@@ -107,6 +108,30 @@ def forward_backward(scores: np.ndarray, length: np.ndarray, moves: np.ndarray,
     return m, forward, backward
 
 
+def _row_sums(table: np.ndarray, at: np.ndarray, first: np.ndarray, cells: int = 4_000_000) -> np.ndarray:
+    """Sums of the table's rows at[first[k] : first[k + 1]], by lots of about `cells` numbers."""
+    out = np.empty((len(first), table.shape[1]), table.dtype)
+    ends = np.append(first[1:], len(at))
+    a = 0
+    while a < len(first):
+        z = max(a + 1, int(np.searchsorted(ends, first[a] + cells // table.shape[1], side="right")))
+        out[a:z] = np.add.reduceat(table[at[first[a] : ends[z - 1]]], first[a:z] - first[a], axis=0)
+        a = z
+    return out
+
+
+def expected_moves(f: np.ndarray, b: np.ndarray, scores: np.ndarray, both: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Languages x languages: how often each move is expected, over all steps whose two places are real. One matrix product a
+    step, so memory grows with chains x languages."""
+    t = np.exp(moves - moves.max()).astype(np.float64)
+    out = np.zeros_like(t)
+    for k in range(len(both)):
+        left = f[k][both[k]].astype(np.float64)
+        inner = np.exp(scores[k + 1] - scores[k + 1].max(axis=1, keepdims=True))[both[k]] * b[k + 1][both[k]].astype(np.float64)
+        out += (left / ((left @ t) * inner).sum(axis=1, keepdims=True)).T @ inner
+    return t * out
+
+
 def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60, rate: float = 0.25, lexicon_count: int = 5, seed: int = 7, settled: float = 1e-4) -> Model | None:
     """texts: (language, its words). Adagrad on the conditional log-likelihood of spliced chains, until `rounds` or until
     five rounds have raised the mean marginal of the right language by less than `settled`."""
@@ -135,7 +160,10 @@ def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60,
     there = rows > 0
     flat, first = rows[there], np.concatenate([[0], np.cumsum(there.sum(axis=1))[:-1]])
     owner = np.nonzero(there)[0]
-    del rows, there
+    by_feature = np.argsort(flat, kind="stable")
+    sorted_flat, sorted_owner = flat[by_feature], owner[by_feature]
+    feature_first = np.flatnonzero(np.concatenate([[True], sorted_flat[1:] != sorted_flat[:-1]]))
+    del rows, there, owner, by_feature
     chains = -(-len(tokens) // chain)
     padded = np.zeros(chains * chain, np.int64)
     padded[: len(tokens)] = tokens
@@ -149,9 +177,11 @@ def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60,
     w, lex, moves, start = np.zeros((1 << BITS, n), np.float32), np.zeros((len(own), n), np.float32), np.eye(n, dtype=np.float32), np.zeros(n, np.float32)
     sums = [np.full_like(x, 1e-2) for x in (w, lex, moves, start)]
     known = entry >= 0
+    both = real[1:] & real[:-1]
+    gold_moves = np.bincount(gold[:-1][both] * n + gold[1:][both], minlength=n * n).reshape(n, n)
     right: list[float] = []
     for _ in range(rounds):
-        e = np.add.reduceat(w[flat], first, axis=0)
+        e = _row_sums(w, flat, first)
         e[known] += lex[entry[known]]
         scores = np.where(real[:, :, None], e[ids], 0).astype(np.float32)
         m, f, b = forward_backward(scores, length, moves, start)
@@ -160,14 +190,10 @@ def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60,
             break
         gap = np.where(real[:, :, None], hot - m, 0)
         by_word = np.stack([np.bincount(ids.ravel(), gap[:, :, k].ravel(), len(words)) for k in range(n)], axis=1)
-        g_w = np.stack([np.bincount(flat, by_word[owner, k], 1 << BITS) for k in range(n)], axis=1)
+        g_w = np.zeros((1 << BITS, n))
+        g_w[sorted_flat[feature_first]] = _row_sums(by_word, sorted_owner, feature_first)
         g_lex = by_word[known]
-        both = real[1:] & real[:-1]
-        t = np.exp(moves - moves.max())
-        inner = np.exp(scores[1:] - scores[1:].max(axis=2, keepdims=True)) * b[1:]
-        pair = f[:-1][:, :, :, None] * t * inner[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        g_moves = (hot[:-1][:, :, :, None] * hot[1:][:, :, None, :] - pair)[both].sum(axis=0)
+        g_moves = gold_moves - expected_moves(f, b, scores, both, moves)
         g_start = (hot[0] - m[0]).sum(axis=0)
         for x, s, g in zip((w, lex, moves, start), sums, (g_w, g_lex, g_moves, g_start)):
             g = (g / max(1, len(tokens)) * 100 - 1e-3 * x).astype(np.float32)
@@ -234,14 +260,21 @@ def summaries(m: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, use: Column, per_lang: int, words: int, most_rows: int) -> list[tuple[str, list[str]]]:
-    """At most 2 x most_rows labelled rows, about per_lang of each language or fewer where there are many languages,
-    chosen by a hash, and a stretch of `words` words of each."""
+    """At most 2 x most_rows labelled rows, about per_lang of each language, chosen by a hash (of the text where the id is null), and a stretch of `words` words of each.
+
+    With many languages both shrink until words x languages of the whole sample are about CELLS: first the rows, down
+    to 16 a language, then the words, down to 20.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & use).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = cut(labelled.groupBy("lang").count(), "languages")  # one row per language
     langs = counts.count()
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1 << 30))
+    room = CELLS // max(1, langs) ** 2  # words of a language
+    per_lang = max(16, min(per_lang, room // words))
+    words = max(20, min(words, room // per_lang))
+    draw = F.pmod(F.when(F.col("id").isNull(), F.xxhash64(F.lit("draw"), "text")).otherwise(F.xxhash64(F.lit("draw"), "id")), F.lit(1 << 30))
     share = F.least(F.lit(1.0), F.lit(min(per_lang, most_rows / max(1, langs))) / F.col("count")) * (1 << 30)
-    drawn = labelled.join(counts, "lang").where(draw < share).limit(2 * most_rows)
+    # in the order of the hash, so that a run again draws the same rows
+    drawn = labelled.join(counts, "lang").withColumn("draw", draw).where(F.col("draw") < share).orderBy("draw", F.xxhash64("text"), "id").limit(2 * most_rows)
     split = F.split(F.trim("text"), r"\s+")
     cutout = F.slice("all", (F.pmod(F.xxhash64(F.lit("from"), "id"), F.greatest(F.size("all") - words, F.lit(1))) + 1).cast("int"), words)
     return sorted((r["lang"], r["words"]) for r in drawn.withColumn("all", split).select("lang", cutout.alias("words")).collect())
@@ -251,7 +284,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row of docs: doc_id, held_out, lang_pred, score, n_words, n_switches, and the carried columns.
 
     The field is fitted on about per_lang rows of each language (2 x most_rows in all at most), words_per_row words of
-    each, among rows with a language and text whose crc32(id as text) mod folds is not held_fold. lang_pred is `und`
+    each (fewer of both with over 12 languages, see training_rows), among rows with a language and text whose crc32(id as text) mod folds is not held_fold. lang_pred is `und`
     with score 0 for a null text, a text without letters, or when there is nothing to learn from; n_switches counts
     changes of the most likely language from word to word. A null id is held in no fold. Repeated rows come back
     repeated, texts of any length are read whole, and so are words (see spell); an empty table gives an empty result,

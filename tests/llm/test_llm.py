@@ -766,3 +766,37 @@ def test_languages(spark, docs, empty):
     mixed = [(i, t, g) for i, (t, g) in rows.items() if t] + [(9001, "the house of stone over the river " * 3 + "der fluß und die steine über licht " * 3, None)]
     switched = [r for r in identify(spark.createDataFrame(mixed, "doc_id long, text string, lang string"), per_lang=60).collect() if r["doc_id"] == 9001][0]
     assert 1 <= switched["n_switches"] <= 4
+
+
+def test_expected_moves_equal_brute_force():
+    from siltstone.llm.language_id import _row_sums, expected_moves, forward_backward
+
+    rng = np.random.default_rng(4)
+    steps, chains, n = 7, 9, 5
+    length = rng.integers(1, steps + 1, chains)
+    real = np.arange(steps)[:, None] < length
+    scores = np.where(real[:, :, None], rng.normal(size=(steps, chains, n)), 0)
+    moves, start = rng.normal(size=(n, n)), rng.normal(size=n)
+    _, f, b = forward_backward(scores, length, moves, start)
+    both = real[1:] & real[:-1]
+    t = np.exp(moves - moves.max())
+    pair = f[:-1][:, :, :, None] * t * (np.exp(scores[1:] - scores[1:].max(axis=2, keepdims=True)) * b[1:])[:, :, None, :]
+    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    assert np.allclose(expected_moves(f, b, scores, both, moves), pair[both].sum(axis=0))
+    table, first = rng.normal(size=(40, 3)), np.array([0, 2, 3, 9])
+    at = rng.integers(0, 40, 15)
+    want = [table[at[a:z]].sum(axis=0) for a, z in zip(first, [*first[1:], len(at)])]
+    assert np.allclose(_row_sums(table, at, first, cells=6), want) and np.allclose(_row_sums(table, at, first), want)
+
+
+def test_language_sample_shrinks_with_the_number_of_languages(spark, monkeypatch):
+    from siltstone.llm import language_id
+
+    monkeypatch.setattr(language_id, "CELLS", 40_000)
+    rows = [(None if k % 5 == 0 else k, " ".join(f"w{k}x{j}" for j in range(300)), f"l{k % 10}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    drawn = lambda: language_id.training_rows(docs, "doc_id", "text", "lang", docs["text"].isNotNull(), 400, 200, 20_000)
+    first = drawn()
+    assert first == drawn()  # a run again draws the same rows
+    per = collections.Counter(lang for lang, _ in first)
+    assert len(per) == 10 and 4 <= min(per.values()) and max(per.values()) <= 40 and {len(w) for _, w in first} <= {25}
