@@ -16,6 +16,7 @@ from siltstone.functions import text as X
 from siltstone.functions import values as V
 
 from . import structure as T
+from .counting import QUARTER, Quarter, Vocabulary
 
 HEADING = r"^#{1,3} \S"
 HEADER_CHARS = 300
@@ -48,16 +49,17 @@ def module_runs(lines: DataFrame) -> DataFrame:
 PARTS = "path string, part int, part_count int, start_line int, end_line int, header_lines int, text string"
 
 
-def windowed_parts(text: str, start: int, header: str, max_tokens: int) -> Iterator[tuple]:
+def windowed_parts(text: str, start: int, header: str, max_tokens: int, count: Quarter | Vocabulary = QUARTER) -> Iterator[tuple]:
     """(part, part_count, start_line, end_line, header_lines, text) of a unit: whole if it fits (part None), else in parts
     of whole lines that fit, each after the first under the header, cut to 300 characters."""
     lines = plain_lines(text)
-    if count_tokens(text) <= max_tokens:
+    if count(text) <= max_tokens:
         yield None, None, start, start + len(lines) - 1, 0, text
         return
     head = header[:HEADER_CHARS]
-    room = max(max_tokens - min(count_tokens(head), max_tokens // 4), max_tokens // 4)
-    cuts = list(spans([count_tokens(x) + 1 for x in lines], room))
+    room = max(max_tokens - min(count(head), max_tokens // 4), max_tokens // 4)
+    fits = (lambda a, z: count(("" if a == 0 else f"{head}\n") + "\n".join(lines[a:z])) <= max_tokens) if count.exact else None
+    cuts = list(spans(count.lines(lines), room, fits=fits))
     for n, (a, z) in enumerate(cuts):
         body = "\n".join(lines[a:z])
         yield n + 1, len(cuts), start + a, start + z - 1, len(plain_lines(head)) if n else 0, (f"{head}\n{body}" if n else body).strip(" ")
@@ -106,25 +108,27 @@ def with_ids(chunks: DataFrame) -> DataFrame:
 # --- sequential chunkers ---------------------------------------------------------------------------------------------
 
 
-def count_tokens(text: str) -> int:
-    return max(1, len(text) // 4)
+count_tokens = QUARTER
 
 
-def spans(costs: list[int], budget: int, overlap: int = 0) -> Iterator[tuple[int, int]]:
+def spans(costs: list[int], budget: int, overlap: int = 0, fits: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
     """Stretches (from, to) of lines that cost at most budget, as long as can be; a line over the budget stands alone. Each
-    begins `overlap` lines before the end of the one before, but at least a line after its begin."""
+    begins `overlap` lines before the end of the one before, but at least a line after its begin. fits: asked about each stretch,
+    which loses lines at its end until it fits, since tokens may join otherwise in a chunk than in the file."""
     total = [0, *accumulate(costs)]
     first = last = 0
     while last < len(costs):
         first = max(first + 1, last - overlap) if last else 0
         last = max(first + 1, bisect_right(total, total[first] + budget) - 1)
+        while fits is not None and last > first + 1 and not fits(first, last):
+            last -= 1
         yield first, last
 
 
-def line_windows(text: str, budget: int = 400, overlap: int = 2) -> list[tuple[int, int, str]]:
+def line_windows(text: str, budget: int = 400, overlap: int = 2, count: Quarter | Vocabulary = QUARTER) -> list[tuple[int, int, str]]:
     """(first line, last line, text) of windows within the budget, overlapping by some lines; blank windows are left out."""
     lines = text.splitlines()
-    cuts = ((a, z, "\n".join(lines[a:z]).strip()) for a, z in spans([count_tokens(x) + 1 for x in lines], budget, overlap))
+    cuts = ((a, z, "\n".join(lines[a:z]).strip()) for a, z in spans(count.lines(lines), budget, overlap, (lambda a, z: count("\n".join(lines[a:z])) <= budget) if count.exact else None))
     return [(a + 1, z, body) for a, z, body in cuts if body]
 
 
@@ -223,16 +227,17 @@ def python_units(source: str) -> list[Unit] | None:
     return sorted(out, key=lambda u: (u.start, u.end))
 
 
-def within_budget(unit: Unit, budget: int) -> Iterator[tuple[int, int, int, str]]:
+def within_budget(unit: Unit, budget: int, count: Quarter | Vocabulary = QUARTER) -> Iterator[tuple[int, int, int, str]]:
     """(first line, last line, restated lines, text) of a unit, whole if it fits, else in parts. Parts after the first restate
     the header, cut to 300 characters; a part is over the budget only if it is a single line that is."""
-    if count_tokens(unit.text) <= budget:
+    if count(unit.text) <= budget:
         yield unit.start, unit.end, unit.above, unit.text
         return
     header, lines = unit.header[:HEADER_CHARS], unit.text.splitlines()
     least = max(1, budget // 4)
-    room = max(least, budget - min(count_tokens(header) + 1, least))
-    for a, z in spans([count_tokens(x) + 1 for x in lines], room):
+    room = max(least, budget - min(count(header) + 1, least))
+    fits = (lambda a, z: count(f"{header}\n" * bool(a and header) + "\n".join(lines[a:z])) <= budget) if count.exact else None
+    for a, z in spans(count.lines(lines), room, fits=fits):
         body = "\n".join(lines[a:z])
         if body.strip():
             above = max(0, unit.above - a) + (len(header.splitlines()) if a and header else 0)
@@ -244,14 +249,14 @@ SCHEMA = "path string, language string, kind string, symbol string, parent_symbo
 CODE_BUDGET, PROSE_BUDGET = 1200, 400
 
 
-def structural_rows(path: str, language: str, text: str) -> Iterator[tuple]:
+def structural_rows(path: str, language: str, text: str, count: Quarter | Vocabulary = QUARTER) -> Iterator[tuple]:
     """By language: Python's own parser, the scan of brace languages, else windows of lines. A file that yields no unit (it
     can't be parsed, or declares nothing) is cut into windows, so no file is lost; no chunk is over its language's budget
-    but a single long line."""
+    but a single long line. count: what budgets are counted in."""
     budget = CODE_BUDGET if language in V.CODE_LANGUAGES else PROSE_BUDGET
     units = python_units(text) if language == "python" else [Unit(*u) for u in T.brace_units(text, language)] if language in T.COMPILED else None
-    rows = [(path, language, u.kind, u.symbol, u.parent, a, z, above, u.ends, body) for u in units or () for a, z, above, body in within_budget(u, budget)]
-    yield from rows or ((path, language, "text", None, None, a, z, 0, None, body) for a, z, body in line_windows(text, budget))
+    rows = [(path, language, u.kind, u.symbol, u.parent, a, z, above, u.ends, body) for u in units or () for a, z, above, body in within_budget(u, budget, count)]
+    yield from rows or ((path, language, "text", None, None, a, z, 0, None, body) for a, z, body in line_windows(text, budget, count=count))
 
 
 def in_batches(docs: DataFrame, rows: Callable[[str, str, str], Iterator[tuple]] = structural_rows) -> DataFrame:

@@ -5,6 +5,8 @@ Paths, symbols, repositories and logs are made from the driver's tables by fixed
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from siltstone.operators import index as I
 from siltstone.operators import registry as G
 from siltstone.operators import structure as T
 from siltstone.operators import tables as N
+from siltstone.operators.counting import Vocabulary
 from siltstone.sources import fixtures as S
 from siltstone.sources import tree as R
 from siltstone.sources import walk as W
@@ -220,6 +223,15 @@ def chunk_braces(spark, sf_dir):
     return _chunk_rows(code_files(spark, sf_dir).where("language <> 'python'"))
 
 
+def chunk_true_tokens(spark, sf_dir):
+    """Chunks of all code files and documents, their budgets in true tokens of a public vocabulary."""
+    import public_tokenizers
+
+    count = Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    rows = code_files(spark, sf_dir).select("path", "language", "content").unionByName(S.files(spark, sf_dir).select("path", F.lit("text").alias("language"), "content"))
+    return C.in_batches(rows, partial(C.structural_rows, count=count)).select("path", "language", "kind", "symbol", "start_line", "end_line", F.length("text").alias("chars"))
+
+
 def card_python(spark, sf_dir):
     return T.python_cards(code_files(spark, sf_dir).where("language = 'python'"))
 
@@ -440,6 +452,6 @@ def manifest_roundtrip(spark, sf_dir):
     return spark.read.schema(rows.schema).option("mode", "PERMISSIVE").json(path).select("package", "files_indexed", "bytes", "duplicates.total_chunks", "duplicates.unique_chunks")
 
 
-QUERIES = [scan_documents, scan_tree, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, windowed_lines, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_braces, chunk_dispatch, strategy_text, strategy_ast, strategy_ast_code, card_python, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
+QUERIES = [scan_documents, scan_tree, walk_dir_prune, walk_include_exclude, walk_skip_reason, skip_stats, walk_binary_sniff, detect_language, language_stats, corpus_size_mb, file_slice, parse_repo_url, duplicate_report, token_budget, token_count, split_strata, markdown_sections, module_runs, emit_windowed, windowed_lines, chunk_ids, chunk_metadata, symbol_text, chunks_all, chunk_lines, chunk_recursive, chunk_python, chunk_braces, chunk_dispatch, chunk_true_tokens, strategy_text, strategy_ast, strategy_ast_code, card_python, card_markdown, card_from_chunks, card_package, cards_all, collection_slug, first_sentence, format_location, source_projection, path_parts, valid_email, limited_path, validate_requests, events_props_json, session_user, list_repos, latest_by_name, repo_status, collection_in_use, orphan_collections, upsert_repo, propagate_stats, attach_decision, import_manifests, resolve_root, config_diff, request_metrics, rate_window_count, rate_limit_greedy, sse_frames, index_vectors, manifest_roundtrip]
 
 from siltstone.plans.corpus_sql import SQL  # noqa: E402, F401

@@ -155,7 +155,7 @@ def _tokens(x: str) -> str:
 
 
 _STOP = ", ".join(f"'{w}'" for w in V.STOPWORDS)
-_QUESTIONS = "questions AS (SELECT item_id AS question_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:12], ' ') AS question FROM benchmark)"
+_QUESTIONS = "questions AS (SELECT item_id AS question_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ') AS question FROM benchmark)"
 _CHUNKS = f"""chunks AS (SELECT doc_id AS chunk_id, source || '/' || doc_id || '.txt' AS path, source AS package, array_to_string(({_tokens("string_split(text, chr(10))[1]")})[1:3], ' ') AS symbol,
     text AS content, lang AS language, CASE WHEN lang = 'en' THEN 'prose' ELSE 'code' END AS stratum FROM documents)"""
 _RAW = f"""raw AS (SELECT question_id, i, w FROM (SELECT question_id, unnest(list_filter(regexp_extract_all(question, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: NOT list_contains([{_STOP}], lower(w)) AND length(w) >= 2)) AS w,

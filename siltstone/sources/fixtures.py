@@ -27,8 +27,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, question: the first twelve words of a benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(X.words(F.col("text")), 1, 12), " ").alias("question"))
+    """question_id, question: a benchmark item, its words with one space between them."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(X.words(F.col("text")), " ").alias("question"))
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:

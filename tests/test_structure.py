@@ -184,3 +184,27 @@ def test_skeletons_end_where_their_class_does(spark):
     got = {(r["path"], r["kind"]): (r["start_line"], r["end_line"], r["class_end_line"], r["text"]) for r in C.in_batches(spark.createDataFrame(rows, "path string, language string, content string")).collect()}
     assert got["a.py", "class_skeleton"][:3] == (1, 1, 4) and got["b.js", "class_skeleton"] == (1, 1, 3, "class B {\n    f() {}")
     assert got["a.py", "function"][2] is None
+
+
+def test_budgets_in_true_tokens(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from functools import partial
+
+    from siltstone.operators.counting import Vocabulary
+
+    count = Vocabulary(public.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choice(["word", "é日本", "x==1", "supercalifragilistic", "", "  "]) for _ in range(rng.randint(0, 14)))
+    texts = ["\n".join(line() for _ in range(rng.randint(1, 60))) for _ in range(25)] + ["", "\n\n\n", "a " * 900]
+    for text in texts:
+        lines = text.splitlines()
+        assert sum(count.lines(lines)) == count("\n".join(lines)) and len(count.lines(lines)) == len(lines)
+        for a, z, body in C.line_windows(text, 60, 2, count):
+            assert a == z or count(body) <= 60
+        for part, _, a, z, _, body in C.windowed_parts(text, 1, (lines or [""])[0], 80, count):
+            assert part is None or a == z or count(body) <= 80 + 1
+    code = "class A:\n" + "".join(f"    def f{k}(self):\n        # {line()}\n        return '{'é' * rng.randint(0, 40)}'\n" for k in range(300))
+    rows = list(C.structural_rows("a.py", "python", code, count))
+    assert all(r[5] == r[6] or count(r[-1]) <= C.CODE_BUDGET for r in rows) and {r[2] for r in rows} == {"class_skeleton", "function"}
+    docs = spark.createDataFrame([("a.py", "python", code), ("t", "text", texts[0])], "path string, language string, content string")
+    assert C.in_batches(docs, partial(C.structural_rows, count=count)).where("language = 'python'").count() == len(rows)
