@@ -25,9 +25,10 @@ BATCH_BYTES = 4_000_000
 
 @dataclass(frozen=True)
 class File:
-    path: str  # below the root
+    path: str  # below the root, or below its repository
     size: int | None  # None where the size can't be told
     reason: str | None  # why it is skipped, as far as name and size tell
+    repository: str = ""  # folder of the root that holds it, where the root is a folder of repositories
 
     @property
     def cost(self) -> int:
@@ -79,7 +80,7 @@ def planned(found: list[File], most_bytes: int, most_files: int = PARTITION_FILE
     """Files in the order of their paths, in stretches of at most most_bytes to read and most_files (a larger file alone)."""
     out: list[list[File]] = []
     held = 0
-    for file in sorted(found, key=lambda f: f.path.split("/")):
+    for file in sorted(found, key=lambda f: (f.path.split("/"), f.repository)):
         if not out or held + file.cost > most_bytes or len(out[-1]) == most_files:
             out.append([])
             held = 0
@@ -91,7 +92,7 @@ def planned(found: list[File], most_bytes: int, most_files: int = PARTITION_FILE
 def read_file(files: fs.FileSystem, root: str, file: File) -> tuple[str | None, str | None]:
     """(skip reason, text) of a file that its name and size let through."""
     try:
-        with files.open_input_stream(f"{root}/{file.path}") as stream:
+        with files.open_input_stream("/".join(filter(None, (root, file.repository, file.path)))) as stream:
             content = stream.read(V.SNIFF_BYTES)
             if b"\0" in content:
                 return "binary", None
@@ -116,6 +117,7 @@ class TreeReader(DataSourceReader):
         self.uri = options["path"]
         self.include, self.exclude = (json.loads(options.get(k, "[]")) for k in ("include", "exclude"))
         self.most_bytes = int(options.get("partitionbytes", PARTITION_BYTES))
+        self.repositories = options.get("repositories", "false") == "true"
         self.languages: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -131,7 +133,8 @@ class TreeReader(DataSourceReader):
         files, root = fs.FileSystem.from_uri(self.uri)
         if files.get_file_info(root).type != fs.FileType.Directory:
             raise ValueError(f"no folder {self.uri}")
-        found = [File(p, n, early_reason(p, n, self.include, self.exclude)) for p, n in walk(files, root) if self.languages is None or language(p) in self.languages]
+        held = [i.base_name for i in files.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory] if self.repositories else [""]
+        found = [File(p, n, early_reason(p, n, self.include, self.exclude), r) for r in held for p, n in walk(files, f"{root}/{r}".rstrip("/")) if self.languages is None or language(p) in self.languages]
         return [Stretch(x) for x in planned(found, self.most_bytes)] or [Stretch([])]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
@@ -153,7 +156,8 @@ class TreeReader(DataSourceReader):
 
 
 class SourceTree(DataSource):
-    """Options: path (load()'s), include and exclude (JSON lists of paths below it), partitionBytes."""
+    """Options: path (load()'s), include and exclude (JSON lists of paths below it), partitionBytes, repositories (whether
+    the folders below path are trees of their own, from which paths are counted)."""
 
     @classmethod
     def name(cls) -> str:
@@ -166,15 +170,16 @@ class SourceTree(DataSource):
         return TreeReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_tree(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), partition_bytes: int = PARTITION_BYTES, repositories: bool = False) -> DataFrame:
     """path (below root), language, size_bytes, skip_reason, text (null where skipped) of the files under root, a row per
-    file outside of ignored directories, in the order of paths over the partitions.
+    file outside of ignored directories, in the order of paths over the partitions. repositories: root's folders are trees
+    of their own and paths are counted from these, so a path can come back once from each.
 
     Text is strict UTF-8 with \\n as the end of lines. root: a folder or URI of a file system that pyarrow opens. The planner holds names and sizes only.
     """
     spark.dataSource.register(SourceTree)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    rows = spark.read.format(NAME).option("partitionBytes", str(partition_bytes))
+    rows = spark.read.format(NAME).option("partitionBytes", str(partition_bytes)).option("repositories", str(repositories).lower())
     return rows.option("include", json.dumps(list(include))).option("exclude", json.dumps(list(exclude))).load(root)
 
 

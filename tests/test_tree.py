@@ -91,3 +91,17 @@ def test_written_trees_read_back(spark, tmp_path):
     T.write_tree(files, str(tmp_path / "t"))  # a task that runs again
     got = {r["path"]: (r["skip_reason"], r["text"]) for r in T.read_tree(spark, str(tmp_path / "t")).collect()}
     assert got == {"a/b.py": (None, "x = 1\n"), "c.md": (None, "é"), "d/empty.py": ("empty file", None)}
+
+
+def test_repositories_keep_files_of_one_path_apart(spark, tmp_path):
+    files = spark.createDataFrame([("0/src/yarn.lock", bytearray(b"a")), ("1/src/yarn.lock", bytearray(b"bc")), ("1/node_modules/x.js", bytearray(b"x")), ("0/docs/a.md", bytearray(b"t"))], "path string, content binary")
+    T.write_tree(files, str(tmp_path / "r"))
+    rows = T.read_tree(spark, str(tmp_path / "r"), include=["src"], repositories=True).collect()
+    assert sorted((r["path"], r["size_bytes"], r["skip_reason"]) for r in rows) == [("docs/a.md", 1, "outside include list"), ("src/yarn.lock", 1, "ignored filename"), ("src/yarn.lock", 2, "ignored filename")]
+
+
+def test_scan_tree_gives_every_document_that_shares_a_path(spark, tmp_path):
+    from siltstone.plans.corpus import scan_tree
+
+    spark.createDataFrame([(k * 91, "x" * k, "en", "src2", k) for k in range(1, 4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r["path"], r["size_bytes"]) for r in scan_tree(spark, str(tmp_path)).orderBy("size_bytes").collect()] == [("src/src2/yarn.lock", k) for k in range(1, 4)]
