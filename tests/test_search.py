@@ -70,3 +70,33 @@ def test_filter_is_pushed_to_the_scan(spark, tmp_path):
     spark.createDataFrame(chunk_rows(2), CHUNKS).write.parquet(str(tmp_path / "c"))
     plan = spark.read.parquet(str(tmp_path / "c")).where("language IN ('python', 'go')").select("chunk_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(language" in plan and "content" not in plan.split("ReadSchema")[1]
+
+
+def test_semantic_list_holds_few_cells_at_a_time(spark, monkeypatch):
+    """A batch of 3,000 vectors and 1,000 questions goes through first_of_each in pieces of at most CELLS, with the same result."""
+    import numpy as np
+
+    x = np.random.default_rng(2).integers(0, 3, (3000, 4)).astype(float) + 1
+    rows = spark.createDataFrame([(k, "ab"[k % 2], v) for k, v in enumerate(x.tolist())], "chunk_id long, stratum string, vector array<double>").coalesce(1)
+    own = R.first_of_each
+
+    def bounded(k, before, like, chunk):
+        assert like.size <= 1_000_000
+        return own(k, before, like, chunk)
+
+    monkeypatch.setattr(R, "first_of_each", bounded)
+    table = rows.select("chunk_id", "stratum", "vector").toArrow().to_batches()
+    queries = rows.where("chunk_id < 1000").select(F.col("chunk_id").alias("question_id"), "vector")
+    held = {}
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, run, schema: held.setdefault("run", run) and df.select("chunk_id", "stratum", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("question_id")))
+    R.semantic_list(rows, queries, 5)
+    got = {}
+    for b in held["run"](iter(table)):
+        for r in b.to_pylist():
+            got.setdefault((r["question_id"], r["stratum"]), []).append((-r["score"], r["chunk_id"]))
+    norm = np.sqrt((x * x).sum(axis=1))
+    for q in (0, 7, 999):
+        like = np.round(x @ x[q] / (norm * norm[q]), 9)
+        for s in (0, 1):
+            want = sorted((-float(like[k]), k) for k in range(s, 3000, 2))[:5]
+            assert [c for _, c in sorted(got[q, "ab"[s]])] == [c for _, c in want]
