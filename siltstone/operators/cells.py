@@ -3,7 +3,8 @@
 Centroids come from k-means rounds over the whole table. Each vector goes to the nearest centroid's cell and gets a code: the
 number of the nearest of 256 codewords for each stretch of its dimensions. The table is stored in the order of cells, so a search
 reads row groups of the cells near its questions only, and of these the codes; full vectors are compared for
-the `rerank` best codes of a question.
+the `rerank` best codes of a question. Codes hold a byte for each dimension (up to 256): the more rows there are, the closer
+the likeness of the tenth nearest is to that of the fiftieth, and coarser codes let it slip.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .index import light
-from .retrieve import first_of_each, top
+from .index import LIGHT, light
+from .retrieve import CELLS, first_of_each, top
 
 CODEWORDS = 256
-SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64_000_000  # of the rows that first centroids and codewords are fitted on
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64_000_000  # of the rows that first centroids are fitted on
+WORD_ROWS = 16 * CODEWORDS  # of these, those that codewords are fitted on
 CENTROID_BYTES = 64_000_000
 BLOCK = 2048  # questions that tasks get at a time
 
@@ -38,8 +40,9 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """For each row of x the nearest centre, of equally near ones the first."""
     out = np.zeros(len(x), np.int64)
     half = (centres * centres).sum(axis=1) / 2
-    for a in range(0, len(x), 4096):
-        out[a : a + 4096] = (x[a : a + 4096] @ centres.T - half).argmax(axis=1)
+    lot = max(1, CELLS // max(1, len(centres)))
+    for a in range(0, len(x), lot):
+        out[a : a + lot] = (x[a : a + lot] @ centres.T - half).argmax(axis=1)
     return out
 
 
@@ -93,17 +96,17 @@ class CellIndex:
         self.width = self.centres.shape[1]
 
     @classmethod
-    def build(cls, vectors: DataFrame, path: str, cells: int | None = None, stretches: int = 16, rounds: int = 4) -> CellIndex:
+    def build(cls, vectors: DataFrame, path: str, cells: int | None = None, stretches: int | None = None, rounds: int = 4) -> CellIndex:
         """vectors (chunk_id long, stratum string, vector array<double>, all of one width) -> the index under `path`, written anew; every row is indexed.
 
-        cells: default the root of the number of rows; at most CENTROID_BYTES of centres are made. First centres and codewords are fitted on at most SAMPLE_ROWS rows and
-        SAMPLE_BYTES, drawn by the hash of the id; rounds run over all rows. Rows of a null vector are left out.
+        cells: default the root of the number of rows; at most CENTROID_BYTES of centres are made. First centres are fitted on at most SAMPLE_ROWS rows and SAMPLE_BYTES, drawn by the hash of the id,
+        codewords on WORD_ROWS of these; rounds run over all rows. stretches: bytes of a code, default one a dimension, at most 256. Rows of a null vector are left out.
         """
         spark = vectors.sparkSession
         vectors = vectors.where("vector IS NOT NULL")
         n, width = vectors.agg(F.count("*"), F.max(F.size("vector"))).first()
         width = width or 1
-        stretches = min(stretches, width)
+        stretches = min(stretches or 256, width)
         cells = max(1, min(cells or int(n**0.5), CENTROID_BYTES // (8 * width)))
         most = max(CODEWORDS, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * width)))
         drawn = vectors.select("vector").orderBy(F.xxhash64("chunk_id", F.lit("sample")), "chunk_id").limit(most).collect()
@@ -113,7 +116,7 @@ class CellIndex:
         for _ in range(rounds):
             centres = mean_round(vectors, centres)
         span = -(-width // stretches)
-        padded = np.pad(sample, ((0, 0), (0, span * stretches - width)))
+        padded = np.pad(sample[:WORD_ROWS], ((0, 0), (0, span * stretches - width)))
         words = np.stack([local_means(padded[:, k * span : (k + 1) * span], CODEWORDS) for k in range(stretches)])
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,30 +143,33 @@ class CellIndex:
 
     def candidates(self, ids: np.ndarray, asked: np.ndarray, probes: int, rerank: int) -> DataFrame:
         """question_id, chunk_id, cell: for each question the rerank best codes of its cells."""
-        near = self.near_cells(asked, probes)
-        stretches, _, span = self.words.shape
-        wide = np.pad(unit(asked), ((0, 0), (0, span * stretches - self.width))).reshape(len(asked), stretches, span)
-        tables = np.einsum("qms,mws->mqw", wide, self.words).astype(np.float32)  # stretch x question x codeword
+        near, words, width = self.near_cells(asked, probes), self.words, self.width
+        stretches = len(words)
+        asked = unit(asked)
         probing = np.zeros((len(self.centres), len(asked)), bool)
         probing[near.ravel(), np.repeat(np.arange(len(asked)), near.shape[1])] = True
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, cell_of = None, {}
+            best, held, most = None, [], 4 * rerank * len(ids)
             for b in batches:
                 cell, chunk = b.column(0).to_numpy(), b.column(1).to_numpy()
                 code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(b), stretches)
+                meant = np.concatenate([words[m][code[:, m]] for m in range(stretches)], axis=1)[:, :width]
                 for c in np.unique(cell):
-                    own, q = np.flatnonzero(cell == c), np.flatnonzero(probing[c])
-                    like = sum(tables[m][q[:, None], code[own, m][None, :]] for m in range(stretches)).T.astype(np.float64)
-                    at, chunks, x = first_of_each(rerank, None, like, chunk[own])
-                    found = q[at], chunks, x, np.full(len(at), c)
-                    best = found if best is None else tuple(np.concatenate(z) for z in zip(best, found))
-                if best is not None and len(best[0]) > 4 * rerank * len(ids):
-                    best = cut(best)
-            q, chunks, x, c = cut(best) if best is not None else [np.zeros(0, np.int64)] * 4
+                    q = np.flatnonzero(probing[c])
+                    own = np.flatnonzero(cell == c)
+                    for a in range(0, len(own), lot := max(1, CELLS // max(1, len(q)))):
+                        mine = own[a : a + lot]
+                        at, chunks, x = first_of_each(rerank, None, meant[mine] @ asked[q].T, chunk[mine])
+                        held.append((q[at], chunks, x, np.full(len(at), c)))
+                        if sum(len(h[0]) for h in held) > most:
+                            best, held = cut(([best] if best else []) + held), []
+            best = cut(([best] if best else []) + held) if best or held else None
+            q, chunks, x, c = best if best is not None else [np.zeros(0, np.int64)] * 4
             yield pa.RecordBatch.from_arrays([pa.array(ids[q].astype(np.int64)), pa.array(chunks.astype(np.int64)), pa.array(c.astype(np.int32)), pa.array(x.astype(np.float64))], ["question_id", "chunk_id", "cell", "likeness"])
 
-        def cut(rows: tuple) -> tuple:
+        def cut(lots: list[tuple]) -> tuple:
+            rows = tuple(np.concatenate(z) for z in zip(*lots))
             order = np.lexsort((rows[1], -rows[2], rows[0]))
             q = rows[0][order]
             kept = order[np.arange(len(q)) - np.searchsorted(q, q) < rerank]
@@ -190,7 +196,8 @@ class CellIndex:
             ids, asked = ids[order], unit(asked[order])
             chosen = self.candidates(ids, asked, probes, rerank)
             cells = np.unique(self.near_cells(asked, probes)).tolist()
-            full = self.rows.where(F.col("cell").isin(cells)).select("cell", "chunk_id", "vector").join(light(chosen, F.lit(24)), ["cell", "chunk_id"])
+            chosen = F.broadcast(chosen) if 24 * rerank * len(ids) <= LIGHT else light(chosen, F.lit(24))
+            full = self.rows.where(F.col("cell").isin(cells)).select("cell", "chunk_id", "vector").join(chosen, ["cell", "chunk_id"])
 
             def compare(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked) -> Iterator[pa.RecordBatch]:
                 for b in batches:
