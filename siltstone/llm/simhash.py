@@ -11,8 +11,9 @@ near_dedup links fingerprints by their distance alone; routes are all choices of
 differ, so no link is lost, and what a task finds is merged at once. similar_groups decides by the similarity of shingle
 sets: tables of fingerprints give candidates, of which each task returns a spanning forest of the closest pairs, a number
 that grows with its rows and not with the square of a group; the similarity of each pair is then computed from the sets
-themselves. If closeness were exact, such forests would connect what all candidate pairs connect, as minimum spanning trees
-do for every bound; it is an estimate, and each pair of rows meets in many tasks, each with a forest of its own.
+themselves. That connects nearly all groups, large ones too, at little cost, but closeness of fingerprints is an estimate. A
+join on prefixes makes it exact: with shingles in one order, rare ones first, two sets of a similarity s or more share one of
+their first n - ceil(s * n) + 1 shingles, so every link between sets not yet connected is among the pairs that meet there.
 """
 
 from __future__ import annotations
@@ -375,13 +376,92 @@ def candidate_pairs(reps: DataFrame, tables: int, width: int, n: int, crowd: int
     return dealt(reps, [], [(front(code(t), slots[k]), columns(t)) for t in range(tables) for k in range(TURNS)], crowd, n).mapInArrow(run, "a long, b long").distinct()
 
 
+#: One in so many texts tells which shingles are frequent, those in COMMON of them or more, MOST_COMMON at most. That
+#: orders the shingles and deals the work; any order gives the same links.
+SEEN, COMMON, MOST_COMMON = 64, 3, 100_000
+#: Pairs that a task makes at a time.
+PAIRS = 1_000_000
+
+
+def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of rows (text, file, line), sorted, and in how many of the texts looked at each one is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_cache()
+        for b in batches:
+            for _, _, texts in text_slices(b.column(0), 500_000):
+                h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts, shingle)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    looked = rows.where(F.pmod(F.xxhash64("file", "line"), F.lit(SEEN)) == 0).select("text").mapInArrow(count, "h long, n long")
+    held = looked.groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {COMMON}").orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    h, n = np.array([r["h"] for r in held], np.int64).view(np.uint64), np.array([r["n"] for r in held], np.int64)
+    return h[np.argsort(h)], n[np.argsort(h)]
+
+
+def prefix(own: np.ndarray, similar: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set of distinct ones, as many as share one with each set of that similarity: rare ones first."""
+    n = len(own)
+    many = np.zeros(n, np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+        many = np.where(common[0][at] == own, common[1][at], 0)
+    return own[np.lexsort((own, many))[: n - math.ceil(similar * n - 1e-9) + 1]] if n else own
+
+
+def prefix_pairs(sets: DataFrame, similar: float) -> DataFrame:
+    """sets (node, group, n, head: the prefix) -> pairs (a, b) of nodes of different groups that share a shingle of both
+    prefixes and may be similar by their sizes, by what is left of both from there on, and by what their prefixes share: up to
+    the end of one prefix the other holds all that can be shared, and beyond it no more than the rest of that set can be. No
+    such pair is left out."""
+    total = sets.agg(F.sum(F.size("head"))).first()[0] or 0
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 500_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_cache()
+        table = pa.Table.from_batches(own) if (own := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        h, node, group, n, at = (table[c].to_numpy() for c in ("h", "node", "group", "n", "at"))
+        order = np.lexsort((n, h))
+        h, group = h[order], group[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        apart = np.minimum.reduceat(group, start) < np.maximum.reduceat(group, start)
+        kept = np.repeat(apart, np.diff(np.append(start, len(h))))
+        order, h, group = order[kept], h[kept], group[kept]
+        if not len(order):
+            return
+        node, n, at = node[order].astype(np.int64), n[order].astype(np.int64), at[order].astype(np.int64)
+        value = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) << 32
+        last = np.searchsorted(value + n, value + np.floor(n / similar + 1e-9).astype(np.int64), "right")
+        count = np.maximum(last - np.arange(len(n)) - 1, 0)
+        done = np.cumsum(count)
+        low = 0
+        while low < len(n):
+            high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + PAIRS, "right")))
+            c = count[low:high]
+            i = np.repeat(np.arange(low, high), c)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            near = (group[i] != group[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) * (1 + similar) >= similar * (n[i] + n[j]) - 1e-6)
+            a, b = node[i[near]], node[j[near]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            low = high
+
+    rows = sets.select("node", "group", F.col("n").cast("int").alias("n"), F.posexplode("head").alias("at", "h")).repartition(parts, "h")
+    met = rows.select("h", "node", "group", "n", "at").mapInArrow(run, "a long, b long").distinct()
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("head").alias(f"head_{k}"))
+    most = "size(array_intersect(head_a, head_b)) + greatest(n_a - size(head_a), n_b - size(head_b))"
+    return met.join(side("a"), "a").join(side("b"), "b").where(f"{most} * {1 + similar} >= {similar} * (n_a + n_b) - 1e-6").select("a", "b")
+
+
 def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similar: float = 0.8, carry: tuple[str, ...] = (), crowd: int = 8192, width: int | None = None, place: tuple[str, str] | None = None) -> DataFrame:
     """Groups of near copies: the carried columns, n_shingles, component_id; one row per row of docs.
 
     Rows link if the Jaccard similarity of their sets of word shingles is at least `similar`; groups are what links reach.
     Rows are told apart by a number of their own, not by an id, and component_id is the number of one row of the group.
-    Candidates come from fingerprints, so a link can be missed: of pairs with a similarity of 0.8 about two in a hundred,
-    of 0.85 two in a thousand; no pair below `similar` is linked. Texts with fewer words than a shingle are one shingle;
+    Candidates come from fingerprints first; a join on prefixes of the sets finds the links between what these leave apart, so
+    none is missed, and no pair below `similar` is linked. Texts with fewer words than a shingle are one shingle;
     texts without words (null texts, too) are alike. Repeated rows come back repeated; an empty table gives an empty
     result; other columns are ignored. width: bits of fronts (default: by the number of rows). place: a string and a long
     column that tell where each row is stored, if docs has them.
@@ -392,18 +472,22 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     wide = width or front_width(rows.count())
     tables = tables_for(wide)
     names = rows.columns[1:]
+    common = common_shingles(rows, shingle)
 
     def fingerprint_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_cache()
         for b in batches:
-            codes, sizes = [], []
+            codes, sizes, digests, heads = [], [], [], [np.zeros(0, np.uint64)]
             for _, _, texts in text_slices(b.column(0), 500_000):
                 for own in shingle_sets(texts, shingle):
                     codes.append(set_codes(own, tables))
                     sizes.append(len(own))
+                    digests.append(int(np.bitwise_xor.reduce(mix(own))) if len(own) else 0)
+                    heads.append(prefix(own, similar, common))
             flat = np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * tables, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), lists, *b.columns[1:]], ["n_shingles", "codes", *names])
+            head = pa.ListArray.from_arrays(np.cumsum([len(x) for x in heads]).astype(np.int32), pa.array(np.concatenate(heads).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), lists, pa.array(np.array(digests, np.uint64).view(np.int64)), head, *b.columns[1:]], ["n_shingles", "codes", "digest", "head", *names])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_cache()
@@ -415,7 +499,7 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), lists], ["node", "shingles"])
 
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    codes = cut(rows.mapInArrow(fingerprint_sets, f"n_shingles long, codes array<long>{kinds}").withColumn("node", F.monotonically_increasing_id()), "codes")
+    codes = cut(rows.mapInArrow(fingerprint_sets, f"n_shingles long, codes array<long>, digest long, head array<long>{kinds}").withColumn("node", F.monotonically_increasing_id()), "codes")
     reps = cut(codes.groupBy("codes").agg(F.min("node").alias("node")), "distinct-codes")
     same = codes.join(reps.withColumnRenamed("node", "rep"), "codes").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
 
@@ -433,6 +517,14 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
         return out
 
     pairs = cut(candidate_pairs(reps.select("node", "codes"), tables, wide, reps.count(), crowd).union(same), "candidates")
-    found = components(judged(pairs).where("ok").select("a", "b"))
+    links = judged(pairs).where("ok").select("a", "b")
+    found = cut(components(links), "groups")
+    grouped = codes.select("node", "digest", "n_shingles", "head").join(found, "node", "left").select("digest", "n_shingles", "head", F.struct("node", F.coalesce("component", "node").alias("group")).alias("own"))
+    # rows of one set are linked already: one of them stands for all
+    sets_once = cut(grouped.groupBy("digest", "n_shingles", "head").agg(F.min("own").alias("own")).select("own.*", F.col("n_shingles").alias("n"), "head"), "prefixes")
+    missed = cut(prefix_pairs(sets_once, similar), "missed")
+    forget(sets_once)
+    if not missed.isEmpty():
+        found = components(links.union(judged(missed).where("ok").select("a", "b")))
     out = codes.join(found, "node", "left")
     return out.select(*[F.col(f"carry_{c}").alias(c) for c in carry], "n_shingles", F.coalesce("component", "node").alias("component_id"))

@@ -800,3 +800,16 @@ def test_language_sample_shrinks_with_the_number_of_languages(spark, monkeypatch
     assert first == drawn()  # a run again draws the same rows
     per = collections.Counter(lang for lang, _ in first)
     assert len(per) == 10 and 4 <= min(per.values()) and max(per.values()) <= 40 and {len(w) for _, w in first} <= {25}
+
+
+def test_similar_groups_lose_no_link_at_the_threshold(spark):
+    """600 pairs with a similarity of 40 / 50: fingerprints alone miss about two in a hundred. A line shared by all stays apart."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(600):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(49)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:24], "other", *words[25:]]))]
+    rows += [(5000 + k, "all of these share this one long line " + " ".join(f"v{rng.randrange(10**9)}" for _ in range(20))) for k in range(100)]
+    got = {r["row"]: r["component_id"] for r in similar_groups(spark.createDataFrame(rows, "row long, text string"), carry=("row",)).collect()}
+    assert [k for k in range(600) if got[2 * k] != got[2 * k + 1]] == []
+    assert len(set(got.values())) == 700
