@@ -452,7 +452,7 @@ def prefix_pairs(sets: DataFrame, similar: float) -> DataFrame:
     met = rows.select("h", "node", "group", "n", "at").mapInArrow(run, "a long, b long").distinct()
     side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("head").alias(f"head_{k}"))
     most = "size(array_intersect(head_a, head_b)) + greatest(n_a - size(head_a), n_b - size(head_b))"
-    return met.join(side("a"), "a").join(side("b"), "b").where(f"{most} * {1 + similar} >= {similar} * (n_a + n_b) - 1e-6").select("a", "b")
+    return met.join(side("a"), "a").join(side("b"), "b").where(f"({most}) * {1 + similar} >= {similar} * (n_a + n_b) - 1e-6").select("a", "b")
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similar: float = 0.8, carry: tuple[str, ...] = (), crowd: int = 8192, width: int | None = None, place: tuple[str, str] | None = None) -> DataFrame:
