@@ -169,3 +169,18 @@ def test_matrices_of_a_task_are_bounded():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got[:50].tolist() == want.tolist() and most < 50_000_000
+
+
+def test_tokens_are_not_shuffled_into_slabs_and_counts_equal_postings(spark, tmp_path):
+    """Slabs are made where rows are read, bounded by tokens; counts come from blocks without a row per posting, repeated ids too."""
+    from siltstone.operators.lexicon import FIELDS, Lexicon, _blocks, _slabs
+
+    rows = [(k // 2 if k < 20 else k, "s", ["p"], ["s", "s"], [f"w{(k * j) % 7}" for j in range(k % 9)]) for k in range(300)]
+    tokens = spark.createDataFrame(rows, f"chunk_id long, stratum string, {', '.join(f'{f}_tokens array<string>' for f in FIELDS)}")
+    tokens = tokens.withColumn("length", F.expr(" + ".join(f"size({f}_tokens)" for f in FIELDS)).cast("long")).coalesce(1)
+    own = tokens.mapInArrow(_slabs(_blocks(5.0, 16, ["s"]), 50), "bucket int, token string, slab int, n long, bound double, ids binary, lengths binary, kinds binary, counts binary, positions binary")
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert own.select("slab").distinct().count() >= tokens.agg(F.sum("length")).first()[0] // 50
+    lexicon = Lexicon.build(tokens, str(tmp_path / "l"))
+    want = lexicon.postings().groupBy("token", "field").agg(F.count_distinct("chunk_id").alias("chunks"), F.count("*").alias("occurrences"), F.sum("pos").alias("pos_sum"))
+    assert sorted(map(tuple, lexicon.counts().collect())) == sorted(map(tuple, want.collect()))
