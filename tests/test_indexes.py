@@ -184,3 +184,11 @@ def test_tokens_are_not_shuffled_into_slabs_and_counts_equal_postings(spark, tmp
     lexicon = Lexicon.build(tokens, str(tmp_path / "l"))
     want = lexicon.postings().groupBy("token", "field").agg(F.count_distinct("chunk_id").alias("chunks"), F.count("*").alias("occurrences"), F.sum("pos").alias("pos_sum"))
     assert sorted(map(tuple, lexicon.counts().collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lexical_searches_make_no_vectors(spark, tmp_path):
+    """Vectors are made at their first use, and then once."""
+    index = I.SearchIndex.build(spark.createDataFrame(chunk_rows(3), CHUNKS), str(tmp_path))
+    asked = spark.createDataFrame([(1, ["alpha", "beta"])], "question_id long, phrase array<string>")
+    assert index.lexicon.search(asked, 10).count() and not (tmp_path / "vectors").exists()
+    assert index.vectors.count() == 60 and index.vectors is index.vectors
