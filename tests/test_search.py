@@ -100,3 +100,23 @@ def test_semantic_list_holds_few_cells_at_a_time(spark, monkeypatch):
         for s in (0, 1):
             want = sorted((-float(like[k]), k) for k in range(s, 3000, 2))[:5]
             assert [c for _, c in sorted(got[q, "ab"[s]])] == [c for _, c in want]
+
+
+def test_pooled_lists_are_the_best_of_all_strata(spark):
+    """A search by stratum holds the pooled search: the first rows of all strata together."""
+    rng = random.Random(9)
+    vectors = spark.createDataFrame([(i, rng.choice(["code", "prose"]), [float(rng.randint(0, 2)) for _ in range(4)]) for i in range(200)], "chunk_id long, stratum string, vector array<double>")
+    queries = spark.createDataFrame([(q, [float(rng.randint(0, 3)) for _ in range(4)]) for q in range(6)], "question_id long, vector array<double>")
+    by_stratum = R.semantic_list(vectors, queries, 12).withColumn("list", F.concat(F.lit("semantic_"), "stratum"))
+    got = R.pooled(by_stratum, 12).collect()
+    want = R.semantic_list(vectors.withColumn("stratum", F.lit("all")), queries, 12).collect()
+    assert {(r["question_id"], r["list"], r["chunk_id"], r["rank"], r["score"]) for r in got} == {(r["question_id"], "semantic", r["chunk_id"], r["rank"], r["score"]) for r in want} and len(got) == len(want)
+
+
+def test_code_floor_searches_once(spark, monkeypatch):
+    """Both kinds of lists come from one search of each index; before, each index was searched by stratum and once more over all."""
+    from siltstone.plans import search as P
+
+    asked, own = [], R.semantic_list
+    monkeypatch.setattr(R, "semantic_list", lambda *a, **b: asked.append(a) or own(*a, **b))
+    assert P.hybrid_code_floor(spark, "/root/testdata/sf0.001").count() and len(asked) == 1
