@@ -523,8 +523,13 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     # rows of one set are linked already: one of them stands for all
     sets_once = cut(grouped.groupBy("digest", "n_shingles", "head").agg(F.min("own").alias("own")).select("own.*", F.col("n_shingles").alias("n"), "head"), "prefixes")
     missed = cut(prefix_pairs(sets_once, similar), "missed")
+    groups = cut(sets_once.select("node", "group"), "set-groups")
     forget(sets_once)
+    out = codes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if not missed.isEmpty():
-        found = components(links.union(judged(missed).where("ok").select("a", "b")))
-    out = codes.join(found, "node", "left")
-    return out.select(*[F.col(f"carry_{c}").alias(c) for c in carry], "n_shingles", F.coalesce("component", "node").alias("component_id"))
+        # groups are the nodes of what is left: links within them are not walked again
+        named = lambda k: groups.select(F.col("node").alias(k), F.col("group").alias(f"group_{k}"))
+        across = judged(missed).where("ok").join(named("a"), "a").join(named("b"), "b").select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
+        joined = components(across).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        out = out.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component"))
+    return out.select(*[F.col(f"carry_{c}").alias(c) for c in carry], "n_shingles", F.col("component").alias("component_id"))
