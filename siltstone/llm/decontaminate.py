@@ -46,6 +46,8 @@ PLACES = 16_384
 BLOCK_PASSAGES = 1024
 #: Blocks are searched together, in one scan, up to this size of their arrays.
 GROUP_BYTES = 64_000_000
+#: Items with so many characters together, and 100 each, come to the driver in one job.
+FEW_CHARS = 4_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -393,14 +395,16 @@ def contaminated(
     without words is in no document. Equal items are reported each. Null texts hold nothing; a null doc_id is reported as
     null; repeated rows are reported each; texts are read whole. No rows come back for an empty table of either kind.
     Other columns are ignored. The corpus is read once for the statistics and once for each group of blocks of items:
-    benchmark items stream through the driver, which holds a block at a time and broadcasts groups of up to group_bytes.
+    benchmark items stream through the driver, which holds a block at a time (and up to FEW_CHARS characters of items, which
+    come in one job) and broadcasts groups of up to group_bytes.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL").orderBy("item_id", "text")
     texts = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).where("text IS NOT NULL")
     result = spark.createDataFrame([], schema)
-    if asked.isEmpty():
+    n_chars = asked.agg(F.sum(F.length("text") + 100)).first()[0]
+    if n_chars is None:
         return result
     df, n_docs = document_frequencies(docs, text_col)
     mass = (idf(df, n_docs) ** 2).astype(np.float32)
@@ -408,7 +412,8 @@ def contaminated(
     def blocks() -> Iterator[Block]:
         own, passages = [], 0
         made = lambda: _index(spark, own, df, n_docs, passage, rank, answer_words, window, stride, copied, close, min_words)
-        for r in asked.toLocalIterator():
+        # an iterator runs a job for each partition
+        for r in asked.collect() if n_chars <= FEW_CHARS else asked.toLocalIterator():
             if not (words := words_of(r["text"])):
                 continue
             if own and passages + -(-len(words) // passage) > block_passages:

@@ -108,7 +108,7 @@ def forward_backward(scores: np.ndarray, length: np.ndarray, moves: np.ndarray,
     return m, forward, backward
 
 
-def _row_sums(table: np.ndarray, at: np.ndarray, first: np.ndarray, cells: int = 4_000_000) -> np.ndarray:
+def _row_sums(table: np.ndarray, at: np.ndarray, first: np.ndarray, cells: int = 500_000) -> np.ndarray:
     """Sums of the table's rows at[first[k] : first[k + 1]], by lots of about `cells` numbers."""
     out = np.empty((len(first), table.shape[1]), table.dtype)
     ends = np.append(first[1:], len(at))
@@ -156,14 +156,16 @@ def train(texts: list[tuple[str, list[str]]], chain: int = 64, rounds: int = 60,
     count = np.bincount(tokens, minlength=len(words))
     own = {w: k for k, w in enumerate(w for w in words if count[names[w]] >= lexicon_count)}
     entry = np.array([own.get(w, -1) for w in words])
-    rows = features(words)
-    there = rows > 0
-    flat, first = rows[there], np.concatenate([[0], np.cumsum(there.sum(axis=1))[:-1]])
-    owner = np.nonzero(there)[0]
+    lots = []  # the driver fits, so it holds features of so many words at a time
+    for a in range(0, len(words), 10_000):
+        rows = features(words[a : a + 10_000])
+        lots.append((rows[rows > 0], (rows > 0).sum(axis=1)))
+    flat, sizes = (np.concatenate(x) for x in zip(*lots))
+    first, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     by_feature = np.argsort(flat, kind="stable")
     sorted_flat, sorted_owner = flat[by_feature], owner[by_feature]
     feature_first = np.flatnonzero(np.concatenate([[True], sorted_flat[1:] != sorted_flat[:-1]]))
-    del rows, there, owner, by_feature
+    del lots, rows, owner, by_feature
     chains = -(-len(tokens) // chain)
     padded = np.zeros(chains * chain, np.int64)
     padded[: len(tokens)] = tokens
