@@ -409,11 +409,12 @@ def prefix(own: np.ndarray, similar: float, common: tuple[np.ndarray, np.ndarray
     return own[np.lexsort((own, many))[: n - math.ceil(similar * n - 1e-9) + 1]] if n else own
 
 
-def prefix_pairs(sets: DataFrame, similar: float) -> DataFrame:
-    """sets (node, group, n, head: the prefix) -> pairs (a, b) of nodes of different groups that share a shingle of both
+def prefix_pairs(sets: DataFrame, groups: DataFrame, similar: float) -> DataFrame:
+    """sets (node, n, head: the prefix), groups (node, group) -> pairs (a, b) of nodes of different groups that share a shingle of both
     prefixes and may be similar by their sizes, by what is left of both from there on, and by what their prefixes share: up to
-    the end of one prefix the other holds all that can be shared, and beyond it no more than the rest of that set can be. No
-    such pair is left out."""
+    the end of one prefix the other holds all that can be shared, and beyond it no more than the rest of that set can be, nor
+    beyond a shared shingle more than follows it in either set. No such pair is left out. A pair is given once for each
+    shingle that both prefixes hold, so what they share is counted as pairs are merged, and no prefix goes to where a pair is."""
     total = sets.agg(F.sum(F.size("head"))).first()[0] or 0
     parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 500_000))
 
@@ -422,7 +423,8 @@ def prefix_pairs(sets: DataFrame, similar: float) -> DataFrame:
         table = pa.Table.from_batches(own) if (own := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        h, node, group, n, at = (table[c].to_numpy() for c in ("h", "node", "group", "n", "at"))
+        h, node, back, size = (table[c].to_numpy() for c in ("h", "node", "back", "size"))
+        group, n, at = node - back, size >> 32, size & 0xFFFFFFFF
         order = np.lexsort((n, h))
         h, group = h[order], group[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -431,7 +433,8 @@ def prefix_pairs(sets: DataFrame, similar: float) -> DataFrame:
         order, h, group = order[kept], h[kept], group[kept]
         if not len(order):
             return
-        node, n, at = node[order].astype(np.int64), n[order].astype(np.int64), at[order].astype(np.int64)
+        node, n, at = node[order], n[order], at[order]
+        rest = np.ceil(similar * n - 1e-9) - 1  # beyond the prefix
         value = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) << 32
         last = np.searchsorted(value + n, value + np.floor(n / similar + 1e-9).astype(np.int64), "right")
         count = np.maximum(last - np.arange(len(n)) - 1, 0)
@@ -442,17 +445,21 @@ def prefix_pairs(sets: DataFrame, similar: float) -> DataFrame:
             c = count[low:high]
             i = np.repeat(np.arange(low, high), c)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            near = (group[i] != group[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) * (1 + similar) >= similar * (n[i] + n[j]) - 1e-6)
-            a, b = node[i[near]], node[j[near]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            least = (similar * (n[i] + n[j]) - 1e-6) / (1 + similar)  # that a similar pair shares
+            left = np.minimum(n[i] - at[i], n[j] - at[j])
+            may = (group[i] != group[j]) & (np.minimum(at[i], at[j]) + left >= least)
+            i, j, least, left = i[may], j[may], least[may], left[may]
+            a, b = node[i], node[j]
+            need = np.ceil(least - np.minimum(np.maximum(rest[i], rest[j]), left - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need), pa.array(left >= least)], ["a", "b", "need", "first"])
             low = high
 
-    rows = sets.select("node", "group", F.col("n").cast("int").alias("n"), F.posexplode("head").alias("at", "h")).repartition(parts, "h")
-    met = rows.select("h", "node", "group", "n", "at").mapInArrow(run, "a long, b long").distinct()
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("head").alias(f"head_{k}"))
-    most = "size(array_intersect(head_a, head_b)) + greatest(n_a - size(head_a), n_b - size(head_b))"
-    return met.join(side("a"), "a").join(side("b"), "b").where(f"({most}) * {1 + similar} >= {similar} * (n_a + n_b) - 1e-6").select("a", "b")
+    # most groups are their only node: then back is 0
+    rows = sets.join(groups, "node").select("node", (F.col("node") - F.col("group")).alias("back"), "n", F.posexplode("head").alias("at", "h"))
+    packed = rows.select("h", "node", "back", (F.shiftleft("n", 32) + F.col("at")).alias("size")).repartition(parts, "h")
+    met = packed.mapInArrow(run, "a long, b long, need int, first boolean")
+    both = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.max("first").alias("first"))
+    return both.where("first AND shared >= need").select("a", "b")
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similar: float = 0.8, carry: tuple[str, ...] = (), crowd: int = 8192, width: int | None = None, place: tuple[str, str] | None = None) -> DataFrame:
@@ -477,17 +484,18 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     def fingerprint_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_cache()
         for b in batches:
-            codes, sizes, digests, heads = [], [], [], [np.zeros(0, np.uint64)]
+            codes, sizes, digests, heads = [], [], ([], []), [np.zeros(0, np.uint64)]
             for _, _, texts in text_slices(b.column(0), 500_000):
                 for own in shingle_sets(texts, shingle):
                     codes.append(set_codes(own, tables))
                     sizes.append(len(own))
-                    digests.append(int(np.bitwise_xor.reduce(mix(own))) if len(own) else 0)
+                    digests[0].append(np.bitwise_xor.reduce(mix(own)) if len(own) else np.uint64(0))
+                    digests[1].append(mix(own ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
                     heads.append(prefix(own, similar, common))
             flat = np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * tables, pa.array(flat))
             head = pa.ListArray.from_arrays(np.cumsum([len(x) for x in heads]).astype(np.int32), pa.array(np.concatenate(heads).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), lists, pa.array(np.array(digests, np.uint64).view(np.int64)), head, *b.columns[1:]], ["n_shingles", "codes", "digest", "head", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), lists, *[pa.array(np.array(d, np.uint64).view(np.int64)) for d in digests], head, *b.columns[1:]], ["n_shingles", "codes", "digest", "sum", "head", *names])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_cache()
@@ -499,7 +507,7 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), lists], ["node", "shingles"])
 
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    codes = cut(rows.mapInArrow(fingerprint_sets, f"n_shingles long, codes array<long>, digest long, head array<long>{kinds}").withColumn("node", F.monotonically_increasing_id()), "codes")
+    codes = cut(rows.mapInArrow(fingerprint_sets, f"n_shingles long, codes array<long>, digest long, sum long, head array<long>{kinds}").withColumn("node", F.monotonically_increasing_id()), "codes")
     reps = cut(codes.groupBy("codes").agg(F.min("node").alias("node")), "distinct-codes")
     same = codes.join(reps.withColumnRenamed("node", "rep"), "codes").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
 
@@ -519,12 +527,10 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     pairs = cut(candidate_pairs(reps.select("node", "codes"), tables, wide, reps.count(), crowd).union(same), "candidates")
     links = judged(pairs).where("ok").select("a", "b")
     found = cut(components(links), "groups")
-    grouped = codes.select("node", "digest", "n_shingles", "head").join(found, "node", "left").select("digest", "n_shingles", "head", F.struct("node", F.coalesce("component", "node").alias("group")).alias("own"))
-    # rows of one set are linked already: one of them stands for all
-    sets_once = cut(grouped.groupBy("digest", "n_shingles", "head").agg(F.min("own").alias("own")).select("own.*", F.col("n_shingles").alias("n"), "head"), "prefixes")
-    missed = cut(prefix_pairs(sets_once, similar), "missed")
-    groups = cut(sets_once.select("node", "group"), "set-groups")
-    forget(sets_once)
+    grouped = codes.select("node", "digest", "sum", "n_shingles").join(found, "node", "left").select("digest", "sum", "n_shingles", F.struct("node", F.coalesce("component", "node").alias("group")).alias("own"))
+    # rows of one set are linked already: one of them stands for all. Two digests of 64 bits and the size tell sets apart
+    groups = cut(grouped.groupBy("digest", "sum", "n_shingles").agg(F.min("own").alias("own")).select("own.*"), "set-groups")
+    missed = cut(prefix_pairs(codes.select("node", F.col("n_shingles").alias("n"), "head"), groups, similar), "missed")
     out = codes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if not missed.isEmpty():
         # groups are the nodes of what is left: links within them are not walked again
